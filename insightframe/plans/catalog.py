@@ -1,7 +1,7 @@
 """Imports every query module so the registry is complete, and exposes it."""
 from __future__ import annotations
 
-from . import queries_outcome  # noqa: F401  (registers queries)
+from . import queries_outcome, queries_profile  # noqa: F401  (registers queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
