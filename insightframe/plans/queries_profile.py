@@ -218,14 +218,15 @@ def q_time_column_scan(spark, sf_dir):
 WITH base AS ({TIME_SCAN_SQL})
 SELECT COUNT(*) AS n_rows, COUNT(try_strptime(ship_date_text, '%Y-%m-%d')) AS n_parsed,
        COUNT(*) - COUNT(try_strptime(ship_date_text, '%Y-%m-%d')) AS n_null,
-       MIN(try_strptime(ship_date_text, '%Y-%m-%d')) AS min_ts, MAX(try_strptime(ship_date_text, '%Y-%m-%d')) AS max_ts
+       strftime(MIN(try_strptime(ship_date_text, '%Y-%m-%d')), '%Y-%m-%d %H:%M:%S') AS min_ts,
+       strftime(MAX(try_strptime(ship_date_text, '%Y-%m-%d')), '%Y-%m-%d %H:%M:%S') AS max_ts
 FROM base""")
 def q_coerce_dates(spark, sf_dir):
     d = rl.coerce_dates(time_scan_base(spark, sf_dir), "ship_date_text", "parsed")
     return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count("parsed").alias("n_parsed"),
                  (F.count(F.lit(1)) - F.count("parsed")).alias("n_null"),
-                 F.min("parsed").cast("timestamp_ntz").alias("min_ts"),
-                 F.max("parsed").cast("timestamp_ntz").alias("max_ts"))
+                 F.date_format(F.min("parsed"), "yyyy-MM-dd HH:mm:ss").alias("min_ts"),
+                 F.date_format(F.max("parsed"), "yyyy-MM-dd HH:mm:ss").alias("max_ts"))
 
 
 @register("date_autoparse", oracle=f"""

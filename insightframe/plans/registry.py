@@ -26,6 +26,13 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def iso(col: str, ts: bool = False):
+    """Render a DATE (or TIMESTAMP) as ISO text so result hashes do not depend on how a client
+    library materialises temporal types."""
+    from pyspark.sql import functions as F
+    return F.date_format(col, "yyyy-MM-dd HH:mm:ss" if ts else "yyyy-MM-dd").alias(col)
+
+
 def long_form_sql(base: str, cols: list[str], y: str = "y", extra: str = "") -> str:
     """UNION ALL of (col_name, col_ord, value, y) rows: the SQL twin of ``unpivot``."""
     parts = [f"SELECT '{c}' AS col_name, {i} AS col_ord, CAST({c} AS VARCHAR) AS value, "
