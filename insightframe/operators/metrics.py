@@ -27,47 +27,62 @@ from ..functions.columns import IMBALANCE_HIGH, IMBALANCE_LOW
 DEFAULT_BUCKETS = 256
 
 
-def score_table(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(score, pos, neg) per distinct score; rows with a NULL score or label are ignored."""
+def score_table(df: DataFrame, score: str, label: str, group: list[str] | None = None) -> DataFrame:
+    """(group.., score, pos, neg) per distinct score; rows with a NULL score or label are ignored."""
+    group = group or []
     return (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-            .groupBy(F.col(score).cast("double").alias("score"))
+            .groupBy(*group, F.col(score).cast("double").alias("score"))
             .agg(F.sum(F.col(label).cast("bigint")).alias("pos"),
                  F.sum((1 - F.col(label)).cast("bigint")).alias("neg")))
 
 
-def cumulative_from_top(st: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Adds tp/fp = positives/negatives with score >= this score (descending cumulative)."""
+def _splits(st: DataFrame, n_buckets: int) -> list[float]:
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = st.agg(F.percentile_approx("score", probs, 10000).alias("c")).first()["c"] or []
-    splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="score", outputCol="bucket",
+    inner = sorted(set(float(c) for c in cuts)) or [0.0]
+    return [float("-inf")] + inner + [float("inf")]
+
+
+def cumulative_from_top(st: DataFrame, n_buckets: int = DEFAULT_BUCKETS,
+                        group: list[str] | None = None) -> DataFrame:
+    """Adds tp/fp = positives/negatives with score >= this score (descending cumulative),
+    per group."""
+    group = group or []
+    b = Bucketizer(splits=_splits(st, n_buckets), inputCol="score", outputCol="bucket",
                    handleInvalid="keep").transform(st)
-    totals = b.groupBy("bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
-    above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = b.groupBy(*group, "bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
+    above = Window.partitionBy(*group).orderBy(F.desc("bucket")) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "bucket", F.coalesce(F.sum("bpos").over(above), F.lit(0)).alias("pos_before"),
+        *group, "bucket", F.coalesce(F.sum("bpos").over(above), F.lit(0)).alias("pos_before"),
         F.coalesce(F.sum("bneg").over(above), F.lit(0)).alias("neg_before"))
-    inner = Window.partitionBy("bucket").orderBy(F.desc("score")) \
+    inner = Window.partitionBy(*group, "bucket").orderBy(F.desc("score")) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (b.join(F.broadcast(offsets), "bucket")
+    # offsets has (groups x buckets) rows: bounded by n_buckets per group
+    return (b.join(F.broadcast(offsets), [*group, "bucket"])
             .withColumn("tp", F.col("pos_before") + F.sum("pos").over(inner))
             .withColumn("fp", F.col("neg_before") + F.sum("neg").over(inner))
             .drop("pos_before", "neg_before"))
 
 
-def roc_auc(df: DataFrame, score: str, label: str, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, n_buckets: int = DEFAULT_BUCKETS,
+            group: list[str] | None = None) -> DataFrame:
     """ML15: tie-aware ROC-AUC = sum_s neg_s * (pos above s + pos_s / 2) / (P * N)."""
-    c = cumulative_from_top(score_table(df, score, label), n_buckets)
-    return c.agg((F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0))
-                  / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("roc_auc"))
+    group = group or []
+    c = cumulative_from_top(score_table(df, score, label, group), n_buckets, group)
+    return c.groupBy(*group).agg(F.try_divide(
+        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0)),
+        F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str,
-                      n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      n_buckets: int = DEFAULT_BUCKETS, group: list[str] | None = None) -> DataFrame:
     """ML16: average precision as a step sum: sum_s (pos_s / P) * tp_s / (tp_s + fp_s)."""
-    c = cumulative_from_top(score_table(df, score, label), n_buckets)
-    return c.agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-                  / F.sum("pos").cast("double")).alias("average_precision"))
+    group = group or []
+    c = cumulative_from_top(score_table(df, score, label, group), n_buckets, group)
+    return c.groupBy(*group).agg(F.try_divide(
+        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))),
+        F.sum("pos").cast("double")).alias("average_precision"))
 
 
 def classification_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5,

@@ -1,8 +1,8 @@
 """Imports every query module so the registry is complete, and exposes it."""
 from __future__ import annotations
 
-from . import (queries_model_prep, queries_outcome, queries_profile,  # noqa: F401
-               queries_series)
+from . import (queries_model_prep, queries_models, queries_outcome,  # noqa: F401
+               queries_profile, queries_series)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
