@@ -85,6 +85,18 @@ def average_precision(df: DataFrame, score: str, label: str,
         F.sum("pos").cast("double")).alias("average_precision"))
 
 
+def ranking_metrics(df: DataFrame, score: str, label: str, n_buckets: int = DEFAULT_BUCKETS,
+                    group: list[str] | None = None) -> DataFrame:
+    """ROC-AUC and average precision from ONE cumulative pass (same formulas as above)."""
+    group = group or []
+    c = cumulative_from_top(score_table(df, score, label, group), n_buckets, group)
+    return c.groupBy(*group).agg(
+        F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0)),
+                     F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"),
+        F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))),
+                     F.sum("pos").cast("double")).alias("average_precision"))
+
+
 def classification_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5,
                            group: list[str] | None = None) -> DataFrame:
     """ML17: F1 of the positive class (0 when undefined), accuracy, Brier; predicted class is

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from . import (queries_model_prep, queries_models, queries_outcome,  # noqa: F401
-               queries_profile, queries_series)
+               queries_profile, queries_report, queries_series)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
