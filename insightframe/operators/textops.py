@@ -33,9 +33,14 @@ _LINE_SPLIT = r"\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 _WS = r"[\t\n\u000b\u000c\r\u001c-\u001f \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+# the same whitespace set as literal characters, for btrim (linear, no regex backtracking)
+_WS_CHARS = ("\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+             + "".join(chr(c) for c in range(0x2000, 0x200b)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def pystrip(c: Column) -> Column:
     """Strip leading/trailing whitespace the way Python's str.strip does."""
-    return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def bullet_items(df: DataFrame, key: str, text: str) -> DataFrame:
