@@ -197,3 +197,20 @@ def numeric_drivers_top(drivers: DataFrame, min_abs_r: float = NUMERIC_DRIVER_MI
 # --- A3 as an operator ------------------------------------------------------------------
 def with_confidence(df: DataFrame, n_col: str = "n") -> DataFrame:
     return df.withColumn("confidence", confidence_tier(n_col))
+
+
+def confidence_rich(drivers: DataFrame, profile: DataFrame, min_spread: float = 0.01,
+                    strong_spread: float = 0.05, max_missing_pct: float = 5.0) -> DataFrame:
+    """Confidence from sample size, effect size and data quality together.
+
+    high: smallest segment >= 500 rows, spread >= ``strong_spread`` and <= ``max_missing_pct``%
+    missing; low: smallest segment < 30, spread < ``min_spread`` or > 20% missing; else medium.
+    The profile has one row per column, so the join input is tiny (broadcast).
+    """
+    p = profile.select("col_name", "missing_pct")
+    j = drivers.join(F.broadcast(p), "col_name", "left")
+    miss = F.coalesce(F.col("missing_pct"), F.lit(0.0))
+    conf = (F.when((F.col("min_n") < MIN_GROUP) | (F.col("spread") < min_spread) | (miss > 20.0), F.lit("low"))
+            .when((F.col("min_n") >= 500) & (F.col("spread") >= strong_spread) & (miss <= max_missing_pct),
+                  F.lit("high")).otherwise(F.lit("medium")))
+    return j.withColumn("confidence_rich", conf)

@@ -246,3 +246,15 @@ def column_dictionary(profile: DataFrame, dictionary: DataFrame) -> DataFrame:
     return (profile.join(F.broadcast(d), F.lower(F.col("col_name")) == F.col("_k"), "left")
             .withColumn("inferred_meaning", F.coalesce(F.trim(F.col("meaning")), F.lit("")))
             .drop("_k", "meaning"))
+
+
+def describe_column(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
+    """Count, mean, sample std, min, quartiles, max of one numeric column (one pass)."""
+    x = F.col(col).cast("double")
+    q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
+         else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000))
+    a = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+               F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max"))
+    return a.select(F.lit(col).alias("col_name"), "count", "mean", "std", "min",
+                    F.col("_q")[0].cast("double").alias("p25"), F.col("_q")[1].cast("double").alias("p50"),
+                    F.col("_q")[2].cast("double").alias("p75"), "max")

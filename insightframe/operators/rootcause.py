@@ -57,11 +57,16 @@ def rate_mix(df: DataFrame, time_col: str, seg: str, y: str = "y",
     cut = median_cutoff(base, time_col, exact_median)
     p = with_period(base, time_col, cut)
     a, b = F.col("period") == "a", F.col("period") == "b"
-    tot = p.agg(F.struct(
-        F.count_if(a).alias("n_a"), F.count_if(b).alias("n_b"),
-        F.sum(F.when(a, F.col(y))).cast("double").alias("pos_a"),
-        F.sum(F.when(b, F.col(y))).cast("double").alias("pos_b")).alias("s")).scalar()
-    segs = period_segment_counts(p, seg, y)
+    # ONE conditional aggregate per segment value; the NULL segment is kept as its own group so
+    # the period totals (all rows) and the weights (non-NULL segments) both come from it
+    seg_all = (p.groupBy(F.col(seg).cast("string").alias("segment"))
+               .agg(F.count_if(a).alias("n_a"), F.sum(F.when(a, F.col(y))).cast("double").alias("pos_a"),
+                    F.count_if(b).alias("n_b"), F.sum(F.when(b, F.col(y))).cast("double").alias("pos_b")))
+    tot = seg_all.agg(F.struct(
+        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"),
+        F.coalesce(F.sum("pos_a"), F.lit(0.0)).alias("pos_a"),
+        F.coalesce(F.sum("pos_b"), F.lit(0.0)).alias("pos_b")).alias("s")).scalar()
+    segs = seg_all.where(F.col("segment").isNotNull())
     wsum = segs.agg(F.struct(F.sum("n_a").alias("na"), F.sum("n_b").alias("nb")).alias("s")).scalar()
     contrib = (segs.withColumn("wa", safe_div(F.col("n_a").cast("double"), wsum["na"].cast("double")))
                .withColumn("wb", safe_div(F.col("n_b").cast("double"), wsum["nb"].cast("double")))
@@ -71,13 +76,16 @@ def rate_mix(df: DataFrame, time_col: str, seg: str, y: str = "y",
                .withColumn("rate_part", F.when(F.col("in_both"), F.col("wa") * (F.col("rb") - F.col("ra"))))
                .withColumn("mix_part", F.when(F.col("in_both"), (F.col("wb") - F.col("wa")) * F.col("ra")))
                .withColumn("contribution", F.col("rate_part") + F.col("mix_part")))
-    w = Window.orderBy(F.desc(F.abs("contribution")), F.asc("segment"))  # one row per value
-    ranked = contrib.withColumn(
-        "contrib_rank", F.when(F.col("in_both"), F.row_number().over(w)).cast("int"))
-    agg = ranked.agg(
+    # largest |contribution| (smaller segment on ties) as an aggregate, not a global window
+    agg = contrib.agg(
         F.sum("rate_part").alias("rate_effect"), F.sum("mix_part").alias("mix_effect"),
-        F.max(F.when(F.col("contrib_rank") == 1, F.col("segment"))).alias("top_segment"),
+        F.min_by("segment", F.when(F.col("in_both"), F.struct(-F.abs("contribution"), F.col("segment"))))
+        .alias("top_segment"),
         F.sum(F.when(~F.col("in_both"), F.col("n_a") + F.col("n_b"))).alias("_unmatched"))
+    # per-segment table for display: rank within the (one row per value) contributions
+    w = Window.orderBy(F.desc(F.abs("contribution")), F.asc("segment"))
+    ranked = contrib.withColumn(
+        "contrib_rank", F.when(F.col("in_both"), F.row_number().over(w)).cast("int"))
     rate_a = safe_div(tot["pos_a"], tot["n_a"].cast("double"))
     rate_b = safe_div(tot["pos_b"], tot["n_b"].cast("double"))
     summary = (agg.select(
@@ -121,3 +129,21 @@ def segment_intersect(df: DataFrame, time_col: str, seg: str) -> DataFrame:
     a = p.where((F.col("period") == "a") & F.col(seg).isNotNull()).select(F.col(seg).cast("string").alias("segment"))
     b = p.where((F.col("period") == "b") & F.col(seg).isNotNull()).select(F.col(seg).cast("string").alias("segment"))
     return a.intersect(b)
+
+
+def price_volume(df: DataFrame, period: Column, seg: str, revenue: str, volume: str,
+                 a: str = "a", b: str = "b") -> DataFrame:
+    """Revenue change between periods ``a`` and ``b`` per segment split into
+    volume effect (dQ * P_a), price effect (dP * Q_a) and interaction (dQ * dP); one
+    conditional aggregate per segment, so one shuffle of (segment) keys."""
+    pa, pb = period == a, period == b
+    g = (df.where(F.col(seg).isNotNull()).groupBy(F.col(seg).cast("string").alias("segment"))
+         .agg(F.sum(F.when(pa, F.col(revenue))).alias("rev_a"), F.sum(F.when(pb, F.col(revenue))).alias("rev_b"),
+              F.sum(F.when(pa, F.col(volume))).alias("vol_a"), F.sum(F.when(pb, F.col(volume))).alias("vol_b")))
+    price_a = safe_div(F.col("rev_a"), F.col("vol_a"))
+    price_b = safe_div(F.col("rev_b"), F.col("vol_b"))
+    dq = F.col("vol_b") - F.col("vol_a")
+    dp = price_b - price_a
+    return g.select("segment", "rev_a", "rev_b", (F.col("rev_b") - F.col("rev_a")).alias("rev_change"),
+                    (dq * price_a).alias("volume_effect"), (dp * F.col("vol_a")).alias("price_effect"),
+                    (dq * dp).alias("interaction"))

@@ -87,10 +87,7 @@ PART_CAT = ["p_brand"]
 @register("leaderboard_regression")
 def q_leaderboard_regression(spark, sf_dir):
     """Regression panel (linear / forest / boosting) selected by CV RMSE."""
-    part = bt.read_table(spark, sf_dir, "part")
-    lb = md.train_panel(part, "p_retailprice", ["p_partkey"], PART_NUM, PART_CAT, "regression",
-                        md.ModelConfig(num_trees=100, max_depth=8, gbt_iter=30, gbt_depth=4))
-    return _board_out(lb)
+    return _board_out(part_panel(spark, sf_dir))
 
 
 @register("model_ridge_lasso")
@@ -210,3 +207,38 @@ def q_technique_resolution(spark, sf_dir):
             resolved, note = md.resolve_technique(t, task, n_train)
             rows.append((t, task, resolved, note or ""))
     return spark.createDataFrame(rows, "request string, task string, resolved string, note string")
+
+
+def _row(spark, sf_dir, name):
+    lb = doc_panel(spark, sf_dir)
+    return lb.table.where(F.col("name") == name).select(
+        "name", "cv_score", "test_score", "selected", F.to_json("all_metrics").alias("all_metrics"))
+
+
+@register("model_forest")
+def q_model_forest(spark, sf_dir):
+    """ML4: random forest (200 trees, balanced weights) row of the panel."""
+    return _row(spark, sf_dir, "RandomForest")
+
+
+@register("model_gbt")
+def q_model_gbt(spark, sf_dir):
+    """ML5: gradient-boosted trees row of the panel."""
+    return _row(spark, sf_dir, "GradientBoosting")
+
+
+def part_panel(spark, sf_dir):
+    key = ("part", sf_dir, id(spark))
+    if key not in _PANELS:
+        part = bt.read_table(spark, sf_dir, "part")
+        _PANELS[key] = md.train_panel(part, "p_retailprice", ["p_partkey"], PART_NUM, PART_CAT, "regression",
+                                      md.ModelConfig(num_trees=100, max_depth=8, gbt_iter=30, gbt_depth=4))
+    return _PANELS[key]
+
+
+@register("model_linear")
+def q_model_linear(spark, sf_dir):
+    """ML3: linear regression row of the regression panel (RMSE / MAE / R2 on held-out rows)."""
+    lb = part_panel(spark, sf_dir)
+    return lb.table.where(F.col("name") == "LinearRegression").select(
+        "name", "cv_score", "test_score", F.to_json("all_metrics").alias("all_metrics"))
