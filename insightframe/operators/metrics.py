@@ -36,6 +36,10 @@ def score_table(df: DataFrame, score: str, label: str, group: list[str] | None =
                  F.sum((1 - F.col(label)).cast("bigint")).alias("neg")))
 
 
+def _raw(df: DataFrame, score: str) -> DataFrame:
+    return df.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("score"))
+
+
 def _splits(st: DataFrame, n_buckets: int) -> list[float]:
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = st.agg(F.percentile_approx("score", probs, 10000).alias("c")).first()["c"] or []
@@ -44,12 +48,13 @@ def _splits(st: DataFrame, n_buckets: int) -> list[float]:
 
 
 def cumulative_from_top(st: DataFrame, n_buckets: int = DEFAULT_BUCKETS,
-                        group: list[str] | None = None) -> DataFrame:
+                        group: list[str] | None = None, cut_source: DataFrame | None = None) -> DataFrame:
     """Adds tp/fp = positives/negatives with score >= this score (descending cumulative),
-    per group."""
+    per group. Cut points are sketched from ``cut_source`` (raw scores: one map-side pass, no
+    shuffle) when given, else from the distinct-score table."""
     group = group or []
-    b = Bucketizer(splits=_splits(st, n_buckets), inputCol="score", outputCol="bucket",
-                   handleInvalid="keep").transform(st)
+    b = Bucketizer(splits=_splits(cut_source if cut_source is not None else st, n_buckets),
+                   inputCol="score", outputCol="bucket", handleInvalid="keep").transform(st)
     totals = b.groupBy(*group, "bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     above = Window.partitionBy(*group).orderBy(F.desc("bucket")) \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +74,7 @@ def roc_auc(df: DataFrame, score: str, label: str, n_buckets: int = DEFAULT_BUCK
             group: list[str] | None = None) -> DataFrame:
     """ML15: tie-aware ROC-AUC = sum_s neg_s * (pos above s + pos_s / 2) / (P * N)."""
     group = group or []
-    c = cumulative_from_top(score_table(df, score, label, group), n_buckets, group)
+    c = cumulative_from_top(score_table(df, score, label, group), n_buckets, group, _raw(df, score))
     return c.groupBy(*group).agg(F.try_divide(
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0)),
         F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"))
@@ -79,7 +84,7 @@ def average_precision(df: DataFrame, score: str, label: str,
                       n_buckets: int = DEFAULT_BUCKETS, group: list[str] | None = None) -> DataFrame:
     """ML16: average precision as a step sum: sum_s (pos_s / P) * tp_s / (tp_s + fp_s)."""
     group = group or []
-    c = cumulative_from_top(score_table(df, score, label, group), n_buckets, group)
+    c = cumulative_from_top(score_table(df, score, label, group), n_buckets, group, _raw(df, score))
     return c.groupBy(*group).agg(F.try_divide(
         F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))),
         F.sum("pos").cast("double")).alias("average_precision"))
@@ -89,7 +94,7 @@ def ranking_metrics(df: DataFrame, score: str, label: str, n_buckets: int = DEFA
                     group: list[str] | None = None) -> DataFrame:
     """ROC-AUC and average precision from ONE cumulative pass (same formulas as above)."""
     group = group or []
-    c = cumulative_from_top(score_table(df, score, label, group), n_buckets, group)
+    c = cumulative_from_top(score_table(df, score, label, group), n_buckets, group, _raw(df, score))
     return c.groupBy(*group).agg(
         F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0)),
                      F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"),
@@ -128,7 +133,7 @@ def cost_threshold(df: DataFrame, score: str, label: str, cost_fp: float = 1.0,
                    cost_fn: float = 5.0, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Threshold (predict positive when score >= t) minimising cost_fp*FP + cost_fn*FN over
     every distinct score, plus "predict none". Ties go to the higher threshold."""
-    c = cumulative_from_top(score_table(df, score, label), n_buckets)
+    c = cumulative_from_top(score_table(df, score, label), n_buckets, cut_source=_raw(df, score))
     tot = c.agg(F.struct(F.sum("pos").alias("P")).alias("s")).scalar()
     cand = c.select(F.col("score").alias("threshold"), F.col("fp"), (tot["P"] - F.col("tp")).alias("fn"))
     none = c.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("fp"),
