@@ -18,6 +18,24 @@ MIN_POSITIVES = 15
 CV_LARGE_TRAIN = 20_000
 
 
+EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
+
+
+def _medians(df: DataFrame, cols: list[str]) -> list[Column]:
+    """Median aggregates: exact where the column's distinct count is bounded (the exact
+    percentile keeps one entry per distinct value in its final merge), else approximate.
+    One HLL job decides for all columns."""
+    if not cols:
+        return []
+    d = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    out = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        out.append(F.percentile(x, 0.5) if (d[f"d{i}"] or 0) <= EXACT_MEDIAN_MAX_DISTINCT
+                   else F.percentile_approx(x, 0.5, 100000).cast("double"))
+    return out
+
+
 def has_enough_positives(df: DataFrame, y: str = "y", minimum: int = MIN_POSITIVES) -> bool:
     """M2: the positive-count guard (one tiny aggregate)."""
     return (df.agg(F.coalesce(F.sum(y), F.lit(0))).first()[0] or 0) >= minimum
@@ -111,8 +129,7 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     """
     p = Preprocessor(numeric, categorical)
     if numeric:
-        row = train.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"m{i}")
-                          for i, c in enumerate(numeric)]).first()
+        row = train.agg(*[m.alias(f"m{i}") for i, m in enumerate(_medians(train, numeric))]).first()
         p.medians = {c: row[f"m{i}"] for i, c in enumerate(numeric)}
         imputed = [F.coalesce(F.col(c).cast("double"), F.lit(p.medians[c])) for c in numeric]
         row = train.agg(*[F.avg(x).alias(f"a{i}") for i, x in enumerate(imputed)],
@@ -134,7 +151,7 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
 
 def median_table(train: DataFrame, cols: list[str]) -> DataFrame:
     """M6 as a table: (col_name, median) with linear interpolation."""
-    wide = train.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols])
+    wide = train.agg(*[m.alias(c) for m, c in zip(_medians(train, cols), cols)])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).alias("median"))
                                            for c in cols])).alias("s")).select("s.*")
 

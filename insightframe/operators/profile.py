@@ -160,7 +160,7 @@ def outlier_shares(df: DataFrame, quarts: DataFrame) -> DataFrame:
 
 
 def profile_columns(df: DataFrame, exact_distinct: bool | str = True,
-                    quantile_method: str | dict = "exact") -> DataFrame:
+                    quantile_method: str | dict = "auto") -> DataFrame:
     """One row per column with missing %, distinct count, quartiles, outlier
     share and the ordered quality-flag array (high_missing, possible_id, constant, outliers).
 
@@ -248,8 +248,11 @@ def column_dictionary(profile: DataFrame, dictionary: DataFrame) -> DataFrame:
             .drop("_k", "meaning"))
 
 
-def describe_column(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
-    """Count, mean, sample std, min, quartiles, max of one numeric column (one pass)."""
+def describe_column(df: DataFrame, col: str, exact: bool | None = None) -> DataFrame:
+    """Count, mean, sample std, min, quartiles, max of one numeric column (one pass).
+    ``exact=None`` picks exact quantiles only for a bounded distinct count."""
+    if exact is None:
+        exact = choose_quantile_method(df, [col])[col] == "exact"
     x = F.col(col).cast("double")
     q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
          else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000))

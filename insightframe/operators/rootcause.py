@@ -21,10 +21,14 @@ def _micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def median_cutoff(df: DataFrame, time_col: str, exact: bool = True) -> Column:
+def median_cutoff(df: DataFrame, time_col: str, exact: bool | None = None) -> Column:
     """Scalar Column with the median of the time column in epoch microseconds
-    (linear interpolation). ``exact=False`` uses approx_percentile for unbounded
-    distinct counts."""
+    (linear interpolation). ``exact=None`` decides from the HLL distinct count: the exact
+    percentile's final merge holds one entry per distinct value, so above
+    ``EXACT_MEDIAN_MAX_DISTINCT`` the approximate percentile is used."""
+    if exact is None:
+        d = df.agg(F.approx_count_distinct(time_col)).first()[0] or 0
+        exact = d <= EXACT_MEDIAN_MAX_DISTINCT
     x = _micros(F.col(time_col)).cast("double")
     agg = F.percentile(x, F.lit(0.5)) if exact else F.percentile_approx(x, 0.5, 100000).cast("double")
     return df.where(F.col(time_col).isNotNull()).agg(agg.alias("cut")).scalar()
@@ -46,7 +50,7 @@ def period_segment_counts(df: DataFrame, seg: str, y: str = "y") -> DataFrame:
 
 
 def rate_mix(df: DataFrame, time_col: str, seg: str, y: str = "y",
-             min_rows: int = MIN_GROUP, exact_median: bool = True) -> tuple[DataFrame, DataFrame]:
+             min_rows: int = MIN_GROUP, exact_median: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (summary one-row DataFrame, per-segment contributions).
 
     Δ = rate_b − rate_a over ALL rows; rate effect Σ wa(rb − ra); mix effect Σ (wb − wa) ra over

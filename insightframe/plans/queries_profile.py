@@ -119,8 +119,9 @@ LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     f"SELECT '{c}' AS col_name, {i} AS col_ord, ROUND(quantile_cont({c}, 0.25), 6) AS q1, "
     f"ROUND(quantile_cont({c}, 0.75), 6) AS q3 FROM lineitem" for i, c in enumerate(LI_NUM)))
 def q_quartiles(spark, sf_dir):
-    """C7 exact (linear interpolation)."""
-    q = pf.quartiles(bt.read_table(spark, sf_dir, "lineitem"), LI_NUM, "exact")
+    """C7 exact (linear interpolation) for every column whose distinct count is bounded."""
+    li = bt.read_table(spark, sf_dir, "lineitem")
+    q = pf.quartiles(li, LI_NUM, pf.choose_quantile_method(li, LI_NUM))
     return q.select("col_name", "col_ord", rnd(F.col("q1")).alias("q1"), rnd(F.col("q3")).alias("q3"))
 
 
