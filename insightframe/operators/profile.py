@@ -143,17 +143,19 @@ def outlier_shares(df: DataFrame, quarts: DataFrame) -> DataFrame:
     # one-row map column_name -> (q1, q3), read by every row through a scalar subquery
     fences = q.agg(F.map_from_entries(F.collect_list(F.struct(
         F.col("col_name"), F.struct(F.col("q1"), F.col("q3"))))).alias("m")).scalar()
+    # bind the scalar once as a column so every comparison reads the same value
+    withf = df.select(fences.alias("_fences"), *[F.col(c) for c in names])
     aggs = []
     qcols = names
     for i, c in enumerate(qcols):
-        fq = fences[F.lit(c)]
+        fq = F.col("_fences")[F.lit(c)]
         iqr = fq["q3"] - fq["q1"]
         lo = fq["q1"] - F.lit(OUTLIER_IQR_MULT) * iqr
         hi = fq["q3"] + F.lit(OUTLIER_IQR_MULT) * iqr
         x = F.col(c).cast("double")
         aggs.append(F.avg(F.when((x < lo) | (x > hi), F.lit(1.0)).otherwise(F.lit(0.0)))
                     .alias(f"o_{i}"))
-    wide = df.agg(*aggs)
+    wide = withf.agg(*aggs)
     long = _long(wide, [F.struct(F.lit(c).alias("col_name"), F.col(f"o_{i}").alias("outlier_share"))
                         for i, c in enumerate(qcols)])
     return q.join(long, "col_name").withColumn("iqr", F.col("q3") - F.col("q1"))

@@ -72,8 +72,10 @@ def rate_mix(df: DataFrame, time_col: str, seg: str, y: str = "y",
         F.coalesce(F.sum("pos_b"), F.lit(0.0)).alias("pos_b")).alias("s")).scalar()
     segs = seg_all.where(F.col("segment").isNotNull())
     wsum = segs.agg(F.struct(F.sum("n_a").alias("na"), F.sum("n_b").alias("nb")).alias("s")).scalar()
-    contrib = (segs.withColumn("wa", safe_div(F.col("n_a").cast("double"), wsum["na"].cast("double")))
-               .withColumn("wb", safe_div(F.col("n_b").cast("double"), wsum["nb"].cast("double")))
+    contrib = (segs.withColumn("_w", wsum)
+               .withColumn("wa", safe_div(F.col("n_a").cast("double"), F.col("_w.na").cast("double")))
+               .withColumn("wb", safe_div(F.col("n_b").cast("double"), F.col("_w.nb").cast("double")))
+               .drop("_w")
                .withColumn("ra", safe_div(F.col("pos_a"), F.col("n_a").cast("double")))
                .withColumn("rb", safe_div(F.col("pos_b"), F.col("n_b").cast("double")))
                .withColumn("in_both", (F.col("n_a") > 0) & (F.col("n_b") > 0))
@@ -90,11 +92,13 @@ def rate_mix(df: DataFrame, time_col: str, seg: str, y: str = "y",
     w = Window.orderBy(F.desc(F.abs("contribution")), F.asc("segment"))
     ranked = contrib.withColumn(
         "contrib_rank", F.when(F.col("in_both"), F.row_number().over(w)).cast("int"))
+    agg = agg.withColumn("_tot", tot).withColumn("_cut", cut)
+    tot = F.col("_tot")
     rate_a = safe_div(tot["pos_a"], tot["n_a"].cast("double"))
     rate_b = safe_div(tot["pos_b"], tot["n_b"].cast("double"))
     summary = (agg.select(
         F.lit(seg).alias("segment_col"),
-        F.timestamp_micros(F.floor(cut).cast("bigint")).alias("cutoff"),
+        F.timestamp_micros(F.floor(F.col("_cut")).cast("bigint")).alias("cutoff"),
         tot["n_a"].alias("n_a"), tot["n_b"].alias("n_b"), rate_a.alias("rate_a"), rate_b.alias("rate_b"),
         (rate_b - rate_a).alias("delta"),
         F.coalesce("rate_effect", F.lit(0.0)).alias("rate_effect"),
