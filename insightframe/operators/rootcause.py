@@ -18,7 +18,11 @@ EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
 
 
 def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Epoch microseconds of a TIMESTAMP_NTZ / DATE / TIMESTAMP value without depending on the
+    session time zone for wall-clock (NTZ) values."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.coalesce(F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz")),
+                      F.unix_micros(ts.cast("timestamp")))
 
 
 def median_cutoff(df: DataFrame, time_col: str, exact: bool | None = None) -> Column:
