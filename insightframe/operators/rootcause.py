@@ -70,6 +70,12 @@ def rate_mix(df: DataFrame, time_col: str, seg: str, y: str = "y",
     seg_all = (p.groupBy(F.col(seg).cast("string").alias("segment"))
                .agg(F.count_if(a).alias("n_a"), F.sum(F.when(a, F.col(y))).cast("double").alias("pos_a"),
                     F.count_if(b).alias("n_b"), F.sum(F.when(b, F.col(y))).cast("double").alias("pos_b")))
+    return _decompose(seg_all, cut, seg, min_rows)
+
+
+def _decompose(seg_all: DataFrame, cut: Column, seg: str, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Shared arithmetic: (segment, n_a, pos_a, n_b, pos_b) incl. a NULL segment -> summary and
+    per-segment contributions."""
     tot = seg_all.agg(F.struct(
         F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"),
         F.coalesce(F.sum("pos_a"), F.lit(0.0)).alias("pos_a"),
