@@ -129,10 +129,20 @@ def stable_unit(cols: list[Column | str], seed: int = 42) -> Column:
     return stable_bucket(cols, 1_000_000_007, seed).cast("double") / F.lit(1_000_000_007.0)
 
 
+def fixed(x: Column, places: int, sign: bool = False) -> Column:
+    """Fixed-point text with correct rounding (half-even on the exact binary value, like
+    Python's format and C's printf; Java's %f would round half-up), no digit grouping.
+    ``sign`` adds '+' to non-negative values."""
+    txt = F.regexp_replace(F.format_number(x, places), ",", "")
+    if not sign:
+        return txt
+    return F.when(txt.startswith("-"), txt).otherwise(F.concat(F.lit("+"), txt))
+
+
 def pct_text(x: Column, places: int = 2) -> Column:
     """Format a share as a percentage, e.g. 0.2522 -> '25.22%'."""
-    return F.concat(F.format_string(f"%.{places}f", x * 100), F.lit("%"))
+    return F.concat(fixed(x * 100, places), F.lit("%"))
 
 
 def signed_pct_text(x: Column, places: int = 1) -> Column:
-    return F.concat(F.format_string(f"%+.{places}f", x * 100), F.lit("%"))
+    return F.concat(fixed(x * 100, places, sign=True), F.lit("%"))

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import OVERCLAIM_PHRASES, RECOMPUTE_TOLERANCE, confidence_tier
+from ..functions.columns import (OVERCLAIM_PHRASES, RECOMPUTE_TOLERANCE, confidence_tier, fixed,
+                                 pct_text, signed_pct_text)
 
 FINDING_SCHEMA = ("ord INT, claim STRING, evidence MAP<STRING,STRING>, confidence STRING, "
                   "method STRING, limitations ARRAY<STRING>")
@@ -24,11 +25,11 @@ def title(name: str) -> str:
 
 
 def _pct(x: Column, places: int) -> Column:
-    return F.concat(F.format_string(f"%.{places}f", x * 100), F.lit("%"))
+    return pct_text(x, places)
 
 
 def _spct(x: Column, places: int) -> Column:
-    return F.concat(F.format_string(f"%+.{places}f", x * 100), F.lit("%"))
+    return signed_pct_text(x, places)
 
 
 def _lits(items: list[str]) -> Column:
@@ -84,11 +85,11 @@ def finding_numeric_drivers(top: DataFrame, target: str, n_rows: Column, ord_: i
         F.min_by("col_name", "driver_rank").alias("name0"), F.min_by("r", "driver_rank").alias("r0"),
         F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("driver_rank", "col_name", "r"))), 1, 3),
                                  lambda s: F.concat(s["col_name"], F.lit(" ("),
-                                                    F.format_string("%+.2f", s["r"]), F.lit(")"))), ", ").alias("top3"),
+                                                    fixed(s["r"], 2, sign=True), F.lit(")"))), ", ").alias("top3"),
         F.max(F.col("anonymised").cast("int")).alias("anon"), F.count(F.lit(1)).alias("k"),
         F.map_from_entries(F.collect_list(F.struct("col_name", F.round("r", 4).cast("string")))).alias("ev"))
     claim = F.concat(F.lit("Among numeric features, '"), F.col("name0"),
-                     F.lit(f"' is most associated with {target} (r="), F.format_string("%+.2f", F.col("r0")),
+                     F.lit(f"' is most associated with {target} (r="), fixed(F.col("r0"), 2, sign=True),
                      F.lit("). Top drivers: "), F.col("top3"), F.lit("."))
     lim = F.when(F.col("anon") == 1, _lits([
         "Linear association only; non-linear effects need a model (Part 1).", "Correlation, not causation.",
@@ -249,7 +250,7 @@ def kpis(n_rows: DataFrame, findings: DataFrame, rollup: DataFrame, label: str =
     if best_model is not None:
         parts.append(best_model.select(F.lit(2).alias("ord"),
                                        F.concat(F.lit("Best model · "), F.col("primary_metric")).alias("label"),
-                                       F.format_string("%.3f", F.col("test_score")).alias("value")))
+                                       fixed(F.col("test_score"), 3).alias("value")))
     parts.append(rollup.select(F.lit(3).alias("ord"), F.lit("Overall confidence").alias("label"),
                                F.initcap("overall_confidence").alias("value")))
     return reduce(DataFrame.unionByName, parts).select(F.col("ord").cast("int").alias("ord"), "label", "value")
