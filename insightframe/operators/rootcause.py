@@ -44,15 +44,6 @@ def with_period(df: DataFrame, time_col: str, cutoff: Column) -> DataFrame:
                          .otherwise(F.lit("b")))
 
 
-def period_segment_counts(df: DataFrame, seg: str, y: str = "y") -> DataFrame:
-    """Per-segment (n_a, pos_a, n_b, pos_b) with one conditional aggregate (NULL segment dropped)."""
-    a, b = F.col("period") == "a", F.col("period") == "b"
-    return (df.where(F.col(seg).isNotNull())
-            .groupBy(F.col(seg).cast("string").alias("segment"))
-            .agg(F.count_if(a).alias("n_a"), F.sum(F.when(a, F.col(y))).cast("double").alias("pos_a"),
-                 F.count_if(b).alias("n_b"), F.sum(F.when(b, F.col(y))).cast("double").alias("pos_b")))
-
-
 def rate_mix(df: DataFrame, time_col: str, seg: str, y: str = "y",
              min_rows: int = MIN_GROUP, exact_median: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (summary one-row DataFrame, per-segment contributions).
