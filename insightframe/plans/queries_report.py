@@ -35,9 +35,11 @@ def li_findings(spark, sf_dir):
     num = oc.numeric_drivers_top(oc.numeric_drivers(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
     f2 = ar.finding_numeric_drivers(num, TARGET, n_rows, 2)
     f3 = ar.finding_trend(sr.trend_direction(sr.period_rates(li, "l_shipdate")), TARGET, 3)
-    best = oc.categorical_drivers(oc.segment_rates_all(
-        star.where(F.col("l_shipdate").isNotNull()), LI_SEG_COLS), require_positive_spread=True) \
-        .where("driver_rank = 1").select("col_name").first()
+    # A8 on rows with a time value, through the pre-aggregated star plan (no line-level join)
+    timed = li.where(F.col("l_shipdate").isNotNull())
+    best = oc.categorical_drivers(oc.star_segment_rates(
+        timed, "l_orderkey", LI_FACT_COLS, bt.order_dims(spark, sf_dir), "o_orderkey", LI_DIM_COLS),
+        require_positive_spread=True).where("driver_rank = 1").select("col_name").first()
     parts = [f0, f1, f2, f3]
     if best is not None:
         summary, _ = rc.rate_mix(star, "l_shipdate", best.col_name)
