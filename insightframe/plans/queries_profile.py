@@ -29,7 +29,7 @@ def orders_profile_base(spark, sf_dir):
                         .otherwise(F.col("o_totalprice")))
 
 
-def _profile_sql(base_sql: str, cols) -> str:
+def _profile_sql(base_sql: str, cols, base: str = "base", prof: str = "prof", with_kw: bool = True) -> str:
     parts = []
     for i, (c, dt, quant, frac) in enumerate(cols):
         if quant:
@@ -45,8 +45,9 @@ def _profile_sql(base_sql: str, cols) -> str:
   ROUND(100.0::DOUBLE * (COUNT(*) - COUNT({c})) / COUNT(*)::DOUBLE, 2) AS missing_pct,
   COUNT(DISTINCT {c}) AS n_unique, ANY_VALUE(q.q1) AS q1, ANY_VALUE(q.q3) AS q3,
   {share} AS outlier_share, {1 if frac else 0} AS frac
-FROM base, {qsub} q""")
-    return f"WITH base AS ({base_sql}), prof AS ({' UNION ALL '.join(parts)})"
+FROM {base}, {qsub.replace('FROM base', 'FROM ' + base)} q""")
+    head = "WITH " if with_kw else ""
+    return f"{head}{base} AS ({base_sql}), {prof} AS ({' UNION ALL '.join(parts)})"
 
 
 _FLAGS_SQL = """concat_ws(',',

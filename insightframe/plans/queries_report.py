@@ -210,7 +210,37 @@ def q_bluf_summary(spark, sf_dir):
     return ar.bluf_summary(f, ar.confidence_rollup(f))
 
 
-@register("context_digest")
+_LI_PROFILE_COLS = [("l_orderkey", "bigint", True, False), ("l_partkey", "bigint", True, False),
+                    ("l_suppkey", "bigint", True, False), ("l_linenumber", "int", True, False),
+                    ("l_quantity", "double", True, True), ("l_extendedprice", "double", True, True),
+                    ("l_discount", "double", True, True), ("l_tax", "double", True, True),
+                    ("l_returnflag", "string", False, False), ("l_linestatus", "string", False, False),
+                    ("l_shipdate", "timestamp_ntz", False, False)]
+_NL = "chr(10)"
+
+
+def _context_sql() -> str:
+    from .queries_profile import _FLAGS_SQL, _profile_sql
+    prof = _profile_sql("SELECT * FROM lineitem", _LI_PROFILE_COLS, base="pb", prof="lprof", with_kw=False)
+    named = "lower(col_name) IN ('default','target','label','y','churn','fraud')"
+    return FINDINGS_SQL + f""", {prof},
+fl AS (SELECT col_ord, col_name, n_rows, n_unique, {_FLAGS_SQL.replace("concat_ws(',',", "concat_ws(', ',")} AS f FROM lprof),
+tc AS (SELECT COUNT(l_shipdate) > 0 AND MIN(year(l_shipdate)) >= 1990 AND MAX(year(l_shipdate)) <= 2100 AS ok FROM lineitem),
+ds AS (SELECT format('{{:,}}', MAX(n_rows)) || ' rows x ' || COUNT(*) || ' columns. ' ||
+         COALESCE('Quality flags -> ' || string_agg(CASE WHEN f <> '' THEN col_name || ': ' || f END, '; ' ORDER BY col_ord) || '. ',
+                  'No major quality flags. ') ||
+         CASE WHEN (SELECT ok FROM tc) THEN 'Detected time column: l_shipdate. ' ELSE '' END ||
+         COALESCE('Likely target(s): ' || string_agg(CASE WHEN {named} OR n_unique = 2 THEN col_name END, ', '
+                  ORDER BY CASE WHEN {named} THEN 0 ELSE 1 END, col_ord) || '.', '') AS txt FROM fl)
+SELECT '## DATASET' || {_NL} || ds.txt || {_NL} || {_NL} || '## FINDINGS' || {_NL} ||
+  (SELECT string_agg('- ' || claim || ' (confidence: ' || confidence || '; method: ' || method || ')', {_NL} ORDER BY ord) FROM findings)
+  || {_NL} || {_NL} || '## PROJECTIONS' || {_NL} ||
+  (SELECT string_agg('- {TARGET} rate (' || strftime(period, '%b %Y') || '): ' || CAST(ROUND(point, 4) AS VARCHAR) || ' [' ||
+          CAST(ROUND(lower, 4) AS VARCHAR) || ', ' || CAST(ROUND(upper, 4) AS VARCHAR) || ']', {_NL} ORDER BY step) FROM fc2)
+  AS context FROM ds"""
+
+
+@register("context_digest", oracle=_context_sql())
 def q_context_digest(spark, sf_dir):
     """Grounded context (dataset summary, findings, projections) as one text."""
     from ..operators import profile as pf
