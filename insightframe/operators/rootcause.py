@@ -1,10 +1,9 @@
 """Rate/mix root-cause decomposition.
 
 The two periods come from one CASE on the time column against the median cut point, which
-arrives as a scalar subquery (no join, no second scan). Per-segment period counts are one
-conditional aggregate, so the whole decomposition is: one pass for the cut point, one
-partial-aggregated group-by per segment, then arithmetic over a table with one row per
-segment value.
+arrives as a scalar subquery (no join). Per-segment period counts are one conditional
+aggregate, so the whole decomposition is: one pass for the cut point, one partial-aggregated
+group-by per segment value, then arithmetic over a table with one row per segment value.
 """
 from __future__ import annotations
 

@@ -57,25 +57,25 @@ def _single(spark, sf_dir, technique, task="binary_classification", target="toxi
 
 @register("model_tree")
 def q_model_tree(spark, sf_dir):
-    """ML10 as a user-requested technique next to the panel."""
+    """ML10 requested as a user technique, trained alone with the panel's CV / held-out protocol."""
     return _single(spark, sf_dir, "Decision Tree")
 
 
 @register("model_svm")
 def q_model_svm(spark, sf_dir):
-    """ML13: linear SVM with a squashed margin as score."""
+    """ML13: linear SVM requested as a user technique; the margin squashed to (0, 1) is the score."""
     return _single(spark, sf_dir, "svc")
 
 
 @register("model_mlp")
 def q_model_mlp(spark, sf_dir):
-    """ML14: multi-layer perceptron classifier."""
+    """ML14: multi-layer perceptron classifier requested as a user technique."""
     return _single(spark, sf_dir, "mlp")
 
 
 @register("model_naive_bayes")
 def q_model_naive_bayes(spark, sf_dir):
-    """ML11 through MLlib (gaussian)."""
+    """ML11 through MLlib (gaussian naive Bayes) requested as a user technique."""
     return _single(spark, sf_dir, "naive bayes")
 
 
@@ -92,7 +92,8 @@ def q_leaderboard_regression(spark, sf_dir):
 
 @register("model_ridge_lasso")
 def q_model_ridge_lasso(spark, sf_dir):
-    """ML9: ridge requested on the regression panel (lasso shares the same slot)."""
+    """ML9: ridge and lasso, each requested as a user technique on the part-price regression and
+    trained alone with the panel's CV / held-out protocol."""
     part = bt.read_table(spark, sf_dir, "part")
     out = []
     for tech in ("ridge", "lasso"):

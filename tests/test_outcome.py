@@ -79,3 +79,13 @@ def test_planted_lending_driver(lending):
     segs = oc.segment_rates_all(lending, ["grade", "home_ownership"], y="default", min_n=MIN_GROUP)
     d = oc.categorical_drivers(segs).where("driver_rank = 1").first()
     assert d.col_name == "grade" and d.top_value == "E"
+
+
+def test_number_text_rounds_like_python(spark):
+    from insightframe.functions.columns import fixed, pct_text, signed_pct_text
+    vals = [0.3125, 0.125, 0.02675, -0.0001, 0.0, 0.99995, 12.345]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = df.select(pct_text(F.col("x"), 1).alias("p"), signed_pct_text(F.col("x"), 1).alias("s"),
+                    fixed(F.col("x"), 2).alias("f")).collect()
+    for v, r in zip(vals, got):
+        assert (r.p, r.s, r.f) == (f"{v:.1%}", f"{v:+.1%}", f"{v:.2f}"), v

@@ -27,7 +27,8 @@ def test_stream_matches_batch_daily_rates(spark):
 
 def test_analyze_end_to_end(spark, lending):
     from insightframe.operators.models import ModelConfig
-    a = analyze(lending, key=["loan_id"], model_config=ModelConfig(num_trees=10, max_depth=4, gbt_iter=5, gbt_depth=3))
+    a = analyze(lending, key=["loan_id"], question="Which model has the best accuracy?",
+                model_config=ModelConfig(num_trees=10, max_depth=4, gbt_iter=5, gbt_depth=3))
     assert a.roles.target == "default" and a.roles.time_column == "issue_date"
     claims = {r.ord: r.claim for r in a.findings.collect()}
     assert claims[0].startswith("Overall default rate is ")
@@ -43,6 +44,9 @@ def test_analyze_end_to_end(spark, lending):
     labels = [r.label for r in a.kpis.orderBy("ord").collect()]
     assert labels[0] == "Records analyzed" and labels[-1] == "Overall confidence"
     assert a.charts.select("chart_id").distinct().count() >= 4
+    ans = a.answer.first()
+    assert ans.route == "model" and ans.answer.startswith("Selected model: ")
+    a.unpersist()
 
 
 def test_analyze_without_target(spark):
