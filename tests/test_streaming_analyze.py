@@ -4,7 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from insightframe.operators import series as sr
-from insightframe.plans.analyze import analyze
+from insightframe.plans.analyze import analyze, write_artifacts
 from insightframe.streaming import rates as st
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +46,12 @@ def test_analyze_end_to_end(spark, lending):
     assert a.charts.select("chart_id").distinct().count() >= 4
     ans = a.answer.first()
     assert ans.route == "model" and ans.answer.startswith("Selected model: ")
+    import tempfile
+    out = tempfile.mkdtemp(prefix="insightframe-artifacts-")
+    written = write_artifacts(a, out, "run1")
+    assert {"findings", "projections", "leaderboard", "charts", "kpis"} <= set(written)
+    back = spark.read.parquet(out + "/findings")
+    assert back.where("run_id = 'run1'").count() == a.findings.count()
     a.unpersist()
 
 
