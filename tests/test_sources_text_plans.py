@@ -95,15 +95,11 @@ def test_sql_steps_guard(spark):
                                    "DROP TABLE df", "SELECT 1; SELECT 2"], max_steps=4)
     r = out.orderBy("step").collect()
     assert r[0].ok and r[0].n_rows == 2
-    assert not r[1].ok and "nope" in r[1].error.lower() or "unresolved" in r[1].error.lower()
+    assert not r[1].ok and ("nope" in r[1].error.lower() or "unresolved" in r[1].error.lower())
     assert not r[2].ok and "only queries" in r[2].error
     assert not r[3].ok and "one statement" in r[3].error
 
 
-def _plan_text(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def test_plans_have_no_python_udfs_and_one_segment_shuffle(spark):
     from __spark_entry__ import queries
     q = queries()
@@ -122,3 +118,23 @@ def test_driver_contract(spark):
     assert df.count() >= 1
     assert set(oracle_sql()) <= set(queries())
     assert "categorical_drivers" in queries()
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("Exchange")
+
+
+def test_plan_shapes_bounded_exchanges(spark):
+    from insightframe.operators import outcome as oc
+    from insightframe.operators import series as sr
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet") \
+        .withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    # Every column's segments from ONE hash-partitioned aggregate
+    hashed, _ = _exchanges(oc.segment_rates_all(li, ["l_linestatus", "l_linenumber", "l_returnflag"]))
+    assert hashed == 1
+    # One group-by on the month
+    s = sr.period_rates(li, "l_shipdate")
+    assert _exchanges(s)[0] == 1
+    # The group-by plus the single window over the aggregated series, nothing per refit
+    assert _exchanges(sr.walk_forward(s))[1] <= 2
