@@ -48,11 +48,12 @@ WHERE o_orderpriority IS NOT NULL
 GROUP BY o_orderpriority HAVING COUNT(y) >= 30
 """)
 def q_segment_rates(spark, sf_dir):
-    base = bt.lineitem_events(spark, sf_dir).join(
-        bt.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"),
-        F.col("l_orderkey") == F.col("o_orderkey"))
-    s = oc.segment_rates(base, "o_orderpriority")
-    return s.select("value", "n", "positives", rnd(F.col("rate")).alias("rate"))
+    """A4/A5: return rate by order priority. The segment lives in orders, so lines are first
+    reduced to (order key, n, positives) and only those rows meet the orders table."""
+    s = oc.star_segment_rates(bt.lineitem_events(spark, sf_dir), "l_orderkey", [],
+                              bt.read_table(spark, sf_dir, "orders"), "o_orderkey", ["o_orderpriority"])
+    return s.select("value", "n", "positives", rnd(F.col("rate")).alias("rate")) \
+        .orderBy(F.desc("rate"), F.asc("value"))                      # L1
 
 
 # ---- segment_rates_all / grouping sets (A6) --------------------------------------------
