@@ -35,6 +35,35 @@ def segment_pair_rates(df: DataFrame, k1: str, k2: str, y: str = "y", amount: st
             .withColumn("overall_rate", base).withColumn("lift", F.col("rate") - base))
 
 
+def star_segment_pair_rates(fact: DataFrame, key: str, dim: DataFrame, dim_key: str, k1: str, k2: str,
+                            y: str = "y", amount: str | None = None) -> DataFrame:
+    """H1 over a star: same result as :func:`segment_pair_rates` on the inner join of ``fact``
+    and ``dim``, but the fact rows are first reduced to (key, fact-side pair columns) with their
+    sums, so the join moves one row per key and fact value instead of one per fact row."""
+    fact_cols = [c for c in (k1, k2) if c in fact.columns]
+    dim_cols = [c for c in (k1, k2) if c not in fact.columns]
+    sums = [F.count(F.lit(1)).alias("_n"), F.count(y).alias("_ny"),
+            F.sum(F.col(y).cast("bigint")).alias("_pos")]
+    if amount:
+        sums += [F.sum(F.col(y) * F.col(amount)).alias("_wy"), F.sum(amount).alias("_w")]
+    per = fact.groupBy(key, *fact_cols).agg(*sums)
+    joined = per.join(dim.select(F.col(dim_key).alias(key), *dim_cols), key)
+    base = joined.agg(F.try_divide(F.sum("_pos").cast("double"), F.sum("_ny").cast("double"))).scalar()
+    aggs = [F.sum("_pos").alias("positives"), F.sum("_n").alias("n")]
+    if amount:
+        aggs.append(safe_div(F.sum("_wy"), F.sum("_w")).alias("value_weighted_rate"))
+    g = joined.where(F.col(k1).isNotNull() & F.col(k2).isNotNull()).groupBy(k1, k2).agg(*aggs)
+    return (g.withColumn("rate", F.col("positives") / F.col("n"))
+            .withColumn("overall_rate", base).withColumn("lift", F.col("rate") - base))
+
+
+def star_segment_lift(fact: DataFrame, key: str, dim: DataFrame, dim_key: str, k1: str, k2: str,
+                      y: str = "y", min_n: int = 50) -> DataFrame:
+    """H4 over a star (see :func:`star_segment_pair_rates`)."""
+    return (star_segment_pair_rates(fact, key, dim, dim_key, k1, k2, y).where(F.col("n") >= min_n)
+            .withColumn("lift_points", F.col("lift") * 100))
+
+
 def bucket_rates(df: DataFrame, col: str, edges: list[float], y: str = "y", min_n: int = 1) -> DataFrame:
     """H2: rate per band [edge_i, edge_i+1) of a numeric column (open-ended outer bands)."""
     c = F.col(col)

@@ -433,7 +433,8 @@ SELECT r_name, o_orderpriority, CAST(SUM(y) AS BIGINT) AS positives, COUNT(*) AS
 FROM star, b GROUP BY 1, 2""")
 def q_segment_pair_rates(spark, sf_dir):
     """H1: returns by region x priority with value-weighted rate and lift over baseline."""
-    p = ah.segment_pair_rates(bt.lineitem_star(spark, sf_dir), "r_name", "o_orderpriority", amount="l_extendedprice")
+    p = ah.star_segment_pair_rates(bt.lineitem_events(spark, sf_dir), "l_orderkey", bt.order_dims(spark, sf_dir),
+                                   "o_orderkey", "r_name", "o_orderpriority", amount="l_extendedprice")
     return p.select("r_name", "o_orderpriority", "positives", "n",
                     *[rnd(F.col(c)).alias(c) for c in ("value_weighted_rate", "rate", "overall_rate", "lift")])
 
@@ -466,7 +467,8 @@ SELECT c_mktsegment, l_linestatus, COUNT(*) AS n, ROUND((SUM(y)::DOUBLE / COUNT(
 FROM star, b GROUP BY 1, 2 HAVING COUNT(*) >= 50""")
 def q_segment_lift(spark, sf_dir):
     """H4: market segment x line status lift in points (n >= 50)."""
-    s = ah.segment_lift(bt.lineitem_star(spark, sf_dir), "c_mktsegment", "l_linestatus")
+    s = ah.star_segment_lift(bt.lineitem_events(spark, sf_dir), "l_orderkey", bt.order_dims(spark, sf_dir),
+                             "o_orderkey", "c_mktsegment", "l_linestatus")
     return s.select("c_mktsegment", "l_linestatus", "n", rnd(F.col("lift_points")).alias("lift_points"))
 
 

@@ -89,3 +89,18 @@ def test_number_text_rounds_like_python(spark):
                     fixed(F.col("x"), 2).alias("f")).collect()
     for v, r in zip(vals, got):
         assert (r.p, r.s, r.f) == (f"{v:.1%}", f"{v:+.1%}", f"{v:.2f}"), v
+
+
+def test_star_pair_rates_equal_flat_join(spark):
+    from insightframe.operators import adhoc as ah
+    fact = spark.createDataFrame(
+        [(k % 50, "s" + str(k % 2), None if k % 37 == 0 else int(k % 3 == 0), float(k % 11)) for k in range(600)]
+        + [(999, "s0", 1, 5.0)],                       # orphan: no dimension row
+        "ok long, f string, y int, amt double")
+    dim = spark.createDataFrame([(k, None if k % 17 == 0 else "g" + str(k % 3)) for k in range(50)], "dk long, g string")
+    star = ah.star_segment_pair_rates(fact, "ok", dim, "dk", "g", "f", amount="amt")
+    flat = ah.segment_pair_rates(fact.join(dim, F.col("ok") == F.col("dk")), "g", "f", amount="amt")
+    cols = ["g", "f", "positives", "n", "value_weighted_rate", "rate", "overall_rate", "lift"]
+    a = sorted(tuple(round(v, 12) if isinstance(v, float) else v for v in r) for r in star.select(*cols).collect())
+    b = sorted(tuple(round(v, 12) if isinstance(v, float) else v for v in r) for r in flat.select(*cols).collect())
+    assert a == b
