@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, packing, secrets, token_counts
+from . import hilbert_shards, packing, quality_gbt, secret_scan, suffix_dedup, token_counts
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +27,19 @@ def op1_token_counts(spark, sf_dir):
 @register
 def op3_secret_scan(spark, sf_dir):
     """Secrets of every whole text, weak parts only beside complementary parts."""
-    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+    return secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
+
+
+@register
+def op4_suffix_dedup(spark, sf_dir):
+    """Bytes of all documents in 100-byte strings that start earlier elsewhere, by deep-shallow sorting."""
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+@register
+def op8_quality_gbt(spark, sf_dir):
+    """Quality score of every whole text by histogram gradient-boosted trees."""
+    return quality_gbt.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 @register
