@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, packing, quality_gbt, secret_scan, suffix_dedup, token_counts
+from . import hilbert_shards, language_id, packing, quality_gbt, secret_scan, suffix_dedup, token_counts, topk_blocks
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,28 @@ def op9_hilbert_shards(spark, sf_dir):
 def op10_best_fit_packing(spark, sf_dir):
     """All documents packed into sequences of at most 2048 tokens by vector best-fit."""
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register
+def op5_language_id(spark, sf_dir):
+    """Language of every whole text by interpolated Kneser-Ney character models."""
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+@register
+def op7_exact_top_k(spark, sf_dir):
+    """20 best rows of every query vector (ids divisible by 20) by block-at-a-time pruning."""
+    rows = topk_blocks.quantised(read(spark, sf_dir, "embeddings"))
+    return topk_blocks.top_k(rows, rows.where("vec_id % 20 = 0"))
+
+
+ORACLES["op7_exact_top_k"] = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+             CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
