@@ -138,10 +138,10 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
             s = np.sort(rolled[lo:hi - k + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif n:
-            x = np.uint64(n) * np.uint64(0xD6E8FEB86659FD93)
+            x = np.array([n], np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             for w in h[lo:hi]:
-                x = mix64(np.array([x], np.uint64) * np.uint64(5) + w)[0]
-            out.append(np.array([x], np.uint64))
+                x = mix64(x * np.uint64(5) + w)
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
