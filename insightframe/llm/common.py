@@ -101,8 +101,13 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def ascii_words(raw: np.ndarray, off: np.ndarray):
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each document after lower-casing A-Z.
+# for words without punctuation: every ASCII character but letters and digits separates
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def ascii_words(raw: np.ndarray, off: np.ndarray, space: np.ndarray = _IS_SPACE):
+    """Words ``[^\\x20\\x09-\\x0D]+`` (or between other ASCII separators) of each document
+    after lower-casing A-Z.
 
     Returns (start, end, hash, first) where first[i]:first[i+1] are document i's words.
     Separators are ASCII, so byte runs of UTF-8 are the same words as code-point runs.
@@ -110,7 +115,7 @@ def ascii_words(raw: np.ndarray, off: np.ndarray):
     n = len(raw)
     if not n:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(len(off), np.int64))
-    word = ~_IS_SPACE[raw]
+    word = ~space[raw]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     edges = off[:-1][(off[:-1] < n)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, language_id, near_dedup, packing, quality_gbt, secret_scan, suffix_dedup, token_counts, topk_blocks
+from . import decontaminate, hilbert_shards, language_id, near_dedup, packing, quality_gbt, secret_scan, suffix_dedup, token_counts, topk_blocks
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
 
+@register
+def op6_decontamination(spark, sf_dir):
+    """Benchmark items in whole documents by latent semantic retrieval with word checks."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @register
 def op8_quality_gbt(spark, sf_dir):
     """Quality score of every whole text by histogram gradient-boosted trees."""
