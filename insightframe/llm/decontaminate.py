@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ POWER_STEPS = 2
 FIT_DOCUMENTS = 4000  # documents in the fit of the latent space, the first by a hash of their id
 FIT_WINDOW = 64
 PASSAGE_WORDS = 48  # longer items are searched by passages of this many words
-LEAST_COSINE = 0.55
+LEAST_COSINE = 0.65
 ITEM_BLOCK = 20_000  # items searched for at once: bounds what a task holds of the benchmark
 SURE_SHARE = 0.8  # of an item's words in order: contaminated
 LIKELY_SHARE = 0.6  # contaminated if the answer is there too
@@ -34,9 +35,16 @@ ANSWER_SHARE = 0.8
 SHORT_WORDS = 6  # items below need all their words, side by side
 BLOCK_TERMS = 1024
 
+FIT_TASKS = 8  # tasks that add up the fit's bounded sample
+
 RESULT_DDL = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
 
 
+def _words(column: pa.Array):
+    """Words without punctuation, in lower case (of any script)."""
+    return ascii_words(*utf8(pc.utf8_lower(column)), NOT_ALNUM)
+
+
 def _terms(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
@@ -48,7 +56,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         count, rows = np.zeros(1 << TERM_BITS, np.int64), 0
         for batch in batches:
             for part in slices(batch):
-                _, _, h, first = ascii_words(*utf8(part.column(0)), NOT_ALNUM)
+                _, _, h, first = _words(part.column(0))
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 pair = np.unique((doc << TERM_BITS) | _terms(h))
                 count += np.bincount(pair & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
@@ -76,7 +84,7 @@ def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.nda
         total = np.zeros((1 << TERM_BITS, rank), np.float32)
         for batch in batches:
             for part in slices(batch):
-                _, _, h, first = ascii_words(*utf8(part.column(0)), NOT_ALNUM)
+                _, _, h, first = _words(part.column(0))
                 term, n = _terms(h), np.diff(first)
                 if not len(term):
                     continue
@@ -100,38 +108,41 @@ def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.nda
                 t = t[order]
                 lead = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
                 total[t[lead]] += np.add.reduceat(back[order], lead, axis=0)
-        parts = [(b, total[b:b + BLOCK_TERMS].tobytes()) for b in range(0, 1 << TERM_BITS, BLOCK_TERMS)
-                 if total[b:b + BLOCK_TERMS].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.binary())],
-                                         ["block", "part"])
+        held_terms = np.flatnonzero(total.any(axis=1))
+        block = held_terms // BLOCK_TERMS
+        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else block
+        parts = [(int(block[i]), held_terms[i:j].astype(np.int32).tobytes(), total[held_terms[i:j]].tobytes())
+                 for i, j in zip(edges, [*edges[1:], len(block)], strict=False)]
+        yield _block_rows(parts)
 
     def add(batches):
         last, total = None, None
         for batch in batches:
-            for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                value = np.frombuffer(part, np.float32).astype(np.float64)
+            for block, terms, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if block != last:
                     if last is not None:
-                        yield _block_row(last, total)
-                    last, total = block, value
-                else:
-                    total = total + value
+                        yield _block_rows([(last, b"", total.tobytes())])
+                    last, total = block, np.zeros((BLOCK_TERMS, rank))
+                at = np.frombuffer(terms, np.int32)
+                total[at - block * BLOCK_TERMS] += np.frombuffer(part, np.float32).reshape(len(at), rank)
         if last is not None:
-            yield _block_row(last, total)
+            yield _block_rows([(last, b"", total.tobytes())])
 
-    sums = (passages.select("text", "weight").mapInArrow(run, "block long, part binary").repartition("block")
-            .sortWithinPartitions("block").mapInArrow(add, "block long, part binary"))
+    sums = (passages.select("text", "weight").mapInArrow(run, "block long, terms binary, part binary").repartition("block")
+            .sortWithinPartitions("block").mapInArrow(add, "block long, terms binary, part binary"))
     out = np.zeros((1 << TERM_BITS, rank))
     # one row a block of terms: 2^TERM_BITS * rank numbers in all, whatever the input
-    for block, part in sums.toArrow().to_pandas().itertuples(index=False):
-        value = np.frombuffer(part, np.float64).reshape(-1, rank)
-        out[block:block + len(value)] = value
+    table = sums.toArrow()
+    for block, part in zip(table.column("block").to_pylist(), table.column("part").to_pylist(), strict=True):
+        out[block * BLOCK_TERMS:(block + 1) * BLOCK_TERMS] = np.frombuffer(part, np.float64).reshape(BLOCK_TERMS, rank)
     held.unpersist()
     return out
 
 
-def _block_row(block: int, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([total.tobytes()], pa.binary())], ["block", "part"])
+def _block_rows(rows) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                                      ["block", "terms", "part"])
 
 
 def latent_space(docs: DataFrame, items: DataFrame, rank: int = RANK, power_steps: int = POWER_STEPS,
@@ -148,7 +159,7 @@ def latent_space(docs: DataFrame, items: DataFrame, rank: int = RANK, power_step
     # at most fit_documents ids: bounded
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text", F.lit(1.0).alias("weight"))
     n_items = max(1, items.count())
-    passages = materialise(sample.unionByName(items.select("text", F.lit(max(1.0, 4.0 * fit_documents / n_items)).alias("weight"))), "passages")
+    passages = materialise(sample.unionByName(items.select("text", F.lit(max(1.0, 4.0 * fit_documents / n_items)).alias("weight"))).coalesce(FIT_TASKS), "passages")
     x = np.random.default_rng(5).standard_normal((1 << TERM_BITS, rank))
     for _ in range(1 + power_steps):
         product = _gram_product(passages, idf, x)
@@ -185,7 +196,7 @@ class Items:
     """Benchmark items of a block: words, answers, and latent vectors of their passages."""
 
     def __init__(self, rows, vectors: np.ndarray):
-        self.ids, self.words, self.answers = [], [], []
+        self.ids, self.words, self.sorted, self.answers = [], [], [], []
         passages: dict[int, list] = {}
         for item_id, text in rows:
             h = self._hashes(text or "")
@@ -196,6 +207,7 @@ class Items:
             number = len(self.ids)
             self.ids.append(item_id)
             self.words.append(h.tolist())
+            self.sorted.append(np.unique(h))
             self.answers.append(answer.tolist())
             parts = -(-len(h) // PASSAGE_WORDS)
             for p in np.array_split(h, parts):
@@ -207,14 +219,17 @@ class Items:
 
     @staticmethod
     def _hashes(text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        return ascii_words(raw, np.array([0, len(raw)]), NOT_ALNUM)[2]
+        return _words(pa.array([text], pa.string()))[2]
 
     def check(self, number: int, words: np.ndarray, lo: int, hi: int):
         """(lcs share, answer share) if the item stands in or about words[lo:hi), else None."""
         item = self.words[number]
         m = len(item)
-        around = words[max(0, lo - m):hi + m].tolist()
+        near = words[max(0, lo - m):hi + m]
+        known = self.sorted[number]
+        if (known[np.minimum(np.searchsorted(known, near), len(known) - 1)] == near).sum() < LIKELY_SHARE * m:
+            return None
+        around = near.tolist()
         if m < SHORT_WORDS:
             whole = any(around[i:i + m] == item for i in range(len(around) - m + 1))
             return (1.0, 1.0) if whole else None
@@ -241,7 +256,7 @@ def _search(docs: DataFrame, items: Items, vectors: np.ndarray, least: float) ->
         items_, vectors_ = held.value
         for batch in batches:
             for part in slices(batch):
-                _, _, h, first = ascii_words(*utf8(part.column(1)), NOT_ALNUM)
+                _, _, h, first = _words(part.column(1))
                 rows = []
                 if len(h) and items_.classes:
                     prefix = np.zeros((len(h) + 1, vectors_.shape[1]))
