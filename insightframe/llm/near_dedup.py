@@ -4,8 +4,9 @@ Documents are sets of k-word shingles. Equal sets are one class first. In each o
 independent trees a class starts at the root and goes, at every node, to the children named by
 the node's chosen minhash coordinates and the class's minwise tokens there: 1 / similarity
 children on average, so a linked pair meets at any depth with a chance that falls slowly. Nodes
-at ``DEPTH`` with few classes are compared exhaustively; larger ones are branched on until they
-are small (or compared in blocks at ``MAX_DEPTH``). ``TREES`` is set for the wanted recall.
+at ``DEPTH`` with few classes are compared exhaustively. Larger ones that are one group but for
+a few classes are compared in blocks, those few with everything; the rest is branched on until
+it is small (or compared block by block at ``MAX_DEPTH``). ``TREES`` is set for the wanted recall.
 
 Links are always confirmed on the whole shingle sets. As only groups are asked for, a first
 pass compares each class with the least class of its node; afterwards only pairs that are not
@@ -28,7 +29,8 @@ SMALL_COORDINATES = 64  # one byte each, for the cheap test before whole sets ar
 TREES = 16  # miss chance of a pair at 0.8: (1 - 0.64)^16 < 1e-7, and still below 1e-4 at sketch value 0.7
 DEPTH = 3
 MAX_DEPTH = 16
-SMALL_NODE = 64
+SMALL_NODE = 512
+FEW_OTHERS = 64
 BLOCK = 256
 
 _MULT = np.random.default_rng(23).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,9 +127,9 @@ def _with_small(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _node_pairs(rows: DataFrame, per_cent: int, cells: bool) -> DataFrame:
-    """Likely pairs (a, b) within nodes: rows (node, rep, label, n, small), sorted by node, and a
-    node has at most SMALL_NODE rows. With ``cells`` a "node" is two blocks of a large one, told
-    apart by ``side`` (NULL: a block with itself)."""
+    """Likely pairs (a, b) within nodes: rows (node, rep, label, n, small) of nodes with few rows.
+    With ``cells`` a "node" is two blocks of a large one: rows of ``side`` -1 meet those of 1, and
+    where there is one side only its rows meet each other."""
 
     def pairs(held):
         rep, label, n, side = (np.array(held[c]) for c in ("rep", "label", "n", "side"))
@@ -175,6 +177,17 @@ def _pair_batch(a, b):
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
 
+def _others(rows: DataFrame) -> DataFrame:
+    """Cells for nodes (with their ``size`` and largest label ``top``) that are one group but for
+    a few rows: those few with every block of the group, and with each other."""
+    parts = F.ceil(F.col("size") / BLOCK)
+    other = F.col("label") != F.col("top")
+    part = F.explode(F.when(other, F.sequence(F.lit(-1).cast("long"), parts - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("rep"), parts))))
+    side = F.when(~other, 1).when(F.col("part") < 0, 0).otherwise(-1)
+    return rows.withColumn("part", part).select(F.xxhash64("node", "part").alias("node"), "rep", "label", "n", "small", side.alias("side"))
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """Cells of two blocks of BLOCK rows for nodes that stay large: every pair of blocks once."""
     counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
@@ -264,11 +277,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILAR
 
     rows, found, level = labelled(shared.select("node", "rep").distinct()), [], depth
     while True:
-        kinds = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-                 .where("lo != hi").select("node", "size"))
-        mixed = materialise(rows.join(kinds, "node").select("node", "rep", "label", "size"), "mixed")
-        found.append(_node_pairs(_with_small(mixed.where(F.col("size") <= small_node), classes), per_cent, False))
-        large = mixed.where(F.col("size") > small_node).drop("size")
+        kinds = (rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("node")
+                 .agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("most"))
+                 .where("size > most.k").select("node", "size", "most.k", F.col("most.label").alias("top")))
+        mixed = materialise(rows.join(kinds, "node").select("node", "rep", "label", "size", "k", "top"), "mixed")
+        small = F.col("size") <= small_node
+        few = F.col("size") - F.col("k") <= FEW_OTHERS
+        found.append(_node_pairs(_with_small(mixed.where(small), classes), per_cent, False))
+        found.append(_node_pairs(_others(_with_small(mixed.where(~small & few), classes)), per_cent, True))
+        large = mixed.where(~small & ~few).select("node", "rep", "label")
         if large.isEmpty():
             break
         if level >= max_depth:
