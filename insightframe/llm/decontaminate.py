@@ -249,44 +249,63 @@ class Items:
         return None
 
 
+def _hits(texts: pa.Array, items: Items, vectors: np.ndarray, least: float) -> list[tuple]:
+    """(row, item_id, cosine, lcs share, answer share, first word) of every text and item found."""
+    _, _, h, first = _words(texts)
+    rows: list[tuple] = []
+    if not len(h) or not items.classes:
+        return rows
+    prefix = np.zeros((len(h) + 1, vectors.shape[1]))
+    np.cumsum(vectors[_terms(h)], axis=0, out=prefix[1:], dtype=np.float64)
+    found: dict = {}
+    for size, (numbers, z) in items.classes.items():
+        doc, lo, hi = windows(first, size)
+        for a in range(0, len(lo), 1 << 14):
+            x = (prefix[hi[a:a + (1 << 14)]] - prefix[lo[a:a + (1 << 14)]]).astype(np.float32)
+            x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+            cosine = x @ z.T
+            for i, j in zip(*np.nonzero(cosine >= least), strict=True):
+                key = (int(doc[a + i]), int(numbers[j]))
+                found.setdefault(key, []).append((float(cosine[i, j]), int(lo[a + i]), int(hi[a + i])))
+    for (d, number), spots in found.items():
+        words = h[first[d]:first[d + 1]]
+        for cosine_, lo_, hi_ in sorted(spots, reverse=True):
+            ok = items.check(number, words, lo_ - int(first[d]), hi_ - int(first[d]))
+            if ok:
+                rows.append((d, items.ids[number], cosine_, *ok, lo_ - int(first[d])))
+                break
+    return rows
+
+
 def _search(docs: DataFrame, items: Items, vectors: np.ndarray, least: float) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((items, vectors))
 
     def run(batches):
-        items_, vectors_ = held.value
         for batch in batches:
             for part in slices(batch):
-                _, _, h, first = _words(part.column(1))
-                rows = []
-                if len(h) and items_.classes:
-                    prefix = np.zeros((len(h) + 1, vectors_.shape[1]))
-                    np.cumsum(vectors_[_terms(h)], axis=0, out=prefix[1:], dtype=np.float64)
-                    found: dict = {}
-                    for size, (numbers, z) in items_.classes.items():
-                        doc, lo, hi = windows(first, size)
-                        for a in range(0, len(lo), 1 << 14):
-                            x = (prefix[hi[a:a + (1 << 14)]] - prefix[lo[a:a + (1 << 14)]]).astype(np.float32)
-                            x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-                            cosine = x @ z.T
-                            for i, j in zip(*np.nonzero(cosine >= least), strict=True):
-                                key = (int(doc[a + i]), int(numbers[j]))
-                                found.setdefault(key, []).append((float(cosine[i, j]), int(lo[a + i]), int(hi[a + i])))
-                    for (d, number), spots in found.items():
-                        words = h[first[d]:first[d + 1]]
-                        for cosine_, lo_, hi_ in sorted(spots, reverse=True):
-                            ok = items_.check(number, words, lo_ - first[d], hi_ - first[d])
-                            if ok:
-                                rows.append((d, items_.ids[number], cosine_, *ok, lo_ - int(first[d])))
-                                break
-                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                cols = list(zip(*_hits(part.column(1), *held.value, least), strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(cols[0], pa.int64())).cast(pa.int64()), pa.array(cols[1], pa.int64()),
-                     *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array([int(x) for x in cols[5]], pa.int64())],
+                     *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int64())],
                     ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word"])
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT_DDL)
 
 
+def _without(docs: DataFrame, items: Items, vectors: np.ndarray, least: float) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast((items, vectors))
+    at = docs.schema.fieldNames().index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                keep = np.ones(part.num_rows, bool)
+                keep[[r[0] for r in _hits(part.column(at), *held.value, least)]] = False
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, end) of windows of ``size`` words, a quarter apart; each document's last
     window ends with it, and a shorter document is one window."""
@@ -299,6 +318,17 @@ def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return doc, first[doc] + start, first[doc] + np.minimum(start + size, n[doc])
 
 
+def _item_blocks(docs: DataFrame, benchmark: DataFrame, item_block: int, **options):
+    """Blocks of about ``item_block`` items with the term vectors: a pass over the documents each."""
+    items = benchmark.select("item_id", "text").where("item_id is not null and octet_length(text) > 0").distinct()
+    vectors, _ = latent_space(docs, items, **options)
+    blocks = max(1, -(-items.count() // item_block))
+    numbered = items.withColumn("item_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for b in range(blocks):
+        rows = numbered.where(F.col("item_block") == b).orderBy("item_id", "text").toLocalIterator()
+        yield Items([(r["item_id"], r["text"]) for r in rows], vectors), vectors
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_cosine: float = LEAST_COSINE, item_block: int = ITEM_BLOCK,
                  **options) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share, first_word): items found in documents.
@@ -310,20 +340,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cosine: float = LE
     give one row, items with equal text one row each; an empty table gives an empty result.
     Other columns are ignored.
     """
-    items = benchmark.select("item_id", "text").where("item_id is not null and octet_length(text) > 0").distinct()
-    vectors, _ = latent_space(docs, items, **options)
-    blocks = max(1, -(-items.count() // item_block))
-    numbered = items.withColumn("item_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     out = None
-    for b in range(blocks):  # about item_block items at once; a pass over the documents for each block
-        rows = [(r["item_id"], r["text"]) for r in numbered.where(F.col("item_block") == b).orderBy("item_id", "text").toLocalIterator()]
-        found = _search(docs, Items(rows, vectors), vectors, least_cosine)
+    for items, vectors in _item_blocks(docs, benchmark, item_block, **options):
+        found = _search(docs, items, vectors, least_cosine)
         out = found if out is None else out.unionByName(found)
     return (out.groupBy("doc_id", "item_id").agg(F.max(F.struct("cosine", "lcs_share", "answer_share", "first_word")).alias("x"))
             .select("doc_id", "item_id", "x.*"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least_cosine: float = LEAST_COSINE, item_block: int = ITEM_BLOCK,
+               **options) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, with all their columns; no shuffle of texts."""
+    out = docs
+    for items, vectors in _item_blocks(docs, benchmark, item_block, **options):
+        out = _without(out, items, vectors, least_cosine)
+    return out

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, shingle_sets, slices, utf8
@@ -312,6 +312,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILAR
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns, one row per kept doc_id and group."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The kept rows of ``docs`` with all their columns: one row of each group, the one with the
+    least doc_id (of rows that repeat it, the one with the least checksum). Rows without shingles
+    or without doc_id stay, but for repeated rows of one doc_id.
+    """
+    kept = near_duplicates(docs.where("doc_id is not null"), **options).where("kept").select(F.col("doc_id").alias("llm_kept_id")).distinct()
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    named = (docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("llm_kept_id"), "left_semi")
+             .withColumn("llm_place", place).where("llm_place = 1").drop("llm_place"))
+    return named.unionByName(docs.where("doc_id is null"))
