@@ -146,3 +146,8 @@ def pct_text(x: Column, places: int = 2) -> Column:
 
 def signed_pct_text(x: Column, places: int = 1) -> Column:
     return F.concat(fixed(x * 100, places, sign=True), F.lit("%"))
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"

@@ -1,25 +1,24 @@
-"""Gaussian naive Bayes in SQL form and exact k-nearest-neighbour vote (ML11, ML12).
+"""Gaussian naive Bayes in SQL form and exact k-nearest neighbours (ML11, ML12).
 
 Naive Bayes: per-class means/variances are one grouped aggregate (one row per class x
 feature, bounded by the number of classes), broadcast to score rows with built-in math.
 
-k-NN: the analysed behaviour refuses k-NN above 20,000 training rows. Within that bound the
-reference set is small by contract, so each partition of query rows is co-grouped with the
-(bounded) reference set and the k nearest are found with numpy inside the task; only k
-candidates per query row leave the task. No pair table is ever materialised.
+k-NN: query rows are cut into batches and reference rows into blocks of fixed size; every batch
+meets every block in a task of its own, which keeps the k nearest of the block; the k nearest
+overall come from those. Exact for reference sets of any size, with bounded tasks.
 """
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .models import SLOW_ROW_LIMIT
-
 VAR_SMOOTHING = 1e-9
-QUERY_CHUNK = 50_000
+BATCH_ROWS = 2_048   # query rows of a task
+BLOCK_ROWS = 8_192   # reference rows of a task
 
 
 def gaussian_nb_fit(train: DataFrame, features: list[str], label: str = "label") -> DataFrame:
@@ -48,55 +47,91 @@ def gaussian_nb_predict(test: DataFrame, model: DataFrame, key: list[str], featu
         .select(*key, F.col(label).alias("pred"), "logpost")
 
 
-def knn_vote(query: DataFrame, reference: DataFrame, key: str, vec: str, label: str, k: int = 5,
-             n_groups: int | None = None) -> DataFrame:
-    """Exact k-NN majority vote (Euclidean) of ``reference`` labels for every query row.
-
-    Output (key, pred, votes). Ties in distance go to the smaller reference key; ties in the
-    vote go to the smaller label. The reference set must hold at most 20,000 rows (the
-    technique's row limit), which bounds what each task holds.
-    """
-    n_ref = reference.count()
-    if n_ref > SLOW_ROW_LIMIT:
-        raise ValueError(f"k-NN reference set has {n_ref:,} rows; the limit is {SLOW_ROW_LIMIT:,}")
+def nearest(query: DataFrame, reference: DataFrame, k: int = 5, batch_rows: int = BATCH_ROWS,
+            block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(qkey, rkey, rlabel, rank, dist): the k rows of ``reference`` (rkey, rvec, rlabel) nearest to
+    every row of ``query`` (qkey, qvec), Euclidean; ties go to the smaller rkey. Keys are longs,
+    labels doubles, vectors arrays of doubles of one length."""
+    batches = max(1, -(-query.count() // batch_rows))
+    blocks = max(1, -(-reference.count() // block_rows))
     spark = query.sparkSession
-    # enough groups that each task holds at most ~QUERY_CHUNK query rows
-    g = n_groups or max(spark.sparkContext.defaultParallelism, -(-query.count() // QUERY_CHUNK))
-    q = query.select(F.col(key).alias("qkey"), F.col(vec).alias("qvec")) \
-        .withColumn("_g", F.pmod(F.xxhash64("qkey"), F.lit(g)))
-    # the bounded reference set is replicated once per query group (g copies)
-    r = reference.select(F.col(key).alias("rkey"), F.col(vec).alias("rvec"), F.col(label).alias("rlabel")) \
-        .withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
-
-    def top_k(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
+    cells = spark.range(batches).select(F.col("id").alias("batch"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    q = query.withColumn("batch", F.pmod(F.xxhash64("qkey"), F.lit(batches))).join(cells, "batch")
+    r = reference.withColumn("block", F.pmod(F.xxhash64("rkey"), F.lit(blocks))).join(cells, "block")
+
+    def cell(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or rdf.empty:
-            return pd.DataFrame({"qkey": pd.Series([], dtype="int64"), "rkey": pd.Series([], dtype="int64"),
-                                 "rlabel": pd.Series([], dtype="int64"), "rank": pd.Series([], dtype="int32"),
-                                 "dist": pd.Series([], dtype="float64")})
+            return pd.DataFrame({"qkey": np.zeros(0, np.int64), "rkey": np.zeros(0, np.int64),
+                                 "rlabel": np.zeros(0), "dist": np.zeros(0)})
         rdf = rdf.sort_values("rkey", kind="stable")
-        R = np.vstack(rdf["rvec"].to_numpy()).astype(np.float64)
-        Q = np.vstack(qdf["qvec"].to_numpy()).astype(np.float64)
-        d2 = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * Q @ R.T
-        kk = min(k, R.shape[0])
-        wide = min(R.shape[0], kk + 16)
-        # shortlist with the fast expansion, then rank the shortlist by exact distance
-        short = np.argpartition(d2, wide - 1, axis=1)[:, :wide] if wide < R.shape[0] else \
-            np.tile(np.arange(R.shape[0]), (Q.shape[0], 1))
-        rows = []
-        qk = qdf["qkey"].to_numpy()
-        rk, rl = rdf["rkey"].to_numpy(), rdf["rlabel"].to_numpy()
-        for i in range(Q.shape[0]):
-            cand = short[i]
-            exact = np.sqrt(((R[cand] - Q[i]) ** 2).sum(1))
-            order = np.lexsort((rk[cand], exact))[:kk]
-            for j, o in enumerate(order):
-                c = cand[o]
-                rows.append((int(qk[i]), int(rk[c]), int(rl[c]), j, float(exact[o])))
-        return pd.DataFrame(rows, columns=["qkey", "rkey", "rlabel", "rank", "dist"])
-
-    nn = q.groupBy("_g").cogroup(r.groupBy("_g")).applyInPandas(
-        top_k, "qkey long, rkey long, rlabel long, rank int, dist double")
-    votes = nn.groupBy("qkey", "rlabel").agg(F.count(F.lit(1)).alias("votes"))
+        ref, ask = (np.vstack(d[c].to_numpy()).astype(np.float64) for d, c in ((rdf, "rvec"), (qdf, "qvec")))
+        take = min(k, len(ref))
+        wide = min(len(ref), take + 16)
+        picked, found = [], []
+        for lo in range(0, len(ask), 256):  # bounds the distance matrix
+            part = ask[lo:lo + 256]
+            d2 = (part * part).sum(1)[:, None] + (ref * ref).sum(1)[None, :] - 2.0 * part @ ref.T
+            # shortlist with the fast expansion, then rank the shortlist by exact distance
+            near = np.sort(np.argpartition(d2, wide - 1, axis=1)[:, :wide], axis=1)
+            exact = np.sqrt(((ref[near] - part[:, None, :]) ** 2).sum(2))
+            order = np.argsort(exact, axis=1, kind="stable")[:, :take]
+            picked.append(np.take_along_axis(near, order, 1))
+            found.append(np.take_along_axis(exact, order, 1))
+        at = np.concatenate(picked).ravel()
+        return pd.DataFrame({"qkey": np.repeat(qdf["qkey"].to_numpy(), take), "rkey": rdf["rkey"].to_numpy()[at],
+                             "rlabel": rdf["rlabel"].to_numpy(dtype=float)[at], "dist": np.concatenate(found).ravel()})
+
+    met = q.groupBy("batch", "block").cogroup(r.groupBy("batch", "block")).applyInPandas(
+        cell, "qkey long, rkey long, rlabel double, dist double")
+    w = Window.partitionBy("qkey").orderBy("dist", "rkey")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _sides(query: DataFrame, reference: DataFrame, key: str, vec: str, label: str):
+    return (query.select(F.col(key).cast("long").alias("qkey"), F.col(vec).cast("array<double>").alias("qvec")),
+            reference.select(F.col(key).cast("long").alias("rkey"), F.col(vec).cast("array<double>").alias("rvec"),
+                             F.col(label).cast("double").alias("rlabel")))
+
+
+def knn_vote(query: DataFrame, reference: DataFrame, key: str, vec: str, label: str, k: int = 5, **sizes) -> DataFrame:
+    """Exact k-NN majority vote of ``reference`` labels for every query row: (key, pred, votes).
+    Ties in distance go to the smaller reference key, ties in the vote to the smaller label."""
+    votes = nearest(*_sides(query, reference, key, vec, label), k, **sizes).groupBy("qkey", "rlabel").agg(
+        F.count(F.lit(1)).alias("votes"))
     w = Window.partitionBy("qkey").orderBy(F.desc("votes"), F.asc("rlabel"))
     return votes.withColumn("_r", F.row_number().over(w)).where("_r = 1") \
-        .select(F.col("qkey").alias(key), F.col("rlabel").alias("pred"), "votes")
+        .select(F.col("qkey").alias(key), F.col("rlabel").cast("long").alias("pred"), "votes")
+
+
+def knn_regress(query: DataFrame, reference: DataFrame, key: str, vec: str, label: str, k: int = 5, **sizes) -> DataFrame:
+    """Exact k-NN mean of ``reference`` labels for every query row: (key, pred)."""
+    return nearest(*_sides(query, reference, key, vec, label), k, **sizes).groupBy(F.col("qkey").alias(key)).agg(
+        F.avg("rlabel").alias("pred"))
+
+
+class NearestNeighbors:
+    """k-NN as an estimator over (features, label) rows."""
+
+    def __init__(self, k: int, label: str):
+        self.k, self.label = k, label
+
+    def fit(self, train: DataFrame) -> NearestNeighborsModel:
+        return NearestNeighborsModel(self.k, train.select(
+            vector_to_array("features").alias("rvec"), F.col(self.label).cast("double").alias("rlabel")))
+
+
+class NearestNeighborsModel:
+    """Scores rows by the mean label of their neighbours: a share of positives, or a mean."""
+
+    def __init__(self, k: int, reference: DataFrame):
+        # equal rows are interchangeable, so a row's key can be its content and a number among equals
+        content = F.xxhash64("rvec", "rlabel")
+        self.k, self.reference = k, reference.groupBy("rvec", "rlabel").agg(F.count(F.lit(1)).alias("n")).select(
+            F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k).cast("long")))).alias("i"), "rvec", "rlabel").select(
+            F.xxhash64(content, "i").alias("rkey"), "rvec", "rlabel")
+
+    def score(self, feat: DataFrame, out: str) -> DataFrame:
+        vec = vector_to_array("features")
+        asked = feat.select(vec.alias("qvec")).distinct().withColumn("qkey", F.xxhash64("qvec"))
+        means = nearest(asked.select("qkey", "qvec"), self.reference, self.k).groupBy("qkey").agg(F.avg("rlabel").alias(out))
+        return feat.withColumn("_if_qkey", F.xxhash64(vec)).join(means, F.col("_if_qkey") == F.col("qkey")).drop("_if_qkey", "qkey")

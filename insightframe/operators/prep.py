@@ -1,8 +1,7 @@
 """Preparation for modelling.
 
-Splits and folds are hash functions of a row key (``stable_bucket``): no shuffle, identical on
-every run and after executor loss, and the same rows fall on the same side in any engine that
-has md5. Preprocessing statistics are fitted on training rows with ONE aggregate and applied
+Splits and folds rank rows by a hash of their key inside each class: identical on every run and
+after executor loss, the same in any engine that has md5, and even to within a row. Preprocessing statistics are fitted on training rows with ONE aggregate and applied
 as a projection, so they stay inside whole-stage codegen.
 """
 from __future__ import annotations
@@ -11,29 +10,44 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.columns import stable_bucket, stable_unit
+from ..functions.columns import quoted, stable_bucket, stable_unit
+from ..functions.quantiles import exact_quantiles
 
 MIN_POSITIVES = 15
-CV_LARGE_TRAIN = 20_000
+FOLDS = 5
+RANK_ROWS = 200_000  # rows a window sorts when ranking inside a class
 
 
-EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
+def _medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact medians of the columns at any size."""
+    return {c: q[0] for c, q in exact_quantiles(df, {c: F.col(quoted(c)) for c in cols}, [0.5]).items()}
 
 
-def _medians(df: DataFrame, cols: list[str]) -> list[Column]:
-    """Median aggregates: exact where the column's distinct count is bounded (the exact
-    percentile keeps one entry per distinct value in its final merge), else approximate.
-    One HLL job decides for all columns."""
-    if not cols:
-        return []
-    d = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    out = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        out.append(F.percentile(x, 0.5) if (d[f"d{i}"] or 0) <= EXACT_MEDIAN_MAX_DISTINCT
-                   else F.percentile_approx(x, 0.5, 100000).cast("double"))
-    return out
+def class_rank(df: DataFrame, y: str | None, key: list[str], seed: int, out: str) -> DataFrame:
+    """Add ``out``: the 0-based rank of each row inside its class ``y`` (all rows where it is
+    None) by a hash of its key, and ``out_n``: the rows of the class.
+
+    Hashes are cut into equal ranges; ranges are ranked on their own and set off by the counts
+    of the ranges before, so no class is sorted in one task. Rows of equal keys take their
+    ranks in any order.
+    """
+    u = stable_unit([F.col(quoted(c)) for c in key], seed)
+    ranges = max(1, -(-df.count() // RANK_ROWS))
+    work = df.withColumn("_if_class", F.col(quoted(y)).cast("string") if y else F.lit("")).withColumn("_if_u", u) \
+        .withColumn("_if_range", F.floor(F.col("_if_u") * ranges).cast("long"))
+    counts = work.groupBy("_if_class", "_if_range").agg(F.count(F.lit(1)).alias("_if_k"))
+    before = Window.partitionBy("_if_class").orderBy("_if_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col("_if_class").alias("_if_c"), F.col("_if_range").alias("_if_r"),
+        F.coalesce(F.sum("_if_k").over(before), F.lit(0)).alias("_if_before"),
+        F.sum("_if_k").over(Window.partitionBy("_if_class")).alias(f"{out}_n"))
+    within = Window.partitionBy("_if_class", "_if_range").orderBy("_if_u", *[F.col(quoted(c)) for c in key])
+    return (work.withColumn("_if_place", F.row_number().over(within) - 1)
+            .join(offsets, F.col("_if_class").eqNullSafe(F.col("_if_c")) & (F.col("_if_range") == F.col("_if_r")))
+            .withColumn(out, F.col("_if_before") + F.col("_if_place"))
+            .drop("_if_class", "_if_u", "_if_range", "_if_c", "_if_r", "_if_before", "_if_place"))
 
 
 def has_enough_positives(df: DataFrame, y: str = "y", minimum: int = MIN_POSITIVES) -> bool:
@@ -41,34 +55,33 @@ def has_enough_positives(df: DataFrame, y: str = "y", minimum: int = MIN_POSITIV
     return (df.agg(F.coalesce(F.sum(y), F.lit(0))).first()[0] or 0) >= minimum
 
 
-def stratified_sample(df: DataFrame, y: str, key: list[str], max_rows: int, n_rows: int,
-                      seed: int = 42) -> DataFrame:
-    """M3: prevalence-preserving down-sample to about ``max_rows`` rows (optional on Spark).
+def stratified_sample(df: DataFrame, y: str, key: list[str], max_rows: int, seed: int = 42) -> DataFrame:
+    """M3: about ``max_rows`` rows (all, if fewer), the same share of every class to within a row:
+    the first of each class by a hash of the key."""
+    share = max_rows / max(1, df.count())
+    ranked = class_rank(df, y, key, seed, "_if_rank")
+    return ranked.where(F.col("_if_rank") < F.round(F.col("_if_rank_n") * F.lit(min(1.0, share)))).drop("_if_rank", "_if_rank_n")
 
-    Every class keeps the same fraction; a row is kept when its key hash falls below it, so
-    the choice is deterministic and needs no shuffle.
-    """
-    if n_rows <= max_rows:
-        return df
-    frac = max_rows / n_rows
-    return df.where(stable_unit(key, seed) < F.lit(frac))
 
-
-def split_column(key: list[str], test_frac: float = 0.2, seed: int = 42) -> Column:
-    """M4: 'test' for ~test_frac of rows by key hash, else 'train'. Within every class the
-    expected test share is test_frac (hash-stratified)."""
-    return F.when(stable_bucket(key, 100, seed) < int(round(test_frac * 100)), F.lit("test")) \
-        .otherwise(F.lit("train"))
+def stratified_split(df: DataFrame, y: str | None, key: list[str], test_frac: float = 0.2, seed: int = 42,
+                     out: str = "split") -> DataFrame:
+    """M4: 'test' for round(test_frac * n) rows of every class, the first by a hash of the key."""
+    ranked = class_rank(df, y, key, seed, "_if_rank")
+    test = F.col("_if_rank") < F.round(F.col("_if_rank_n") * F.lit(test_frac))
+    return ranked.withColumn(out, F.when(test, "test").otherwise("train")).drop("_if_rank", "_if_rank_n")
 
 
-def n_folds_for(n_train: int) -> int:
-    """M5: 3 folds above 20,000 training rows, else 5."""
-    return 3 if n_train > CV_LARGE_TRAIN else 5
+def stratified_folds(df: DataFrame, y: str | None, key: list[str], k: int = FOLDS, seed: int = 43,
+                     out: str = "fold") -> DataFrame:
+    """M5: fold in [0, k); rows of a class are dealt in turn, so its counts differ by one at most."""
+    ranked = class_rank(df, y, key, seed, "_if_rank")
+    return ranked.withColumn(out, (F.col("_if_rank") % k).cast("int")).drop("_if_rank", "_if_rank_n")
 
 
-def fold_column(key: list[str], k: int, seed: int = 43) -> Column:
-    """M5: fold id in [0, k) from an independent key hash."""
-    return stable_bucket(key, k, seed).cast("int")
+def split_column(key: list[str], test_frac: float = 0.2, seed: int = 42) -> Column:
+    """A plain split by key hash: 'test' for about ``test_frac`` of the rows; no shuffle, no classes."""
+    return F.when(stable_bucket(key, 100, seed) < int(round(test_frac * 100)), F.lit("test")) \
+        .otherwise(F.lit("train"))
 
 
 def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
@@ -101,59 +114,57 @@ class Preprocessor:
             names += [f"cat__{c}={v}" for v in self.categories.get(c, [])]
         return names
 
-    def transform_columns(self) -> list[Column]:
+    def transform_columns(self, numbered: bool = False) -> list[Column]:
+        """One column per feature; ``numbered`` names them f0, f1, ... in that order, so that no
+        character of a column name or a category reaches a feature's name."""
         out = []
         for c in self.numeric:
-            x = F.coalesce(F.col(c).cast("double"), F.lit(self.medians.get(c)))
+            x = F.coalesce(F.col(quoted(c)).cast("double"), F.lit(self.medians.get(c)))
             sd = self.stds.get(c) or 1.0  # zero variance -> unit scale
-            out.append(((x - F.lit(self.means.get(c, 0.0))) / F.lit(sd)).alias(f"num__{c}"))
+            out.append((x - F.lit(self.means.get(c, 0.0))) / F.lit(sd))
         for c in self.categorical:
-            v = F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c)))
-            for cat in self.categories.get(c, []):
-                out.append((v == F.lit(cat)).cast("double").alias(f"cat__{c}={cat}"))
-        return out
+            v = F.coalesce(F.col(quoted(c)).cast("string"), F.lit(self.modes.get(c)))
+            out += [(v == F.lit(cat)).cast("double") for cat in self.categories.get(c, [])]
+        names = [f"f{i}" for i in range(len(out))] if numbered else self.feature_names()
+        return [x.alias(n) for x, n in zip(out, names, strict=True)]
 
-    def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
+    def transform(self, df: DataFrame, keep: list[str], numbered: bool = False) -> DataFrame:
         """Keep ``keep`` columns and add the prepared feature columns (unseen category -> 0s)."""
-        return df.select(*keep, *self.transform_columns())
+        return df.select(*[F.col(quoted(c)) for c in keep], *self.transform_columns(numbered))
 
 
-def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str],
-                     max_categories: int = 50) -> Preprocessor:
+def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessor:
     """M6-M9 fitted on ``train`` only.
 
     Numeric: exact median (for the imputer) + mean and population std of the imputed column.
     Categorical: most frequent value (ties -> smallest) and the sorted category list.
-    Two small jobs: one wide aggregate, one partial-aggregated value count per categorical
-    column (categories are capped by the feature-eligibility rule, <= 50 distinct).
+    Every category of a column given here becomes a feature. Which columns are given is the
+    feature-eligibility rule's choice; the list of features is the model's own size.
     """
     p = Preprocessor(numeric, categorical)
     if numeric:
-        row = train.agg(*[m.alias(f"m{i}") for i, m in enumerate(_medians(train, numeric))]).first()
-        p.medians = {c: row[f"m{i}"] for i, c in enumerate(numeric)}
-        imputed = [F.coalesce(F.col(c).cast("double"), F.lit(p.medians[c])) for c in numeric]
+        p.medians = _medians(train, numeric)
+        imputed = [F.coalesce(F.col(quoted(c)).cast("double"), F.lit(p.medians[c])) for c in numeric]
         row = train.agg(*[F.avg(x).alias(f"a{i}") for i, x in enumerate(imputed)],
                         *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(imputed)]).first()
         p.means = {c: row[f"a{i}"] for i, c in enumerate(numeric)}
         p.stds = {c: row[f"s{i}"] for i, c in enumerate(numeric)}
     if categorical:
-        wide = train.select(*[F.col(c).cast("string").alias(c) for c in categorical])
-        vc = (wide.unpivot([], categorical, "col_name", "value").where(F.col("value").isNotNull())
+        wide = train.select(*[F.col(quoted(c)).cast("string").alias(f"c{i}") for i, c in enumerate(categorical)])
+        vc = (wide.unpivot([], [f"c{i}" for i in range(len(categorical))], "col_name", "value").where(F.col("value").isNotNull())
               .groupBy("col_name", "value").agg(F.count(F.lit(1)).alias("n")))
         per = vc.groupBy("col_name").agg(
             F.sort_array(F.collect_list("value")).alias("cats"),
             F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")).collect()
         for r in per:
-            p.modes[r.col_name] = r.mode
-            p.categories[r.col_name] = list(r.cats)[:max_categories]
+            c = categorical[int(r.col_name[1:])]
+            p.modes[c], p.categories[c] = r.mode, list(r.cats)
     return p
 
 
 def median_table(train: DataFrame, cols: list[str]) -> DataFrame:
     """M6 as a table: (col_name, median) with linear interpolation."""
-    wide = train.agg(*[m.alias(c) for m, c in zip(_medians(train, cols), cols)])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).alias("median"))
-                                           for c in cols])).alias("s")).select("s.*")
+    return train.sparkSession.createDataFrame(list(_medians(train, cols).items()), "col_name string, median double")
 
 
 def mode_table(train: DataFrame, cols: list[str]) -> DataFrame:

@@ -1,11 +1,9 @@
 """Column profiling.
 
 Pass 1 is one wide aggregate: row count, per-column non-NULL count and HLL distinct count.
-Exact distinct counts come from the value-count cube (unpivot to (column, value) + a
-partial-aggregated group-by), restricted to the columns whose decision needs exactness.
-Quartiles are exact (``percentile``) when a column's distinct count is bounded, since the
-final merge of an exact percentile keeps one entry per distinct value; above the bound they
-fall back to ``approx_percentile``. The outlier share is a second single-row aggregate that
+Exact distinct counts come from one shuffle of fixed-width digests per distinct (column, value)
+pair. Quartiles are exact at any size (``functions.quantiles``).
+The outlier share is a second single-row aggregate that
 reads its fences from a scalar subquery (no join).
 """
 from __future__ import annotations
@@ -17,10 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (HIGH_MISSING_SHARE, OUTLIER_IQR_MULT, OUTLIER_MIN_NONNULL,
-                                 OUTLIER_SHARE, safe_div)
-
-EXACT_QUANTILE_MAX_DISTINCT = 1_000_000
-EXACT_DISTINCT_MAX = 1_000_000
+                                 OUTLIER_SHARE, quoted, safe_div)
+from ..functions.quantiles import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -59,8 +55,8 @@ def basic_stats(df: DataFrame) -> DataFrame:
     kinds = column_kinds(df)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for k in kinds:
-        aggs += [F.count(F.col(k.name)).alias(f"nn_{k.ord}"),
-                 F.approx_count_distinct(F.col(k.name)).alias(f"hll_{k.ord}")]
+        aggs += [F.count(F.col(quoted(k.name))).alias(f"nn_{k.ord}"),
+                 F.approx_count_distinct(F.col(quoted(k.name))).alias(f"hll_{k.ord}")]
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(k.name).alias("col_name"), F.lit(k.ord).alias("col_ord"),
                      F.lit(k.dtype).alias("dtype"), F.col("__n").alias("n_rows"),
@@ -73,20 +69,23 @@ def basic_stats(df: DataFrame) -> DataFrame:
 
 
 def exact_distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """C3 exact: (col_name, n_unique) via the value-count cube, NULLs excluded.
+    """C3 exact: (col_name, n_unique), NULLs excluded.
 
-    One shuffle of distinct (column, value) pairs; low-cardinality columns collapse map-side.
+    Every value goes as a column number and a 128-bit digest, so the one shuffle carries 24 bytes
+    per distinct (column, value) pair however wide the values are, and values that repeat
+    within a task are combined before it.
     """
     cols = cols if cols is not None else df.columns
     if not cols:
         return df.sparkSession.createDataFrame([], "col_name string, n_unique bigint")
-    wide = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    long = wide.unpivot([], cols, "col_name", "value").where(F.col("value").isNotNull())
-    distinct_pairs = long.select("col_name", "value").distinct()
-    counted = distinct_pairs.groupBy("col_name").agg(F.count(F.lit(1)).alias("n_unique"))
+    pairs = F.array(*[F.when(F.col(quoted(c)).isNotNull(), F.struct(
+        F.lit(i).alias("i"), F.xxhash64(F.lit(1), F.col(quoted(c))).alias("h"), F.xxhash64(F.lit(2), F.col(quoted(c))).alias("g")))
+        for i, c in enumerate(cols)])
+    distinct = df.select(F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("p")).select("p.*").distinct()
+    counted = distinct.groupBy("i").agg(F.count(F.lit(1)).alias("n_unique"))
     # columns with no non-NULL value still need a row
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "col_name string")
-    return names.join(counted, "col_name", "left") \
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, col_name string")
+    return names.join(counted, "i", "left") \
         .select("col_name", F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique"))
 
 
@@ -103,33 +102,11 @@ def quantile_columns(df: DataFrame) -> list[str]:
     return [k.name for k in column_kinds(df) if k.numeric and not k.boolean]
 
 
-def quartiles(df: DataFrame, cols: list[str], method: str = "exact",
-              accuracy: int = 10000) -> DataFrame:
-    """(col_name, col_ord, q1, q3) with linear interpolation ('exact') or
-    ``approx_percentile`` ('approx'). ``method`` may also be a dict col -> method."""
-    aggs = []
-    for i, c in enumerate(cols):
-        m = method.get(c, "exact") if isinstance(method, dict) else method
-        x = F.col(c).cast("double")
-        if m == "exact":
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-        else:
-            q = F.percentile_approx(x, [0.25, 0.75], accuracy)
-        aggs.append(q.alias(f"q_{i}"))
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("col_name"), F.lit(i).alias("col_ord"),
-                     F.col(f"q_{i}")[0].cast("double").alias("q1"),
-                     F.col(f"q_{i}")[1].cast("double").alias("q3")) for i, c in enumerate(cols)]
-    return _long(wide, rows)
-
-
-def choose_quantile_method(df: DataFrame, cols: list[str],
-                           max_distinct: int = EXACT_QUANTILE_MAX_DISTINCT) -> dict[str, str]:
-    """Exact where the HLL distinct count is bounded, approximate elsewhere (one tiny job)."""
-    if not cols:
-        return {}
-    row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return {c: ("exact" if row[f"d{i}"] <= max_distinct else "approx") for i, c in enumerate(cols)}
+def quartiles(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(col_name, col_ord, q1, q3), exact with linear interpolation at any size."""
+    q = exact_quantiles(df, {c: F.col(quoted(c)) for c in cols}, [0.25, 0.75])
+    return df.sparkSession.createDataFrame([(c, i, *q[c]) for i, c in enumerate(cols)],
+                                           "col_name string, col_ord int, q1 double, q3 double")
 
 
 def outlier_shares(df: DataFrame, quarts: DataFrame) -> DataFrame:
@@ -144,7 +121,7 @@ def outlier_shares(df: DataFrame, quarts: DataFrame) -> DataFrame:
     fences = q.agg(F.map_from_entries(F.collect_list(F.struct(
         F.col("col_name"), F.struct(F.col("q1"), F.col("q3"))))).alias("m")).scalar()
     # bind the scalar once as a column so every comparison reads the same value
-    withf = df.select(fences.alias("_fences"), *[F.col(c) for c in names])
+    withf = df.select(fences.alias("_fences"), *[F.col(quoted(c)) for c in names])
     aggs = []
     qcols = names
     for i, c in enumerate(qcols):
@@ -152,7 +129,7 @@ def outlier_shares(df: DataFrame, quarts: DataFrame) -> DataFrame:
         iqr = fq["q3"] - fq["q1"]
         lo = fq["q1"] - F.lit(OUTLIER_IQR_MULT) * iqr
         hi = fq["q3"] + F.lit(OUTLIER_IQR_MULT) * iqr
-        x = F.col(c).cast("double")
+        x = F.col(quoted(c)).cast("double")
         aggs.append(F.avg(F.when((x < lo) | (x > hi), F.lit(1.0)).otherwise(F.lit(0.0)))
                     .alias(f"o_{i}"))
     wide = withf.agg(*aggs)
@@ -161,37 +138,22 @@ def outlier_shares(df: DataFrame, quarts: DataFrame) -> DataFrame:
     return q.join(long, "col_name").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def profile_columns(df: DataFrame, exact_distinct: bool | str = True,
-                    quantile_method: str | dict = "auto") -> DataFrame:
+def profile_columns(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     """One row per column with missing %, distinct count, quartiles, outlier
     share and the ordered quality-flag array (high_missing, possible_id, constant, outliers).
 
-    ``exact_distinct``: True = exact for all columns; 'auto' = exact only for columns whose
-    HLL estimate is below ``EXACT_DISTINCT_MAX`` or near the row count (id candidates);
-    False = HLL only.
+    ``exact_distinct=False`` takes the HLL estimates of the first pass for distinct counts.
     """
     kinds = {k.name: k for k in column_kinds(df)}
     stats = basic_stats(df)
-    if exact_distinct is True:
-        exact = exact_distinct_counts(df)
-    elif exact_distinct == "auto":
-        srow = stats.select("col_name", "approx_distinct", "n_rows").collect()
-        need = [r.col_name for r in srow
-                if r.approx_distinct <= EXACT_DISTINCT_MAX or r.approx_distinct >= 0.9 * r.n_rows]
-        exact = exact_distinct_counts(df, need)
-    else:
-        exact = None
-    if exact is not None:
-        prof = stats.join(exact, "col_name", "left").withColumn(
-            "n_unique", F.coalesce(F.col("n_unique"), F.col("approx_distinct")))
+    if exact_distinct:
+        prof = stats.join(exact_distinct_counts(df), "col_name", "left")
     else:
         prof = stats.withColumn("n_unique", F.col("approx_distinct"))
     qcols = quantile_columns(df)
     if qcols:
-        if quantile_method == "auto":
-            quantile_method = choose_quantile_method(df, qcols)
-        sub = df.select(*qcols)
-        out = outlier_shares(sub, quartiles(sub, qcols, quantile_method)).drop("col_ord")
+        sub = df.select(*[F.col(quoted(c)) for c in qcols])
+        out = outlier_shares(sub, quartiles(sub, qcols)).drop("col_ord")
         prof = prof.join(out, "col_name", "left")
     else:
         prof = (prof.withColumn("q1", F.lit(None).cast("double"))
@@ -250,16 +212,11 @@ def column_dictionary(profile: DataFrame, dictionary: DataFrame) -> DataFrame:
             .drop("_k", "meaning"))
 
 
-def describe_column(df: DataFrame, col: str, exact: bool | None = None) -> DataFrame:
-    """Count, mean, sample std, min, quartiles, max of one numeric column (one pass).
-    ``exact=None`` picks exact quantiles only for a bounded distinct count."""
-    if exact is None:
-        exact = choose_quantile_method(df, [col])[col] == "exact"
-    x = F.col(col).cast("double")
-    q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-         else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000))
-    a = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-               F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max"))
-    return a.select(F.lit(col).alias("col_name"), "count", "mean", "std", "min",
-                    F.col("_q")[0].cast("double").alias("p25"), F.col("_q")[1].cast("double").alias("p50"),
-                    F.col("_q")[2].cast("double").alias("p75"), "max")
+def describe_column(df: DataFrame, col: str) -> DataFrame:
+    """Count, mean, sample std, min, exact quartiles, max of one numeric column."""
+    x = F.col(quoted(col)).cast("double")
+    q = exact_quantiles(df, {col: x}, [0.25, 0.5, 0.75])[col]
+    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+                  F.max(x).alias("max")).select(
+        F.lit(col).alias("col_name"), "count", "mean", "std", "min",
+        *[F.lit(v).cast("double").alias(n) for v, n in zip(q, ("p25", "p50", "p75"), strict=True)], "max")

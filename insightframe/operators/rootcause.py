@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import MIN_GROUP, safe_div
-
-EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
+from ..functions.quantiles import exact_quantiles
 
 
 def _micros(ts: Column) -> Column:
@@ -24,17 +23,11 @@ def _micros(ts: Column) -> Column:
                       F.unix_micros(ts.cast("timestamp")))
 
 
-def median_cutoff(df: DataFrame, time_col: str, exact: bool | None = None) -> Column:
-    """Scalar Column with the median of the time column in epoch microseconds
-    (linear interpolation). ``exact=None`` decides from the HLL distinct count: the exact
-    percentile's final merge holds one entry per distinct value, so above
-    ``EXACT_MEDIAN_MAX_DISTINCT`` the approximate percentile is used."""
-    if exact is None:
-        d = df.agg(F.approx_count_distinct(time_col)).first()[0] or 0
-        exact = d <= EXACT_MEDIAN_MAX_DISTINCT
-    x = _micros(F.col(time_col)).cast("double")
-    agg = F.percentile(x, F.lit(0.5)) if exact else F.percentile_approx(x, 0.5, 100000).cast("double")
-    return df.where(F.col(time_col).isNotNull()).agg(agg.alias("cut")).scalar()
+def median_cutoff(df: DataFrame, time_col: str) -> Column:
+    """The median of the time column in epoch microseconds as a literal (linear
+    interpolation, exact at any size; NULL for a column without values)."""
+    cut = exact_quantiles(df, {"t": _micros(F.col(time_col))}, [0.5])["t"][0]
+    return F.lit(cut).cast("double")
 
 
 def with_period(df: DataFrame, time_col: str, cutoff: Column) -> DataFrame:
@@ -44,7 +37,7 @@ def with_period(df: DataFrame, time_col: str, cutoff: Column) -> DataFrame:
 
 
 def rate_mix(df: DataFrame, time_col: str, seg: str, y: str = "y",
-             min_rows: int = MIN_GROUP, exact_median: bool | None = None) -> tuple[DataFrame, DataFrame]:
+             min_rows: int = MIN_GROUP) -> tuple[DataFrame, DataFrame]:
     """Returns (summary one-row DataFrame, per-segment contributions).
 
     Δ = rate_b − rate_a over ALL rows; rate effect Σ wa(rb − ra); mix effect Σ (wb − wa) ra over
@@ -52,7 +45,7 @@ def rate_mix(df: DataFrame, time_col: str, seg: str, y: str = "y",
     non-NULL segments of each period. The summary is empty when a period has < ``min_rows``.
     """
     base = df.where(F.col(time_col).isNotNull() & F.col(y).isNotNull())
-    cut = median_cutoff(base, time_col, exact_median)
+    cut = median_cutoff(base, time_col)
     p = with_period(base, time_col, cut)
     a, b = F.col("period") == "a", F.col("period") == "b"
     # ONE conditional aggregate per segment value; the NULL segment is kept as its own group so

@@ -128,40 +128,50 @@ def q_metric_policy(spark, sf_dir):
 # ---- preparation ------------------------------------------------------------------------
 KEY = ["l_orderkey", "l_linenumber"]
 SPLIT_SQL = f"CASE WHEN {stable_bucket_sql(KEY, 100, 42)} < 20 THEN 'test' ELSE 'train' END"
+_Y = "CAST(l_returnflag = 'R' AS INTEGER)"
+
+
+def _unit_sql(seed: int) -> str:
+    return f"({stable_bucket_sql(KEY, 1000000007, seed)})::DOUBLE / 1000000007.0"
+
+
+def _ranked_sql(source: str, seed: int) -> str:
+    """Rank inside the class by the key's hash, and the size of the class."""
+    return (f"SELECT *, row_number() OVER (PARTITION BY y ORDER BY {_unit_sql(seed)}, l_orderkey, l_linenumber) - 1 AS r, "
+            f"COUNT(*) OVER (PARTITION BY y) AS n_y FROM {source}")
+
+
+_SPLIT_CTE = (f"b AS (SELECT l_orderkey, l_linenumber, {_Y} AS y FROM lineitem), "
+              f"s AS (SELECT l_orderkey, l_linenumber, y, CASE WHEN r < round(n_y * 0.2) THEN 'test' ELSE 'train' END AS split "
+              f"FROM ({_ranked_sql('b', 42)}))")
 
 
 @register("train_test_split", oracle=f"""
-SELECT {SPLIT_SQL} AS split, CAST(l_returnflag = 'R' AS INTEGER) AS y, COUNT(*) AS n FROM lineitem GROUP BY 1, 2""")
+WITH {_SPLIT_CTE} SELECT split, y, COUNT(*) AS n, CAST(SUM(l_orderkey) AS BIGINT) AS keys FROM s GROUP BY 1, 2""")
 def q_train_test_split(spark, sf_dir):
-    """M4: 80/20 split by an md5 hash of the line key; counts per (split, class)."""
-    li = bt.lineitem_events(spark, sf_dir).withColumn("split", pp.split_column(KEY))
-    return li.groupBy("split", "y").agg(F.count(F.lit(1)).alias("n"))
+    """M4: 80/20 split inside each class by the line key's hash; counts and key sums."""
+    li = pp.stratified_split(bt.lineitem_events(spark, sf_dir), "y", KEY)
+    return li.groupBy("split", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
 @register("cv_folds", oracle=f"""
-WITH t AS (SELECT *, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem WHERE {SPLIT_SQL} = 'train'),
-k AS (SELECT CASE WHEN COUNT(*) > 20000 THEN 3 ELSE 5 END AS k FROM t)
-SELECT CAST({stable_bucket_sql(KEY, 'k.k', 43).replace('% k.k', '% k.k')} AS INTEGER) AS fold, y, COUNT(*) AS n
-FROM t, k GROUP BY 1, 2""")
+WITH {_SPLIT_CTE}, t AS (SELECT l_orderkey, l_linenumber, y FROM s WHERE split = 'train')
+SELECT CAST(r % 5 AS INTEGER) AS fold, y, COUNT(*) AS n, CAST(SUM(l_orderkey) AS BIGINT) AS keys FROM ({_ranked_sql('t', 43)}) GROUP BY 1, 2""")
 def q_cv_folds(spark, sf_dir):
-    """M5: 3 or 5 folds (by training size) over the training rows; counts per (fold, class)."""
-    li = bt.lineitem_events(spark, sf_dir).withColumn("split", pp.split_column(KEY))
-    train = li.where(F.col("split") == "train")
-    k = pp.n_folds_for(train.count())
-    return train.withColumn("fold", pp.fold_column(KEY, k)).groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"))
+    """M5: 5 folds over the training rows, each class dealt in turn; counts and key sums."""
+    train = pp.stratified_split(bt.lineitem_events(spark, sf_dir), "y", KEY).where("split = 'train'")
+    return pp.stratified_folds(train, "y", KEY).groupBy("fold", "y").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
 @register("stratified_sample", oracle=f"""
-WITH c AS (SELECT COUNT(*) AS n FROM lineitem)
-SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, COUNT(*) AS n FROM lineitem, c
-WHERE (({stable_bucket_sql(KEY, 1000000007, 42)})::DOUBLE / 1000000007.0) < 20000.0 / c.n
-GROUP BY 1""")
+WITH b AS (SELECT l_orderkey, l_linenumber, {_Y} AS y FROM lineitem), c AS (SELECT COUNT(*) AS n FROM b)
+SELECT y, COUNT(*) AS n, CAST(SUM(l_orderkey) AS BIGINT) AS keys FROM ({_ranked_sql('b', 42)}), c
+WHERE r < round(n_y * least(1.0, 20000.0 / c.n)) GROUP BY 1""")
 def q_stratified_sample(spark, sf_dir):
-    """M3: prevalence-preserving sample to ~20,000 rows (sampling is this operator's job)."""
-    li = bt.lineitem_events(spark, sf_dir)
-    n = li.count()
-    s = pp.stratified_sample(li, "y", KEY, 20_000, n)
-    return s.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    """M3: prevalence-preserving sample of 20,000 rows (sampling is this operator's job)."""
+    s = pp.stratified_sample(bt.lineitem_events(spark, sf_dir), "y", KEY, 20_000)
+    return s.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
 @register("class_weights", oracle="""

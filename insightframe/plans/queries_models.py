@@ -16,23 +16,17 @@ from .registry import register
 DOC_KEY = ["doc_id"]
 DOC_NUM = ["n_chars", "quality"]
 DOC_CAT = ["lang", "source"]
-PANEL_CFG = md.ModelConfig(num_trees=200, max_depth=8, gbt_iter=30, gbt_depth=4)
-
-
-_PANELS: dict = {}
+PANEL_CFG = md.ModelConfig()
 
 
 def _doc_base(spark, sf_dir):
     return bt.labelled_documents(spark, sf_dir)
 
 
-def doc_panel(spark, sf_dir):
-    """The labelled-document panel; identical runs in one process are trained once."""
-    key = ("docs", sf_dir, id(spark))
-    if key not in _PANELS:
-        _PANELS[key] = md.train_panel(_doc_base(spark, sf_dir), "toxic", DOC_KEY, DOC_NUM, DOC_CAT,
-                                      "binary_classification", PANEL_CFG)
-    return _PANELS[key]
+def doc_panel(spark, sf_dir, candidates=None):
+    """The labelled-document panel, or the named members of it."""
+    return md.train_panel(_doc_base(spark, sf_dir), "toxic", DOC_KEY, DOC_NUM, DOC_CAT,
+                          "binary_classification", PANEL_CFG, candidates=candidates)
 
 
 def _board_out(lb):
@@ -122,15 +116,16 @@ def q_model_linear_single(spark, sf_dir):
 @register("model_logistic")
 def q_model_logistic(spark, sf_dir):
     """ML2: balanced logistic regression scored on the held-out split (test metrics)."""
-    lb = doc_panel(spark, sf_dir)
+    lb = doc_panel(spark, sf_dir, ["LogisticRegression"])
     return lb.table.where(F.col("name") == "LogisticRegression").select(
         "name", "cv_score", "test_score", F.to_json("all_metrics").alias("all_metrics"))
 
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf_dir):
-    """ML22 + L3: importance of each original column for the selected model."""
-    lb = doc_panel(spark, sf_dir)
+    """ML22: importance of each original column for the selected one of a logistic and a boosted
+    model and their vote, over all held-out rows."""
+    lb = doc_panel(spark, sf_dir, ["LogisticRegression", "GradientBoosting"])
     imp = md.permutation_importance(lb, _doc_base(spark, sf_dir), "toxic", DOC_KEY)
     return imp.select("feature", "col_ord", rnd(F.col("importance")).alias("importance"),
                       rnd(F.col("importance_std")).alias("importance_std"))
@@ -199,19 +194,38 @@ def q_knn_vote(spark, sf_dir):
 
 @register("technique_resolution")
 def q_technique_resolution(spark, sf_dir):
-    """ML8: how each candidate technique would be handled for the labelled-document task size."""
-    lab = _doc_base(spark, sf_dir)
-    n_train = lab.where(split_column(DOC_KEY) == "train").count()
-    rows = []
-    for t in md.TECHNIQUE_CHOICES:
-        for task in ("binary_classification", "regression"):
-            resolved, note = md.resolve_technique(t, task, n_train)
-            rows.append((t, task, resolved, note or ""))
-    return spark.createDataFrame(rows, "request string, task string, resolved string, note string")
+    """ML8: what a user's words name: the words of all texts of the conversations looked up as
+    technique names and aliases, with the note a request for either kind of task would get."""
+    words = bt.read_table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("request"))
+    asked = words.where("request != ''").groupBy("request").agg(F.count(F.lit(1)).alias("n"))
+    found = md.technique_lookup(asked, "request").join(asked, "request")
+    notes = spark.createDataFrame([(t, k, md.resolve_technique(t, k)[1] or "") for t in md.TECHNIQUE_CHOICES
+                                   for k in ("binary_classification", "regression")], "resolved string, task string, note string")
+    # the note table has one row per technique and task
+    return found.join(F.broadcast(notes), "resolved", "left").select("request", "n", "resolved", "how", "task", "note")
+
+
+@register("knn_regress", oracle=f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, {_EMB_SPLIT} AS split FROM embeddings),
+q AS (SELECT * FROM e WHERE split = 'test'), r AS (SELECT * FROM e WHERE split = 'train'),
+d AS (SELECT q.vec_id AS qkey, r.vec_id AS rkey, r.label AS rlabel, list_distance(q.v, r.v) AS dist FROM q, r),
+k AS (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY dist, rkey) AS rk FROM d)
+SELECT qkey AS vec_id, ROUND(AVG(rlabel::DOUBLE), 6) AS pred FROM k WHERE rk <= 5 GROUP BY 1""")
+def q_knn_regress(spark, sf_dir):
+    """ML12, regression: each held-out embedding gets the mean label of its 5 nearest training rows."""
+    e = bt.read_table(spark, sf_dir, "embeddings").withColumn("split", split_column(["vec_id"]))
+    p = nb.knn_regress(e.where("split = 'test'"), e.where("split = 'train'"), "vec_id", "embedding", "label")
+    return p.select("vec_id", rnd(F.col("pred")).alias("pred"))
+
+
+@register("model_knn")
+def q_model_knn(spark, sf_dir):
+    """ML12 requested as a user technique, trained alone with the panel's CV / held-out protocol."""
+    return _single(spark, sf_dir, "knn")
 
 
 def _row(spark, sf_dir, name):
-    lb = doc_panel(spark, sf_dir)
+    lb = doc_panel(spark, sf_dir, [name])
     return lb.table.where(F.col("name") == name).select(
         "name", "cv_score", "test_score", "selected", F.to_json("all_metrics").alias("all_metrics"))
 
@@ -228,18 +242,14 @@ def q_model_gbt(spark, sf_dir):
     return _row(spark, sf_dir, "GradientBoosting")
 
 
-def part_panel(spark, sf_dir):
-    key = ("part", sf_dir, id(spark))
-    if key not in _PANELS:
-        part = bt.read_table(spark, sf_dir, "part")
-        _PANELS[key] = md.train_panel(part, "p_retailprice", ["p_partkey"], PART_NUM, PART_CAT, "regression",
-                                      md.ModelConfig(num_trees=100, max_depth=8, gbt_iter=30, gbt_depth=4))
-    return _PANELS[key]
+def part_panel(spark, sf_dir, candidates=None):
+    return md.train_panel(bt.read_table(spark, sf_dir, "part"), "p_retailprice", ["p_partkey"], PART_NUM, PART_CAT,
+                          "regression", PANEL_CFG, candidates=candidates)
 
 
 @register("model_linear")
 def q_model_linear(spark, sf_dir):
     """ML3: linear regression row of the regression panel (RMSE / MAE / R2 on held-out rows)."""
-    lb = part_panel(spark, sf_dir)
+    lb = part_panel(spark, sf_dir, ["LinearRegression"])
     return lb.table.where(F.col("name") == "LinearRegression").select(
         "name", "cv_score", "test_score", F.to_json("all_metrics").alias("all_metrics"))

@@ -79,7 +79,7 @@ def q_profile_columns(spark, sf_dir):
           + f" SELECT col_name, col_ord, {_FLAGS_SQL} AS quality_flags FROM prof")
 def q_quality_flags(spark, sf_dir):
     """C4-C9 on documents: the heavy-tailed length column carries the outlier flag."""
-    p = pf.profile_columns(bt.read_table(spark, sf_dir, "documents"), quantile_method="auto")
+    p = pf.profile_columns(bt.read_table(spark, sf_dir, "documents"))
     return p.select("col_name", "col_ord", F.array_join("quality_flags", ",").alias("quality_flags"))
 
 
@@ -122,7 +122,7 @@ LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def q_quartiles(spark, sf_dir):
     """C7 exact (linear interpolation) for every column whose distinct count is bounded."""
     li = bt.read_table(spark, sf_dir, "lineitem")
-    q = pf.quartiles(li, LI_NUM, pf.choose_quantile_method(li, LI_NUM))
+    q = pf.quartiles(li, LI_NUM)
     return q.select("col_name", "col_ord", rnd(F.col("q1")).alias("q1"), rnd(F.col("q3")).alias("q3"))
 
 

@@ -246,7 +246,7 @@ def q_context_digest(spark, sf_dir):
     from ..operators import profile as pf
     from ..operators import roles as rl
     li = bt.read_table(spark, sf_dir, "lineitem")
-    prof = pf.profile_columns(li, exact_distinct="auto", quantile_method="auto")
+    prof = pf.profile_columns(li)
     tcol = [r.col_name for r in rl.time_column_scan(li).where("chosen").collect()]
     cands = [r.col_name for r in rl.target_candidates(prof).orderBy("cand_ord").collect()]
     qs = pf.quality_summary(prof, tcol[0] if tcol else None, cands)

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import quoted
+
 _SENTINEL = "_extra_field"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table (Parquet)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table (Parquet), NaN folded into NULL."""
+    return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -23,9 +25,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
+            cols.append(F.nanvl(F.col(quoted(f.name)), F.lit(None).cast(f.dataType)).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(F.col(quoted(f.name)))
     return df.select(*cols)
 
 

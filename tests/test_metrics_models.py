@@ -81,7 +81,6 @@ def test_splits_are_deterministic_and_balanced(spark):
     assert sorted(a) == sorted(b)
     share = {r.split: r["count"] for r in a}["test"] / 20000
     assert 0.18 < share < 0.22
-    assert pp.n_folds_for(20001) == 3 and pp.n_folds_for(20000) == 5
 
 
 def test_preprocessor_fit_on_train_only(spark):
@@ -101,12 +100,93 @@ def test_class_weights(spark):
 
 
 def test_technique_resolution():
-    assert md.resolve_technique("rf", "binary_classification", 100) == ("Random Forest", None)
-    r, note = md.resolve_technique("Ridge Regression", "binary_classification", 100)
-    assert "regression technique" in note
-    r, note = md.resolve_technique("knn", "binary_classification", 50_000)
-    assert r == "K-Nearest Neighbors" and "too slow" in note
-    assert md.resolve_technique("telepathy", "regression", 10)[0] is None
+    assert md.resolve_technique("rf", "binary_classification") == ("Random Forest", None)
+    r, note = md.resolve_technique("Ridge Regression", "binary_classification")
+    assert r == "Ridge Regression" and "regression technique" in note
+    for task in ("binary_classification", "regression"):
+        assert md.resolve_technique("knn", task) == ("K-Nearest Neighbors", None)
+    assert "unavailable" in md.resolve_technique("svr", "regression")[1]
+    assert md.resolve_technique("telepathy", "regression")[0] is None
+
+
+def test_splits_and_folds_are_even_inside_classes(spark, monkeypatch):
+    monkeypatch.setattr(pp, "RANK_ROWS", 70)  # several ranges, as in a large table
+    df = spark.range(500).select("id", (F.col("id") % 25 == 0).cast("int").alias("y"))
+    s = pp.stratified_split(df, "y", ["id"])
+    got = {(r.y, r.split): r["count"] for r in s.groupBy("y", "split").count().collect()}
+    assert got == {(1, "test"): 4, (1, "train"): 16, (0, "test"): 96, (0, "train"): 384}
+    folds = pp.stratified_folds(df, "y", ["id"]).groupBy("y", "fold").count().collect()
+    for y in (0, 1):
+        n = [r["count"] for r in folds if r.y == y]
+        assert len(n) == 5 and max(n) - min(n) <= 1
+    assert s.count() == 500 and sorted(s.columns) == ["id", "split", "y"]
+    sample = {r.y: r["count"] for r in pp.stratified_sample(df, "y", ["id"], 100).groupBy("y").count().collect()}
+    assert sample == {0: 96, 1: 4}
+
+
+def test_exact_quantiles_match_numpy(spark, monkeypatch):
+    from insightframe.functions import quantiles as qt
+    rng = np.random.default_rng(3)
+    cols = {"fine": rng.normal(size=30000), "tied": rng.integers(0, 3, 30000).astype(float), "one": np.ones(30000)}
+    df = spark.createDataFrame(__import__("pandas").DataFrame(cols)).withColumn("none", F.lit(None).cast("double")) \
+        .withColumn("holes", F.when(F.col("fine") > 0, F.col("fine")).otherwise(F.lit(float("nan"))))
+    monkeypatch.setattr(qt, "ACCURACY", 50)
+    monkeypatch.setattr(qt, "LAST_ROWS", 20)  # many rounds of narrowing
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = qt.exact_quantiles(df, {c: F.col(c) for c in (*cols, "none", "holes")}, probs)
+    for c, x in cols.items():
+        assert np.allclose(got[c], np.quantile(x, probs), atol=1e-12), c
+    assert got["none"] == [None] * 5
+    assert np.allclose(got["holes"], np.quantile(cols["fine"][cols["fine"] > 0], probs), atol=1e-12)
+
+
+def test_every_category_becomes_a_feature(spark):
+    df = spark.range(600).select((F.col("id") % 60).cast("string").alias("c"))
+    assert len(pp.fit_preprocessor(df, [], ["c"]).feature_names()) == 60
+
+
+def test_panel_with_awkward_names_and_repeated_rows(spark):
+    """A target named label, dotted columns and values, and rows that all occur three times."""
+    u = lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1009)) / 1009.0
+    base = spark.range(150).select(
+        F.round(u(1), 3).alias("a.b"), F.when(u(2) < 0.5, "U.S.").otherwise("x=y `z`").alias("score"),
+        (u(1) + 0.4 * u(3) > 0.7).cast("int").alias("label"))
+    df = base.unionByName(base).unionByName(base)
+    cfg = md.ModelConfig(num_trees=5, max_depth=3, gbt_iter=3, gbt_depth=2)
+    lb = md.train_panel(df, "label", df.columns, ["a.b"], ["score"], "binary_classification", cfg)
+    assert {r.name for r in lb.table.collect()} == {"LogisticRegression", "RandomForest", "GradientBoosting", "Ensemble"}
+    table = md.model_table(df, "label", df.columns, ["a.b", "score"], "binary_classification", 42)
+    held = table.where(F.col(md.SPLIT) == "test")
+    feat = md.featurize(lb.prepared, held, [md.Y])
+    scored = md.with_scores(list(lb.fits.values()), lb.task, feat, lb.members, [md.Y])
+    per = {r.model: r["count"] for r in scored.groupBy("model").count().collect()}
+    assert set(per.values()) == {held.count()} and "Ensemble" in per  # no row is lost in the vote
+
+
+def test_nearest_neighbours_in_small_blocks(spark):
+    from insightframe.operators import neighbors as nb
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.integers(0, 4, 3)], int(rng.integers(0, 3))) for i in range(300)]
+    ref, ask = (spark.createDataFrame(r, "id long, v array<double>, y int") for r in (rows[:220], rows[220:]))
+    want_vote, want_mean = {}, {}
+    for i, v, _ in rows[220:]:
+        near = sorted((np.sqrt(((np.array(v) - np.array(w)) ** 2).sum()), j, y) for j, w, y in rows[:220])[:5]
+        labels = [y for _, _, y in near]
+        want_vote[i] = min(set(labels), key=lambda c: (-labels.count(c), c))  # noqa: B023
+        want_mean[i] = np.mean(labels)
+    for sizes in ({}, {"batch_rows": 9, "block_rows": 40}):
+        assert {r.id: r.pred for r in nb.knn_vote(ask, ref, "id", "v", "y", **sizes).collect()} == want_vote
+        got = {r.id: r.pred for r in nb.knn_regress(ask, ref, "id", "v", "y", **sizes).collect()}
+        assert all(abs(got[i] - m) < 1e-12 for i, m in want_mean.items()) and len(got) == 80
+
+
+def test_requested_knn_and_svm_train(spark, lending):
+    small = lending.where("fico_score < 640")
+    for name in ("knn", "svc"):
+        lb = md.train_panel(small, "default", ["loan_id"], ["fico_score"], ["grade"], "binary_classification",
+                            user_technique=name, only_user_technique=True, folds=2)
+        row = lb.table.first()
+        assert row.test_score > 0.55 and 0 <= row.all_metrics["Brier"] < 0.3  # a probability, not a margin
 
 
 def test_technique_lookup_batch(spark):
