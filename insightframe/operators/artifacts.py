@@ -261,7 +261,7 @@ def bluf_summary(findings: DataFrame, rollup: DataFrame) -> DataFrame:
     claims = findings.agg(F.array_sort(F.collect_list(F.struct("ord", "claim"))).alias("c"))
     text = F.concat(F.lit("Executive summary (BLUF): "),
                     F.coalesce(F.col("c")[0]["claim"], F.lit("No findings generated.")), F.lit(" "),
-                    F.array_join(F.transform(F.slice(F.col("c"), 2, 1000), lambda s: s["claim"]), " "))
+                    F.array_join(F.transform(F.filter(F.col("c"), lambda s, i: i > 0), lambda s: s["claim"]), " "))
     conf = rollup.select(F.struct("overall_confidence")).scalar()["overall_confidence"]
     return claims.select(F.concat(text, F.lit(" Overall confidence: "), conf, F.lit(".")).alias("summary"))
 

@@ -25,6 +25,7 @@ CHART_WORDS = ["chart", "dashboard", "visual", "graph", "plot"]
 DRIVER_WORDS = ["driver", "strongest", "cause", "why", "factor", "loss"]
 TREND_WORDS = ["trend", "over time", "rising", "falling"]
 CHAT_TURNS = 12
+NO_FINDINGS = "No findings yet."
 MAX_OUTPUT_CHARS = 1000
 MAX_LIMITATIONS = 3
 
@@ -70,10 +71,10 @@ def line_stats(df: DataFrame, key: str, text: str) -> DataFrame:
                      nonblank.alias("n_nonblank"))
 
 
-def plan_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
+def plan_rows(texts: DataFrame, key: str, text: str, max_steps: int = MAX_PLAN_STEPS) -> DataFrame:
     """The first five items of each text as its plan; the default 4-step plan when a text
     has no items. Output (key, step_ord, step, is_default)."""
-    items = bullet_items(texts, key, text).where(F.col("item_no") <= MAX_PLAN_STEPS) \
+    items = bullet_items(texts, key, text).where(F.col("item_no") <= max_steps) \
         .select(key, F.col("item_no").cast("int").alias("step_ord"), F.col("item").alias("step"),
                 F.lit(False).alias("is_default"))
     without = texts.select(key).join(items.select(key).distinct(), key, "left_anti")
@@ -97,9 +98,11 @@ FINDING_JSON = T.StructType([
     T.StructField("method", T.StringType()), T.StructField("limitations", T.ArrayType(T.StringType()))])
 
 
-def json_findings(df: DataFrame, text: str) -> DataFrame:
-    """T4: the first '{' .. last '}' span parsed as a finding. Needs ``claim``; confidence not in
-    high/medium/low becomes medium; at most 3 limitations; evidence text cut to 1000 chars."""
+def json_findings(df: DataFrame, text: str, max_limitations: int = MAX_LIMITATIONS,
+                  output_chars: int = MAX_OUTPUT_CHARS) -> DataFrame:
+    """T4: the first '{' .. last '}' span parsed as a finding; rows without a ``claim`` are no
+    findings and go. Confidence not in high/medium/low becomes medium; ``max_limitations`` and
+    ``output_chars`` bound the finding's lists and the text shown beside it."""
     span = F.regexp_extract(text, "(?s)(\\{.*\\})", 1)
     parsed = F.from_json(F.when(F.length(span) > 0, span), FINDING_JSON)
     conf = F.lower(parsed["confidence"])
@@ -108,9 +111,9 @@ def json_findings(df: DataFrame, text: str) -> DataFrame:
         parsed["claim"].alias("claim"),
         F.when(conf.isin("high", "medium", "low"), conf).otherwise(F.lit("medium")).alias("confidence"),
         parsed["method"].alias("method"),
-        F.slice(F.coalesce(parsed["limitations"], F.array().cast("array<string>")), 1, MAX_LIMITATIONS)
+        F.slice(F.coalesce(parsed["limitations"], F.array().cast("array<string>")), 1, max_limitations)
         .alias("limitations"),
-        F.substring(F.col(text), 1, MAX_OUTPUT_CHARS).alias("output"))
+        F.substring(F.col(text), 1, output_chars).alias("output")).where(F.length(F.col("claim")) > 0)
 
 
 def _any_word(q: Column, words: list[str]) -> Column:
@@ -144,8 +147,8 @@ def question_answers(routed: DataFrame, findings: DataFrame, model_answer: str |
         F.min_by(F.struct("claim", "confidence", F.array_join("limitations", "; ").alias("lims")),
                  F.when(low.contains("over time"), F.col("ord"))).alias("trend"))
     answers = pick.select(F.explode(F.array(
-        F.struct(F.lit("lead").alias("route"), F.concat(F.lit("Based on the analysis: "), F.col("lead.claim"),
-                                                        F.lit(" (confidence: "), F.col("lead.confidence"), F.lit(")"))
+        F.struct(F.lit("lead").alias("route"), F.when(F.col("lead").isNull(), F.lit(NO_FINDINGS)).otherwise(F.concat(F.lit("Based on the analysis: "), F.col("lead.claim"),
+                                                        F.lit(" (confidence: "), F.col("lead.confidence"), F.lit(")")))
                  .alias("answer")),
         F.struct(F.lit("driver").alias("route"), F.concat(F.col("driver.claim"), F.lit(" (confidence: "),
                                                           F.col("driver.confidence"), F.lit("). Caveat: "),

@@ -274,6 +274,66 @@ def q_chart_trend(spark, sf_dir):
 
 
 # ---- text operators over documents / conversations -------------------------------------------
+# The documents are prose, so stand-in responses give the operators something to read: every
+# line of every document, marked up by key arithmetic as list items, headings or plain lines,
+# whole texts inside fences or JSON, and banned phrases behind texts. Nothing of the operators'
+# own work is done here.
+def responses(spark, sf_dir):
+    docs = bt.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    number = lambda i: (i % 9 + 1).cast("string")
+
+    def mark(x, i):
+        m = (F.col("doc_id") + i) % 8
+        return (F.when(m == 0, F.concat(F.lit("- "), x)).when(m == 1, F.concat(F.lit("* **"), x, F.lit("**")))
+                .when(m == 2, F.concat(F.lit("\u2022 "), x)).when(m == 3, F.concat(number(i), F.lit(". "), x))
+                .when(m == 4, F.concat(number(i), F.lit(") "), x)).when(m == 5, F.concat(F.lit("# "), x))
+                .when(m == 6, F.concat(F.lit("- "), x, F.lit(":"))).otherwise(x))
+
+    marked = F.array_join(F.transform(F.split("text", "\n"), mark), "\n")
+    return docs.select("doc_id", F.when(F.col("doc_id") % 5 == 4, F.col("text")).otherwise(marked).alias("text"))
+
+
+_MARK = """CASE (doc_id + i - 1) % 8 WHEN 0 THEN '- ' || x WHEN 1 THEN '* **' || x || '**' WHEN 2 THEN '• ' || x
+  WHEN 3 THEN ((i - 1) % 9 + 1)::VARCHAR || '. ' || x WHEN 4 THEN ((i - 1) % 9 + 1)::VARCHAR || ') ' || x
+  WHEN 5 THEN '# ' || x WHEN 6 THEN '- ' || x || ':' ELSE x END"""
+_RESPONSES_SQL = f"""responses AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN text ELSE
+  array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: {_MARK}), chr(10)) END AS text FROM documents)"""
+
+
+def fenced_responses(spark, sf_dir):
+    """Every third document inside a python fence, every other third inside a bare one."""
+    text = F.col("text")
+    return bt.read_table(spark, sf_dir, "documents").select("doc_id", F.when(
+        F.col("doc_id") % 3 == 0, F.concat(F.lit("Code:\n```python\n"), text, F.lit("\n```\nand ```more```")))
+        .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```\n "), text, F.lit(" ```"))).otherwise(text).alias("text"))
+
+
+_FENCED_SQL = """responses AS (SELECT doc_id, CASE doc_id % 3
+  WHEN 0 THEN 'Code:' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'and ```more```'
+  WHEN 1 THEN '```' || chr(10) || ' ' || text || ' ```' ELSE text END AS text FROM documents)"""
+
+
+def json_responses(spark, sf_dir):
+    """Whole texts as the claim of a JSON object inside prose; some without a claim, some cut short,
+    some plain."""
+    d = bt.read_table(spark, sf_dir, "documents")
+    conf = F.element_at(F.array(*[F.lit(c) for c in ("HIGH", "low", "certain", "medium")]), (F.floor(F.col("doc_id") / 5) % 4 + 1).cast("int"))
+    limits = F.transform(F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 5 + 1), lambda i: F.concat(F.lit("limit "), i.cast("string")))
+    full = F.to_json(F.struct(F.col("text").alias("claim"), conf.alias("confidence"), F.col("source").alias("method"), limits.alias("limitations")))
+    kind = F.col("doc_id") % 5
+    return d.select("doc_id", F.when(kind == 0, F.concat(F.lit("Result: "), full, F.lit(" end.")))
+                    .when(kind == 1, full).when(kind == 2, F.to_json(F.struct(F.col("text").alias("note"))))
+                    .when(kind == 3, F.concat(F.lit("{"), full)).otherwise(F.col("text")).alias("text"))
+
+
+def boasting_responses(spark, sf_dir):
+    """Texts with a banned phrase (or two) behind them for ten documents of thirteen."""
+    n = (F.col("doc_id") % 13).cast("int")
+    phrases = F.array(*[F.lit(p.upper() if i % 2 else p) for i, p in enumerate(ar.OVERCLAIM_PHRASES)])
+    tail = F.when(n < 9, F.concat(F.lit(" It is "), F.get(phrases, n))).when(n == 9, F.lit(" always PROVEN")).otherwise("")
+    return bt.read_table(spark, sf_dir, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+
+
 _RE_SPLIT = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 _RE_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -284,7 +344,7 @@ def _strip_sql(x: str) -> str:
 
 _LINES_SQL = f"""
 lines AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS raw
-          FROM (SELECT doc_id, regexp_split_to_array(text, '{_RE_SPLIT}') AS parts FROM documents)),
+          FROM (SELECT doc_id, regexp_split_to_array(text, '{_RE_SPLIT}') AS parts FROM responses)),
 st AS (SELECT doc_id, line_no, {_strip_sql('raw')} AS s FROM lines),
 it AS (SELECT doc_id, line_no,
          CASE WHEN left(s, 1) IN ('-', '*', '•') THEN {_strip_sql("regexp_replace(s, '^[-*• ]+', '')")}
@@ -296,13 +356,14 @@ items AS (SELECT doc_id, line_no, item FROM it2
 
 
 @register("bullet_items", oracle=f"""
-WITH {_LINES_SQL.strip()},
+WITH {_RESPONSES_SQL},
+{_LINES_SQL.strip()},
 ls AS (SELECT doc_id, COUNT(*) FILTER (WHERE length(s) > 0) AS n_nonblank FROM st GROUP BY 1)
 SELECT d.doc_id, ls.n_nonblank, (SELECT COUNT(*) FROM items i WHERE i.doc_id = d.doc_id) AS n_items
-FROM documents d JOIN ls ON d.doc_id = ls.doc_id""")
+FROM responses d JOIN ls ON d.doc_id = ls.doc_id""")
 def q_bullet_items(spark, sf_dir):
     """T1 over every document: non-blank lines and extracted list items per document."""
-    docs = bt.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = responses(spark, sf_dir)
     items = tx.bullet_items(docs, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
     stats = tx.line_stats(docs, "doc_id", "text")
     return stats.join(items, "doc_id", "left").select(
@@ -311,38 +372,41 @@ def q_bullet_items(spark, sf_dir):
 
 
 @register("plan_rows", oracle=f"""
-WITH {_LINES_SQL.strip()},
+WITH {_RESPONSES_SQL},
+{_LINES_SQL.strip()},
 ranked AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS step_ord, item FROM items),
 plan AS (SELECT doc_id, step_ord, item AS step, false AS is_default FROM ranked WHERE step_ord <= 5),
 dflt(step_ord, step) AS (VALUES (1, '{tx.DEFAULT_PLAN[0]}'), (2, '{tx.DEFAULT_PLAN[1]}'), (3, '{tx.DEFAULT_PLAN[2]}'), (4, '{tx.DEFAULT_PLAN[3]}'))
 SELECT * FROM plan
-UNION ALL SELECT d.doc_id, dflt.step_ord, dflt.step, true FROM documents d, dflt
+UNION ALL SELECT d.doc_id, dflt.step_ord, dflt.step, true FROM responses d, dflt
 WHERE d.doc_id NOT IN (SELECT doc_id FROM plan)""")
 def q_plan_rows(spark, sf_dir):
     """Up to five plan steps per document, the default plan where none are found."""
-    docs = bt.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = responses(spark, sf_dir)
     return tx.plan_rows(docs, "doc_id", "text")
 
 
 @register("fenced_block", oracle=f"""
-WITH f AS (SELECT doc_id, regexp_matches(text, '(?s)```(?:python)?\\s*(.*?)```') AS has_fence,
+WITH {_FENCED_SQL}, f AS (SELECT doc_id, regexp_matches(text, '(?s)```(?:python)?\\s*(.*?)```') AS has_fence,
                   CASE WHEN regexp_matches(text, '(?s)```(?:python)?\\s*(.*?)```')
-                       THEN regexp_extract(text, '(?s)```(?:python)?\\s*(.*?)```', 1) ELSE text END AS body FROM documents)
+                       THEN regexp_extract(text, '(?s)```(?:python)?\\s*(.*?)```', 1) ELSE text END AS body FROM responses)
 SELECT doc_id, has_fence, length({_strip_sql('body')}) AS code_chars, md5({_strip_sql('body')}) AS code_md5 FROM f""")
 def q_fenced_block(spark, sf_dir):
     """T3 over whole documents: the fenced body, else the stripped text (length + digest)."""
-    docs = bt.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = fenced_responses(spark, sf_dir)
     f = tx.fenced_block(docs, "text")
     return f.select("doc_id", "has_fence", F.length("code").alias("code_chars"), F.md5("code").alias("code_md5"))
 
 
 @register("json_findings", oracle="""
-SELECT doc_id, length(regexp_extract(text, '(?s)(\\{.*\\})', 1)) AS json_chars,
-       json_extract_string(NULLIF(regexp_extract(text, '(?s)(\\{.*\\})', 1), ''), '$.claim') AS claim FROM documents""")
+SELECT doc_id, text AS claim, CASE CAST(floor(doc_id / 5) AS BIGINT) % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence,
+       source AS method, array_to_string(list_transform(range(1, least(doc_id % 5 + 1, 3) + 1), lambda i: 'limit ' || i), '; ') AS limitations
+FROM documents WHERE doc_id % 5 < 2""")
 def q_json_findings(spark, sf_dir):
-    """T4 over whole documents: the first-'{' to last-'}' span and its claim, if any."""
-    docs = bt.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tx.json_findings(docs, "text").select("doc_id", "json_chars", "claim")
+    """T4 over whole responses: the first-'{' to last-'}' span as a finding, its confidence within
+    the known words, at most three limitations; responses without a claim give none."""
+    f = tx.json_findings(json_responses(spark, sf_dir), "text")
+    return f.select("doc_id", "claim", "confidence", "method", F.array_join("limitations", "; ").alias("limitations"))
 
 
 def _route_sql(has_models: bool, has_charts: bool) -> str:
@@ -356,8 +420,19 @@ CASE WHEN {any_(tx.MODEL_WORDS)} THEN '{'model' if has_models else 'model_none'}
      ELSE 'lead' END"""
 
 
+# stand-in questions: user turns with a closing question by key arithmetic, so that all routes occur
+_ASKED = ["", " Which model won?", " Show me the chart.", " What is the strongest driver?", " How is the trend?", " Why?"]
+_QUESTIONS_SQL = ("questions AS (SELECT conv_id, turn, text || ([" + ", ".join(f"'{q}'" for q in _ASKED)
+                  + "])[(conv_id + turn) % 6 + 1] AS text FROM conversations WHERE role = 'user')")
+
+
+def user_questions(spark, sf_dir):
+    tail = F.get(F.array(*[F.lit(q) for q in _ASKED]), ((F.col("conv_id") + F.col("turn")) % 6).cast("int"))
+    return bt.read_table(spark, sf_dir, "conversations").where(F.col("role") == "user").withColumn("text", F.concat("text", tail))
+
+
 def _routed(spark, sf_dir):
-    conv = bt.read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    conv = user_questions(spark, sf_dir)
     f = li_findings(spark, sf_dir)
     low = F.lower(F.col("claim"))
     flags = f.agg(F.max(low.contains("driver")).alias("d"), F.max(low.contains("over time")).alias("t"))
@@ -366,16 +441,16 @@ def _routed(spark, sf_dir):
                               F.coalesce(s["t"], F.lit(False))), f
 
 
-@register("question_routes", oracle=FINDINGS_SQL + f"""
-SELECT conv_id, turn, {_route_sql(False, True)} AS route FROM conversations WHERE role = 'user'""")
+@register("question_routes", oracle=FINDINGS_SQL + f""", {_QUESTIONS_SQL}
+SELECT conv_id, turn, {_route_sql(False, True)} AS route FROM questions""")
 def q_question_routes(spark, sf_dir):
     """T5 routing of every user question against the lineitem findings (charts exist, no model)."""
     r, _ = _routed(spark, sf_dir)
     return r.select("conv_id", "turn", "route")
 
 
-@register("question_answers", oracle=FINDINGS_SQL + f""",
-q AS (SELECT conv_id, turn, {_route_sql(False, True)} AS route FROM conversations WHERE role = 'user'),
+@register("question_answers", oracle=FINDINGS_SQL + f""", {_QUESTIONS_SQL},
+q AS (SELECT conv_id, turn, {_route_sql(False, True)} AS route FROM questions),
 lead AS (SELECT claim, confidence FROM findings ORDER BY ord LIMIT 1),
 drv AS (SELECT claim, confidence, array_to_string(limitations, '; ') AS lims FROM findings WHERE contains(lower(claim), 'driver') ORDER BY ord LIMIT 1),
 trd AS (SELECT claim, confidence FROM findings WHERE contains(lower(claim), 'over time') ORDER BY ord LIMIT 1)
@@ -413,12 +488,14 @@ def q_chat_last_user(spark, sf_dir):
 @register("overclaim_scan", oracle="""
 WITH p(phrase, i) AS (VALUES ('production-ready', 0), ('guaranteed', 1), ('proven', 2), ('certain', 3), ('always', 4),
    ('will definitely', 5), ('100% accurate', 6), ('risk-free', 7), ('foolproof', 8)),
+r AS (SELECT doc_id, text || CASE WHEN doc_id % 13 < 9 THEN ' It is ' || (SELECT CASE WHEN i % 2 = 1 THEN upper(phrase) ELSE phrase END FROM p WHERE i = doc_id % 13)
+        WHEN doc_id % 13 = 9 THEN ' always PROVEN' ELSE '' END AS text FROM documents),
 m AS (SELECT d.doc_id, string_agg(p.phrase, ',' ORDER BY p.i) AS overclaims, COUNT(*) AS n_overclaims
-      FROM documents d JOIN p ON contains(lower(d.text), p.phrase) GROUP BY d.doc_id)
+      FROM r d JOIN p ON contains(lower(d.text), p.phrase) GROUP BY d.doc_id)
 SELECT doc_id, CAST(n_overclaims AS INTEGER) AS n_overclaims, overclaims FROM m""")
 def q_overclaim_scan(spark, sf_dir):
-    """Banned overclaiming phrases found in each document (documents with at least one)."""
-    d = ar.overclaim_scan(bt.read_table(spark, sf_dir, "documents"), "text")
+    """Banned overclaiming phrases found in each response (those with at least one)."""
+    d = ar.overclaim_scan(boasting_responses(spark, sf_dir), "text")
     return d.where(F.col("n_overclaims") > 0).select("doc_id", "n_overclaims",
                                                      F.array_join("overclaims", ",").alias("overclaims"))
 

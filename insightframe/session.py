@@ -41,19 +41,16 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is used as is. Only when it is unset (local tests) a fresh
-    scratch folder is created, because a machine-local folder is meaningless on a cluster.
+    The cluster's setting is used as is. Only in local mode (tests), when it is unset, a fresh
+    scratch folder is made; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="insightframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
-
-
-def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """A location under the shared checkpoint folder for materialised intermediates."""
-    return os.path.join(ensure_checkpoint_dir(spark), "tables", name)
