@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import NOT_ALNUM, ascii_words, materialise, slices, utf8
 
-TERM_BITS = 17
-RANK = 64
+TERM_BITS = 16
+RANK = 48
 POWER_STEPS = 2
 FIT_DOCUMENTS = 4000  # documents in the fit of the latent space, the first by a hash of their id
 FIT_WINDOW = 64
@@ -33,7 +33,7 @@ SURE_SHARE = 0.8  # of an item's words in order: contaminated
 LIKELY_SHARE = 0.6  # contaminated if the answer is there too
 ANSWER_SHARE = 0.8
 SHORT_WORDS = 6  # items below need all their words, side by side
-BLOCK_TERMS = 1024
+BLOCK_TERMS = 512
 
 FIT_TASKS = 8  # tasks that add up the fit's bounded sample
 
@@ -76,7 +76,7 @@ def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.nda
     """A^T (A x), where A's rows are the normalised TF-IDF vectors of ``passages`` (text, weight)
     in windows of FIT_WINDOW words. Tasks send their part by blocks of terms."""
     spark = passages.sparkSession
-    held = spark.sparkContext.broadcast((idf.astype(np.float32), x.astype(np.float32)))
+    held = spark.sparkContext.broadcast((idf.astype(np.float32), x))
     rank = x.shape[1]
 
     def run(batches):
@@ -121,21 +121,21 @@ def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.nda
             for block, terms, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if block != last:
                     if last is not None:
-                        yield _block_rows([(last, b"", total.tobytes())])
+                        yield _block_rows([(last, b"", total.astype(np.float32).tobytes())])
                     last, total = block, np.zeros((BLOCK_TERMS, rank))
                 at = np.frombuffer(terms, np.int32)
                 total[at - block * BLOCK_TERMS] += np.frombuffer(part, np.float32).reshape(len(at), rank)
         if last is not None:
-            yield _block_rows([(last, b"", total.tobytes())])
+            yield _block_rows([(last, b"", total.astype(np.float32).tobytes())])
 
     sums = (passages.select("text", "weight").mapInArrow(run, "block long, terms binary, part binary").repartition("block")
             .sortWithinPartitions("block").mapInArrow(add, "block long, terms binary, part binary"))
-    out = np.zeros((1 << TERM_BITS, rank))
+    out = np.zeros((1 << TERM_BITS, rank), np.float32)
     # one row a block of terms: 2^TERM_BITS * rank numbers in all, whatever the input
     table = sums.toArrow()
     for block, part in zip(table.column("block").to_pylist(), table.column("part").to_pylist(), strict=True):
-        out[block * BLOCK_TERMS:(block + 1) * BLOCK_TERMS] = np.frombuffer(part, np.float64).reshape(BLOCK_TERMS, rank)
-    held.unpersist()
+        out[block * BLOCK_TERMS:(block + 1) * BLOCK_TERMS] = np.frombuffer(part, np.float32).reshape(BLOCK_TERMS, rank)
+    held.destroy()
     return out
 
 
@@ -160,7 +160,7 @@ def latent_space(docs: DataFrame, items: DataFrame, rank: int = RANK, power_step
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text", F.lit(1.0).alias("weight"))
     n_items = max(1, items.count())
     passages = materialise(sample.unionByName(items.select("text", F.lit(max(1.0, 4.0 * fit_documents / n_items)).alias("weight"))).coalesce(FIT_TASKS), "passages")
-    x = np.random.default_rng(5).standard_normal((1 << TERM_BITS, rank))
+    x = np.random.default_rng(5).standard_normal((1 << TERM_BITS, rank), np.float32)
     for _ in range(1 + power_steps):
         product = _gram_product(passages, idf, x)
         x, r = np.linalg.qr(product)
