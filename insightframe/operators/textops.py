@@ -147,8 +147,8 @@ def question_answers(routed: DataFrame, findings: DataFrame, model_answer: str |
         F.min_by(F.struct("claim", "confidence", F.array_join("limitations", "; ").alias("lims")),
                  F.when(low.contains("over time"), F.col("ord"))).alias("trend"))
     answers = pick.select(F.explode(F.array(
-        F.struct(F.lit("lead").alias("route"), F.when(F.col("lead").isNull(), F.lit(NO_FINDINGS)).otherwise(F.concat(F.lit("Based on the analysis: "), F.col("lead.claim"),
-                                                        F.lit(" (confidence: "), F.col("lead.confidence"), F.lit(")")))
+        F.struct(F.lit("lead").alias("route"), F.concat(F.lit("Based on the analysis: "), F.coalesce(F.col("lead.claim"), F.lit(NO_FINDINGS)),
+                                                        F.lit(" (confidence: "), F.coalesce(F.col("lead.confidence"), F.lit("n/a")), F.lit(")"))
                  .alias("answer")),
         F.struct(F.lit("driver").alias("route"), F.concat(F.col("driver.claim"), F.lit(" (confidence: "),
                                                           F.col("driver.confidence"), F.lit("). Caveat: "),
