@@ -25,13 +25,12 @@ from .components import components
 WORDS = 4
 SIMILARITY = 80  # per cent, compared exactly in integers
 COORDINATES = 128
-SMALL_COORDINATES = 64  # one byte each, for the cheap test before whole sets are fetched
 TREES = 16  # miss chance of a pair at 0.8: (1 - 0.64)^16 < 1e-7, and still below 1e-4 at sketch value 0.7
 DEPTH = 3
 MAX_DEPTH = 16
-SMALL_NODE = 512
-FEW_OTHERS = 64
-BLOCK = 256
+SMALL_NODE = 2048
+FEW_OTHERS = 256
+BLOCK = 1024
 
 _MULT = np.random.default_rng(23).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -45,7 +44,8 @@ def minhashes(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, d1, d2, sketch): set size, 128-bit digest and minhashes; an empty set has n 0."""
+    """(doc_id, n, d1, d2, sketch, small): set size, 128-bit digest, minhashes and the low byte of
+    each of them (for the cheap test before whole sets are fetched); an empty set has n 0."""
 
     def run(batches):
         for batch in batches:
@@ -54,12 +54,14 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 d1 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 d2 = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                sketch = [minhashes(s).tobytes() if len(s) else None for s in sets]
+                sketch = [minhashes(s) if len(s) else None for s in sets]
+                small = [None if x is None else x.astype(np.uint8).tobytes() for x in sketch]
+                sketch = [None if x is None else x.tobytes() for x in sketch]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), pa.array(sketch, pa.binary())],
-                    ["doc_id", "n", "d1", "d2", "sketch"])
+                    [part.column(0).cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), pa.array(sketch, pa.binary()),
+                     pa.array(small, pa.binary())], ["doc_id", "n", "d1", "d2", "sketch", "small"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, small binary")
 
 
 def branch(node: np.ndarray, row: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,70 +113,122 @@ def _deeper(rows: DataFrame, classes: DataFrame) -> DataFrame:
             .mapInArrow(run, "node long, rep long, label long").distinct())
 
 
-def _alike(small: np.ndarray, n: np.ndarray, label: np.ndarray, per_cent: int, left: slice, right: slice):
-    """Pairs (i, j) of different labels whose sizes allow a link and whose byte sketches agree
-    in at least the share that a linked pair falls short of once in 10^6 (5 deviations)."""
+def _least(per_cent: int) -> float:
+    """Agreeing coordinates that a linked pair falls short of once in 10^6 (5 deviations)."""
     p = per_cent / 100
-    least = (p - 5 * np.sqrt(p * (1 - p) / SMALL_COORDINATES)) * SMALL_COORDINATES
-    agree = (small[left][:, None, :] == small[right][None, :, :]).sum(axis=2)
-    lo, hi = np.minimum(n[left][:, None], n[right][None]), np.maximum(n[left][:, None], n[right][None])
-    ok = (agree >= least) & (100 * lo >= per_cent * hi) & (label[left][:, None] != label[right][None])
-    return np.nonzero(ok)
+    return (p - 5 * np.sqrt(p * (1 - p) / COORDINATES)) * COORDINATES
+
+
+def _alike(small: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, per_cent: int) -> np.ndarray:
+    """(rows, rows) mask, above the diagonal: pairs of different labels (and, of two sides, of
+    different sides) whose sizes allow a link and whose byte sketches agree often enough."""
+    m = len(n)
+    out = np.zeros((m, m), bool)
+    for lo in range(0, m, 32):
+        hi = min(m, lo + 32)
+        ok = (small[lo:hi, None, :] == small[None, :, :]).sum(axis=2, dtype=np.int16) >= _least(per_cent)
+        ok &= 100 * np.minimum(n[lo:hi, None], n[None]) >= per_cent * np.maximum(n[lo:hi, None], n[None])
+        out[lo:hi] = ok & (label[lo:hi, None] != label[None])
+    if len(np.unique(side)) > 1:
+        out &= side[:, None] != side[None]
+    return np.triu(out, 1)
 
 
 def _with_small(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.select("rep", "n", "small"), "rep")
 
 
-def _node_pairs(rows: DataFrame, per_cent: int, cells: bool) -> DataFrame:
-    """Likely pairs (a, b) within nodes: rows (node, rep, label, n, small) of nodes with few rows.
-    With ``cells`` a "node" is two blocks of a large one: rows of ``side`` -1 meet those of 1, and
-    where there is one side only its rows meet each other."""
-
-    def pairs(held):
-        rep, label, n, side = (np.array(held[c]) for c in ("rep", "label", "n", "side"))
-        small = np.frombuffer(b"".join(held["small"]), np.uint8).reshape(-1, SMALL_COORDINATES)
-        a = np.flatnonzero(side < 1)
-        b = np.flatnonzero(side > 0) if (side > 0).any() else a
-        i, j = _alike(small, n, label, per_cent, a, b)
-        x, y = rep[a[i]], rep[b[j]]
-        return np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+def _by_node(rows: DataFrame, columns: list[str], solve, ddl: str) -> DataFrame:
+    """``solve(columns of one node)`` for every node, in sorted tasks; nodes are bounded before."""
 
     def run(batches):
-        names = ("node", "rep", "label", "n", "small", "side")
-        held, last = {c: [] for c in names}, None
-        out_a, out_b = [], []
+        held: list[list] = [[] for _ in columns]
 
-        def done():
-            if len(held["rep"]) > 1:
-                a, b = pairs(held)
-                out_a.append(a), out_b.append(b)
-            for c in names:
-                held[c].clear()
+        def cut():
+            out = solve(held) if len(held[0]) > 1 else None
+            for h in held:
+                h.clear()
+            return out
 
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            for row in zip(*cols, strict=True):
-                if row[0] != last:
-                    done()
-                    last = row[0]
-                for c, v in zip(names, row, strict=True):
-                    held[c].append(v)
-            if out_a:
-                yield _pair_batch(out_a, out_b)
-                out_a, out_b = [], []
-        done()
-        if out_a:
-            yield _pair_batch(out_a, out_b)
-
-    side = "side" if cells else F.lit(0).alias("side")
-    return (rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "label", "n", "small", side)
-            .mapInArrow(run, "a long, b long").distinct())
-
-
-def _pair_batch(a, b):
-    both = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]).reshape(-1, 2), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+            cols = [batch.column(k).to_pylist() for k in range(len(columns))]
+            node = np.array(cols[0], np.int64)
+            edges = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else []
+            for lo, hi in zip(edges, [*edges[1:], len(node)], strict=True):
+                if held[0] and held[0][-1] != node[lo]:
+                    made = cut()
+                    if made is not None:
+                        yield made
+                for h, c in zip(held, cols, strict=True):
+                    h += c[lo:hi]
+        made = cut()
+        if made is not None:
+            yield made
+
+    return rows.select(*columns).repartition("node").sortWithinPartitions("node").mapInArrow(run, ddl)
+
+
+def _likely_rows(rows: DataFrame, per_cent: int) -> DataFrame:
+    """Rows (node, rep, label, n, side) with a likely partner in their node: as many as rows at most,
+    where pairs would grow with the square of a node."""
+    ddl = "node long, rep long, label long, n long, side int"
+
+    def solve(cols):
+        node, rep, label, n, side = (np.array(c) for c in cols[:5])
+        small = np.frombuffer(b"".join(cols[5]), np.uint8).reshape(-1, COORDINATES)
+        pair = _alike(small, n, label, side, per_cent)
+        keep = pair.any(axis=0) | pair.any(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, rep, label, n, side.astype(np.int32))],
+                                          ["node", "rep", "label", "n", "side"])
+
+    return _by_node(rows, ["node", "rep", "label", "n", "side", "small"], solve, ddl)
+
+
+def _overlaps(sets: list[np.ndarray], pair: np.ndarray) -> np.ndarray:
+    """Intersection size of the sets of every marked pair, exactly: over the shingles that stand in
+    two sets or more, as a product of 0/1 matrices, or pair by pair if that is less work."""
+    m = len(sets)
+    out = np.zeros((m, m), np.int64)
+    every, where = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, where = every[order], where[order]
+    new = np.append(True, every[1:] != every[:-1])
+    number = np.cumsum(new) - 1
+    twice = np.bincount(number)[number] > 1
+    number, where = number[twice], where[twice]
+    names = np.cumsum(np.append(True, number[1:] != number[:-1])) - 1 if len(number) else number
+    width = int(names[-1]) + 1 if len(names) else 0
+    if 2.0 * m * m * width / 2e10 < 2.5e-5 * pair.sum():
+        for lo in range(0, width, 4096):
+            a, b = np.searchsorted(names, lo), np.searchsorted(names, lo + 4096)
+            x = np.zeros((m, 4096), np.float32)
+            x[where[a:b], names[a:b] - lo] = 1
+            out += np.rint(x @ x.T).astype(np.int64)
+    else:
+        for i, j in zip(*np.nonzero(pair), strict=True):
+            out[i, j] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    return out
+
+
+def _linked_rows(rows: DataFrame, texts: DataFrame, words: int, per_cent: int) -> DataFrame:
+    """(u, v): links between the labels of a node's rows, confirmed on whole shingle sets; of the
+    links between two labels one is given for every node they meet in."""
+
+    def solve(cols):
+        _, rep, label, n, side = (np.array(c) for c in cols[:5])
+        sets = shingle_sets(*utf8(pa.array(cols[5], pa.large_string())), words)
+        small = np.array([minhashes(s).astype(np.uint8) if len(s) else np.zeros(COORDINATES, np.uint8) for s in sets])
+        size = np.array([len(s) for s in sets])
+        pair = _alike(small, size, label, side, per_cent)
+        if not pair.any():
+            return None
+        both = _overlaps(sets, pair)
+        i, j = np.nonzero(pair & (100 * both >= per_cent * (size[:, None] + size[None] - both)))
+        ends = np.unique(np.column_stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["u", "v"])
+
+    full = rows.join(texts, rows["rep"] == texts["doc_id"])
+    return _by_node(full, ["node", "rep", "label", "n", "side", "text"], solve, "u long, v long")
 
 
 def _others(rows: DataFrame) -> DataFrame:
@@ -200,10 +254,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return cells.select(F.xxhash64("node", lo, hi).alias("node"), "rep", "label", "n", "small", side.alias("side"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, per_cent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, per_cent: int) -> DataFrame:
     """Pairs (a, b) whose whole shingle sets are linked."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
 
     def run(batches):
         for batch in batches:
@@ -242,15 +294,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILAR
     """
     each = materialise(sketches(docs, words), "sketches")
     sets = each.where("n > 0 and doc_id is not null")
-    grouped = sets.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    # the low byte of each of the first coordinates
-    low = F.concat(*[F.substring("sketch", 4 * i + 1, 1) for i in range(SMALL_COORDINATES)])
-    classes = materialise(grouped.withColumn("small", low), "classes")
+    grouped = sets.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("small").alias("small"))
+    classes = materialise(grouped, "classes")
 
     nodes = tree_nodes(classes, trees, depth)
     heads = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("head")).where("size > 1")
     shared = materialise(nodes.join(heads, "node").select("node", "rep", "head"), "nodes")
 
+    # the texts of all classes that meet another, moved once; ids grow with the corpus, so they are
+    # merged and not broadcast
+    met = shared.select(F.col("rep").alias("doc_id")).distinct()
+    texts = materialise(docs.select("doc_id", "text").hint("merge").join(met, "doc_id", "left_semi"), "texts")
+
     def likely(pairs: DataFrame) -> DataFrame:
         a, b = (classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("small").alias(f"s_{c}")) for c in "ab")
 
@@ -258,17 +313,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILAR
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                s = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SMALL_COORDINATES) for k in (4, 5)]
+                s = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (4, 5)]
                 n = [batch.column(k).to_numpy() for k in (2, 3)]
-                p = per_cent / 100
-                least = (p - 5 * np.sqrt(p * (1 - p) / SMALL_COORDINATES)) * SMALL_COORDINATES
-                ok = ((s[0] == s[1]).sum(axis=1) >= least) & (100 * np.minimum(*n) >= per_cent * np.maximum(*n))
+                ok = ((s[0] == s[1]).sum(axis=1) >= _least(per_cent)) & (100 * np.minimum(*n) >= per_cent * np.maximum(*n))
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
         return (pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long"))
 
     stars = shared.where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialise(confirmed(materialise(likely(stars), "stars"), docs, words, per_cent), "links")
+    links = confirmed(likely(stars), texts, words, per_cent)
     labels = materialise(components(links), "labels")
 
     def labelled(rows: DataFrame) -> DataFrame:
@@ -283,24 +336,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILAR
         mixed = materialise(rows.join(kinds, "node").select("node", "rep", "label", "size", "k", "top"), "mixed")
         small = F.col("size") <= small_node
         few = F.col("size") - F.col("k") <= FEW_OTHERS
-        found.append(_node_pairs(_with_small(mixed.where(small), classes), per_cent, False))
-        found.append(_node_pairs(_others(_with_small(mixed.where(~small & few), classes)), per_cent, True))
-        large = mixed.where(~small & ~few).select("node", "rep", "label")
+        found.append(_with_small(mixed.where(small), classes).select("node", "rep", "label", "n", "small", F.lit(0).alias("side")))
+        large = mixed.where(~small)
         if large.isEmpty():
             break
+        found.append(_others(_with_small(large.where(few), classes)))
+        large = large.where(~few).select("node", "rep", "label")
         if level >= max_depth:
-            found.append(_node_pairs(_blocks(_with_small(large, classes)), per_cent, True))
+            found.append(_blocks(_with_small(large, classes)))
             break
         rows, level = materialise(_deeper(large, classes), "deeper"), level + 1
-    pairs = found[0]
+    cells = found[0]
     for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    extra = confirmed(materialise(pairs.distinct(), "pairs"), docs, words, per_cent)
-    # groups of the first pass are contracted to their least class
-    named = [labels.select(F.col("vertex").alias(c), F.col("component").alias(f"c_{c}")) for c in "uv"]
-    joined = (extra.join(named[0], "u", "left").join(named[1], "v", "left")
-              .select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v")))
-    merged = materialise(components(joined), "merged")
+        cells = cells.unionByName(more)
+    # labels are groups of the first pass: the links found join them
+    merged = materialise(components(_linked_rows(_likely_rows(cells, per_cent), texts, words, per_cent)), "merged")
     final = (classes.select("n", "d1", "d2", "rep").join(labels, F.col("rep") == labels["vertex"], "left")
              .select("n", "d1", "d2", F.coalesce("component", "rep").alias("group"))
              .join(merged, F.col("group") == merged["vertex"], "left")
