@@ -27,7 +27,7 @@ POWER_STEPS = 2
 FIT_DOCUMENTS = 4000  # documents in the fit of the latent space, the first by a hash of their id
 FIT_WINDOW = 64
 PASSAGE_WORDS = 48  # longer items are searched by passages of this many words
-LEAST_COSINE = 0.65
+LEAST_COSINE = 0.7
 ITEM_BLOCK = 20_000  # items searched for at once: bounds what a task holds of the benchmark
 SURE_SHARE = 0.8  # of an item's words in order: contaminated
 LIKELY_SHARE = 0.6  # contaminated if the answer is there too
@@ -35,6 +35,7 @@ ANSWER_SHARE = 0.8
 SHORT_WORDS = 6  # items below need all their words, side by side
 BLOCK_TERMS = 512
 
+SEARCH_BYTES = 1 << 20  # text bytes whose prefix sums are held at once
 FIT_TASKS = 8  # tasks that add up the fit's bounded sample
 
 RESULT_DDL = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
@@ -196,7 +197,7 @@ class Items:
     """Benchmark items of a block: words, answers, and latent vectors of their passages."""
 
     def __init__(self, rows, vectors: np.ndarray):
-        self.ids, self.words, self.sorted, self.answers = [], [], [], []
+        self.ids, self.words, self.arrays, self.answers = [], [], [], []
         passages: dict[int, list] = {}
         for item_id, text in rows:
             h = self._hashes(text or "")
@@ -207,7 +208,7 @@ class Items:
             number = len(self.ids)
             self.ids.append(item_id)
             self.words.append(h.tolist())
-            self.sorted.append(np.unique(h))
+            self.arrays.append(h)
             self.answers.append(answer.tolist())
             parts = -(-len(h) // PASSAGE_WORDS)
             for p in np.array_split(h, parts):
@@ -221,13 +222,19 @@ class Items:
     def _hashes(text: str) -> np.ndarray:
         return _words(pa.array([text], pa.string()))[2]
 
+    def may_hold(self, number: int, held: np.ndarray) -> bool:
+        """Whether enough of the item's words are among ``held`` (sorted, not empty): the words in
+        order can't be more than those."""
+        item = self.arrays[number]
+        there = held[np.minimum(np.searchsorted(held, item), len(held) - 1)] == item
+        return there.sum() >= LIKELY_SHARE * len(item)
+
     def check(self, number: int, words: np.ndarray, lo: int, hi: int):
         """(lcs share, answer share) if the item stands in or about words[lo:hi), else None."""
         item = self.words[number]
         m = len(item)
         near = words[max(0, lo - m):hi + m]
-        known = self.sorted[number]
-        if (known[np.minimum(np.searchsorted(known, near), len(known) - 1)] == near).sum() < LIKELY_SHARE * m:
+        if not self.may_hold(number, np.unique(near)):
             return None
         around = near.tolist()
         if m < SHORT_WORDS:
@@ -255,24 +262,37 @@ def _hits(texts: pa.Array, items: Items, vectors: np.ndarray, least: float) -> l
     rows: list[tuple] = []
     if not len(h) or not items.classes:
         return rows
-    prefix = np.zeros((len(h) + 1, vectors.shape[1]))
-    np.cumsum(vectors[_terms(h)], axis=0, out=prefix[1:], dtype=np.float64)
-    found: dict = {}
+    # prefix sums per dimension: a dimension's column of term vectors stays in the cache
+    term = _terms(h)
+    prefix = np.zeros((vectors.shape[1], len(h) + 1))
+    for r in range(vectors.shape[1]):
+        np.cumsum(vectors[:, r][term], out=prefix[r, 1:], dtype=np.float64)
+    near = []
     for size, (numbers, z) in items.classes.items():
         doc, lo, hi = windows(first, size)
-        for a in range(0, len(lo), 1 << 14):
-            x = (prefix[hi[a:a + (1 << 14)]] - prefix[lo[a:a + (1 << 14)]]).astype(np.float32)
-            x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-            cosine = x @ z.T
-            for i, j in zip(*np.nonzero(cosine >= least), strict=True):
-                key = (int(doc[a + i]), int(numbers[j]))
-                found.setdefault(key, []).append((float(cosine[i, j]), int(lo[a + i]), int(hi[a + i])))
-    for (d, number), spots in found.items():
-        words = h[first[d]:first[d + 1]]
-        for cosine_, lo_, hi_ in sorted(spots, reverse=True):
-            ok = items.check(number, words, lo_ - int(first[d]), hi_ - int(first[d]))
+        for a in range(0, len(lo), 1 << 13):
+            b = min(len(lo), a + (1 << 13))
+            x = (prefix[:, hi[a:b]] - prefix[:, lo[a:b]]).astype(np.float32)
+            x /= np.maximum(np.sqrt((x * x).sum(axis=0)), 1e-12)
+            cosine = z @ x
+            j, i = np.nonzero(cosine >= least)
+            near.append((doc[a + i], numbers[j], cosine[j, i], lo[a + i], hi[a + i]))
+    doc, number, cosine, lo, hi = (np.concatenate(x) for x in zip(*near, strict=True))
+    order = np.lexsort((lo, -cosine, number, doc))
+    doc, number, cosine, lo, hi = (x[order] for x in (doc, number, cosine, lo, hi))
+    pair = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (number[1:] != number[:-1]))) if len(doc) else doc
+    last = None
+    for at, end in zip(pair, [*pair[1:], len(doc)], strict=False):
+        d, k = int(doc[at]), int(number[at])
+        if d != last:
+            last, words = d, h[first[d]:first[d + 1]]
+            held = np.unique(words)
+        if not items.may_hold(k, held):
+            continue
+        for i in range(at, end):  # best cosine first
+            ok = items.check(k, words, int(lo[i] - first[d]), int(hi[i] - first[d]))
             if ok:
-                rows.append((d, items.ids[number], cosine_, *ok, lo_ - int(first[d])))
+                rows.append((d, items.ids[k], float(cosine[i]), *ok, int(lo[i] - first[d])))
                 break
     return rows
 
@@ -282,7 +302,7 @@ def _search(docs: DataFrame, items: Items, vectors: np.ndarray, least: float) ->
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SEARCH_BYTES):
                 cols = list(zip(*_hits(part.column(1), *held.value, least), strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(cols[0], pa.int64())).cast(pa.int64()), pa.array(cols[1], pa.int64()),
@@ -298,7 +318,7 @@ def _without(docs: DataFrame, items: Items, vectors: np.ndarray, least: float) -
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SEARCH_BYTES):
                 keep = np.ones(part.num_rows, bool)
                 keep[[r[0] for r in _hits(part.column(at), *held.value, least)]] = False
                 yield part.filter(pa.array(keep))
