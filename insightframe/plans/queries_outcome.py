@@ -154,17 +154,24 @@ def q_confidence_tier(spark, sf_dir):
 LI_NUM_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
+# stand-in columns that move with the outcome, so that the threshold and the top rule have rows
+LI_TIED_COLS = {"v1": "l_quantity + 40.0 * y", "V2": "l_discount - 0.05 * y", "amount": "l_extendedprice + 20000.0 * y",
+                "v3": "l_discount + 0.03 * y", "bulk": "l_quantity + 5.0 * y", "w1": "l_linenumber + 1.0 * y",
+                "w2": "l_linenumber - 2.0 * y"}
+
+
 def _num_sql(top: bool) -> str:
     parts = []
-    for i, c in enumerate(LI_NUM_COLS):
+    for i, c in enumerate([*LI_NUM_COLS, *(LI_TIED_COLS if top else [])]):
         parts.append(f"""SELECT '{c}' AS col_name, {i} AS col_ord,
   covar_pop(CAST({c} AS DOUBLE), CAST(y AS DOUBLE)) / NULLIF(stddev_pop(CAST({c} AS DOUBLE)) * stddev_pop(CAST(y AS DOUBLE)), 0) AS r,
   COUNT(*) FILTER (WHERE {c} IS NOT NULL AND y IS NOT NULL) AS n_pairs
 FROM base WHERE {c} IS NOT NULL AND y IS NOT NULL""")
     body = "\nUNION ALL\n".join(parts)
+    tied = "".join(f", {x} AS {c}" for c, x in LI_TIED_COLS.items()) if top else ""
     sql = f"""
 WITH base AS (SELECT * REPLACE (CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_tax END AS l_tax),
-                     CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem),
+                     CAST(l_returnflag = 'R' AS INTEGER) AS y{tied} FROM lineitem),
 d AS ({body})
 """
     if not top:
@@ -196,5 +203,7 @@ def q_numeric_drivers(spark, sf_dir):
 
 @register("numeric_drivers_top", oracle=_num_sql(True))
 def q_numeric_drivers_top(spark, sf_dir):
-    d = oc.numeric_drivers(_num_base(spark, sf_dir), LI_NUM_COLS)
+    """The six strongest of the line columns and stand-ins that move with the outcome."""
+    base = _num_base(spark, sf_dir).withColumns({c: F.expr(x) for c, x in LI_TIED_COLS.items()})
+    d = oc.numeric_drivers(base, [*LI_NUM_COLS, *LI_TIED_COLS])
     return _num_out(oc.numeric_drivers_top(d), True)
