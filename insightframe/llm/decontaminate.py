@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import NOT_ALNUM, ascii_words, materialise, slices, utf8
 
 TERM_BITS = 16
-RANK = 48
+RANK = 32
 POWER_STEPS = 2
 FIT_DOCUMENTS = 4000  # documents in the fit of the latent space, the first by a hash of their id
 FIT_WINDOW = 64
@@ -59,8 +59,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for part in slices(batch):
                 _, _, h, first = _words(part.column(0))
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                pair = np.unique((doc << TERM_BITS) | _terms(h))
-                count += np.bincount(pair & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
+                # half-width keys sort faster; a slice that has too many documents for them keeps wide ones
+                pair = (doc << TERM_BITS) | _terms(h)
+                pair = np.sort(pair.astype(np.uint32) if len(first) <= 1 << (32 - TERM_BITS) else pair)
+                pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+                count += np.bincount((pair & ((1 << TERM_BITS) - 1)).astype(np.int64), minlength=1 << TERM_BITS)
                 rows += part.num_rows
         held = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(count[held], rows))], ["term", "n"])
