@@ -2,8 +2,8 @@
 
 1. Document frequencies of hashed words over all documents give TF-IDF weights.
 2. A randomised SVD (a random start and power iterations, each one Spark job that adds up
-   A^T (A X) from passages) gives a latent space of ``RANK`` dimensions. It is fitted on all
-   benchmark passages and on a bounded sample of documents (``FIT_DOCUMENTS``).
+   A^T (A X) from passages) gives a latent space of ``RANK`` dimensions. It is fitted on the
+   passages of all documents and of all benchmark items.
 3. Every window of every document is projected (prefix sums of word vectors) and compared by
    cosine with the benchmark passages of its size class.
 4. Candidates are checked on words: the longest common subsequence of the item and the text
@@ -19,12 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ascii_words, materialise, slices, utf8
+from .common import NOT_ALNUM, ascii_words, slices, utf8
 
 TERM_BITS = 16
 RANK = 32
 POWER_STEPS = 2
-FIT_DOCUMENTS = 4000  # documents in the fit of the latent space, the first by a hash of their id
 FIT_WINDOW = 64
 PASSAGE_WORDS = 48  # longer items are searched by passages of this many words
 LEAST_COSINE = 0.7
@@ -36,7 +35,7 @@ SHORT_WORDS = 6  # items below need all their words, side by side
 BLOCK_TERMS = 512
 
 SEARCH_BYTES = 1 << 20  # text bytes whose prefix sums are held at once
-FIT_TASKS = 8  # tasks that add up the fit's bounded sample
+FIT_ENTRIES = 1 << 16  # entries of passage vectors that are multiplied at once
 
 RESULT_DDL = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
 
@@ -97,21 +96,21 @@ def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.nda
                 edge = np.append(True, (doc[1:] != doc[:-1]) | (place[1:] % FIT_WINDOW == 0))
                 at = np.flatnonzero(edge)
                 row = np.cumsum(edge) - 1
-                order = np.lexsort((term, row))
-                t, r = term[order], row[order]
-                new = np.append(True, (t[1:] != t[:-1]) | (r[1:] != r[:-1]))
-                spot = np.flatnonzero(new)
-                tf = np.diff(np.append(spot, len(t)))
-                t, r = t[spot], r[spot]
+                cell, tf = np.unique((row << TERM_BITS) | term, return_counts=True)
+                t, r = cell & ((1 << TERM_BITS) - 1), cell >> TERM_BITS
                 w = tf * idf_[t]
                 w = w / np.sqrt(np.maximum(np.bincount(r, weights=w * w, minlength=len(at)), 1e-12))[r]
                 w = (w * np.sqrt(part.column(1).to_numpy()[doc[at]])[r]).astype(np.float32)
-                y = np.add.reduceat(w[:, None] * x_[t], np.flatnonzero(np.append(True, r[1:] != r[:-1])), axis=0)
-                back = w[:, None] * y[r]
-                order = np.argsort(t, kind="stable")
-                t = t[order]
-                lead = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                total[t[lead]] += np.add.reduceat(back[order], lead, axis=0)
+                # whole passages, about FIT_ENTRIES entries at a time
+                start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                cut = np.unique(np.append(start[np.searchsorted(start, np.arange(0, len(t), FIT_ENTRIES), "right") - 1], len(t)))
+                for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                    tc, rc, wc = t[lo:hi], r[lo:hi] - r[lo], w[lo:hi, None]
+                    y = np.add.reduceat(wc * x_[tc], np.flatnonzero(np.append(True, rc[1:] != rc[:-1])), axis=0)
+                    order = np.argsort(tc, kind="stable")
+                    tc = tc[order]
+                    lead = np.flatnonzero(np.append(True, tc[1:] != tc[:-1]))
+                    total[tc[lead]] += np.add.reduceat(wc[order] * y[rc[order]], lead, axis=0)
         held_terms = np.flatnonzero(total.any(axis=1))
         block = held_terms // BLOCK_TERMS
         edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else block
@@ -150,20 +149,23 @@ def _block_rows(rows) -> pa.RecordBatch:
 
 
 def latent_space(docs: DataFrame, items: DataFrame, rank: int = RANK, power_steps: int = POWER_STEPS,
-                 fit_documents: int = FIT_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
+                 fit_documents: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(term vectors scaled by idf, singular values): word w's latent vector is row term(w).
 
-    Idf counts all documents. Benchmark passages weigh as much as the sample all together, so the
-    space holds what sets items apart from each other and from the corpus.
+    Idf and the fit take all documents, unless ``fit_documents`` asks for a trial on fewer.
+    Benchmark passages weigh as much as the documents all together, so the space holds what sets
+    items apart from each other and from the corpus.
     """
     df, rows = document_frequencies(docs)
     idf = np.log((1 + rows) / (1 + df)) + 0.1
-    chosen = (docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
-              .limit(fit_documents).distinct())
-    # at most fit_documents ids: bounded
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text", F.lit(1.0).alias("weight"))
+    fitted = docs.select("doc_id", "text")
+    if fit_documents is not None:
+        chosen = (docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
+                  .limit(fit_documents).distinct())
+        fitted, rows = fitted.join(F.broadcast(chosen), "doc_id", "left_semi"), fit_documents
     n_items = max(1, items.count())
-    passages = materialise(sample.unionByName(items.select("text", F.lit(max(1.0, 4.0 * fit_documents / n_items)).alias("weight"))).coalesce(FIT_TASKS), "passages")
+    passages = fitted.select("text", F.lit(1.0).alias("weight")).unionByName(
+        items.select("text", F.lit(max(1.0, 4.0 * rows / n_items)).alias("weight")))
     x = np.random.default_rng(5).standard_normal((1 << TERM_BITS, rank), np.float32)
     for _ in range(1 + power_steps):
         product = _gram_product(passages, idf, x)

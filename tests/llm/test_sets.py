@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -241,6 +242,14 @@ def test_planted_items_are_found(spark):
     assert clean.count() == len(docs) - len({d for d, _ in got})
 
 
+def test_latent_space_is_fitted_on_all_documents(spark):
+    docs = [(d, " ".join(f"only{d}n{i}" for i in range(3))) for d in range(4300)]
+    some = spark.createDataFrame([(1, prose(1, 20))], "item_id long, text string")
+    vectors, _ = decontaminate.latent_space(table(spark, docs), some, rank=4, power_steps=0)
+    h = decontaminate._words(pa.array([t for _, t in docs]))[2]
+    assert vectors[decontaminate._terms(h)].any(axis=1).all()
+
+
 def test_no_items_and_no_documents(spark):
     docs = table(spark, EDGES)
     none = spark.createDataFrame([(1, None)], "item_id long, text string")
