@@ -8,6 +8,8 @@
    cosine with the benchmark passages of its size class.
 4. Candidates are checked on words: the longest common subsequence of the item and the text
    around the window, and for paraphrases also the item's answer (its last sentence).
+5. A lookup of the items' words finds every other place that could pass these checks, so what is
+   found does not depend on the cosine, the rank or the number of hashed terms.
 """
 from __future__ import annotations
 
@@ -26,7 +28,7 @@ RANK = 32
 POWER_STEPS = 2
 FIT_WINDOW = 64
 PASSAGE_WORDS = 48  # longer items are searched by passages of this many words
-LEAST_COSINE = 0.7
+LEAST_COSINE = 0.55
 ITEM_BLOCK = 20_000  # items searched for at once: bounds what a task holds of the benchmark
 SURE_SHARE = 0.8  # of an item's words in order: contaminated
 LIKELY_SHARE = 0.6  # contaminated if the answer is there too
@@ -35,7 +37,7 @@ SHORT_WORDS = 6  # items below need all their words, side by side
 BLOCK_TERMS = 512
 
 SEARCH_BYTES = 1 << 20  # text bytes whose prefix sums are held at once
-FIT_ENTRIES = 1 << 16  # entries of passage vectors that are multiplied at once
+PAIR_CELLS = 1 << 22  # (document, item) counts of the word lookup held at once
 
 RESULT_DDL = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
 
@@ -79,12 +81,12 @@ def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.nda
     """A^T (A x), where A's rows are the normalised TF-IDF vectors of ``passages`` (text, weight)
     in windows of FIT_WINDOW words. Tasks send their part by blocks of terms."""
     spark = passages.sparkSession
-    held = spark.sparkContext.broadcast((idf.astype(np.float32), x))
+    held = spark.sparkContext.broadcast((idf.astype(np.float32), np.ascontiguousarray(x.T)))
     rank = x.shape[1]
 
     def run(batches):
         idf_, x_ = held.value
-        total = np.zeros((1 << TERM_BITS, rank), np.float32)
+        sums_ = np.zeros((rank, 1 << TERM_BITS))
         for batch in batches:
             for part in slices(batch):
                 _, _, h, first = _words(part.column(0))
@@ -101,16 +103,12 @@ def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.nda
                 w = tf * idf_[t]
                 w = w / np.sqrt(np.maximum(np.bincount(r, weights=w * w, minlength=len(at)), 1e-12))[r]
                 w = (w * np.sqrt(part.column(1).to_numpy()[doc[at]])[r]).astype(np.float32)
-                # whole passages, about FIT_ENTRIES entries at a time
                 start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                cut = np.unique(np.append(start[np.searchsorted(start, np.arange(0, len(t), FIT_ENTRIES), "right") - 1], len(t)))
-                for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                    tc, rc, wc = t[lo:hi], r[lo:hi] - r[lo], w[lo:hi, None]
-                    y = np.add.reduceat(wc * x_[tc], np.flatnonzero(np.append(True, rc[1:] != rc[:-1])), axis=0)
-                    order = np.argsort(tc, kind="stable")
-                    tc = tc[order]
-                    lead = np.flatnonzero(np.append(True, tc[1:] != tc[:-1]))
-                    total[tc[lead]] += np.add.reduceat(wc[order] * y[rc[order]], lead, axis=0)
+                # by dimension: its column of x stays in the cache
+                for k in range(rank):
+                    y = np.add.reduceat(w * x_[k][t], start)
+                    sums_[k] += np.bincount(t, weights=w * y[r], minlength=1 << TERM_BITS)
+        total = np.ascontiguousarray(sums_.T, np.float32)
         held_terms = np.flatnonzero(total.any(axis=1))
         block = held_terms // BLOCK_TERMS
         edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else block
@@ -175,12 +173,9 @@ def latent_space(docs: DataFrame, items: DataFrame, rank: int = RANK, power_step
 
 
 def window_size(words: int) -> int:
-    """Window of the size class of a passage: three quarters of it hold the passage, so that one
-    of the windows a quarter apart holds it whole."""
-    size = 16
-    while 3 * size < 4 * words:
-        size = size * 3 // 2 & ~3
-    return size
+    """Window of the size class of a passage, in steps of eight words: three quarters of it hold
+    the passage, so that one of the windows a quarter apart holds it whole."""
+    return max(8, -(-4 * words // 3) + 7 & ~7)
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -202,7 +197,7 @@ class Items:
     """Benchmark items of a block: words, answers, and latent vectors of their passages."""
 
     def __init__(self, rows, vectors: np.ndarray):
-        self.ids, self.words, self.arrays, self.answers = [], [], [], []
+        self.ids, self.words, self.arrays, self.answers, self.passages = [], [], [], [], []
         passages: dict[int, list] = {}
         for item_id, text in rows:
             h = self._hashes(text or "")
@@ -215,18 +210,75 @@ class Items:
             self.words.append(h.tolist())
             self.arrays.append(h)
             self.answers.append(answer.tolist())
+            self.passages.append([])
             parts = -(-len(h) // PASSAGE_WORDS)
             for p in np.array_split(h, parts):
                 z = vectors[_terms(p)].sum(axis=0)
                 norm = np.linalg.norm(z)
                 if norm > 0:
                     passages.setdefault(window_size(len(p)), []).append((number, z / norm))
+                    self.passages[-1].append(z / norm)
         self.classes = {w: (np.array([n for n, _ in p]), np.array([z for _, z in p], np.float32)) for w, p in passages.items()}
+        # each distinct word's items, and how often it stands in them
+        self.distinct = [np.unique(x, return_counts=True) for x in self.arrays]
+        word = np.concatenate([w for w, _ in self.distinct] or [np.zeros(0, np.uint64)])
+        order = np.argsort(word, kind="stable")
+        self.vocabulary = np.unique(word)
+        self.posting_first = np.append(np.searchsorted(word[order], self.vocabulary), len(word))
+        self.posting_item = np.repeat(np.arange(len(self.ids)), [len(w) for w, _ in self.distinct])[order]
+        self.posting_count = np.concatenate([n for _, n in self.distinct] or [np.zeros(0, np.int64)])[order]
+        self.least = np.array([len(x) if len(x) < SHORT_WORDS else LIKELY_SHARE * len(x) for x in self.arrays])
 
     @staticmethod
     def _hashes(text: str) -> np.ndarray:
         return _words(pa.array([text], pa.string()))[2]
 
+    def sharing(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, items) in order, of all pairs where the document holds enough of the item's
+        words for ``check``: the words in order can't be more than those."""
+        found = [(np.zeros(0, np.int64),) * 2]
+        step = max(1, PAIR_CELLS // max(1, len(self.ids)))
+        for lo in range(0, len(first) - 1, step):
+            hi = min(lo + step, len(first) - 1)
+            words = h[first[lo]:first[hi]]
+            at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+            known = self.vocabulary[at] == words
+            doc = np.repeat(np.arange(hi - lo), np.diff(first[lo:hi + 1]))[known]
+            cell = np.unique(doc * len(self.vocabulary) + at[known])
+            doc, at = cell // len(self.vocabulary), cell % len(self.vocabulary)
+            count = np.zeros((hi - lo) * len(self.ids))
+            n = self.posting_first[at + 1] - self.posting_first[at]
+            total = np.append(0, np.cumsum(n))
+            cut = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], PAIR_CELLS)), len(at)))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                post = np.arange(n[a:b].sum()) + np.repeat(self.posting_first[at[a:b]] - np.cumsum(n[a:b]) + n[a:b], n[a:b])
+                pair = np.repeat(doc[a:b], n[a:b]) * len(self.ids) + self.posting_item[post]
+                count += np.bincount(pair, weights=self.posting_count[post], minlength=len(count))
+            d, k = np.nonzero(count.reshape(hi - lo, len(self.ids)) >= self.least)
+            found.append((d + lo, k))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def cosine(self, number: int, x: np.ndarray) -> float:
+        """Best cosine of the item's passages with a stretch's vector."""
+        return max((float(z @ x) for z in self.passages[number]), default=0.0) / max(float(np.linalg.norm(x)), 1e-12)
+
+    def places(self, number: int, words: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches (start, end) of words that hold enough of the item's words for ``check``."""
+        distinct, m = self.distinct[number][0], len(self.arrays[number])
+        stretch = m if m < SHORT_WORDS else m + m // 2
+        known = distinct[np.minimum(np.searchsorted(distinct, words), len(distinct) - 1)] == words
+        total = np.append(0, np.cumsum(known))
+        start = np.arange(max(1, len(words) - stretch + 1))
+        good = start[total[np.minimum(start + stretch, len(words))] - total[start] >= self.least[number]]
+        if not len(good):
+            return []
+        # neighbouring starts are one place, of a stretch at most
+        runs = np.flatnonzero(np.append(True, (good[1:] - good[:-1] > 1)))
+        out = []
+        for a, b in zip(good[runs].tolist(), good[np.append(runs[1:], len(good)) - 1].tolist(), strict=True):
+            out += [(s, min(min(s + stretch, b + 1) + stretch - 1, len(words))) for s in range(a, b + 1, stretch)]
+        return out
+
     def may_hold(self, number: int, held: np.ndarray) -> bool:
         """Whether enough of the item's words are among ``held`` (sorted, not empty): the words in
         order can't be more than those."""
@@ -265,14 +317,14 @@ def _hits(texts: pa.Array, items: Items, vectors: np.ndarray, least: float) -> l
     """(row, item_id, cosine, lcs share, answer share, first word) of every text and item found."""
     _, _, h, first = _words(texts)
     rows: list[tuple] = []
-    if not len(h) or not items.classes:
+    if not len(h) or not items.ids:
         return rows
     # prefix sums per dimension: a dimension's column of term vectors stays in the cache
     term = _terms(h)
     prefix = np.zeros((vectors.shape[1], len(h) + 1))
     for r in range(vectors.shape[1]):
         np.cumsum(vectors[:, r][term], out=prefix[r, 1:], dtype=np.float64)
-    near = []
+    near = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),) + (np.zeros(0, np.int64),) * 2]
     for size, (numbers, z) in items.classes.items():
         doc, lo, hi = windows(first, size)
         for a in range(0, len(lo), 1 << 13):
@@ -283,21 +335,30 @@ def _hits(texts: pa.Array, items: Items, vectors: np.ndarray, least: float) -> l
             j, i = np.nonzero(cosine >= least)
             near.append((doc[a + i], numbers[j], cosine[j, i], lo[a + i], hi[a + i]))
     doc, number, cosine, lo, hi = (np.concatenate(x) for x in zip(*near, strict=True))
-    order = np.lexsort((lo, -cosine, number, doc))
-    doc, number, cosine, lo, hi = (x[order] for x in (doc, number, cosine, lo, hi))
-    pair = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (number[1:] != number[:-1]))) if len(doc) else doc
-    last = None
-    for at, end in zip(pair, [*pair[1:], len(doc)], strict=False):
-        d, k = int(doc[at]), int(number[at])
-        if d != last:
-            last, words = d, h[first[d]:first[d + 1]]
-            held = np.unique(words)
-        if not items.may_hold(k, held):
+    # every pair that could pass the check, with its windows by cosine and then its other places
+    held, item = items.sharing(h, first)
+    pair = held * len(items.ids) + item
+    mine = np.searchsorted(pair, doc * len(items.ids) + number)
+    keep = np.append(pair, -1)[mine] == doc * len(items.ids) + number
+    mine, cosine, lo, hi = (x[keep] for x in (mine, cosine, lo, hi))
+    order = np.lexsort((lo, -cosine, mine))
+    mine, cosine, lo, hi = (x[order] for x in (mine, cosine, lo, hi))
+    edge = np.searchsorted(mine, np.arange(len(pair) + 1))
+    for p, (d, k) in enumerate(zip(held.tolist(), item.tolist(), strict=True)):
+        words = h[first[d]:first[d + 1]]
+        places = items.places(k, words)
+        if not places:
             continue
-        for i in range(at, end):  # best cosine first
-            ok = items.check(k, words, int(lo[i] - first[d]), int(hi[i] - first[d]))
+        near = [(float(cosine[i]), int(lo[i] - first[d]), int(hi[i] - first[d])) for i in range(edge[p], edge[p + 1])]
+        # a window without a place about it has nothing to check
+        m = len(items.words[k])
+        spots = [x for x in near if any(a < x[2] + m and b > x[1] - m for a, b in places)]
+        for c, a, b in spots + [(None, a, b) for a, b in places]:
+            ok = items.check(k, words, a, b)
             if ok:
-                rows.append((d, items.ids[k], float(cosine[i]), *ok, int(lo[i] - first[d])))
+                if c is None:
+                    c = items.cosine(k, prefix[:, first[d] + b] - prefix[:, first[d] + a])
+                rows.append((d, items.ids[k], c, *ok, a))
                 break
     return rows
 
