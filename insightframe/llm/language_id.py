@@ -2,9 +2,10 @@
 
 Symbols are letters in lower case and one mark for every run of other characters. Counts cover
 all training texts: tasks count 4-grams per language, Spark sums them and derives from the
-distinct 4-grams the continuation counts of the lower orders and the contexts' totals. A model
-is a sorted array of n-gram hashes with one log-probability per language beside it; the hash
-space (``HASH_BITS``) bounds each array whatever the corpus holds. A text goes to the language
+distinct 4-grams the continuation counts of the lower orders, the contexts' totals and, order by
+order, the probabilities. A model is a sorted array of all n-grams with one log-probability per
+language beside it; keys are exact (mixed one to one), so the arrays grow with the distinct
+n-grams and no two share an entry. A text goes to the language
 of lowest cross-entropy per symbol, if that is not beyond what the language's own texts show.
 """
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from .common import fold_of, mix64, slices
 
 ORDER = 4
-HASH_BITS = 22
 DISCOUNT = 0.75
 ALPHABET = 1 << 16
 MAX_LANGUAGES = 1000  # a label column with more values is refused
@@ -62,11 +62,11 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key, doc
 
 
-def bucket(key: np.ndarray, symbols_in: int) -> np.ndarray:
-    """Hash of the last ``symbols_in`` symbols of 64-bit keys."""
-    if symbols_in < 4:
+def mixed(key: np.ndarray, symbols_in: int) -> np.ndarray:
+    """The last ``symbols_in`` symbols of 64-bit keys, mixed one to one: no two n-grams are equal."""
+    if symbols_in < ORDER:
         key = key & np.uint64((1 << 16 * symbols_in) - 1)
-    return (mix64(key * np.uint64(8) + np.uint64(symbols_in)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    return mix64(key)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -115,8 +115,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class LanguageModel:
-    """``grams[n]``: sorted hashes of seen n-grams and their log-probability per language.
-    ``backoff[n]``: sorted hashes of n-symbol contexts and the log-weight of the next shorter."""
+    """``grams[n]``: sorted mixed keys of seen n-grams and their log-probability per language.
+    ``backoff[n]``: sorted mixed keys of n-symbol contexts and the log-weight of the next shorter."""
 
     languages: list[str]
     grams: dict[int, tuple[np.ndarray, np.ndarray]]
@@ -133,27 +133,40 @@ class LanguageModel:
             if not len(todo):
                 break
             hashes, table = self.grams[n]
-            b = bucket(key[todo], n)
+            b = mixed(key[todo], n)
             at = self._find(("g", n), hashes, b)
             hit = at >= 0
             out[todo[hit]] = table[at[hit]] + gained[todo[hit]]
             todo = todo[~hit]
             if n > 1 and len(todo):
                 hashes, table = self.backoff[n - 1]
-                at = self._find(("b", n - 1), hashes, bucket(key[todo] >> np.uint64(16), n - 1))
+                at = self._find(("b", n - 1), hashes, mixed(key[todo] >> np.uint64(16), n - 1))
                 seen = at >= 0
                 gained[todo[seen]] += table[at[seen]]
         out[todo] += gained[todo]
         return out
 
     def _find(self, name, hashes: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Row of each hash in its sorted array, or -1; by a direct index over the hash space."""
+        """Row of each key in its sorted array, or -1; by an index over the leading bits."""
         index = self.__dict__.setdefault("_index", {})
         if name not in index:
-            direct = np.full(1 << HASH_BITS, -1, np.int32)
-            direct[hashes] = np.arange(len(hashes), dtype=np.int32)
-            index[name] = direct
-        return index[name][b]
+            shift = np.uint64(64 - max(1, len(hashes).bit_length() + 1))
+            first = np.searchsorted(hashes, np.arange(1 << (64 - int(shift)), dtype=np.uint64) << shift)
+            first = np.append(first, len(hashes)).astype(np.int32)
+            index[name] = shift, first, int(np.diff(first).max())
+        shift, first, longest = index[name]
+        lead = (b >> shift).astype(np.int64)
+        at, end = first[lead], first[lead + 1]
+        out = np.full(len(b), -1, np.int32)
+        todo = np.flatnonzero(at < end)
+        for _ in range(longest):
+            spot = at[todo]
+            hit = hashes[spot] == b[todo]
+            out[todo[hit]] = spot[hit]
+            todo = todo[~hit]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return out
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_index"}
@@ -172,102 +185,112 @@ class LanguageModel:
         return total / np.maximum(n, 1)[:, None], letters
 
 
-def _tables(counts: DataFrame):
-    """Rows (lang, kind, n, key, total, types) of every order, hashed on collection.
+def _dense(column: pa.Array, fields: int, languages: int) -> list[np.ndarray]:
+    """(rows, languages) array of each field of lists of (language number, field, ...)."""
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    parts = column.flatten().flatten()
+    out = []
+    for f in range(fields):
+        x = np.zeros((len(column), languages))
+        x[row, parts[0].to_numpy()] = parts[f + 1].to_numpy()
+        out.append(x)
+    return out
 
-    kind g: an n-gram's count (continuation count below the top order). kind c: an n-symbol
-    context's total and number of distinct followers. ``key`` is one n-gram behind the hash.
-    """
-    grams = {ORDER: counts.select("lang", F.col("gram").alias("key"), F.col("n").alias("total"))}
-    for n in range(ORDER - 1, 0, -1):
-        mask = (1 << 16 * n) - 1
-        grams[n] = (grams[n + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(mask)).alias("key"))
-                    .agg(F.count(F.lit(1)).alias("total")))
-    parts = []
-    for n, g in grams.items():
-        parts.append(g.select("lang", F.lit("g").alias("kind"), F.lit(n).alias("n"), "key", "total", F.lit(1).cast("long").alias("types")))
-        if n > 1:
-            context = F.shiftrightunsigned("key", 16)
-            parts.append(g.groupBy("lang", context.alias("key")).agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("types"))
-                         .select("lang", F.lit("c").alias("kind"), F.lit(n - 1).alias("n"), "key", "total", "types"))
-    rows = functools.reduce(DataFrame.unionByName, parts)
-
-    def hashed(batches):
-        for batch in batches:
-            key, n = batch.column(3).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            b = np.zeros(len(key), np.int64)
-            for order in range(1, ORDER + 1):
-                b[n == order] = bucket(key[n == order], order)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(b)], [*batch.schema.names, "bucket"])
 
-    # at most languages * 7 * 2^HASH_BITS rows reach the driver, whatever the corpus holds
-    return (rows.mapInArrow(hashed, "lang string, kind string, n int, key long, total long, types long, bucket long")
-            .groupBy("lang", "kind", "n", "bucket")
-            .agg(F.min("key").alias("key"), F.sum("total").alias("total"), F.sum("types").alias("types")))
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
+
+
+def _finished(table: DataFrame, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted mixed keys, float32 row per key) of a table (key, value)."""
+    t = table.select("key", "value").toArrow()
+    key = mix64(t.column("key").to_numpy().view(np.uint64))
+    value = np.frombuffer(b"".join(t.column("value").to_pylist()), np.float32).reshape(len(key), languages)
+    order = np.argsort(key)
+    return key[order], value[order]
 
 
 def learn(training: DataFrame) -> LanguageModel:
-    """Model from all rows of ``training`` (lang, text); rows without a language are left out."""
+    """Model from all rows of ``training`` (lang, text); rows without a language are left out.
+
+    Counts, discounts, back-off weights and probabilities are tables by exact n-gram; only the
+    finished arrays are gathered, one row per distinct n-gram and context.
+    """
     from .common import materialise
 
     counts = materialise(gram_counts(training.where(F.col("lang").isNotNull())), "grams")
     languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    t = _tables(counts).toArrow()
-    lang = np.searchsorted(np.array(languages, object), np.array(t.column("lang").to_pylist(), object)) if len(t) else np.zeros(0, int)
-    kind = np.array(t.column("kind").to_pylist(), object) == "g"
-    n, b, total, types = (t.column(c).to_numpy() for c in ("n", "bucket", "total", "types"))
-    key = t.column("key").to_numpy().view(np.uint64)
     size = len(languages)
-    dense = np.zeros(1 << HASH_BITS)
+    if not size:
+        none = np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)
+        return LanguageModel([], dict.fromkeys(range(1, ORDER + 1), none), dict.fromkeys(range(1, ORDER), none), np.zeros(0, np.float32))
+    numbers = counts.sparkSession.createDataFrame(list(enumerate(languages)), "j int, lang string")
+    counted = {ORDER: counts.join(F.broadcast(numbers), "lang").select("j", F.col("gram").alias("key"), F.col("n").alias("total"))}
+    for n in range(ORDER - 1, 0, -1):
+        counted[n] = (counted[n + 1].groupBy("j", F.col("key").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("key"))
+                      .agg(F.count(F.lit(1)).alias("total")))
+    single = materialise(counted[1], "singles")
+    alphabet = max(2, single.select("key").distinct().count() + 1)
+    whole, kinds = np.ones(size), np.zeros(size)
+    for r in single.groupBy("j").agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("types")).collect():
+        whole[r["j"]], kinds[r["j"]] = max(r["total"], 1), r["types"]
+    least = np.minimum(np.maximum(DISCOUNT * kinds / whole, 1e-9), 1) / alphabet
+
+    def rows_of(batch):
+        step = max(1, (1 << 20) // size)
+        return (batch.slice(lo, step) for lo in range(0, batch.num_rows, step))
+
+    def out(key, p):
+        lp = np.log(np.maximum(p, 1e-12)).astype(np.float32)
+        return pa.RecordBatch.from_arrays([key, _binary(p), _binary(lp)], ["key", "p", "value"])
+
+    def first_order(batches):
+        for batch in batches:
+            for part in rows_of(batch):
+                count, = _dense(part.column(1), 1, size)
+                yield out(part.column(0), np.maximum(count - DISCOUNT, 0) / whole + least)
+
+    def next_order(batches):
+        for batch in batches:
+            for part in rows_of(batch):
+                count, = _dense(part.column(1), 1, size)
+                total, types = _dense(part.column(2), 2, size)
+                below = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float64).reshape(-1, size)
+                weight = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
+                yield out(part.column(0), np.maximum(count - DISCOUNT, 0) / np.maximum(total, 1) + np.minimum(weight, 1) * below)
+
+    def weights(batches):
+        for batch in batches:
+            for part in rows_of(batch):
+                total, types = _dense(part.column(1), 2, size)
+                w = DISCOUNT * types / np.maximum(total, 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), _binary(np.log(np.where(w > 0, np.minimum(w, 1), 1.0)).astype(np.float32))],
+                                                 ["key", "value"])
+
+    def by_key(table, *fields):
+        return table.groupBy("key").agg(F.collect_list(F.struct("j", *fields)).alias("x"))  # a row per language at most
+
     grams: dict = {}
     backoff: dict = {}
-    alphabet = max(2, len(np.unique(key[kind & (n == 1)])) + 1)
-    floor = np.full(size, np.log(1 / alphabet), np.float32)
-    lower = np.full((1, size), 1 / alphabet)
-    probability: dict = {}
-    for order in range(1, ORDER + 1):
-        rows = kind & (n == order)
-        hashes, first = np.unique(b[rows], return_index=True)
-        some = key[rows][first]
-        p = np.zeros((len(hashes), size))
-        if order == 1:
-            below = np.broadcast_to(lower, p.shape)
-            at_context = None
-        else:
-            at = np.searchsorted(probability[order - 1][0], bucket(some, order - 1))
-            below = probability[order - 1][1][np.minimum(at, len(probability[order - 1][0]) - 1)]
-            context = bucket(some >> np.uint64(16), order - 1)
-            seen = np.unique(b[~kind & (n == order - 1)])
-            weights = np.zeros((len(seen), size), np.float32)
-            at_context = context
-        for j in range(size):
-            mine = rows & (lang == j)
-            dense[:] = 0
-            dense[b[mine]] = total[mine]
-            count = dense[hashes].copy()
-            if order == 1:
-                whole, kinds = max(total[mine].sum(), 1), mine.sum()
-                weight = np.full(len(hashes), max(DISCOUNT * kinds / whole, 1e-9))
-            else:
-                ctx = ~kind & (n == order - 1) & (lang == j)
-                dense[:] = 0
-                dense[b[ctx]] = total[ctx]
-                whole = dense[at_context].copy()
-                dense[:] = 0
-                dense[b[ctx]] = types[ctx]
-                weight = np.where(whole > 0, DISCOUNT * dense[at_context] / np.maximum(whole, 1), 1.0)
-                dense[b[ctx]] = DISCOUNT * types[ctx] / np.maximum(total[ctx], 1)
-                w = dense[seen]
-                weights[:, j] = np.log(np.where(w > 0, np.minimum(w, 1), 1.0))
-                whole = np.maximum(whole, 1)
-            p[:, j] = np.maximum(count - DISCOUNT, 0) / whole + np.minimum(weight, 1) * below[:, j]
-        probability[order] = (hashes, p)
-        grams[order] = (hashes, np.log(np.maximum(p, 1e-12)).astype(np.float32))
-        if order > 1:
-            backoff[order - 1] = (seen, weights)
-    return LanguageModel(languages, grams, backoff, floor)
+    ddl = "key long, p binary, value binary"
+    lower = materialise(by_key(single, "total").mapInArrow(first_order, ddl), "order1")
+    grams[1] = _finished(lower, size)
+    for n in range(2, ORDER + 1):
+        context = F.shiftrightunsigned("key", 16)
+        after = by_key(counted[n].groupBy("j", context.alias("key")).agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("types")),
+                       "total", "types")
+        after = materialise(after, f"contexts{n}")
+        backoff[n - 1] = _finished(after.mapInArrow(weights, "key long, value binary"), size)
+        whole_ = after.select(F.col("key").alias("context"), F.col("x").alias("c"))
+        below = lower.select(F.col("key").alias("shorter"), "p")
+        lower = materialise(by_key(counted[n], "total").withColumn("context", context)
+                            .withColumn("shorter", F.col("key").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1)))
+                            .join(whole_, "context").join(below, "shorter")
+                            .select("key", "x", "c", "p").mapInArrow(next_order, ddl), f"order{n}")
+        grams[n] = _finished(lower, size)
+    return LanguageModel(languages, grams, backoff, np.full(size, np.log(1 / alphabet), np.float32))
 
 
 def _scored(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -292,3 +292,17 @@ def test_language_edges_and_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows) and {r.lang_pred for r in rows} == {"aa", "und"}
     assert {r.lang_pred for r in language_id.identify(table(spark, EDGES)).collect()} == {"und"}
     assert language_id.identify(table(spark, EDGES).where("doc_id = -1")).count() == 0
+
+
+def test_every_gram_has_its_own_entry(spark):
+    r = random.Random(6)
+    texts = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(600)) for _ in range(60)]
+    model = language_id.learn(table(spark, [(i, t, "ab"[i % 2]) for i, t in enumerate(texts)]))
+    for n in range(1, 5):
+        want = {(("\0" * 3 + t)[i:i + 4])[-n:] for t in texts for i in range(len(t))}
+        assert len(model.grams[n][0]) == len(want)
+    key, _ = language_id.symbols(texts[:4])
+    # all of these 4-grams were seen in a: interpolated at the top order, above the discounted share
+    seen = model.log_probs(key)[:, 0].reshape(4, -1)[::2]
+    unseen = model.log_probs(key)[:, 1].reshape(4, -1)[::2]
+    assert (seen >= unseen).mean() > 0.99
