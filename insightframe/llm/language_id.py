@@ -24,7 +24,7 @@ ORDER = 4
 DISCOUNT = 0.75
 ALPHABET = 1 << 16
 MAX_LANGUAGES = 1000  # a label column with more values is refused
-CALIBRATION_ROWS = 4000  # training texts, the first by a hash of their id, that set the rejection limits
+LIMIT_ACCURACY = 100_000  # rank error of a rejection limit: one in so many texts of the language
 TAIL = 0.001  # share of a language's own texts that the limit may reject
 LEARNING_FLUSH = 1 << 21
 
@@ -325,16 +325,13 @@ def _scored(docs: DataFrame, model: LanguageModel) -> DataFrame:
         run, "doc_id long, lang string, lang_pred string, score double, nats double, letters long, rejected boolean")
 
 
-def calibrate(model: LanguageModel, training: DataFrame, rows: int = CALIBRATION_ROWS, tail: float = TAIL) -> LanguageModel:
+def calibrate(model: LanguageModel, training: DataFrame, tail: float = TAIL) -> LanguageModel:
     """Set each language's rejection limit: the cross-entropy that a share ``tail`` of its own
-    texts exceeds, measured on at most ``rows`` training texts with 20 letters or more, plus
-    half a nat for what sampling misses."""
-    chosen = (training.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id")
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct())
-    # at most ``rows`` ids: bounded
-    sample = _scored(training.where(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi"), model)
-    limits = (sample.where("letters >= 20 and lang = lang_pred").groupBy("lang")
-              .agg(F.percentile("nats", 1 - tail).alias("limit")).collect())
+    texts exceeds, over all its training texts with 20 letters or more that it wins, plus half a
+    nat for what texts it has not seen may miss. With under 1 / ``tail`` such texts the limit is
+    their maximum plus that; a language without any has no limit."""
+    own = _scored(training.where(F.col("lang").isNotNull()), model).where("letters >= 20 and lang = lang_pred")
+    limits = own.groupBy("lang").agg(F.percentile_approx("nats", 1 - tail, LIMIT_ACCURACY).alias("limit")).collect()
     found = {r["lang"]: r["limit"] + 0.5 for r in limits}
     model.limit = np.array([found.get(x, np.inf) for x in model.languages])
     return model

@@ -306,3 +306,11 @@ def test_every_gram_has_its_own_entry(spark):
     seen = model.log_probs(key)[:, 0].reshape(4, -1)[::2]
     unseen = model.log_probs(key)[:, 1].reshape(4, -1)[::2]
     assert (seen >= unseen).mean() > 0.99
+
+
+def test_rare_languages_have_a_rejection_limit(spark):
+    docs = [(i, f"common words of the usual kind {i % 7}", "aa") for i in range(8000)]
+    docs += [(9000 + k, "".join(chr(0x4E00 + 40 * k + i) for i in range(30)), f"r{k:02}") for k in range(12)]
+    training = table(spark, docs)
+    model = language_id.calibrate(language_id.learn(training), training)
+    assert len(model.languages) == 13 and np.isfinite(model.limit).all()
