@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
@@ -23,7 +23,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 BASE_KINDS = ("assign", "access", "hex")
 
 # Weak parts: an account name, an opaque token, a service address.
-ACCOUNT = re.compile(r"""(?:user|username|login|account|client_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9_.@-]{3,64})""",
+ACCOUNT = re.compile(r"""(?:user|username|login|account|client_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9_.@-]{3,})""",
                      re.IGNORECASE | re.ASCII)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}", re.ASCII)
 ENDPOINT = re.compile(r"(?:https?|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+")
@@ -61,12 +61,19 @@ def _meets(index: tuple[list[int], list[int]], lo: int, hi: int) -> bool:
     return before > 0 and index[1][before - 1] > lo
 
 
+def _covers(index: tuple[list[int], list[int]], lo: int, hi: int) -> bool:
+    """Whether some span holds all of [lo, hi)."""
+    before = bisect_right(index[0], lo)
+    return before > 0 and index[1][before - 1] >= hi
+
+
 def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int = SCOPE_CHARS):
     """Weak spans that a complementary part supports.
 
     account: a secret (assign, hex or opaque) in scope. opaque: an identifier (access or
     account) or an endpoint in scope. endpoint: a secret in scope. A weak span that overlaps
-    a base span is that span and is not repeated. Evidence of an opaque secret alone does not
+    a base span is evidence all the same; only one that a base span wholly covers is not repeated.
+    An opaque token that an access key wholly covers is that identifier and no secret. Evidence of an opaque secret alone does not
     support another opaque secret: parts must be of different roles.
     """
     if not base and "://" not in text and not re.search("user|login|account|client", text, re.I | re.A):
@@ -74,14 +81,14 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int = SCOPE
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     for s, k, e in base:
         spans[KINDS[k]].append((s, e))
-    taken = _index([(s, e) for s, _, e in base])
+    taken, keys = (_index([(s, e) for s, k, e in base if k in some]) for some in ((0, 1, 2), (1,)))
     for kind, pattern in zip(WEAK_KINDS, (ACCOUNT, OPAQUE, ENDPOINT), strict=True):
-        spans[kind] = [m.span() for m in pattern.finditer(text) if not _meets(taken, *m.span())]
+        spans[kind] = [m.span() for m in pattern.finditer(text) if kind != "opaque" or not _covers(keys, *m.span())]
     roles = {"identifier": ("access", "account"), "secret": ("assign", "hex", "opaque"), "endpoint": ("endpoint",)}
     index = {role: _index([x for k in kinds for x in spans[k]]) for role, kinds in roles.items()}
     needs = {"account": ("secret",), "opaque": ("identifier", "endpoint"), "endpoint": ("secret",)}
     return [(s, n, e) for n, kind in enumerate(WEAK_KINDS, len(BASE_KINDS)) for s, e in spans[kind]
-            if any(_meets(index[r], s - scope, e + scope) for r in needs[kind])]
+            if not _covers(taken, s, e) and any(_meets(index[r], s - scope, e + scope) for r in needs[kind])]
 
 
 def _joined(rows) -> str:
