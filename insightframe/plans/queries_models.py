@@ -123,9 +123,9 @@ def q_model_logistic(spark, sf_dir):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf_dir):
-    """ML22: importance of each original column for the selected one of a logistic and a boosted
-    model and their vote, over all held-out rows."""
-    lb = doc_panel(spark, sf_dir, ["LogisticRegression", "GradientBoosting"])
+    """ML22: importance of each original column for the selected model of the whole panel, over
+    all held-out rows."""
+    lb = doc_panel(spark, sf_dir)
     imp = md.permutation_importance(lb, _doc_base(spark, sf_dir), "toxic", DOC_KEY)
     return imp.select("feature", "col_ord", rnd(F.col("importance")).alias("importance"),
                       rnd(F.col("importance_std")).alias("importance_std"))

@@ -1,5 +1,6 @@
 """Metrics against brute force (ML15-18), preparation (M*) and the model panel (ML*)."""
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from insightframe.operators import metrics as mt
@@ -218,3 +219,21 @@ def test_regression_panel_r2(spark):
     rows = {r.name: r for r in lb.table.collect()}
     assert lb.metric == "RMSE"
     assert rows["LinearRegression"].all_metrics["R2"] > 0.8
+
+
+def test_permutation_importance_explains_the_whole_panel(monkeypatch):
+    from insightframe.plans import queries_models as qm
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def train_panel(*args, candidates=None, **options):
+        asked.append(candidates)
+        raise Asked
+
+    monkeypatch.setattr(qm, "_doc_base", lambda *a: None)
+    monkeypatch.setattr(qm.md, "train_panel", train_panel)
+    with pytest.raises(Asked):
+        qm.q_permutation_importance(None, "")
+    assert asked == [None]  # as the leaderboard: every candidate
