@@ -3,6 +3,8 @@
 Every sequence (bin) has three residual capacities: tokens, pieces, and attention cost (sum of
 squared piece lengths). Pieces are placed longest first; among the bins with room in every
 capacity the one with the smallest weighted residual norm after the placement takes the piece.
+At the defaults only tokens can bind: pieces have a token at least, and squared lengths that sum
+to ``MAX_TOKENS`` at most cost no more than its square. The others only settle near-ties.
 
 Pieces are dealt to groups by a checksum, so a group's size is set by ``group_tokens`` and no
 key gathers more; each group packs alone;
@@ -21,7 +23,7 @@ from .common import materialise, slices
 from .word_ids import word_ids
 
 MAX_TOKENS = 2048
-MAX_PIECES = 512
+MAX_PIECES = MAX_TOKENS  # a piece has a token at least: only tokens limit the count of sequences
 GROUP_TOKENS = 1 << 23
 WEIGHTS = (1.0, 1e-4, 1e-4)  # tokens first: fewest sequences; the others settle near-ties
 SEPARATOR = 0

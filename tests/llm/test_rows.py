@@ -325,3 +325,8 @@ def test_rare_languages_have_a_rejection_limit(spark):
     training = table(spark, docs)
     model = language_id.calibrate(language_id.learn(training), training)
     assert len(model.languages) == 13 and np.isfinite(model.limit).all()
+
+
+def test_only_tokens_limit_the_sequences(spark):
+    pieces = spark.createDataFrame([(i, i, 0, 0, 1, 0) for i in range(3000)], packing.PIECES_DDL)
+    assert packing.pack(pieces).select("sequence_id").distinct().count() == 2  # of 2048 tokens
