@@ -15,9 +15,10 @@ that another set holds. Tokens in so many sets that a range could not hold them
 summing what slices of the corpus see repeatedly; there are at most 2^18, and they bypass the
 ranges with their counts. Only sets whose shared tokens make up p of them can have a link.
 
-Candidates are verified exactly on the shared tokens. As only groups are asked for, two passes
-compare every set with one set of each of its buckets; then all pairs of a bucket that are not in
-one group yet are compared, in blocks, buckets of equal content once.
+Candidates are verified exactly on the shared tokens. As only groups are asked for, every set is first
+compared with two sets of each of its buckets, one of them the bucket's most central (its tokens
+stand in most other sets: the template of a group of near copies); then all pairs of a bucket that
+are not in one group yet are compared, in blocks, buckets of equal content once.
 """
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, shingle_sets, slices, utf8
+from .common import forget, materialise, mix64, shingle_sets, slices, utf8
 from .components import components
 
 WORDS = 5
@@ -94,7 +95,7 @@ def _packed(docs: DataFrame, words: int, bits: int, hot: np.ndarray, seen: np.nd
                 at = np.searchsorted(hot, token)
                 known = hot[np.minimum(at, len(hot) - 1)] == token if len(hot) else np.zeros(len(token), bool)
                 place = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
-                place[known] = ranges + who[known] % ranges
+                place[known] = ranges + (np.array(key)[who[known]] & (ranges - 1))  # a class's in one part, whichever task
                 order = np.lexsort((who, place))  # stable: a set's tokens stay sorted
                 token, who, place, at, known = token[order], who[order], place[order], at[order], known[order]
                 cut = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
@@ -115,33 +116,42 @@ def _numbers(column, kind=np.int64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _shared(key, table):
-    """One range: (cls, n, k, token, often) of the tokens that two sets or more hold."""
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the runs of equal values."""
+    cut = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return cut, np.append(cut[1:], len(x)) if len(x) else cut
+
+
+def _shared(key, table, bits: int):
+    """One range: its tokens that two sets or more hold, packed by 2^bits parts of the classes:
+    (dealt, cls, n, count, token, often)."""
     cls, n, count = (_numbers(table.column(c)) for c in ("cls", "n", "count"))
     token = _numbers(table.column("token"), np.uint64)
-    own = np.repeat(cls, count)
-    size = np.repeat(n, count)
-    if table.column("often").null_count:
-        order = np.lexsort((own, token))
-        token, own, size = token[order], own[order], size[order]
-        once = np.append(True, (token[1:] != token[:-1]) | (own[1:] != own[:-1]))  # copies of other tasks
-        token, own, size = token[once], own[once], size[once]
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-        many = np.diff(np.append(first, len(token)))
-        often = np.repeat(many, many)
-        keep = often > 1
-        token, own, size, often = token[keep], own[keep], size[keep], often[keep]
-    else:
-        often = _numbers(table.column("often"))
-    order = np.lexsort((token, own))
+    own, size = np.repeat(cls, count), np.repeat(n, count)
+    plain = table.column("often").null_count > 0
+    often = np.zeros(len(token), np.int64) if plain else _numbers(table.column("often"))
+    order = np.lexsort((own, token))
     token, own, size, often = token[order], own[order], size[order], often[order]
     once = np.append(True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])) if len(token) else np.zeros(0, bool)
-    token, own, size, often = token[once], own[once], size[once], often[once]
-    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
-    end = np.append(cut[1:], len(own))
-    return pa.table({"cls": pa.array(own[cut], pa.int64()), "n": pa.array(size[cut], pa.int64()), "k": pa.array(end - cut, pa.int64()),
-                     "token": pa.array([token[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary()),
-                     "often": pa.array([often[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())})
+    token, own, size, often = token[once], own[once], size[once], often[once]  # without copies of other tasks
+    if plain:
+        first, end = _groups(token)
+        often = np.repeat(end - first, end - first)
+    keep = often > 1
+    token, own, size, often = token[keep], own[keep], size[keep], often[keep]
+    dealt = own & np.int64((1 << bits) - 1)
+    order = np.lexsort((token, own, dealt))
+    token, own, size, often, dealt = token[order], own[order], size[order], often[order], dealt[order]
+    first, end = _groups(own)
+    part, last = _groups(dealt[first])
+    at = np.append(first, len(own))
+    return pa.table({
+        "dealt": pa.array(dealt[first][part], pa.int64()),
+        "cls": pa.array([own[first[a:b]].tobytes() for a, b in zip(part, last, strict=True)], pa.binary()),
+        "n": pa.array([size[first[a:b]].tobytes() for a, b in zip(part, last, strict=True)], pa.binary()),
+        "count": pa.array([(end - first)[a:b].tobytes() for a, b in zip(part, last, strict=True)], pa.binary()),
+        "token": pa.array([token[at[a]:at[b]].tobytes() for a, b in zip(part, last, strict=True)], pa.binary()),
+        "often": pa.array([often[at[a]:at[b]].astype(np.int32).tobytes() for a, b in zip(part, last, strict=True)], pa.binary())})
 
 
 def signatures(n: int, token: np.ndarray, often: np.ndarray, per_cent: int = SIMILARITY, rare: int = RARE) -> np.ndarray:
@@ -158,23 +168,22 @@ def signatures(n: int, token: np.ndarray, often: np.ndarray, per_cent: int = SIM
     return np.unique(np.concatenate([mix64(single ^ _ONE), mix64(two)])) if prefix else np.zeros(0, np.uint64)
 
 
-def _sets(shared: DataFrame, per_cent: int, rare: int) -> DataFrame:
-    """(cls, n, k, token, sigs) of the sets whose shared tokens allow a link."""
-    whole = shared.groupBy("cls").agg(F.first("n").alias("n"), F.sum("k").alias("k"), F.collect_list("token").alias("token"),
-                                      F.collect_list("often").alias("often")).where(F.col("k") * 100 >= F.col("n") * per_cent)
-
-    def run(batches):
-        for batch in batches:
-            cls, n, tokens, sigs = batch.column(0), batch.column(1), [], []
-            for size, parts, counts in zip(n.to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                token, often = np.frombuffer(b"".join(parts), np.uint64), np.frombuffer(b"".join(counts), np.int64)
-                order = np.lexsort((token, often))
-                sigs.append(signatures(size, token[order], often[order], per_cent, rare).view(np.int64).tolist())
-                tokens.append(np.sort(token).tobytes())
-            yield pa.RecordBatch.from_arrays([cls, n, batch.column(2), pa.array(tokens, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
-                                             ["cls", "n", "k", "token", "sigs"])
-
-    return whole.select("cls", "n", "k", "token", "often").mapInArrow(run, "cls long, n long, k long, token binary, sigs array<long>")
+def _sets(key, table, per_cent: int, rare: int):
+    """One part of the classes: (cls, n, k, core, token, sigs) of the sets whose shared tokens allow a
+    link; ``core`` is how often their tokens stand in other sets, on average."""
+    cls, n, count = (_numbers(table.column(c)) for c in ("cls", "n", "count"))
+    token, often = _numbers(table.column("token"), np.uint64), _numbers(table.column("often"), np.int32).astype(np.int64)
+    own, size = np.repeat(cls, count), np.repeat(n, count)
+    order = np.lexsort((token, often, own))
+    token, often, own, size = token[order], often[order], own[order], size[order]
+    out = []
+    for a, b in zip(*_groups(own), strict=True):
+        if (b - a) * 100 >= size[a] * per_cent:
+            out.append((own[a], size[a], b - a, float(often[a:b].sum() / size[a]), np.sort(token[a:b]).tobytes(),
+                        signatures(int(size[a]), token[a:b], often[a:b], per_cent, rare).view(np.int64).tolist()))
+    cols = list(zip(*out, strict=True)) or [[]] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["cls", "n", "k", "core", "token", "sigs"])
 
 
 def _admissible(n_a, k_a, n_b, k_b, per_cent: int):
@@ -265,12 +274,14 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILARI
     order = np.argsort(hot)
     bits = max(0, int(np.ceil(np.log2(max(1, total / range_tokens)))))
     packed = _packed(docs.where("doc_id is not null"), words, bits, hot[order], often[order])
-    shared = packed.groupBy("part").applyInArrow(_shared, "cls long, n long, k long, token binary, often binary")
-    sets = materialise(_sets(shared, per_cent, rare), "sets")
+    shared = packed.groupBy("part").applyInArrow(lambda key, table: _shared(key, table, bits),
+                                                 "dealt long, cls binary, n binary, count binary, token binary, often binary")
+    sets = materialise(shared.groupBy("dealt").applyInArrow(lambda key, table: _sets(key, table, per_cent, rare),
+                                                            "cls long, n long, k long, core double, token binary, sigs array<long>"), "sets")
 
-    index = sets.select("cls", "n", "k", F.explode("sigs").alias("sig"))
+    index = sets.select("cls", "n", "k", "core", F.explode("sigs").alias("sig"))
     counts = index.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("content"),
-                                      F.min("cls").alias("head"), F.max("cls").alias("foot")).where("size > 1")
+                                      F.max_by("cls", F.struct("core", "cls")).alias("head"), F.min("cls").alias("foot")).where("size > 1")
     # buckets of equal content are one bucket
     alone = counts.groupBy("size", "content", "head", "foot").agg(F.min("sig").alias("sig"))
     buckets = materialise(index.join(alone.select("sig", "head", "foot"), "sig"), "buckets")
@@ -289,6 +300,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILARI
     grouped = classes.join(merged, classes["cls"] == merged["vertex"], "left").select(
         "cls", "rep", F.coalesce("component", "cls").alias("group"))
     least = materialise(grouped, "groups")
+    forget(sets, buckets, labels, rest, more)
     final = least.join(least.groupBy("group").agg(F.min("rep").alias("component_id")), "group").select("cls", "component_id")
     return each.join(final, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

@@ -30,6 +30,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete copies made by ``materialise`` that nothing will read any more."""
+    for table in tables:
+        hadoop = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if folder.rsplit("/", 1)[1].startswith("llm-"):
+                path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(hadoop).delete(path, True)
+
+
 def fold_of(col: str, mod: int):
     """crc32 of the id as text, modulo ``mod`` (NULL ids give NULL)."""
     return F.crc32(F.col(col).cast("string")) % mod

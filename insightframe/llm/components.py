@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 
 def _print(edges: DataFrame):
@@ -37,7 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select("u", "v").where("u != v").distinct(), "edges")
     before = _print(edges)
     while before[0]:
-        edges = materialise(_small_star(materialise(_large_star(edges), "large")), "small")
+        large = materialise(_large_star(edges), "large")
+        small = materialise(_small_star(large), "small")
+        forget(edges, large)
+        edges = small
         now = _print(edges)
         if now == before:
             break

@@ -5,11 +5,12 @@
    A^T (A X) from passages) gives a latent space of ``RANK`` dimensions. It is fitted on the
    passages of all documents and of all benchmark items.
 3. Every window of every document is projected (prefix sums of word vectors) and compared by
-   cosine with the benchmark passages of its size class.
+   cosine with the benchmark passages of its size class: windows at ``LEAST_COSINE`` or more are
+   the candidates, and nothing else is.
 4. Candidates are checked on words: the longest common subsequence of the item and the text
    around the window, and for paraphrases also the item's answer (its last sentence).
-5. A lookup of the items' words finds every other place that could pass these checks, so what is
-   found does not depend on the cosine, the rank or the number of hashed terms.
+5. Items of under ``WINDOW_WORDS`` words say too little for a cosine; their candidates are the
+   documents that hold enough of their words, by an inverted index.
 """
 from __future__ import annotations
 
@@ -34,10 +35,11 @@ SURE_SHARE = 0.8  # of an item's words in order: contaminated
 LIKELY_SHARE = 0.6  # contaminated if the answer is there too
 ANSWER_SHARE = 0.8
 SHORT_WORDS = 6  # items below need all their words, side by side
+WINDOW_WORDS = 12  # items below are looked up by their words
 BLOCK_TERMS = 512
 
 SEARCH_BYTES = 1 << 20  # text bytes whose prefix sums are held at once
-PAIR_CELLS = 1 << 22  # (document, item) counts of the word lookup held at once
+PAIR_CELLS = 1 << 22  # (document, item) postings held at once
 
 RESULT_DDL = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
 
@@ -197,7 +199,7 @@ class Items:
     """Benchmark items of a block: words, answers, and latent vectors of their passages."""
 
     def __init__(self, rows, vectors: np.ndarray):
-        self.ids, self.words, self.arrays, self.answers, self.passages = [], [], [], [], []
+        self.ids, self.words, self.arrays, self.answers = [], [], [], []
         passages: dict[int, list] = {}
         for item_id, text in rows:
             h = self._hashes(text or "")
@@ -210,57 +212,62 @@ class Items:
             self.words.append(h.tolist())
             self.arrays.append(h)
             self.answers.append(answer.tolist())
-            self.passages.append([])
+            if len(h) < WINDOW_WORDS:
+                continue
             parts = -(-len(h) // PASSAGE_WORDS)
             for p in np.array_split(h, parts):
                 z = vectors[_terms(p)].sum(axis=0)
                 norm = np.linalg.norm(z)
                 if norm > 0:
                     passages.setdefault(window_size(len(p)), []).append((number, z / norm))
-                    self.passages[-1].append(z / norm)
         self.classes = {w: (np.array([n for n, _ in p]), np.array([z for _, z in p], np.float32)) for w, p in passages.items()}
-        # each distinct word's items, and how often it stands in them
         self.distinct = [np.unique(x, return_counts=True) for x in self.arrays]
-        word = np.concatenate([w for w, _ in self.distinct] or [np.zeros(0, np.uint64)])
-        order = np.argsort(word, kind="stable")
-        self.vocabulary = np.unique(word)
-        self.posting_first = np.append(np.searchsorted(word[order], self.vocabulary), len(word))
-        self.posting_item = np.repeat(np.arange(len(self.ids)), [len(w) for w, _ in self.distinct])[order]
-        self.posting_count = np.concatenate([n for _, n in self.distinct] or [np.zeros(0, np.int64)])[order]
         self.least = np.array([len(x) if len(x) < SHORT_WORDS else LIKELY_SHARE * len(x) for x in self.arrays])
+        self.long, self.short = (self._postings([n for n, x in enumerate(self.arrays) if (len(x) < WINDOW_WORDS) == short])
+                                 for short in (False, True))
+
+    def _postings(self, numbers: list[int]):
+        """Inverted index of some items: (sorted words, first posting of each, item and count of postings)."""
+        word = np.concatenate([self.distinct[n][0] for n in numbers] or [np.zeros(0, np.uint64)])
+        count = np.concatenate([self.distinct[n][1] for n in numbers] or [np.zeros(0, np.int64)])
+        item = np.repeat(np.array(numbers, np.int64), [len(self.distinct[n][0]) for n in numbers])
+        order = np.argsort(word, kind="stable")
+        vocabulary, first = np.unique(word[order], return_index=True)
+        return vocabulary, np.append(first, len(word)), item[order], count[order]
 
     @staticmethod
     def _hashes(text: str) -> np.ndarray:
         return _words(pa.array([text], pa.string()))[2]
 
-    def sharing(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, items) in order, of all pairs where the document holds enough of the item's
-        words for ``check``: the words in order can't be more than those."""
-        found = [(np.zeros(0, np.int64),) * 2]
-        step = max(1, PAIR_CELLS // max(1, len(self.ids)))
-        for lo in range(0, len(first) - 1, step):
-            hi = min(lo + step, len(first) - 1)
-            words = h[first[lo]:first[hi]]
-            at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-            known = self.vocabulary[at] == words
-            doc = np.repeat(np.arange(hi - lo), np.diff(first[lo:hi + 1]))[known]
-            cell = np.unique(doc * len(self.vocabulary) + at[known])
-            doc, at = cell // len(self.vocabulary), cell % len(self.vocabulary)
-            count = np.zeros((hi - lo) * len(self.ids))
-            n = self.posting_first[at + 1] - self.posting_first[at]
-            total = np.append(0, np.cumsum(n))
-            cut = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], PAIR_CELLS)), len(at)))
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                post = np.arange(n[a:b].sum()) + np.repeat(self.posting_first[at[a:b]] - np.cumsum(n[a:b]) + n[a:b], n[a:b])
-                pair = np.repeat(doc[a:b], n[a:b]) * len(self.ids) + self.posting_item[post]
-                count += np.bincount(pair, weights=self.posting_count[post], minlength=len(count))
-            d, k = np.nonzero(count.reshape(hi - lo, len(self.ids)) >= self.least)
-            found.append((d + lo, k))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    def cosine(self, number: int, x: np.ndarray) -> float:
-        """Best cosine of the item's passages with a stretch's vector."""
-        return max((float(z @ x) for z in self.passages[number]), default=0.0) / max(float(np.linalg.norm(x)), 1e-12)
+    def holding(self, h: np.ndarray, first: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        """Keys document * items + item, ascending, of the ``pairs`` (ascending keys; None: all pairs with
+        a short item) where the document holds enough of the item's words for ``check``: the words in
+        order can't be more than those."""
+        vocabulary, starts, items, counts = self.short if pairs is None else self.long
+        if not len(vocabulary) or (pairs is not None and not len(pairs)):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+        known = vocabulary[at] == h
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[known]
+        cell = np.unique(doc * len(vocabulary) + at[known])
+        doc, at = cell // len(vocabulary), cell % len(vocabulary)
+        n = starts[at + 1] - starts[at]
+        total = np.append(0, np.cumsum(n))
+        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        cut = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], PAIR_CELLS)), len(at)))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            post = np.arange(n[a:b].sum()) + np.repeat(starts[at[a:b]] - np.cumsum(n[a:b]) + n[a:b], n[a:b])
+            pair, weight = np.repeat(doc[a:b], n[a:b]) * len(self.ids) + items[post], counts[post]
+            if pairs is not None:
+                spot = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+                mine = pairs[spot] == pair
+                pair, weight = pair[mine], weight[mine]
+            key, where = np.unique(pair, return_inverse=True)
+            keys.append(key)
+            sums.append(np.bincount(where, weights=weight, minlength=len(key)))
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        held = np.bincount(where, weights=np.concatenate(sums), minlength=len(key))
+        return key[held >= self.least[key % len(self.ids)]] if len(key) else key
 
     def places(self, number: int, words: np.ndarray) -> list[tuple[int, int]]:
         """Stretches (start, end) of words that hold enough of the item's words for ``check``."""
@@ -335,30 +342,32 @@ def _hits(texts: pa.Array, items: Items, vectors: np.ndarray, least: float) -> l
             j, i = np.nonzero(cosine >= least)
             near.append((doc[a + i], numbers[j], cosine[j, i], lo[a + i], hi[a + i]))
     doc, number, cosine, lo, hi = (np.concatenate(x) for x in zip(*near, strict=True))
-    # every pair that could pass the check, with its windows by cosine and then its other places
-    held, item = items.sharing(h, first)
-    pair = held * len(items.ids) + item
-    mine = np.searchsorted(pair, doc * len(items.ids) + number)
-    keep = np.append(pair, -1)[mine] == doc * len(items.ids) + number
-    mine, cosine, lo, hi = (x[keep] for x in (mine, cosine, lo, hi))
-    order = np.lexsort((lo, -cosine, mine))
-    mine, cosine, lo, hi = (x[order] for x in (mine, cosine, lo, hi))
-    edge = np.searchsorted(mine, np.arange(len(pair) + 1))
-    for p, (d, k) in enumerate(zip(held.tolist(), item.tolist(), strict=True)):
+    pair = doc * len(items.ids) + number
+    held = items.holding(h, first, np.unique(pair))
+    keep = np.append(held, -1)[np.searchsorted(held, pair)] == pair
+    pair, cosine, lo, hi = (x[keep] for x in (pair, cosine, lo, hi))
+    order = np.lexsort((lo, -cosine, pair))
+    pair, cosine, lo, hi = (x[order] for x in (pair, cosine, lo, hi))
+    edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(pair)], strict=False):
+        d, k = divmod(int(pair[a]), len(items.ids))
+        words, m = h[first[d]:first[d + 1]], len(items.words[k])
+        spots = items.places(k, words)
+        for i in range(a, b):
+            start, end = int(lo[i] - first[d]), int(hi[i] - first[d])
+            # a window without a place of enough of the item's words about it has nothing to check
+            if any(x < end + m and y > start - m for x, y in spots):
+                ok = items.check(k, words, start, end)
+                if ok:
+                    rows.append((d, items.ids[k], float(cosine[i]), *ok, start))
+                    break
+    for key in items.holding(h, first).tolist():
+        d, k = divmod(key, len(items.ids))
         words = h[first[d]:first[d + 1]]
-        places = items.places(k, words)
-        if not places:
-            continue
-        near = [(float(cosine[i]), int(lo[i] - first[d]), int(hi[i] - first[d])) for i in range(edge[p], edge[p + 1])]
-        # a window without a place about it has nothing to check
-        m = len(items.words[k])
-        spots = [x for x in near if any(a < x[2] + m and b > x[1] - m for a, b in places)]
-        for c, a, b in spots + [(None, a, b) for a, b in places]:
-            ok = items.check(k, words, a, b)
+        for start, end in items.places(k, words):
+            ok = items.check(k, words, start, end)
             if ok:
-                if c is None:
-                    c = items.cosine(k, prefix[:, first[d] + b] - prefix[:, first[d] + a])
-                rows.append((d, items.ids[k], c, *ok, a))
+                rows.append((d, items.ids[k], None, *ok, start))
                 break
     return rows
 
@@ -420,8 +429,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cosine: float = LE
     """(doc_id, item_id, cosine, lcs_share, answer_share, first_word): items found in documents.
 
     An item is found where ``SURE_SHARE`` of its words stand in order within one and a half times
-    its length, or ``LIKELY_SHARE`` of them and ``ANSWER_SHARE`` of its answer's words. One row per
-    document and item: the best window by cosine that passes the check. NULL and empty texts hold
+    its length, or ``LIKELY_SHARE`` of them and ``ANSWER_SHARE`` of its answer's words, in a window
+    that the latent search names (see the README for its measured recall), or, for items of under
+    ``WINDOW_WORDS`` words, anywhere (their ``cosine`` is NULL). One row per document and item: the
+    best window by cosine that passes the check. NULL and empty texts hold
     nothing, NULL and empty items are in nothing; NULL doc_ids are reported as NULL; repeated rows
     give one row, items with equal text one row each; an empty table gives an empty result.
     Other columns are ignored.
@@ -436,7 +447,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cosine: float = LE
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least_cosine: float = LEAST_COSINE, item_block: int = ITEM_BLOCK,
                **options) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns; no shuffle of texts."""
+    """The rows of ``docs`` in which no item is found, with all their columns, whatever these are
+    called; no shuffle of texts.
+
+    NULL and empty texts hold nothing and stay, rows with a NULL id are judged like others, repeated
+    rows stay or go together; NULL and empty items are in nothing; an empty table gives an empty
+    result.
+    """
     out = docs
     for items, vectors in _item_blocks(docs, benchmark, item_block, **options):
         out = _without(out, items, vectors, least_cosine)

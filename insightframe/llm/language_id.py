@@ -4,9 +4,10 @@ Symbols are letters in lower case and one mark for every run of other characters
 all training texts: tasks count 4-grams per language, Spark sums them and derives from the
 distinct 4-grams the continuation counts of the lower orders, the contexts' totals and, order by
 order, the probabilities. A model is a sorted array of all n-grams with one log-probability per
-language beside it; keys are exact (mixed one to one), so the arrays grow with the distinct
-n-grams and no two share an entry. A text goes to the language
-of lowest cross-entropy per symbol, if that is not beyond what the language's own texts show.
+language beside it. Keys are mixed one to one, so n-grams of letters of 16 bits or less never share
+an entry; rarer letters do (see ``symbols``). The arrays grow with the distinct n-grams and are
+gathered and broadcast whole. A text goes to the language of lowest cross-entropy per symbol, if
+that is not beyond what the language's own texts show.
 """
 from __future__ import annotations
 
@@ -31,14 +32,15 @@ LEARNING_FLUSH = 1 << 21
 
 @functools.cache
 def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(ALPHABET)])
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(4-gram of every symbol as a 64-bit key, document of it).
 
     A key packs the symbol (low 16 bits) and the three before it; nothing stands before a text.
-    Letters beyond 16 bits are hashed into the private-use range.
+    Letters beyond 16 bits share the 6,144 codes of the private-use range, so that their n-grams
+    may share entries; whether a code point is a letter is always its own property.
     """
     lowered = [t.lower() for t in texts]
     size = np.array([len(t) for t in lowered], np.int64)
@@ -46,9 +48,7 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(texts)), size)
     high = codes >= ALPHABET
     low = np.where(high, 0xE000 + codes % 0x1800, codes).astype(np.uint64)
-    letter = _letters()[np.where(high, 0, codes)] | (high & (codes < 0x32000) & (codes >= 0x20000)) | (
-        high & (codes < 0x1F000))
-    z = np.where(letter, low, 0)
+    z = np.where(_letters()[codes], low, 0)
     keep = np.ones(len(z), bool)
     keep[1:] = (z[1:] != 0) | (z[:-1] != 0) | (doc[1:] != doc[:-1])
     z, doc = z[keep], doc[keep]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, shingle_sets, slices, utf8
+from .common import forget, materialise, mix64, shingle_sets, slices, utf8
 from .components import components
 
 WORDS = 4
@@ -292,10 +292,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILAR
     its own text, links of one id confirmed on any of its texts. An empty table gives an empty
     result. Other columns are ignored.
     """
-    each = materialise(sketches(docs, words), "sketches")
-    sets = each.where("n > 0 and doc_id is not null")
+    wide = materialise(sketches(docs, words), "sketches")
+    sets = wide.where("n > 0 and doc_id is not null")
     grouped = sets.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("small").alias("small"))
     classes = materialise(grouped, "classes")
+    each = materialise(wide.select("doc_id", "n", "d1", "d2"), "each")
+    forget(wide)
 
     nodes = tree_nodes(classes, trees, depth)
     heads = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("head")).where("size > 1")
@@ -320,9 +322,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILAR
 
         return (pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long"))
 
-    stars = shared.where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(likely(stars), texts, words, per_cent)
+    stars = materialise(likely(shared.where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()), "stars")
+    # one pair a class first; of the others only those that join two groups move texts
+    first = components(confirmed(stars.groupBy("b").agg(F.min("a").alias("a")), texts, words, per_cent))
+    found_first = materialise(first, "first")
+    side = [found_first.select(F.col("vertex").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab"]
+    apart = stars.join(side[0], "a", "left").join(side[1], "b", "left").where(
+        F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    links = confirmed(apart, texts, words, per_cent).unionByName(
+        found_first.where("vertex != component").select(F.col("vertex").alias("u"), F.col("component").alias("v")))
     labels = materialise(components(links), "labels")
+    forget(stars, found_first)
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels, rows["rep"] == labels["vertex"], "left").select(
@@ -351,6 +361,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILAR
         cells = cells.unionByName(more)
     # labels are groups of the first pass: the links found join them
     merged = materialise(components(_linked_rows(_likely_rows(cells, per_cent), texts, words, per_cent)), "merged")
+    forget(texts, shared)
     final = (classes.select("n", "d1", "d2", "rep").join(labels, F.col("rep") == labels["vertex"], "left")
              .select("n", "d1", "d2", F.coalesce("component", "rep").alias("group"))
              .join(merged, F.col("group") == merged["vertex"], "left")
@@ -362,12 +373,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILAR
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The kept rows of ``docs`` with all their columns: one row of each group, the one with the
-    least doc_id (of rows that repeat it, the one with the least checksum). Rows without shingles
-    or without doc_id stay, but for repeated rows of one doc_id.
+    """The rows of ``docs`` that stay, with all their columns whatever these are called: of each
+    group of near duplicates the rows of its least doc_id, of rows that repeat a doc_id with equal
+    shingles one (the least by checksum of the text). Rows of one doc_id with unlike texts are
+    judged each by its own; rows without shingles, with a NULL text or without doc_id all stay, but
+    for rows equal in doc_id and text. An empty table gives an empty result.
     """
-    kept = near_duplicates(docs.where("doc_id is not null"), **options).where("kept").select(F.col("doc_id").alias("llm_kept_id")).distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = (docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("llm_kept_id"), "left_semi")
-             .withColumn("llm_place", place).where("llm_place = 1").drop("llm_place"))
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        return name
+
+    kept, body, place = free("llm_kept_id"), free("llm_body"), free("llm_place")
+    judged = near_duplicates(docs.where("doc_id is not null"), **options).where("kept").select(F.col("doc_id").alias(kept)).distinct()
+    # the same shingles under one id: the words of the text, lower-cased and single-spaced
+    words = F.translate(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " ")),
+                        "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    order = Window.partitionBy("doc_id", body).orderBy(F.xxhash64("text"))
+    named = (docs.where("doc_id is not null").join(judged, F.col("doc_id") == F.col(kept), "left_semi")
+             .withColumn(body, F.sha2(words, 256)).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(body, place))
     return named.unionByName(docs.where("doc_id is null"))

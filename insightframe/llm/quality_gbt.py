@@ -190,6 +190,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, training, fit_rows: int = FI
     """Fit on at most ``fit_rows`` labelled ids for which the column ``training`` holds.
 
     An id with several labels takes their mean, rounded half up; NULL ids and labels are left out.
+    Where ids repeat in ``docs``, at most twice as many rows as ids are fitted on, chosen by hash.
+    Without labelled rows every text scores alike.
     """
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & training)
               .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
@@ -221,7 +223,12 @@ def score_quality(docs: DataFrame, model: Trees) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, model: Trees, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``least``, with all their columns."""
+    """The rows of ``docs`` whose score reaches ``least``, with all their columns, whatever these
+    are called.
+
+    NULL and empty texts are scored as texts without bytes; rows with a NULL id are judged like
+    others; repeated rows stay or go together; an empty table gives an empty result.
+    """
     at = docs.schema.fieldNames().index("text")
 
     def run(batches):

@@ -125,7 +125,9 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE_CHARS) -> DataFrame:
 def redact(docs: DataFrame, scope: int = SCOPE_CHARS, mask: str = "[SECRET]") -> DataFrame:
     """Documents with every reported span replaced by ``mask``; all columns and rows stay.
 
-    ``n_chars``, where present, is set to the new length. Overlapping spans share one mask.
+    ``n_chars``, where present, is set to the new length. Overlapping spans share one mask. NULL
+    texts stay NULL and empty ones empty; repeated rows are each masked; other columns, whatever
+    they are called, stay as they are; an empty table gives an empty result.
     """
     schema = docs.schema
     at = schema.fieldNames().index("text")

@@ -12,8 +12,10 @@ places, so every repeat shows up between suffixes at equal anchors and nothing i
    group that still shares its prefix. The orders and their common-prefix lengths give classes
    of equal strings for every place of the anchor in the string.
 3. An anchor with over ``GROUP_BLOCKS`` different surroundings (a line that stands in a third
-   of all documents) isn't gathered: its strings are counted one by one by their digest, with
-   map-side combination.
+   of all documents) isn't gathered: its runs are ordered by the more varied of their two sides
+   and cut into ranges of ``GROUP_BLOCKS``, each sorted the same way in a task. A string that
+   another range may hold shares that side with the range's first or last run; the earliest of
+   such strings, of which a range has few, are compared across ranges.
 """
 from __future__ import annotations
 
@@ -378,25 +380,85 @@ def _mask_places(mask: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.Rec
                                       ["doc_id", "place"])
 
 
-def _repeats_one_by_one(blocks: DataFrame, length: int) -> DataFrame:
-    """Removed places of runs whose anchor has very many kinds: the earliest place of every
-    string, by its 128-bit digest, combined on the map side; then every later one."""
+def _common(rows: list[bytes], one: bytes, width: int) -> np.ndarray:
+    """Bytes that each row has in common with ``one`` at its front, ``width`` at most."""
+    table = np.zeros((len(rows) + 1, width), np.uint8)
+    for i, r in enumerate([*rows, one]):
+        table[i, :len(r)] = np.frombuffer(r, np.uint8)
+    return np.cumprod(table[:-1] == table[-1], axis=1, dtype=np.int64).sum(axis=1)
+
+
+def _range_repeats(rows, by_left: bool, length: int) -> pa.RecordBatch:
+    """One range of a hot anchor's runs, in the order of one side: its repeats, and (with their
+    digest) the earliest of those strings that other ranges may hold too."""
+    anchor, doc, place, block, at, key = rows
+    tag, start, count = _unpack(place)
+    mask = repeats_in_blocks(block, at, count, doc, place, length)
+    told = _mask_places(mask, doc, place)
+    shared = np.maximum(_common(key, key[0], length), _common(key, key[-1], length))
+    out_string, out_doc, out_place = [], [], []
+    for i, b in enumerate(block):
+        # string j has anchor_at - j bytes left of the anchor, and length less those right of it
+        before = at[i] - np.arange(count[i])
+        fits = (before if by_left else length - before) <= shared[i]
+        for j in np.flatnonzero(fits & ~mask[i, :count[i]]).tolist():
+            out_string.append(hashlib.blake2b(b[j:j + length], digest_size=16).digest())
+            out_doc.append(int(doc[i]))
+            out_place.append(int(_pack(tag[i], start[i] + j, 1)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([None] * told.num_rows + out_string, pa.binary()), pa.array(told.column(0).to_pylist() + out_doc, pa.int64()),
+         pa.array(told.column(1).to_pylist() + out_place, pa.int64())], ["string", "doc_id", "place"])
+
+
+def _repeats_of_hot(blocks: DataFrame, rows: int, length: int, group_blocks: int) -> DataFrame:
+    """Removed places of runs whose anchor has very many kinds; ``rows`` runs in all."""
+
+    def sided(batches):
+        for batch in batches:
+            anchor, block = batch.column(0).to_numpy(), batch.column(3).to_pylist()
+            at = _anchor_places(block, anchor) if len(block) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(4)), pa.array(at, pa.int64()),
+                 pa.array([b[:a][::-1] for b, a in zip(block, at.tolist(), strict=True)], pa.binary()),
+                 pa.array([b[a:a + length] for b, a in zip(block, at.tolist(), strict=True)], pa.binary())],
+                ["anchor", "doc_id", "place", "block", "at", "left", "right"])
+
+    ddl = "anchor long, doc_id long, place long, block binary, at long, left binary, right binary"
+    sides = materialise(blocks.mapInArrow(sided, ddl), "sides")
+    half = length // 3  # bytes by which a side's variety is judged
+    kinds = sides.groupBy("anchor").agg((F.approx_count_distinct(F.xxhash64(F.substring("left", 1, half)))
+                                         >= F.approx_count_distinct(F.xxhash64(F.substring("right", 1, half)))).alias("by_left"))
+    keyed = sides.join(kinds, "anchor").select(
+        "anchor", "by_left", F.when(F.col("by_left"), F.col("left")).otherwise(F.col("right")).alias("key"),
+        F.when(F.col("by_left"), F.col("right")).otherwise(F.col("left")).alias("rest"), "doc_id", "place", "block", "at")
+
+    def run(batches):
+        held = None
+
+        def solve():
+            by_left = held[6][0]
+            return _range_repeats((*(np.array(held[i]) for i in (0, 1, 2)), held[3], np.array(held[4]), held[5]), by_left, length)
 
-    def strings(batches):
         for batch in batches:
-            rows = []
-            for doc, place, block in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                tag, start, count = _unpack(place)
-                for j in range(count):
-                    rows.append((hashlib.blake2b(block[j:j + length], digest_size=16).digest(), doc, _pack(tag, start + j, 1)))
-            out = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()),
-                                              pa.array(out[2], pa.int64())], ["string", "doc_id", "place"])
-
-    each = blocks.mapInArrow(strings, "string binary, doc_id long, place long")
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            for row in zip(*cols, strict=True):
+                if held is not None and (held[0][-1] != row[0] or len(held[0]) >= group_blocks):
+                    yield solve()
+                    held = None
+                held = held or [[] for _ in range(7)]
+                for h, v in zip(held, row, strict=True):
+                    h.append(v)
+        if held is not None:
+            yield solve()
+
+    order = ["anchor", "key", "rest"]
+    ranged = (keyed.repartitionByRange(max(1, -(-rows // group_blocks)), *order).sortWithinPartitions(*order)
+              .select("anchor", "doc_id", "place", "block", "at", "key", "by_left"))
+    found = materialise(ranged.mapInArrow(run, "string binary, doc_id long, place long"), "ranges")
+    each = found.where("string is not null")
     first = each.groupBy("string").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    return (each.join(first, "string").where("doc_id != first.doc_id or place != first.place")
-            .select("doc_id", "place"))
+    later = each.join(first, "string").where("doc_id != first.doc_id or place != first.place")
+    return found.where("string is null").select("doc_id", "place").unionByName(later.select("doc_id", "place"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
@@ -415,8 +477,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_blocks: int = GR
     kinds = reps.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     blocks = materialise(_blocks(docs, reps, length).join(kinds, "anchor"), "blocks")
     few = _repeats_of_groups(blocks.where(F.col("kinds") <= group_blocks).drop("kinds"), length)
-    many = _repeats_one_by_one(blocks.where(F.col("kinds") > group_blocks).drop("kinds"), length)
-    places = removed.unionByName(few).unionByName(many).withColumn("extra", F.lit(None).cast("long"))
+    places = removed.unionByName(few)
+    hot = kinds.where(F.col("kinds") > group_blocks).agg(F.sum("kinds")).first()[0]
+    if hot:
+        places = places.unionByName(_repeats_of_hot(blocks.where(F.col("kinds") > group_blocks).drop("kinds"), hot, length, group_blocks))
+    places = places.withColumn("extra", F.lit(None).cast("long"))
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def cut(batches):
