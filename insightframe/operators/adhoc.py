@@ -3,18 +3,29 @@
 H1-H4 are the analyses the automated analyst produced in its sample report, written as
 partial-aggregated group-bys with a scalar-subquery baseline (no join to a one-row table).
 H5 replaces arbitrary generated code with user SQL steps run through Catalyst: one query per
-step, commands rejected, results capped for display, errors recorded as rows.
+step, commands rejected, results capped for display, errors recorded as rows, one corrected
+retry, and a time limit enforced by cancelling the jobs that carry the step's tag.
 """
 from __future__ import annotations
 
+import difflib
 import re
+import uuid
+from collections.abc import Callable
+from concurrent.futures import Future, wait
+from dataclasses import dataclass
+from threading import Thread
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.util import inheritable_thread_target
+
 from ..functions.columns import safe_div
 
 MAX_STEPS = 3
+STEP_SECONDS = 20.0
 RESULT_ROWS = 20
 RESULT_CHARS = 4000
 
@@ -117,26 +128,77 @@ def validate_step(sql: str) -> str | None:
     return None
 
 
+def suggested_column(sql: str, error: Exception) -> str | None:
+    """The correction that needs no author: an unknown column replaced by the nearest known one."""
+    if not isinstance(error, AnalysisException) or not (error.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+        return None
+    told = error.getMessageParameters() or {}
+    wrong = (told.get("objectName") or "").split(".")[-1].strip("` ")
+    known = [x.split(".")[-1].strip("` ") for x in (told.get("proposal") or "").split(",")]
+    near = difflib.get_close_matches(wrong, [x for x in known if x], 1)
+    return re.sub(rf"(?<!\w){re.escape(wrong)}(?!\w)", near[0], sql) if wrong and near else None
+
+
+@dataclass
+class _Outcome:
+    status: str  # ok, error, rejected or limit
+    n_rows: int | None = None
+    result: str | None = None
+    error: str | None = None
+    cause: Exception | None = None
+
+
+def _run_step(spark: SparkSession, sql: str, rows: int, limit_seconds: float) -> _Outcome:
+    """One step in a thread of its own, its jobs under one tag; past the limit they are cancelled."""
+    problem = validate_step(sql)
+    if problem:
+        return _Outcome("rejected", error=problem)
+    context, tag = spark.sparkContext, f"step-{uuid.uuid4().hex}"
+    done: Future = Future()
+
+    def work():
+        context.addJobTag(tag)
+        try:
+            res = spark.sql(sql.strip().rstrip(";"))
+            n = res.count()
+            done.set_result((n, ("[" + ",".join(res.limit(rows).toJSON().collect()) + "]")[:RESULT_CHARS]))
+        except Exception as exc:  # noqa: BLE001 - the error is the step's result
+            done.set_exception(exc)
+        finally:
+            context.removeJobTag(tag)
+
+    Thread(target=inheritable_thread_target(spark)(work), daemon=True).start()
+    try:
+        n, result = done.result(limit_seconds)
+        return _Outcome("ok", n, result)
+    except TimeoutError:
+        # jobs that the step would start later belong to the tag as well
+        while not done.done():
+            context.cancelJobsWithTag(tag)
+            wait([done], 0.5)
+        return _Outcome("limit", error=f"stopped after {limit_seconds:g} s")
+    except Exception as exc:  # noqa: BLE001
+        return _Outcome("error", error=f"{type(exc).__name__}: {str(exc).splitlines()[0][:300]}", cause=exc)
+
+
 def sql_steps(spark: SparkSession, data: DataFrame, steps: list[str], view: str = "df",
-              max_steps: int = MAX_STEPS, rows: int = RESULT_ROWS) -> DataFrame:
+              max_steps: int = MAX_STEPS, rows: int = RESULT_ROWS, limit_seconds: float = STEP_SECONDS,
+              correct: Callable[[str, Exception], str | None] | None = suggested_column) -> DataFrame:
     """H5: run up to ``max_steps`` SQL steps against ``data`` (as temp view ``view``).
 
-    Output (step, ok, n_rows, result, error): the result is the JSON of at most ``rows`` rows
-    cut to 4000 characters (a display preview; the step's query itself runs on all rows).
-    A failing step yields an error row and no result.
+    Output (step, attempts, status, ok, n_rows, result, error): the result is the JSON of at most
+    ``rows`` rows cut to 4000 characters (a display preview; the step's query itself runs on all
+    rows). A failing step is tried once more as ``correct(sql, error)`` has it, if that gives
+    something else; ``status`` is that of the last attempt. A step that runs longer than
+    ``limit_seconds`` has its jobs cancelled and is not tried again; the session stays usable.
     """
     data.createOrReplaceTempView(view)
     out = []
     for i, sql in enumerate(steps[:max_steps]):
-        err = validate_step(sql)
-        if err is None:
-            try:
-                res = spark.sql(sql.strip().rstrip(";"))
-                n = res.count()
-                preview = res.limit(rows).toJSON().collect()
-                out.append((i, True, n, ("[" + ",".join(preview) + "]")[:RESULT_CHARS], None))
-                continue
-            except Exception as exc:  # noqa: BLE001 - the error is the step's result
-                err = f"{type(exc).__name__}: {str(exc).splitlines()[0][:300]}"
-        out.append((i, False, None, None, err))
-    return spark.createDataFrame(out, "step int, ok boolean, n_rows bigint, result string, error string")
+        got, attempts = _run_step(spark, sql, rows, limit_seconds), 1
+        if got.status == "error" and correct is not None:
+            better = correct(sql, got.cause)
+            if better and better != sql:
+                got, attempts = _run_step(spark, better, rows, limit_seconds), 2
+        out.append((i, attempts, got.status, got.status == "ok", got.n_rows, got.result, got.error))
+    return spark.createDataFrame(out, "step int, attempts int, status string, ok boolean, n_rows bigint, result string, error string")

@@ -3,12 +3,15 @@
 Naive Bayes: per-class means/variances are one grouped aggregate (one row per class x
 feature, bounded by the number of classes), broadcast to score rows with built-in math.
 
-k-NN: query rows are cut into batches and reference rows into blocks of fixed size; every batch
-meets every block in a task of its own, which keeps the k nearest of the block; the k nearest
-overall come from those. Exact for reference sets of any size, with bounded tasks.
+k-NN: reference rows are cut into cells by nearest pivot and ring of distance, and cells into blocks
+of bounded size. A query first meets its own cell; the k-th distance found there and the triangle
+inequality name the cells that can hold a nearer row, and only those are met, in tasks of a batch
+and a block. Exact for reference sets of any size.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +22,8 @@ from pyspark.sql.window import Window
 VAR_SMOOTHING = 1e-9
 BATCH_ROWS = 2_048   # query rows of a task
 BLOCK_ROWS = 8_192   # reference rows of a task
+MAX_PIVOTS = 64
+MAX_RINGS = 64       # of a pivot: what the driver holds of a partition is bounded by both
 
 
 def gaussian_nb_fit(train: DataFrame, features: list[str], label: str = "label") -> DataFrame:
@@ -47,24 +52,103 @@ def gaussian_nb_predict(test: DataFrame, model: DataFrame, key: list[str], featu
         .select(*key, F.col(label).alias("pred"), "logpost")
 
 
-def nearest(query: DataFrame, reference: DataFrame, k: int = 5, batch_rows: int = BATCH_ROWS,
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(qkey, rkey, rlabel, rank, dist): the k rows of ``reference`` (rkey, rvec, rlabel) nearest to
-    every row of ``query`` (qkey, qvec), Euclidean; ties go to the smaller rkey. Keys are longs,
-    labels doubles, vectors arrays of doubles of one length."""
-    batches = max(1, -(-query.count() // batch_rows))
-    blocks = max(1, -(-reference.count() // block_rows))
-    spark = query.sparkSession
-    cells = spark.range(batches).select(F.col("id").alias("batch"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    q = query.withColumn("batch", F.pmod(F.xxhash64("qkey"), F.lit(batches))).join(cells, "batch")
-    r = reference.withColumn("block", F.pmod(F.xxhash64("rkey"), F.lit(blocks))).join(cells, "block")
+@dataclass
+class Partition:
+    """Cells of a reference set: rows by nearest pivot and, within a pivot, by rings of distance."""
+    pivots: np.ndarray           # at most MAX_PIVOTS
+    rings: list[np.ndarray]      # per pivot: inner borders of its rings, at most MAX_RINGS - 1
+    far: np.ndarray              # per pivot: largest distance of its rows, -1 without rows
+    parts: np.ndarray            # (pivot, ring) -> blocks that the cell is dealt over
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """(rows, pivots) distances."""
+        return np.sqrt(np.maximum(((x[:, None, :] - self.pivots[None]) ** 2).sum(axis=2), 0.0))
+
+    def cell_of(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pivot, ring) of rows with the given distances."""
+        pivot = d.argmin(axis=1)
+        own = d[np.arange(len(d)), pivot]
+        return pivot, np.array([np.searchsorted(self.rings[p], x) for p, x in zip(pivot.tolist(), own.tolist(), strict=True)], np.int64)
+
+    def reachable(self, d: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, pivot, ring) of all cells that may hold a point within ``bound`` of a query.
+
+        A row at distance r from its pivot is at least |d - r| away, and, as no other pivot is nearer
+        to it, at least half of what its pivot is further away than the query's nearest.
+        """
+        slack = bound * (1 + 1e-9) + 1e-9
+        rows, pivots, rings = [], [], []
+        nearest_ = d.min(axis=1)
+        for p, borders in enumerate(self.rings):
+            if self.far[p] < 0:
+                continue
+            lo, hi = np.append(-np.inf, borders), np.append(borders, self.far[p])
+            close = (d[:, p] - nearest_) / 2 <= slack
+            meet = close[:, None] & (d[:, p, None] - slack[:, None] <= hi[None]) & (d[:, p, None] + slack[:, None] >= lo[None])
+            r, ring = np.nonzero(meet)
+            rows.append(r)
+            pivots.append(np.full(len(r), p))
+            rings.append(ring)
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, pivots, rings))
+
+
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.vstack(column.to_numpy()).astype(np.float64)
+
+
+def partition(reference: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[Partition, DataFrame]:
+    """Cells of ``reference`` (rkey, rvec, rlabel), and its rows with their pivot, ring and block.
+
+    Pivots are rows drawn by hash; there are as many as blocks are wanted, up to MAX_PIVOTS, and
+    rings beyond that, up to MAX_RINGS; a larger cell is dealt over several blocks.
+    """
+    rows = reference.count()
+    wanted = max(1, -(-rows // block_rows))
+    n_pivots, n_rings = min(MAX_PIVOTS, wanted), min(MAX_RINGS, max(1, -(-wanted // MAX_PIVOTS)) * 2 if wanted > 1 else 1)
+    drawn = reference.orderBy(F.xxhash64("rkey", F.lit(11)), "rkey").limit(n_pivots).select("rvec").collect()
+    pivots = np.array([r.rvec for r in drawn], np.float64).reshape(len(drawn), -1)
+    cells = Partition(pivots, [], np.zeros(0), np.zeros((0, 0)))
+
+    def near(batches):
+        for pdf in batches:
+            d = cells.distances(_vectors(pdf["rvec"])) if len(pdf) else np.zeros((0, max(1, len(pivots))))
+            p = d.argmin(axis=1)
+            yield pdf.assign(pivot=p.astype(np.int32), away=d[np.arange(len(p)), p])
+
+    placed = reference.select("rkey", "rvec", "rlabel").mapInPandas(
+        near, "rkey long, rvec array<double>, rlabel double, pivot int, away double")
+    borders = [i / n_rings for i in range(1, n_rings)]
+    cuts = F.percentile_approx("away", borders, 1000) if borders else F.lit(None).cast("array<double>")
+    found = {r.pivot: r for r in placed.groupBy("pivot").agg(F.max("away").alias("far"), cuts.alias("cuts")).collect()}
+    cells.rings = [np.unique(np.array(found[p].cuts or [], float)) if p in found else np.zeros(0) for p in range(len(pivots))]
+    cells.far = np.array([found[p].far if p in found else -1.0 for p in range(len(pivots))])
+    known = F.create_map(*[x for p, c in enumerate(cells.rings) for x in (F.lit(p), F.array(*[F.lit(float(v)) for v in c]).cast("array<double>"))]) \
+        if len(pivots) else F.lit(None).cast("map<int,array<double>>")
+    ring = F.size(F.filter(known[F.col("pivot")], lambda c: c < F.col("away")))
+    ringed = placed.withColumn("ring", ring)
+    cells.parts = np.ones((max(1, len(pivots)), max([len(c) + 1 for c in cells.rings] or [1])), np.int64)
+    for r in ringed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per cell
+        cells.parts[r["pivot"], r["ring"]] = max(1, -(-r["n"] // block_rows))
+    dealt = F.lit(0)
+    for p, q in zip(*np.nonzero(cells.parts > 1), strict=True):
+        dealt = F.when((F.col("pivot") == int(p)) & (F.col("ring") == int(q)),
+                       F.pmod(F.xxhash64("rkey"), F.lit(int(cells.parts[p, q]))).cast("int")).otherwise(dealt)
+    return cells, ringed.withColumn("part", dealt).select("rkey", "rvec", "rlabel", "pivot", "ring", "part")
+
+
+def _meet(query: DataFrame, reference: DataFrame, k: int, batches: int) -> DataFrame:
+    """(qkey, rkey, rlabel, dist): the k nearest of every block (pivot, ring, part) for the queries sent
+    to it (rows qkey, qvec, pivot, ring, part), batch by batch."""
+    spot = ["pivot", "ring", "part", "batch"]
+    q = query.withColumn("batch", F.pmod(F.xxhash64("qkey"), F.lit(batches)))
+    r = reference.join(q.select(*spot).distinct(), spot[:3])
 
     def cell(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or rdf.empty:
             return pd.DataFrame({"qkey": np.zeros(0, np.int64), "rkey": np.zeros(0, np.int64),
                                  "rlabel": np.zeros(0), "dist": np.zeros(0)})
         rdf = rdf.sort_values("rkey", kind="stable")
-        ref, ask = (np.vstack(d[c].to_numpy()).astype(np.float64) for d, c in ((rdf, "rvec"), (qdf, "qvec")))
+        ref, ask = _vectors(rdf["rvec"]), _vectors(qdf["qvec"])
         take = min(k, len(ref))
         wide = min(len(ref), take + 16)
         picked, found = [], []
@@ -81,10 +165,63 @@ def nearest(query: DataFrame, reference: DataFrame, k: int = 5, batch_rows: int
         return pd.DataFrame({"qkey": np.repeat(qdf["qkey"].to_numpy(), take), "rkey": rdf["rkey"].to_numpy()[at],
                              "rlabel": rdf["rlabel"].to_numpy(dtype=float)[at], "dist": np.concatenate(found).ravel()})
 
-    met = q.groupBy("batch", "block").cogroup(r.groupBy("batch", "block")).applyInPandas(
-        cell, "qkey long, rkey long, rlabel double, dist double")
+    return q.groupBy(*spot).cogroup(r.groupBy(*spot)).applyInPandas(cell, "qkey long, rkey long, rlabel double, dist double")
+
+
+def _sent(query: DataFrame, cells: Partition, first: bool) -> DataFrame:
+    """Queries (qkey, qvec, bound) with the blocks (pivot, ring, part) they are sent to: the cell they
+    lie in themselves (``first``), or all that their bound reaches."""
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            d = cells.distances(_vectors(pdf["qvec"]))
+            if first:
+                pivot, ring = cells.cell_of(d)
+                row = np.arange(len(pdf))
+            else:
+                row, pivot, ring = cells.reachable(d, pdf["bound"].to_numpy(float))
+            parts = cells.parts[pivot, ring]
+            at = np.repeat(np.arange(len(row)), parts)
+            yield pd.DataFrame({"qkey": pdf["qkey"].to_numpy()[row[at]], "qvec": list(pdf["qvec"].to_numpy()[row[at]]),
+                                "pivot": pivot[at].astype(np.int32), "ring": ring[at].astype(np.int32),
+                                "part": (np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32)})
+
+    return query.mapInPandas(run, "qkey long, qvec array<double>, pivot int, ring int, part int")
+
+
+def routes(query: DataFrame, reference: DataFrame, k: int, batch_rows: int = BATCH_ROWS, block_rows: int = BLOCK_ROWS):
+    """(queries with the blocks they must meet, the reference's rows by block, batches).
+
+    First every query meets its own cell; the k-th distance there bounds where a nearer neighbour can
+    be, and only the cells within it are met.
+    """
+    from ..session import written
+
+    batches = max(1, -(-query.count() // batch_rows))
+    cells, placed = partition(reference, block_rows)
+    if not len(cells.pivots):
+        return query.select("qkey", "qvec", *[F.lit(0).alias(c) for c in ("pivot", "ring", "part")]).where("false"), placed, batches
+    if cells.parts.sum() == 1:
+        return query.select("qkey", "qvec", *[F.lit(0).alias(c) for c in ("pivot", "ring", "part")]), placed, batches
+    placed = written(placed, "knn-blocks")
+    near = _meet(_sent(query.select("qkey", "qvec", F.lit(0.0).alias("bound")), cells, True), placed, k, batches)
+    rank = Window.partitionBy("qkey").orderBy("dist", "rkey")
+    kth = near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == k).select(F.col("qkey").alias("qk"), F.col("dist").alias("bound"))
+    bounded = written(query.join(kth, F.col("qkey") == F.col("qk"), "left").select(
+        "qkey", "qvec", F.coalesce("bound", F.lit(float("inf"))).alias("bound")), "knn-bounds")
+    return _sent(bounded, cells, False), placed, batches
+
+
+def nearest(query: DataFrame, reference: DataFrame, k: int = 5, batch_rows: int = BATCH_ROWS,
+            block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(qkey, rkey, rlabel, rank, dist): the k rows of ``reference`` (rkey, rvec, rlabel) nearest to
+    every row of ``query`` (qkey, qvec), Euclidean; ties go to the smaller rkey. Keys are longs,
+    labels doubles, vectors arrays of finite doubles of one length. Exact: see ``routes``."""
+    sent, placed, batches = routes(query, reference, k, batch_rows, block_rows)
     w = Window.partitionBy("qkey").orderBy("dist", "rkey")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _meet(sent, placed, k, batches).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _sides(query: DataFrame, reference: DataFrame, key: str, vec: str, label: str):
@@ -131,7 +268,11 @@ class NearestNeighborsModel:
             F.xxhash64(content, "i").alias("rkey"), "rvec", "rlabel")
 
     def score(self, feat: DataFrame, out: str) -> DataFrame:
+        from ..session import written
+
         vec = vector_to_array("features")
-        asked = feat.select(vec.alias("qvec")).distinct().withColumn("qkey", F.xxhash64("qvec"))
+        # numbered once written: a hash alone could give two vectors one key
+        asked = written(feat.select(vec.alias("qvec")).distinct().withColumn("qkey", F.monotonically_increasing_id()), "knn-queries")
         means = nearest(asked.select("qkey", "qvec"), self.reference, self.k).groupBy("qkey").agg(F.avg("rlabel").alias(out))
-        return feat.withColumn("_if_qkey", F.xxhash64(vec)).join(means, F.col("_if_qkey") == F.col("qkey")).drop("_if_qkey", "qkey")
+        told = asked.join(means, "qkey").select(F.xxhash64("qvec").alias("_if_hash"), "qvec", out)
+        return feat.join(told, (F.xxhash64(vec) == F.col("_if_hash")) & (vec == F.col("qvec"))).drop("_if_hash", "qvec")

@@ -134,32 +134,54 @@ class Preprocessor:
 
 
 def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessor:
-    """M6-M9 fitted on ``train`` only.
+    """M6-M9 fitted on ``train`` only (see :func:`fit_preprocessors`)."""
+    return fit_preprocessors(train, numeric, categorical)[None]
+
+
+def fit_preprocessors(train: DataFrame, numeric: list[str], categorical: list[str], fold: str | None = None,
+                      folds: int = 0) -> dict[int | None, Preprocessor]:
+    """One preprocessor per fold f, fitted on the rows of all other folds, and one (None)
+    fitted on all rows; all from the same passes.
 
     Numeric: exact median (for the imputer) + mean and population std of the imputed column.
     Categorical: most frequent value (ties -> smallest) and the sorted category list.
     Every category of a column given here becomes a feature. Which columns are given is the
     feature-eligibility rule's choice; the list of features is the model's own size.
     """
-    p = Preprocessor(numeric, categorical)
+    trained: list[int | None] = [*range(folds), None]
+    out = {f: Preprocessor(numeric, categorical) for f in trained}
+
+    def mine(f: int | None, x: Column) -> Column:
+        return x if f is None else F.when(F.col(quoted(fold)) != f, x)
+
     if numeric:
-        p.medians = _medians(train, numeric)
-        imputed = [F.coalesce(F.col(quoted(c)).cast("double"), F.lit(p.medians[c])) for c in numeric]
-        row = train.agg(*[F.avg(x).alias(f"a{i}") for i, x in enumerate(imputed)],
-                        *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(imputed)]).first()
-        p.means = {c: row[f"a{i}"] for i, c in enumerate(numeric)}
-        p.stds = {c: row[f"s{i}"] for i, c in enumerate(numeric)}
+        wanted = {f"{i}|{f}": mine(f, F.col(quoted(c)).cast("double")) for i, c in enumerate(numeric) for f in trained}
+        medians = {name: q[0] for name, q in exact_quantiles(train, wanted, [0.5]).items()}
+        stats = []
+        for f in trained:
+            out[f].medians = {c: medians[f"{i}|{f}"] for i, c in enumerate(numeric)}
+            for i, c in enumerate(numeric):
+                x = mine(f, F.coalesce(F.col(quoted(c)).cast("double"), F.lit(out[f].medians[c])))
+                stats += [F.avg(x).alias(f"a{i}|{f}"), F.stddev_pop(x).alias(f"s{i}|{f}")]
+        row = train.agg(*stats).first()
+        for f in trained:
+            out[f].means = {c: row[f"a{i}|{f}"] for i, c in enumerate(numeric)}
+            out[f].stds = {c: row[f"s{i}|{f}"] for i, c in enumerate(numeric)}
     if categorical:
-        wide = train.select(*[F.col(quoted(c)).cast("string").alias(f"c{i}") for i, c in enumerate(categorical)])
-        vc = (wide.unpivot([], [f"c{i}" for i in range(len(categorical))], "col_name", "value").where(F.col("value").isNotNull())
-              .groupBy("col_name", "value").agg(F.count(F.lit(1)).alias("n")))
-        per = vc.groupBy("col_name").agg(
-            F.sort_array(F.collect_list("value")).alias("cats"),
-            F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")).collect()
-        for r in per:
-            c = categorical[int(r.col_name[1:])]
-            p.modes[c], p.categories[c] = r.mode, list(r.cats)
-    return p
+        held = F.col(quoted(fold)).cast("int") if fold else F.lit(0)
+        wide = train.select(held.alias("fold"), *[F.col(quoted(c)).cast("string").alias(f"c{i}") for i, c in enumerate(categorical)])
+        counts = (wide.unpivot(["fold"], [f"c{i}" for i in range(len(categorical))], "col_name", "value")
+                  .where(F.col("value").isNotNull()).groupBy("col_name", "value", "fold").agg(F.count(F.lit(1)).alias("n"))).collect()
+        for f in trained:
+            for i, c in enumerate(categorical):
+                total: dict[str, int] = {}
+                for r in counts:  # a row per category and fold
+                    if r.col_name == f"c{i}" and (f is None or r.fold != f):
+                        total[r.value] = total.get(r.value, 0) + r.n
+                if total:
+                    out[f].modes[c] = min(total, key=lambda v: (-total[v], v))
+                    out[f].categories[c] = sorted(total)
+    return out
 
 
 def median_table(train: DataFrame, cols: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import (HIGH_MISSING_SHARE, OUTLIER_IQR_MULT, OUTLIER_MIN_NONNULL,
                                  OUTLIER_SHARE, quoted, safe_div)
 from ..functions.quantiles import exact_quantiles
+from ..functions.sketches import SKETCH_K, quantile_sketches, sketch_quantiles
 
 
 @dataclass(frozen=True)
@@ -109,6 +110,13 @@ def quartiles(df: DataFrame, cols: list[str]) -> DataFrame:
                                            "col_name string, col_ord int, q1 double, q3 double")
 
 
+def quartiles_sketched(df: DataFrame, cols: list[str], group: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
+    """C7 for interactive use: (group.., col_name, col_ord, n, q1, q3) in one scan, each quartile's
+    rank within ``rank_error(k)`` of the exact one (see ``functions/sketches.py``)."""
+    sketches = quantile_sketches(df, {c: F.col(quoted(c)) for c in cols}, group, k)
+    return sketch_quantiles(sketches, {"q1": 0.25, "q3": 0.75})
+
+
 def outlier_shares(df: DataFrame, quarts: DataFrame) -> DataFrame:
     """Share of ALL rows strictly outside [Q1 - 3 IQR, Q3 + 3 IQR], per column.
 

@@ -143,6 +143,93 @@ def backtest_metrics(wf: DataFrame, seg: list[str] | None = None) -> DataFrame:
     return m.withColumn("beats_naive", F.col("mae") <= F.col("naive_mae"))
 
 
+# periods of one season, and a period's place in it
+SEASONS = {"month": (12, F.month), "day": (7, F.dayofweek)}
+
+
+def _seasonal_fits(indexed: DataFrame, seg: list[str], grain: str, max_points: int) -> DataFrame:
+    """Trend and season effects of every segment, fitted on all periods before each of its last
+    ``origin``s: rows (seg.., origin, season, k, t_mean, y_mean, slope, s2, dof, sxx, last_period).
+
+    Least squares with one effect per season leaves closed sums: the slope is that of the values
+    centred inside their season. So one grouped table holds the normal equations of all segments
+    and origins; an origin repeats the segment's periods, of which there are few.
+    """
+    n_bt = F.least(F.lit(max_points), F.floor(F.col("n_points") / 3))
+    first = F.greatest(F.col("n_points") - n_bt, F.col("t") + 1).cast("int")
+    rows = indexed.withColumn("origin", F.explode(F.sequence(first, F.col("n_points").cast("int"))))
+    y, t = F.col("rate"), F.col("t").cast("double")
+    cells = rows.groupBy(*seg, "origin", "season").agg(
+        F.count(y).alias("k"), F.avg(t).alias("t_mean"), F.avg(y).alias("y_mean"), F.regr_sxx(y, t).alias("xx"),
+        F.regr_syy(y, t).alias("yy"), F.regr_sxy(y, t).alias("xy"), F.max("period").alias("last"))
+    fit = Window.partitionBy(*seg, "origin")
+    xx, yy, xy = (F.sum(c).over(fit) for c in ("xx", "yy", "xy"))
+    slope = F.try_divide(xy, xx)
+    dof = F.sum("k").over(fit) - F.count(F.lit(1)).over(fit) - 1
+    return cells.select(*seg, "origin", "season", "k", "t_mean", "y_mean", slope.alias("slope"), dof.alias("dof"), xx.alias("sxx"),
+                        F.when(dof > 0, F.greatest(yy - slope * xy, F.lit(0.0)) / dof).alias("s2"), F.max("last").over(fit).alias("last_period"))
+
+
+def _seasonal_index(series: DataFrame, seg: list[str], grain: str) -> DataFrame:
+    """The series of segments with two whole seasons or more, with t, season and n_points."""
+    length, place = SEASONS[grain]
+    s = with_time_index(series, seg).withColumn("season", place("period"))
+    return s.withColumn("n_points", F.count(F.lit(1)).over(Window.partitionBy(*seg))).where(F.col("n_points") >= 2 * length)
+
+
+def forecast_seasonal(series: DataFrame, seg: list[str] | None = None, horizon: int | None = None, grain: str = "month",
+                      clip: bool = True, max_points: int = BACKTEST_MAX_POINTS) -> DataFrame:
+    """Trend plus season effects per segment: (seg.., step, period, n_points, point, lower, upper).
+
+    The 80% interval is yhat +/- t(0.9, dof) * sqrt(s2 * (1 + 1/k + (t0 - t_mean)^2 / Sxx)) with k and
+    t_mean of the period's season. Segments under two whole seasons, or without a value at the
+    season asked for, give no row. Default horizon: one season.
+    """
+    seg = seg or []
+    length, place = SEASONS[grain]
+    indexed = _seasonal_index(series, seg, grain)
+    totals = indexed.groupBy(*seg).agg(F.max("n_points").alias("n_points"))
+    fits = _seasonal_fits(indexed, seg, grain, 0)  # the one origin after the last period
+    steps = fits.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon or length))))
+    period = F.add_months("last_period", F.col("step")) if grain == "month" else F.date_add("last_period", F.col("step"))
+    t0 = F.col("origin") - 1 + F.col("step")
+    point = F.col("y_mean") + F.col("slope") * (t0 - F.col("t_mean"))
+    se = F.sqrt(F.col("s2") * (1 + 1 / F.col("k") + F.try_divide(F.pow(t0 - F.col("t_mean"), 2), F.col("sxx"))))
+    half = t_quantile_090(F.col("dof")) * se
+    out = steps.withColumn("period", period).where((place("period") == F.col("season")) & (F.col("dof") > 0))
+    made = [point.alias("point"), (point - half).alias("lower"), (point + half).alias("upper")]
+    out = out.select(*seg, "step", "period", F.col("origin").alias("n_points"), *made)
+    if clip:
+        out = out.select(*seg, "step", "period", "n_points", *[clip01(F.col(c)).alias(c) for c in ("point", "lower", "upper")])
+    return out
+
+
+def walk_forward_seasonal(series: DataFrame, seg: list[str] | None = None, grain: str = "month",
+                          max_points: int = BACKTEST_MAX_POINTS) -> DataFrame:
+    """One-step-ahead seasonal predictions beside the linear fit's and the last value's, each refit
+    on all earlier periods: (seg.., t, period, rate, pred, linear, naive, abs_err, linear_err, naive_err).
+
+    Periods whose season has not been seen before are left out.
+    """
+    seg = seg or []
+    indexed = _seasonal_index(series, seg, grain)
+    fits = _seasonal_fits(indexed, seg, grain, max_points).select(
+        *seg, F.col("origin").alias("t"), "season", "t_mean", "y_mean", "slope")
+    told = indexed.select(*seg, "t", "season", "period", "rate").join(fits, [*seg, "t", "season"]).withColumn(
+        "pred", F.col("y_mean") + F.col("slope") * (F.col("t") - F.col("t_mean"))).where(F.col("pred").isNotNull())
+    plain = walk_forward(series, seg, max_points).select(*seg, "t", F.col("pred").alias("linear"), "naive",
+                                                         F.col("abs_err").alias("linear_err"), "naive_err")
+    return told.join(plain, [*seg, "t"]).select(
+        *seg, "t", "period", "rate", "pred", "linear", "naive", F.abs(F.col("pred") - F.col("rate")).alias("abs_err"), "linear_err", "naive_err")
+
+
+def seasonal_metrics(wf: DataFrame, seg: list[str] | None = None) -> DataFrame:
+    """Mean absolute errors of ``walk_forward_seasonal`` and whether the seasonal form wins."""
+    m = wf.groupBy(*(seg or [])).agg(F.count(F.lit(1)).alias("n_backtest"), F.avg("abs_err").alias("mae"),
+                                     F.avg("linear_err").alias("linear_mae"), F.avg("naive_err").alias("naive_mae"))
+    return m.withColumn("beats_linear", F.col("mae") <= F.col("linear_mae"))
+
+
 def projections(fc: DataFrame, metrics: DataFrame, metric_name: str,
                 seg: list[str] | None = None) -> DataFrame:
     """Projection rows with horizon label, rounded numbers, backtest struct and caveats."""

@@ -7,6 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..functions.columns import rnd, stable_bucket_sql
+from ..operators import foldfits as ff
 from ..operators import models as md
 from ..operators import neighbors as nb
 from ..operators.prep import split_column
@@ -113,6 +114,40 @@ def q_model_linear_single(spark, sf_dir):
                                  F.lit(n).cast("bigint").alias("n"))
 
 
+# sums per fold, training sums by subtraction, the two normal equations solved in closed form
+FOLD_SQL = """
+WITH d AS (SELECT CAST(l_orderkey % 5 AS INTEGER) AS fold, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) * 100 AS b,
+                  CAST(l_extendedprice AS DOUBLE) / 1000 AS y FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_orderkey IS NOT NULL),
+s AS (SELECT fold, COUNT(*) AS n, SUM(a) AS sa, SUM(b) AS sb, SUM(y) AS sy, SUM(a * a) AS aa, SUM(a * b) AS ab, SUM(b * b) AS bb,
+             SUM(a * y) AS ay, SUM(b * y) AS by_ FROM d GROUP BY fold),
+t AS (SELECT f.fold, SUM(s.n) AS n, SUM(sa) AS sa, SUM(sb) AS sb, SUM(sy) AS sy, SUM(aa) AS aa, SUM(ab) AS ab, SUM(bb) AS bb, SUM(ay) AS ay,
+             SUM(by_) AS by_ FROM (SELECT DISTINCT fold FROM s UNION ALL SELECT -1) f(fold) JOIN s ON s.fold <> f.fold GROUP BY f.fold),
+c AS (SELECT *, aa - sa * sa / n AS caa, ab - sa * sb / n AS cab, bb - sb * sb / n AS cbb, ay - sa * sy / n AS cay, by_ - sb * sy / n AS cby FROM t),
+k AS (SELECT c.*, kind, p FROM c, (VALUES ('linear', 0.0), ('ridge 1', 1.0), ('ridge 10000', 10000.0)) v(kind, p)),
+w AS (SELECT *, ((cbb + p) * cay - cab * cby) / ((caa + p) * (cbb + p) - cab * cab) AS wa,
+             ((caa + p) * cby - cab * cay) / ((caa + p) * (cbb + p) - cab * cab) AS wb FROM k),
+b AS (SELECT *, sy / n - wa * sa / n - wb * sb / n AS w0 FROM w)
+"""
+
+
+@register("model_folds_linear", oracle=FOLD_SQL + """
+SELECT b.kind, b.fold, ROUND(wa, 6) AS quantity, ROUND(wb, 6) AS discount, ROUND(w0, 5) AS intercept,
+       ROUND(sqrt(AVG(power(w0 + wa * d.a + wb * d.b - d.y, 2))), 5) AS rmse
+FROM b LEFT JOIN d ON d.fold = b.fold GROUP BY ALL""")
+def q_model_folds_linear(spark, sf_dir):
+    """ML3, ML9, ML19: least squares and a ridge path on every fold and on all rows, with each held-out
+    fold's RMSE, from one scan of the lines."""
+    li = bt.read_table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 5).cast("int").alias("fold"), F.col("l_quantity").cast("double").alias("quantity"),
+        (F.col("l_discount").cast("double") * 100).alias("discount"), (F.col("l_extendedprice").cast("double") / 1000).alias("price"))
+    kinds = {"linear": ("linear", 0.0), "ridge 1": ("ridge", 1.0), "ridge 10000": ("ridge", 10000.0)}
+    fits = ff.fold_fits(li, "price", ["quantity", "discount"], [], "fold", kinds, standardise=False)
+    return spark.createDataFrame(
+        [(x.kind, -1 if x.fold is None else x.fold, *[round(float(c), 6) for c in x.coefficients], round(x.intercept, 5),
+          None if x.rmse is None else round(x.rmse, 5)) for x in fits],
+        "kind string, fold int, quantity double, discount double, intercept double, rmse double")
+
+
 @register("model_logistic")
 def q_model_logistic(spark, sf_dir):
     """ML2: balanced logistic regression scored on the held-out split (test metrics)."""

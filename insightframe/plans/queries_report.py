@@ -549,11 +549,22 @@ def q_segment_lift(spark, sf_dir):
     return s.select("c_mktsegment", "l_linestatus", "n", rnd(F.col("lift_points")).alias("lift_points"))
 
 
-@register("sql_steps")
+@register("sql_steps", oracle="""
+SELECT 0 AS step, 1 AS attempts, 'ok' AS status, CAST(COUNT(DISTINCT l_returnflag || l_linestatus) AS BIGINT) AS n_rows FROM lineitem
+UNION ALL SELECT 1, 2, 'ok', COUNT(DISTINCT l_returnflag) FROM lineitem WHERE l_discount > 0.05
+UNION ALL SELECT 2, 1, 'error', NULL
+UNION ALL SELECT 3, 1, 'rejected', NULL
+UNION ALL SELECT 4, 1, 'limit', NULL
+UNION ALL SELECT 5, 1, 'ok', 1""")
 def q_sql_steps(spark, sf_dir):
-    """H5: three analysis steps over lineitem: a valid query, a failing query, a rejected command."""
+    """H5: steps over lineitem that succeed, succeed corrected, fail, are no query, run on for ever,
+    and succeed after that."""
     steps = ["SELECT l_returnflag, l_linestatus, COUNT(*) AS n, AVG(l_discount) AS avg_discount "
              "FROM df GROUP BY l_returnflag, l_linestatus ORDER BY n DESC",
-             "SELECT no_such_column FROM df",
-             "DROP TABLE df"]
-    return ah.sql_steps(spark, bt.read_table(spark, sf_dir, "lineitem"), steps)
+             "SELECT l_returnflag, COUNT(*) AS n FROM df WHERE l_discont > 0.05 GROUP BY l_returnflag",
+             "SELECT COUNT(*) FROM no_such_table",
+             "DROP TABLE df",
+             "SELECT MAX(xxhash64(id)) FROM range(1000000000000000)",
+             "SELECT COUNT(*) AS n FROM df"]
+    done = ah.sql_steps(spark, bt.read_table(spark, sf_dir, "lineitem"), steps, max_steps=len(steps), limit_seconds=10)
+    return done.select("step", "attempts", "status", "n_rows")

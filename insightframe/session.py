@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on. They are applied only when the key is unset.
 DEFAULTS = {
@@ -54,3 +55,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into the shared checkpoint folder and read back.
+
+    For tables that many later steps read: they start from the copy instead of planning and running
+    all that led to it again, and a lost executor only costs running tasks.
+    """
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of a report table (bounded by its definition: a few lines, or one row a column or
+    model) as a table of their own, so that what reads them does not run the analysis again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

@@ -153,7 +153,7 @@ def test_panel_with_awkward_names_and_repeated_rows(spark):
         F.round(u(1), 3).alias("a.b"), F.when(u(2) < 0.5, "U.S.").otherwise("x=y `z`").alias("score"),
         (u(1) + 0.4 * u(3) > 0.7).cast("int").alias("label"))
     df = base.unionByName(base).unionByName(base)
-    cfg = md.ModelConfig(num_trees=5, max_depth=3, gbt_iter=3, gbt_depth=2)
+    cfg = md.ModelConfig(num_trees=5, max_depth=3, gbt_iter=3, gbt_leaves=4)
     lb = md.train_panel(df, "label", df.columns, ["a.b"], ["score"], "binary_classification", cfg)
     assert {r.name for r in lb.table.collect()} == {"LogisticRegression", "RandomForest", "GradientBoosting", "Ensemble"}
     table = md.model_table(df, "label", df.columns, ["a.b", "score"], "binary_classification", 42)
@@ -197,7 +197,7 @@ def test_technique_lookup_batch(spark):
 
 
 def test_panel_on_planted_signal(spark, lending):
-    cfg = md.ModelConfig(num_trees=20, max_depth=4, gbt_iter=10, gbt_depth=3)
+    cfg = md.ModelConfig(num_trees=20, max_depth=4, gbt_iter=10, gbt_leaves=8)
     lb = md.train_panel(lending, "default", ["loan_id"], ["fico_score", "annual_income"],
                         ["grade", "home_ownership"], "binary_classification", cfg, user_technique="tree")
     rows = {r.name: r for r in lb.table.collect()}
@@ -215,7 +215,7 @@ def test_regression_panel_r2(spark):
                                   ((u(3) - 0.5) * 1.0).alias("e"))
     df = df.withColumn("target", 3 * F.col("x1") - 2 * F.col("x2") + F.col("e")).drop("e")
     lb = md.train_panel(df, "target", ["id"], ["x1", "x2"], [], "regression",
-                        md.ModelConfig(num_trees=20, max_depth=5, gbt_iter=10, gbt_depth=3))
+                        md.ModelConfig(num_trees=20, max_depth=5, gbt_iter=10, gbt_leaves=8))
     rows = {r.name: r for r in lb.table.collect()}
     assert lb.metric == "RMSE"
     assert rows["LinearRegression"].all_metrics["R2"] > 0.8

@@ -1,13 +1,24 @@
 """Profiling flags and role resolution (C*, P*) on edge-case fixtures (Appendix A quirks)."""
+import bisect
+import contextlib
+import io
 import math
 
 from pyspark.sql import functions as F
 
+from insightframe.functions import sketches as sk
 from insightframe.operators import profile as pf
 from insightframe.operators import roles as rl
 from insightframe.sources.io import nan_to_null
 
 
+def plan_text(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue().split("\n(1) ")[0]
+
+
 def _edges(spark):
     rows = []
     for i in range(100):
@@ -35,12 +46,41 @@ def test_profile_missing_and_distinct(spark):
     assert rows["nanc"].missing_pct == 1.0
 
 
-def test_exact_and_approx_quartiles_agree_on_small_data(spark):
+def test_exact_and_sketched_quartiles_agree_on_small_data(spark):
     df = spark.range(1001).select(F.col("id").cast("double").alias("x"))
-    e = pf.quartiles(df, ["x"], "exact").first()
-    a = pf.quartiles(df, ["x"], "approx").first()
+    e = pf.quartiles(df, ["x"]).first()
+    a = pf.quartiles_sketched(df, ["x"]).first()
     assert (e.q1, e.q3) == (250.0, 750.0)
-    assert abs(a.q1 - 250) <= 1 and abs(a.q3 - 750) <= 1
+    assert a.n == 1001 and abs(a.q1 - 250) <= 1 and abs(a.q3 - 750) <= 1
+
+
+def test_sketches_keep_their_rank_error_when_merged(spark):
+    """Skewed values with ties, NULL and NaN; sketches by day, merged to months and to the whole."""
+    df = spark.range(60_000).select(
+        (F.col("id") % 30).alias("day"), (F.col("id") % 30 % 2).alias("half"),
+        F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 13 == 0, float("nan"))
+        .otherwise(F.floor(F.pow(F.pmod(F.xxhash64("id"), F.lit(1000)) / 100.0, 3))).cast("double").alias("x"),
+        F.lit(None).cast("int").alias("nothing"))
+    k = 128
+    days = sk.quantile_sketches(df, {"x": F.col("x"), "nothing": F.col("nothing")}, ["day"], k).persist()
+    assert days.where("col_name = 'nothing'").agg(F.max("n"), F.max(F.col("sketch").isNotNull().cast("int"))).first() == (0, 0)
+    halves = sk.merge_sketches(days.withColumn("half", F.col("day") % 2), ["half"], k)
+    whole = sk.merge_sketches(halves, None, k)
+    rows = [(r.half, r.x) for r in df.select("half", "x").collect() if r.x is not None and r.x == r.x]
+    probs = {f"p{i}": i / 20 for i in range(1, 20)}
+    for found, part in ((sk.sketch_quantiles(halves, probs), lambda h: lambda x: x == h), (sk.sketch_quantiles(whole, probs), lambda h: lambda x: True)):
+        for r in found.where("col_name = 'x'").collect():
+            mine = sorted(x for h, x in rows if part(getattr(r, "half", None))(h))
+            assert r.n == len(mine)
+            for name, p in probs.items():
+                lo, hi = bisect.bisect_left(mine, r[name]) / r.n, bisect.bisect_right(mine, r[name]) / r.n
+                assert lo - 2 * sk.rank_error(k) <= p <= hi + 2 * sk.rank_error(k)
+    days.unpersist()
+
+
+def test_sketches_take_one_scan(spark):
+    plan = plan_text(pf.quartiles_sketched(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"), ["l_quantity", "l_tax"]))
+    assert plan.count("Scan parquet") == 1
 
 
 def test_binary_encodings(spark):
@@ -73,13 +113,19 @@ def test_time_column_detection(spark):
     assert not t["clock_time"].is_time        # time-only strings never count as dates
 
 
-def test_target_resolution_rules():
-    assert rl.resolve_target("x", ["default"], ["x", "default"]) == "x"
-    assert rl.resolve_target(None, ["flag", "Class"], ["flag", "Class"]) == "Class"
-    assert rl.resolve_target(None, ["flag"], ["flag"]) == "flag"
-    assert rl.resolve_target(None, [], ["a"]) is None
-    assert rl.baseline_target("price", ["default"], {"price": 900, "default": 2}) is None
-    assert rl.baseline_target(None, ["label", "flag"], {"label": 5, "flag": 2}) == "flag"
+def test_target_resolution_rules(spark):
+    def chosen(explicit, candidates, n_unique):
+        prof = spark.createDataFrame([(c, i, n) for i, (c, n) in enumerate(n_unique.items())], "col_name string, col_ord int, n_unique long")
+        cands = spark.createDataFrame([(c, i + 1) for i, c in enumerate(candidates)], "col_name string, cand_ord int")
+        return tuple(rl.choose_targets(prof, cands, explicit).first())
+
+    assert chosen("x", ["default"], {"x": 900, "default": 2}) == ("x", None)
+    assert chosen("default", ["flag", "default"], {"flag": 2, "default": 2}) == ("default", "default")
+    assert chosen("gone", ["flag"], {"flag": 2}) == ("flag", None)
+    assert chosen(None, ["flag", "Class"], {"flag": 2, "Class": 3}) == ("Class", "flag")
+    assert chosen(None, ["flag"], {"a": 1, "flag": 2}) == ("flag", "flag")
+    assert chosen(None, [], {"a": 1}) == (None, None)
+    assert chosen(None, ["label", "flag"], {"label": 5, "flag": 2}) == ("label", "flag")
 
 
 def test_candidates_and_features(spark, lending):

@@ -96,3 +96,53 @@ def test_chart_forecast_rows(spark):
     c = sr.chart_forecast(s, sr.forecast(s))
     got = {r.series: r.n for r in c.groupBy("series").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == {"history": 10, "forecast": 3, "lower": 3, "upper": 3}
+
+
+def _plain_seasonal(ys, months, t0, m0):
+    """Least squares on a trend and one column per month; (point, half width without t, dof)."""
+    seen = sorted(set(months))
+    x = np.array([[float(i)] + [float(m == s) for s in seen] for i, m in enumerate(months)])
+    beta, *_ = np.linalg.lstsq(x, np.array(ys), rcond=None)
+    resid = np.array(ys) - x @ beta
+    dof = len(ys) - x.shape[1]
+    at = np.array([float(t0)] + [float(m0 == s) for s in seen])
+    se = np.sqrt(resid @ resid / dof * (1 + at @ np.linalg.inv(x.T @ x) @ at))
+    return float(at @ beta), float(se), dof
+
+
+def test_seasonal_forecast_matches_least_squares(spark):
+    r = np.random.default_rng(4)
+    parts, series = {}, []
+    for name, n, start in (("a", 40, dt.date(2018, 3, 1)), ("b", 31, dt.date(2019, 1, 1)), ("short", 23, dt.date(2019, 1, 1))):
+        ys = [0.2 + 0.004 * i + 0.05 * np.sin((start.month + i) / 2) + r.normal(0, 0.01) for i in range(n)]
+        part = _series(spark, [float(y) for y in ys], start).withColumn("seg", F.lit(name))
+        parts[name] = (ys, [(start.month - 1 + i) % 12 + 1 for i in range(n)])
+        series.append(part)
+    both = series[0].unionByName(series[1]).unionByName(series[2])
+    got = sr.forecast_seasonal(both, ["seg"], horizon=14, clip=False).collect()
+    assert {x.seg for x in got} == {"a", "b"} and len(got) == 28  # under two seasons: refused
+    for x in got:
+        ys, months = parts[x.seg]
+        t0 = len(ys) - 1 + x.step
+        point, se, dof = _plain_seasonal(ys, months, t0, (months[0] - 1 + t0) % 12 + 1)
+        assert x.period.month == (months[0] - 1 + t0) % 12 + 1
+        assert abs(x.point - point) < 1e-9
+        tq = spark.range(1).select(sr.t_quantile_090(F.lit(dof))).first()[0]
+        assert abs((x.upper - x.point) - tq * se) < 1e-9
+    wf = {(x.seg, x.t): x for x in sr.walk_forward_seasonal(both, ["seg"]).collect()}
+    assert set(wf) == {(s, len(parts[s][0]) - 1 - k) for s in "ab" for k in range(6)}
+    for (s, t), x in wf.items():
+        ys, months = parts[s]
+        assert abs(x.pred - _plain_seasonal(ys[:t], months[:t], t, months[t])[0]) < 1e-9
+        assert abs(x.naive - ys[t - 1]) < 1e-12
+    m = {x.seg: x for x in sr.seasonal_metrics(sr.walk_forward_seasonal(both, ["seg"]), ["seg"]).collect()}
+    assert m["a"].n_backtest == 6 and m["a"].beats_linear and m["a"].mae < m["a"].linear_mae
+
+
+def test_seasonal_forecast_of_gaps_and_nothing(spark):
+    ys = [0.1 + 0.01 * (i % 12) for i in range(30)]
+    s = _series(spark, ys, gap_at=20)
+    got = sr.forecast_seasonal(s).collect()
+    assert len(got) == 12 and all(0 <= x.lower <= x.upper <= 1 for x in got)
+    assert sr.forecast_seasonal(s.where("rate > 9")).count() == 0
+    assert sr.walk_forward_seasonal(s.where("rate > 9")).count() == 0

@@ -3,6 +3,8 @@ and the driver contract."""
 import os
 import tempfile
 
+import time
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +102,24 @@ def test_sql_steps_guard(spark):
     assert not r[3].ok and "one statement" in r[3].error
 
 
+def test_sql_steps_limit_and_retry(spark):
+    df = spark.range(1000).select((F.col("id") % 4).alias("grade"), F.col("id").alias("amount"))
+    steps = ["SELECT max(xxhash64(id)) FROM range(1000000000000000)", "SELECT grad, sum(amout) AS s FROM df GROUP BY grad",
+             "SELECT sum(amonut) AS s FROM df", "SELECT zzz FROM df WHERE", "SELECT count(*) AS n FROM df"]
+    began = time.monotonic()
+    r = ah.sql_steps(spark, df, steps, max_steps=9, limit_seconds=3).orderBy("step").collect()
+    assert time.monotonic() - began < 40
+    assert (r[0].status, r[0].attempts, r[0].n_rows) == ("limit", 1, None) and "stopped after 3 s" in r[0].error
+    assert (r[1].status, r[1].attempts) == ("error", 2)       # one correction, two wrong names
+    assert (r[2].status, r[2].attempts, r[2].result) == ("ok", 2, '[{"s":499500}]')
+    assert (r[3].status, r[3].attempts) == ("error", 1)       # nothing to correct in a syntax error
+    assert (r[4].status, r[4].result) == ("ok", '[{"n":1000}]')
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    fixed = ah.sql_steps(spark, df, ["SELECT broken"], correct=lambda sql, error: "SELECT max(amount) AS m FROM df").first()
+    assert (fixed.status, fixed.attempts, fixed.result) == ("ok", 2, '[{"m":999}]')
+    assert ah.sql_steps(spark, df, ["SELECT amonut FROM df"], correct=None).first().attempts == 1
+
+
 def test_plans_have_no_python_udfs_and_one_segment_shuffle(spark):
     from __spark_entry__ import queries
     q = queries()

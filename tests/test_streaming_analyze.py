@@ -28,7 +28,7 @@ def test_stream_matches_batch_daily_rates(spark):
 def test_analyze_end_to_end(spark, lending):
     from insightframe.operators.models import ModelConfig
     a = analyze(lending, key=["loan_id"], question="Which model has the best accuracy?",
-                model_config=ModelConfig(num_trees=10, max_depth=4, gbt_iter=5, gbt_depth=3))
+                model_config=ModelConfig(num_trees=10, max_depth=4, gbt_iter=5, gbt_leaves=8))
     assert a.roles.target == "default" and a.roles.time_column == "issue_date"
     claims = {r.ord: r.claim for r in a.findings.collect()}
     assert claims[0].startswith("Overall default rate is ")
