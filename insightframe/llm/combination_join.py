@@ -17,14 +17,15 @@ ranges with their counts. Only sets whose shared tokens make up p of them can ha
 
 Candidates are verified exactly on the shared tokens. As only groups are asked for, every set is first
 compared with two sets of each of its buckets, one of them the bucket's most central (its tokens
-stand in most other sets: the template of a group of near copies); then all pairs of a bucket that
-are not in one group yet are compared, in blocks, buckets of equal content once.
+stand in most other sets: the template of a group of near copies), then, in buckets of several
+groups, with the ``HEADS`` most central ones; then all pairs of a bucket that are not in one group
+yet are compared, in blocks, buckets of equal content once.
 """
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, materialise, mix64, shingle_sets, slices, utf8
@@ -33,9 +34,10 @@ from .components import components
 WORDS = 5
 SIMILARITY = 80       # per cent, compared exactly in integers
 RARE = 16             # a token of up to so many sets is indexed alone
-RANGE_TOKENS = 1 << 22  # tokens that one range task sorts, on average
+RANGE_TOKENS = 1 << 20  # tokens that one range task sorts, on average
 HOT_SHARE = 1 << 18   # a token above this part of all tokens is handled without a range
 CELL = 512            # sets on one side of a block of a large bucket
+HEADS = 8             # central sets of a bucket that all others are compared with
 
 _ONE, _TWO = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -186,7 +188,7 @@ def _sets(key, table, per_cent: int, rare: int):
     return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["cls", "n", "k", "core", "token", "sigs"])
 
 
-def _admissible(n_a, k_a, n_b, k_b, per_cent: int):
+def _admissible(n_a, k_a, n_b, k_b, per_cent: int):  # numbers, arrays or Columns
     """Whether sizes and numbers of shared tokens allow a link: 100 o >= p (n + m - o) for an
     overlap o of at most either set's shared tokens."""
     least = (100 + per_cent)
@@ -210,43 +212,60 @@ def _linked(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "u long, v long")
 
 
-def _cells(buckets: DataFrame, per_cent: int, cell: int) -> DataFrame:
-    """Admissible pairs (a, b) of different labels in one bucket, once; large buckets in blocks."""
+def _cell_links(rows: list[tuple], per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between sets of different labels in one cell: rows (part, other side's part, cls, n, k,
+    label, tokens). Sets of the rarer labels look up those after them."""
+    part, apart, cls, n, k, label = (np.array([r[i] for r in rows]) for i in range(6))
+    _, group, size = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.lexsort((label, size[group]))
+    part, apart, cls, n, k, label = (x[order] for x in (part, apart, cls, n, k, label))
+    tokens = [np.frombuffer(rows[i][6], np.uint64) for i in order.tolist()]
+    every, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    by = np.argsort(every, kind="stable")
+    every, owner = every[by], owner[by]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(rows) - 1):
+        fit = (label[i + 1:] != label[i]) & _admissible(n[i], k[i], n[i + 1:], k[i + 1:], per_cent)
+        if apart[i]:
+            fit &= part[i + 1:] != part[i]
+        if not fit.any():
+            continue
+        lo, hi = np.searchsorted(every, tokens[i], "left"), np.searchsorted(every, tokens[i], "right")
+        at = np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange(int((hi - lo).sum()))
+        both = np.bincount(owner[at], minlength=len(rows))[i + 1:]
+        linked = np.flatnonzero(fit & (100 * both >= per_cent * (n[i] + n[i + 1:] - both))) + i + 1
+        a.append(np.full(len(linked), cls[i]))
+        b.append(cls[linked])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _cells(buckets: DataFrame, sets: DataFrame, per_cent: int, cell: int) -> DataFrame:
+    """Links (u, v) between sets of different labels in one bucket; large buckets in blocks, every pair
+    of blocks once."""
     sized = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     cut = buckets.join(sized, "sig").withColumn("parts", F.ceil(F.col("size") / cell)).withColumn(
         "part", F.pmod(F.xxhash64("cls"), F.col("parts")))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = met.select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cls", "n", "k", "label")
+    rows = met.select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cls", "k", "label").join(
+        sets.select("cls", "n", "token"), "cls").select("sig", "lo", "hi", "part", "cls", "n", "k", "label", "token")
 
     def run(batches):
-        held: list[np.ndarray] = []
+        name, held = None, []
 
         def solve():
-            c = np.concatenate(held, axis=1)
-            held.clear()
-            out = []
-            for i in range(c.shape[1] - 1):
-                x, rest = c[:, i], c[:, i + 1:]
-                fit = (rest[7] != x[7]) & _admissible(x[5], x[6], rest[5], rest[6], per_cent)
-                fit &= (rest[3] != x[3]) if x[1] != x[2] else True
-                out.append(np.stack([np.minimum(x[4], rest[4][fit]), np.maximum(x[4], rest[4][fit])]))
-            out = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
+            a, b = _cell_links(held, per_cent) if len(held) > 1 else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = np.stack([batch.column(i).to_numpy() for i in range(8)])
-            edge = np.flatnonzero(np.append(True, (c[:3, 1:] != c[:3, :-1]).any(axis=0)))
-            for lo, hi in zip(edge, np.append(edge[1:], c.shape[1]), strict=True):
-                if held and (held[0][:3, 0] != c[:3, lo]).any():
+            for sig, lo, hi, part, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != (sig, lo, hi):
                     yield solve()
-                held.append(c[:, lo:hi])
-        if held:
-            yield solve()
+                    name, held = (sig, lo, hi), []
+                held.append((part, lo != hi, *rest))
+        yield solve()
 
     return (rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-            .mapInArrow(run, "a long, b long").distinct())
+            .mapInArrow(run, "u long, v long").distinct())
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILARITY, rare: int = RARE,
@@ -287,20 +306,33 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILARI
     buckets = materialise(index.join(alone.select("sig", "head", "foot"), "sig"), "buckets")
     stars = buckets.where("cls != head").select(F.col("head").alias("a"), F.col("cls").alias("b")).unionByName(
         buckets.where("cls != foot").select(F.col("cls").alias("a"), F.col("foot").alias("b"))).distinct()
-    links = _linked(stars, sets, per_cent)
-    labels = materialise(components(links), "labels")
-    named = buckets.join(labels, buckets["cls"] == labels["vertex"], "left").select(
-        "sig", "cls", "n", "k", F.coalesce("component", "cls").alias("label"))
-    mixed = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("sig")
-    rest = materialise(_cells(named.join(mixed, "sig"), per_cent, cell), "pairs")
-    more = materialise(_linked(rest, sets, per_cent), "links")
-    # links of the last pass join the groups of the first two
-    both = more.unionByName(labels.where("vertex != component").select(F.col("vertex").alias("u"), F.col("component").alias("v")))
-    merged = components(both)
+    labels = materialise(components(_linked(stars, sets, per_cent)), "labels")
+
+    def mixed(labels: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold several groups, with their group."""
+        named = buckets.join(labels, buckets["cls"] == labels["vertex"], "left").select(
+            "sig", "cls", "n", "k", "core", F.coalesce("component", "cls").alias("label"))
+        several = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("sig")
+        return named.join(several, "sig")
+
+    def with_groups(links: DataFrame, labels: DataFrame) -> DataFrame:
+        return links.unionByName(labels.where("vertex != component").select(F.col("vertex").alias("u"), F.col("component").alias("v")))
+
+    # a second pass with more of the central sets, for what the first has left apart
+    open_ = materialise(mixed(labels), "open")
+    central = Window.partitionBy("sig").orderBy(F.col("core").desc(), "cls")
+    tops = open_.withColumn("rank", F.row_number().over(central)).where(F.col("rank") <= HEADS).select(
+        "sig", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "k", "label")])
+    pairs = open_.join(tops, "sig").where((F.col("label") != F.col("label_b")) & _admissible(*map(F.col, ("n", "k", "n_b", "k_b")), per_cent))
+    pairs = pairs.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
+    second = materialise(components(with_groups(_linked(pairs, sets, per_cent), labels)), "second")
+    # and every pair that is not in one group yet
+    rest = materialise(_cells(mixed(second), sets, per_cent, cell), "rest")
+    merged = materialise(components(with_groups(rest, second)), "merged")
     grouped = classes.join(merged, classes["cls"] == merged["vertex"], "left").select(
         "cls", "rep", F.coalesce("component", "cls").alias("group"))
     least = materialise(grouped, "groups")
-    forget(sets, buckets, labels, rest, more)
+    forget(sets, buckets, labels, open_, second, rest, merged)
     final = least.join(least.groupBy("group").agg(F.min("rep").alias("component_id")), "group").select("cls", "component_id")
     return each.join(final, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
