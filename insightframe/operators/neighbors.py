@@ -106,7 +106,7 @@ def partition(reference: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[Parti
     wanted = max(1, -(-rows // block_rows))
     n_pivots, n_rings = min(MAX_PIVOTS, wanted), min(MAX_RINGS, max(1, -(-wanted // MAX_PIVOTS)) * 2 if wanted > 1 else 1)
     drawn = reference.orderBy(F.xxhash64("rkey", F.lit(11)), "rkey").limit(n_pivots).select("rvec").collect()
-    pivots = np.array([r.rvec for r in drawn], np.float64).reshape(len(drawn), -1)
+    pivots = np.array([r.rvec for r in drawn], np.float64) if drawn else np.zeros((0, 1))
     cells = Partition(pivots, [], np.zeros(0), np.zeros((0, 0)))
 
     def near(batches):
@@ -141,7 +141,9 @@ def _meet(query: DataFrame, reference: DataFrame, k: int, batches: int) -> DataF
     to it (rows qkey, qvec, pivot, ring, part), batch by batch."""
     spot = ["pivot", "ring", "part", "batch"]
     q = query.withColumn("batch", F.pmod(F.xxhash64("qkey"), F.lit(batches)))
-    r = reference.join(q.select(*spot).distinct(), spot[:3])
+    asked = q.select(*[F.col(c).alias(f"a_{c}") for c in spot]).distinct()
+    r = reference.join(asked, (F.col("pivot") == F.col("a_pivot")) & (F.col("ring") == F.col("a_ring")) & (F.col("part") == F.col("a_part"))).select(
+        "rkey", "rvec", "rlabel", *[F.col(f"a_{c}").alias(c) for c in spot])
 
     def cell(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or rdf.empty:
@@ -261,11 +263,12 @@ class NearestNeighborsModel:
     """Scores rows by the mean label of their neighbours: a share of positives, or a mean."""
 
     def __init__(self, k: int, reference: DataFrame):
-        # equal rows are interchangeable, so a row's key can be its content and a number among equals
-        content = F.xxhash64("rvec", "rlabel")
+        # equal vectors tie: their copies are keyed by their place among those of their label, so that
+        # the first k of a tie hold the labels in proportion; of a label no more than k can be met
+        place = F.floor((2 * F.col("i") - 1) / (2 * F.col("n")) * F.lit(float(1 << 40))).cast("long")
         self.k, self.reference = k, reference.groupBy("rvec", "rlabel").agg(F.count(F.lit(1)).alias("n")).select(
-            F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k).cast("long")))).alias("i"), "rvec", "rlabel").select(
-            F.xxhash64(content, "i").alias("rkey"), "rvec", "rlabel")
+            F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k).cast("long")))).alias("i"), "n", "rvec", "rlabel").select(
+            (F.shiftleft(place, 22) + F.pmod(F.xxhash64("rvec", "rlabel", "i"), F.lit(1 << 22))).alias("rkey"), "rvec", "rlabel")
 
     def score(self, feat: DataFrame, out: str) -> DataFrame:
         from ..session import written

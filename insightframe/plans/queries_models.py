@@ -7,10 +7,13 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..functions.columns import rnd, stable_bucket_sql
+from ..operators import attributions as at
+from ..operators import boosting as bo
 from ..operators import foldfits as ff
 from ..operators import models as md
 from ..operators import neighbors as nb
 from ..operators.prep import split_column
+from ..session import written
 from . import basetables as bt
 from .registry import register
 
@@ -288,3 +291,40 @@ def q_model_linear(spark, sf_dir):
     lb = part_panel(spark, sf_dir, ["LinearRegression"])
     return lb.table.where(F.col("name") == "LinearRegression").select(
         "name", "cv_score", "test_score", F.to_json("all_metrics").alias("all_metrics"))
+
+
+# ---- local attributions ---------------------------------------------------------------------
+@register("attribution_linear", oracle="""
+WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice, COUNT(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+f AS (SELECT regr_slope(o_totalprice::DOUBLE, n::DOUBLE) AS b, AVG(n::DOUBLE) AS m FROM o)
+SELECT o_orderpriority, COUNT(*) AS n, ROUND(SUM(b * (o.n - m)) / 1000, 3) AS attribution, ROUND(SUM(abs(b * (o.n - m))) / 1000, 3) AS moved
+FROM o, f GROUP BY o_orderpriority""")
+def q_attribution_linear(spark, sf_dir):
+    """How much the number of lines moves each order's predicted price, by priority."""
+    per = bt.read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    o = bt.read_table(spark, sf_dir, "orders").join(per, F.col("o_orderkey") == F.col("l_orderkey"))
+    fit = o.agg(F.regr_slope(F.col("o_totalprice").cast("double"), F.col("n").cast("double")).alias("b"), F.avg("n").alias("m")).first()
+    part = at.linear_attributions({"n": fit.b}, {"n": fit.m})["n"]
+    return o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(part) / 1000, 3).alias("attribution"),
+                                            F.round(F.sum(F.abs(part)) / 1000, 3).alias("moved"))
+
+
+@register("attribution_boosting")
+def q_attribution_boosting(spark, sf_dir):
+    """Shapley values of leaf-wise boosted trees for every held-out labelled document: per original column
+    how far it moves scores, and whether each row's values add up to its score less the base."""
+    table = written(md.model_table(_doc_base(spark, sf_dir), "toxic", DOC_KEY, DOC_NUM + DOC_CAT, "binary_classification", PANEL_CFG.seed),
+                    "attribution-split")
+    prep = md.prepare(table.where("_if_split = 'train'"), DOC_NUM, DOC_CAT)
+    train = md.featurize(prep, table.where("_if_split = 'train'"), [md.Y]).cache()
+    model = bo.HistogramBoosting(bo.BoostSettings(iterations=20), md.Y).fit(train)
+    train.unpersist()
+    pre = prep.pre
+    names = list(pre.numeric) + [c for c in pre.categorical for _ in pre.categories.get(c, [])]
+    feat = md.featurize(prep, table.where("_if_split = 'test'"), DOC_KEY)
+    each = at.attributions(model, feat, names, DOC_KEY)
+    score = model.score(feat, "p").select("doc_id", (F.log("p") - F.log1p(-F.col("p")) - F.lit(float(at.base_value(model)))).alias("gained"))
+    rows = each.groupBy("doc_id").agg(F.sum("attribution").alias("total")).join(score, "doc_id")
+    gap = rows.agg(F.max(F.abs(F.col("total") - F.col("gained")))).scalar()
+    return each.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(F.abs("attribution"))).alias("mean_moved"),
+                                       (F.first(gap) < 1e-6).alias("adds_up"))

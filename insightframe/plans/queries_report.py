@@ -552,9 +552,9 @@ def q_segment_lift(spark, sf_dir):
 @register("sql_steps", oracle="""
 SELECT 0 AS step, 1 AS attempts, 'ok' AS status, CAST(COUNT(DISTINCT l_returnflag || l_linestatus) AS BIGINT) AS n_rows FROM lineitem
 UNION ALL SELECT 1, 2, 'ok', COUNT(DISTINCT l_returnflag) FROM lineitem WHERE l_discount > 0.05
-UNION ALL SELECT 2, 1, 'error', NULL
-UNION ALL SELECT 3, 1, 'rejected', NULL
-UNION ALL SELECT 4, 1, 'limit', NULL
+UNION ALL SELECT 2, 1, 'error', -1
+UNION ALL SELECT 3, 1, 'rejected', -1
+UNION ALL SELECT 4, 1, 'limit', -1
 UNION ALL SELECT 5, 1, 'ok', 1""")
 def q_sql_steps(spark, sf_dir):
     """H5: steps over lineitem that succeed, succeed corrected, fail, are no query, run on for ever,
@@ -567,4 +567,4 @@ def q_sql_steps(spark, sf_dir):
              "SELECT MAX(xxhash64(id)) FROM range(1000000000000000)",
              "SELECT COUNT(*) AS n FROM df"]
     done = ah.sql_steps(spark, bt.read_table(spark, sf_dir, "lineitem"), steps, max_steps=len(steps), limit_seconds=10)
-    return done.select("step", "attempts", "status", "n_rows")
+    return done.select("step", "attempts", "status", F.coalesce("n_rows", F.lit(-1)).alias("n_rows"))

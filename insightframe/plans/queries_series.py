@@ -292,46 +292,46 @@ def q_segment_intersect(spark, sf_dir):
     return rc.segment_intersect(rm_base(spark, sf_dir), "l_shipdate", "r_name")
 
 
-# trend + month effects: the normal equations of all ship modes and origins, centred inside months
+# trend + month effects: the normal equations of all line statuss and origins, centred inside months
 SEASONAL_SQL = """
-WITH s AS (SELECT l_shipmode, CAST(date_trunc('month', l_shipdate) AS DATE) AS period, AVG(CAST(l_returnflag = 'R' AS DOUBLE)) AS rate
-           FROM lineitem WHERE l_shipdate IS NOT NULL AND l_shipmode IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1, 2),
-ti AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_shipmode ORDER BY period) - 1 AS INTEGER) AS t, month(period) AS season,
-              COUNT(*) OVER (PARTITION BY l_shipmode) AS n_points FROM s),
+WITH s AS (SELECT l_linestatus, CAST(date_trunc('month', l_shipdate) AS DATE) AS period, AVG(CAST(l_returnflag = 'R' AS DOUBLE)) AS rate
+           FROM lineitem WHERE l_shipdate IS NOT NULL AND l_linestatus IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1, 2),
+ti AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_linestatus ORDER BY period) - 1 AS INTEGER) AS t, month(period) AS season,
+              COUNT(*) OVER (PARTITION BY l_linestatus) AS n_points FROM s),
 i AS (SELECT * FROM ti WHERE n_points >= 24),
 o AS (SELECT i.*, r.origin FROM i, range(18, 400) r(origin) WHERE r.origin > t AND r.origin <= n_points
         AND r.origin >= n_points - least(6, n_points // 3)),
-m AS (SELECT l_shipmode, origin, season, AVG(t) AS tm, AVG(rate) AS ym, COUNT(*) AS k, MAX(period) AS last FROM o GROUP BY ALL),
-f AS (SELECT l_shipmode, origin, SUM((t - tm) * (t - tm)) AS xx, SUM((t - tm) * (rate - ym)) AS xy, SUM((rate - ym) * (rate - ym)) AS yy,
-             COUNT(*) - COUNT(DISTINCT season) - 1 AS dof, MAX(period) AS last_period FROM o JOIN m USING (l_shipmode, origin, season) GROUP BY ALL),
-wf AS (SELECT l_shipmode, t, period, rate, ym + xy / xx * (t - tm) AS pred FROM i JOIN m USING (l_shipmode, season) JOIN f USING (l_shipmode, origin) WHERE origin = t),
-lin AS (SELECT l_shipmode, t, lag(rate) OVER (PARTITION BY l_shipmode ORDER BY t) AS naive,
+m AS (SELECT l_linestatus, origin, season, AVG(t) AS tm, AVG(rate) AS ym, COUNT(*) AS k, MAX(period) AS last FROM o GROUP BY ALL),
+f AS (SELECT l_linestatus, origin, SUM((t - tm) * (t - tm)) AS xx, SUM((t - tm) * (rate - ym)) AS xy, SUM((rate - ym) * (rate - ym)) AS yy,
+             COUNT(*) - COUNT(DISTINCT season) - 1 AS dof, MAX(period) AS last_period FROM o JOIN m USING (l_linestatus, origin, season) GROUP BY ALL),
+wf AS (SELECT l_linestatus, t, period, rate, ym + xy / xx * (t - tm) AS pred FROM i JOIN m USING (l_linestatus, season) JOIN f USING (l_linestatus, origin) WHERE origin = t),
+lin AS (SELECT l_linestatus, t, lag(rate) OVER (PARTITION BY l_linestatus ORDER BY t) AS naive,
                regr_intercept(rate, t::DOUBLE) OVER w + regr_slope(rate, t::DOUBLE) OVER w * t AS linear
-        FROM ti WINDOW w AS (PARTITION BY l_shipmode ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        FROM ti WINDOW w AS (PARTITION BY l_linestatus ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 """
 
 
 @register("forecast_seasonal", oracle=SEASONAL_SQL + """
-, p AS (SELECT l_shipmode, step, CAST(last_period + step * INTERVAL 1 MONTH AS DATE) AS period, origin AS n_points, season, k, dof, tm,
+, p AS (SELECT l_linestatus, step, CAST(last_period + step * INTERVAL 1 MONTH AS DATE) AS period, origin AS n_points, season, k, dof, tm,
              ym + xy / xx * (origin - 1 + step - tm) AS point,
              """ + t_quantile_090_sql("dof") + """ * sqrt(greatest(yy - xy * xy / xx, 0) / dof * (1 + 1.0 / k + power(origin - 1 + step - tm, 2) / xx)) AS half
-      FROM f JOIN m USING (l_shipmode, origin), range(1, 13) r(step)
-      WHERE origin = (SELECT MAX(n_points) FROM i WHERE i.l_shipmode = f.l_shipmode) AND dof > 0)
-SELECT l_shipmode, CAST(step AS INTEGER) AS step, strftime(period, '%Y-%m-%d') AS period, CAST(n_points AS INTEGER) AS n_points,
+      FROM f JOIN m USING (l_linestatus, origin), range(1, 13) r(step)
+      WHERE origin = (SELECT MAX(n_points) FROM i WHERE i.l_linestatus = f.l_linestatus) AND dof > 0)
+SELECT l_linestatus, CAST(step AS INTEGER) AS step, strftime(period, '%Y-%m-%d') AS period, CAST(n_points AS INTEGER) AS n_points,
        ROUND(least(greatest(point, 0), 1), 6) AS point, ROUND(least(greatest(point - half, 0), 1), 6) AS lower,
        ROUND(least(greatest(point + half, 0), 1), 6) AS upper
 FROM p WHERE month(period) = season""")
 def q_forecast_seasonal(spark, sf_dir):
-    """A year ahead per ship mode, trend plus month effects, with the 80% interval."""
-    f = sr.forecast_seasonal(li_series(spark, sf_dir, ["l_shipmode"]), ["l_shipmode"])
-    return f.select("l_shipmode", "step", iso("period"), "n_points", *[rnd(F.col(c)).alias(c) for c in ("point", "lower", "upper")])
+    """A year ahead per line status, trend plus month effects, with the 80% interval."""
+    f = sr.forecast_seasonal(li_series(spark, sf_dir, ["l_linestatus"]), ["l_linestatus"])
+    return f.select("l_linestatus", "step", iso("period"), "n_points", *[rnd(F.col(c)).alias(c) for c in ("point", "lower", "upper")])
 
 
 @register("seasonal_backtest", oracle=SEASONAL_SQL + """
-SELECT l_shipmode, COUNT(*) AS n_backtest, ROUND(AVG(abs(pred - rate)), 6) AS mae, ROUND(AVG(abs(linear - rate)), 6) AS linear_mae,
+SELECT l_linestatus, COUNT(*) AS n_backtest, ROUND(AVG(abs(pred - rate)), 6) AS mae, ROUND(AVG(abs(linear - rate)), 6) AS linear_mae,
        ROUND(AVG(abs(naive - rate)), 6) AS naive_mae, AVG(abs(pred - rate)) <= AVG(abs(linear - rate)) AS beats_linear
-FROM wf JOIN lin USING (l_shipmode, t) GROUP BY l_shipmode""")
+FROM wf JOIN lin USING (l_linestatus, t) GROUP BY l_linestatus""")
 def q_seasonal_backtest(spark, sf_dir):
     """Walk-forward error of the seasonal fit beside the linear fit's and the last value's."""
-    m = sr.seasonal_metrics(sr.walk_forward_seasonal(li_series(spark, sf_dir, ["l_shipmode"]), ["l_shipmode"]), ["l_shipmode"])
-    return m.select("l_shipmode", "n_backtest", *[rnd(F.col(c)).alias(c) for c in ("mae", "linear_mae", "naive_mae")], "beats_linear")
+    m = sr.seasonal_metrics(sr.walk_forward_seasonal(li_series(spark, sf_dir, ["l_linestatus"]), ["l_linestatus"]), ["l_linestatus"])
+    return m.select("l_linestatus", "n_backtest", *[rnd(F.col(c)).alias(c) for c in ("mae", "linear_mae", "naive_mae")], "beats_linear")

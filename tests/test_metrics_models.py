@@ -153,7 +153,7 @@ def test_panel_with_awkward_names_and_repeated_rows(spark):
         F.round(u(1), 3).alias("a.b"), F.when(u(2) < 0.5, "U.S.").otherwise("x=y `z`").alias("score"),
         (u(1) + 0.4 * u(3) > 0.7).cast("int").alias("label"))
     df = base.unionByName(base).unionByName(base)
-    cfg = md.ModelConfig(num_trees=5, max_depth=3, gbt_iter=3, gbt_leaves=4)
+    cfg = md.ModelConfig(num_trees=5, max_depth=3, gbt_iter=3, gbt_depth=2)
     lb = md.train_panel(df, "label", df.columns, ["a.b"], ["score"], "binary_classification", cfg)
     assert {r.name for r in lb.table.collect()} == {"LogisticRegression", "RandomForest", "GradientBoosting", "Ensemble"}
     table = md.model_table(df, "label", df.columns, ["a.b", "score"], "binary_classification", 42)
@@ -181,8 +181,34 @@ def test_nearest_neighbours_in_small_blocks(spark):
         assert all(abs(got[i] - m) < 1e-12 for i, m in want_mean.items()) and len(got) == 80
 
 
+def test_neighbours_are_met_in_few_blocks(spark):
+    """Clustered rows with a hot cluster of a third: the same neighbours, in a fraction of the cells."""
+    from insightframe.operators import neighbors as nb
+    rng = np.random.default_rng(8)
+    centre = rng.normal(0, 100, (30, 4))
+    which = np.where(rng.random(1500) < 0.33, 0, rng.integers(0, 30, 1500))
+    rows = [(i, (centre[c] + rng.normal(0, 1, 4)).tolist(), float(c)) for i, c in enumerate(which.tolist())]
+    rows += [(1500 + i, rows[7][1], 5.0) for i in range(60)]  # equal rows: ties at distance 0
+    ref = spark.createDataFrame(rows[200:], "rkey long, rvec array<double>, rlabel double")
+    ask = spark.createDataFrame([(k, v) for k, v, _ in rows[:200]] + [(9999, [1e4, 0.0, 0.0, 0.0])], "qkey long, qvec array<double>")
+    x = np.array([v for _, v, _ in rows[200:]])
+    want = {}
+    for q in ask.collect():
+        d = np.sqrt(((x - np.array(q.qvec)) ** 2).sum(axis=1))
+        want[q.qkey] = sorted(zip(d.tolist(), [k for k, _, _ in rows[200:]], strict=True))[:5]
+    got = {}
+    for r in nb.nearest(ask, ref, 5, 64, 50).collect():
+        got.setdefault(r.qkey, {})[r["rank"]] = (r.dist, r.rkey)
+    assert {q: [k for _, k in v] for q, v in want.items()} == {q: [v[i + 1][1] for i in range(5)] for q, v in got.items()}
+    sent, placed, _ = nb.routes(ask, ref, 5, 64, 50)
+    blocks = placed.select("pivot", "ring", "part").distinct().count()
+    assert blocks >= 20 and sent.count() < 0.4 * blocks * 201
+    assert placed.groupBy("pivot", "ring", "part").count().agg(F.max("count")).first()[0] <= 100
+    assert nb.nearest(ask, ref.where("rkey < 0"), 5).count() == 0 and nb.nearest(ask.where("qkey < 0"), ref, 5).count() == 0
+
+
 def test_requested_knn_and_svm_train(spark, lending):
-    small = lending.where("fico_score < 640")
+    small = lending.where("fico_score < 720")  # enough rows that chance does not decide
     for name in ("knn", "svc"):
         lb = md.train_panel(small, "default", ["loan_id"], ["fico_score"], ["grade"], "binary_classification",
                             user_technique=name, only_user_technique=True, folds=2)
@@ -197,7 +223,7 @@ def test_technique_lookup_batch(spark):
 
 
 def test_panel_on_planted_signal(spark, lending):
-    cfg = md.ModelConfig(num_trees=20, max_depth=4, gbt_iter=10, gbt_leaves=8)
+    cfg = md.ModelConfig(num_trees=20, max_depth=4, gbt_iter=10, gbt_depth=3)
     lb = md.train_panel(lending, "default", ["loan_id"], ["fico_score", "annual_income"],
                         ["grade", "home_ownership"], "binary_classification", cfg, user_technique="tree")
     rows = {r.name: r for r in lb.table.collect()}
@@ -215,7 +241,7 @@ def test_regression_panel_r2(spark):
                                   ((u(3) - 0.5) * 1.0).alias("e"))
     df = df.withColumn("target", 3 * F.col("x1") - 2 * F.col("x2") + F.col("e")).drop("e")
     lb = md.train_panel(df, "target", ["id"], ["x1", "x2"], [], "regression",
-                        md.ModelConfig(num_trees=20, max_depth=5, gbt_iter=10, gbt_leaves=8))
+                        md.ModelConfig(num_trees=20, max_depth=5, gbt_iter=10, gbt_depth=3))
     rows = {r.name: r for r in lb.table.collect()}
     assert lb.metric == "RMSE"
     assert rows["LinearRegression"].all_metrics["R2"] > 0.8
