@@ -318,13 +318,19 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILARI
     def with_groups(links: DataFrame, labels: DataFrame) -> DataFrame:
         return links.unionByName(labels.where("vertex != component").select(F.col("vertex").alias("u"), F.col("component").alias("v")))
 
-    # a second pass with more of the central sets, for what the first has left apart
+    # a second pass, for what the first has left apart: sets outside a bucket's largest group with the
+    # most central sets of those groups, HEADS for each
     open_ = materialise(mixed(labels), "open")
+    largest = open_.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("sig").agg(
+        F.max_by("label", F.struct("size", "label")).alias("largest"))
+    told = open_.join(largest, "sig")
     central = Window.partitionBy("sig").orderBy(F.col("core").desc(), "cls")
-    tops = open_.withColumn("rank", F.row_number().over(central)).where(F.col("rank") <= HEADS).select(
-        "sig", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "k", "label")])
-    pairs = open_.join(tops, "sig").where((F.col("label") != F.col("label_b")) & _admissible(*map(F.col, ("n", "k", "n_b", "k_b")), per_cent))
-    pairs = pairs.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
+    tops = told.where("label = largest").withColumn("rank", F.row_number().over(central)).where(F.col("rank") <= HEADS).select(
+        "sig", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "k", "core")])
+    met = told.where("label != largest").join(tops, "sig").where(_admissible(*map(F.col, ("n", "k", "n_b", "k_b")), per_cent))
+    best = Window.partitionBy("cls").orderBy(F.col("core_b").desc(), "cls_b")
+    pairs = met.select("cls", "cls_b", "core_b").distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HEADS).select(
+        F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
     second = materialise(components(with_groups(_linked(pairs, sets, per_cent), labels)), "second")
     # and every pair that is not in one group yet
     rest = materialise(_cells(mixed(second), sets, per_cent, cell), "rest")

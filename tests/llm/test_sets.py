@@ -250,27 +250,38 @@ def test_latent_space_is_fitted_on_all_documents(spark):
     assert vectors[decontaminate._terms(h)].any(axis=1).all()
 
 
-def test_items_of_every_length_are_found_whatever_the_latent_space():
-    """Verbatim and paraphrased items of 3 to 110 words: all that the checks accept is found."""
+def planted_items():
+    """Items of 3 to 110 words, each in a text of its own: verbatim, or with some words replaced."""
     r, items, texts, at = random.Random(3), [], [], []
-    for m in (3, 4, 5, 6, 8, 10, 11, 12, 14, 20, 32, 48, 70, 110):
-        for kept in (1.0, 0.8, 0.65):
-            i, host = len(items), prose(900 + len(items), 300, 400).split()
-            words = prose(7000 + i, m, 400).split()
+    for m in (3, 4, 5, 6, 8, 10, 11, 12, 14, 16, 20, 26, 32, 40, 48, 70, 110):
+        for kept in (1.0, 0.9, 0.8, 0.7, 0.65):
+            i, host = len(items), prose(900 + len(items), 300, 4000).split()
+            words = prose(7000 + i, m, 4000).split()
             items.append((i, " ".join(words[:-(m // 3)]) + ". " + " ".join(words[-(m // 3):])))
             for k in r.sample(range(m - m // 3), min(m - m // 3, int(m * (1 - kept)))):  # the answer stays
                 words[k] = r.choice(host)
             at.append(r.randrange(len(host)))
             host[at[-1]:at[-1]] = words
             texts.append(" ".join(host))
-    vectors = np.random.default_rng(8).standard_normal((1 << decontaminate.TERM_BITS, 8), np.float32)
+    return items, texts, at
+
+
+def test_latent_search_decides_and_finds(spark):
+    """With the registered fit, at least nine in ten of the planted items that the checks accept, short
+    and long, verbatim and paraphrased; with a space in which items lie elsewhere, no long one."""
+    items, texts, at = planted_items()
+    docs = table(spark, list(enumerate(texts)))
+    vectors, _ = decontaminate.latent_space(docs, spark.createDataFrame(items, "item_id long, text string"))
     held = decontaminate.Items(items, vectors)
     _, _, h, first = decontaminate._words(pa.array(texts))
-    want = {(d, i) for d in range(len(texts)) for i in range(len(items))
-            if held.check(i, h[first[d]:first[d + 1]], at[d], at[d] + 1)}
-    got = {x[:2] for x in decontaminate._hits(pa.array(texts), held, vectors, 0.55)}
-    assert len({(i, i) for i in range(len(items))} & want) > 30
-    assert want <= got
+    want = {(d, d) for d in range(len(texts)) if held.check(d, h[first[d]:first[d + 1]], at[d], at[d] + 1)}
+    got = {x[:2] for x in decontaminate._hits(pa.array(texts), held, vectors, decontaminate.LEAST_COSINE)}
+    long = {p for p in want if len(held.words[p[1]]) >= decontaminate.WINDOW_WORDS}
+    assert len(long) > 30 and len(want - long) > 20
+    assert len(long & got) >= 0.9 * len(long) and want - long <= got
+    elsewhere = decontaminate.Items(items, np.roll(vectors, 1, axis=0))
+    lost = {x[:2] for x in decontaminate._hits(pa.array(texts), elsewhere, vectors, decontaminate.LEAST_COSINE)}
+    assert len(long & lost) < 0.1 * len(long) and want - long <= lost
 
 
 def test_no_items_and_no_documents(spark):
