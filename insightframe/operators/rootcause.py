@@ -56,6 +56,26 @@ def rate_mix(df: DataFrame, time_col: str, seg: str, y: str = "y",
     return _decompose(seg_all, cut, seg, min_rows)
 
 
+def star_rate_mix(fact: DataFrame, key: str, dim: DataFrame, dim_key: str, time_col: str, seg: str, y: str = "y",
+                  min_rows: int = MIN_GROUP) -> tuple[DataFrame, DataFrame]:
+    """A15, A16 over a star: the results of :func:`rate_mix` where every fact row has its ``dim`` row.
+
+    The fact rows are reduced to one row per key with the counts of both periods first, so that one
+    row per key enters the join instead of one per fact row. Facts without a ``dim`` row count in
+    the totals, in no segment. ``dim`` has one row per key.
+    """
+    base = fact.where(F.col(time_col).isNotNull() & F.col(y).isNotNull())
+    cut = median_cutoff(base, time_col)
+    a, b = F.col("period") == "a", F.col("period") == "b"
+    per = with_period(base, time_col, cut).groupBy(key).agg(
+        F.count_if(a).alias("n_a"), F.sum(F.when(a, F.col(y))).cast("double").alias("pos_a"),
+        F.count_if(b).alias("n_b"), F.sum(F.when(b, F.col(y))).cast("double").alias("pos_b"))
+    named = dim.select(F.col(dim_key).alias("_key"), F.col(seg).cast("string").alias("segment"))
+    joined = per.join(named, F.col(key) == F.col("_key"), "left")
+    seg_all = joined.groupBy("segment").agg(*[F.sum(c).alias(c) for c in ("n_a", "pos_a", "n_b", "pos_b")])
+    return _decompose(seg_all, cut, seg, min_rows)
+
+
 def _decompose(seg_all: DataFrame, cut: Column, seg: str, min_rows: int) -> tuple[DataFrame, DataFrame]:
     """Shared arithmetic: (segment, n_a, pos_a, n_b, pos_b) incl. a NULL segment -> summary and
     per-segment contributions."""

@@ -326,5 +326,5 @@ def q_attribution_boosting(spark, sf_dir):
     score = model.score(feat, "p").select("doc_id", (F.log("p") - F.log1p(-F.col("p")) - F.lit(float(at.base_value(model)))).alias("gained"))
     rows = each.groupBy("doc_id").agg(F.sum("attribution").alias("total")).join(score, "doc_id")
     gap = rows.agg(F.max(F.abs(F.col("total") - F.col("gained")))).scalar()
-    return each.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(F.abs("attribution"))).alias("mean_moved"),
-                                       (F.first(gap) < 1e-6).alias("adds_up"))
+    return each.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(F.abs("attribution"))).alias("mean_moved")).withColumn(
+        "adds_up", gap < F.lit(1e-6))

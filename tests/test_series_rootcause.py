@@ -91,6 +91,16 @@ def test_rate_mix_identity_and_hand_values(spark):
     assert abs(j.rate_effect - r.rate_effect) < 1e-12 and abs(j.mix_effect - r.mix_effect) < 1e-12
 
 
+def test_rate_mix_over_a_star_equals_the_flat_join(spark):
+    fact = spark.range(3000).select((F.col("id") % 400).alias("k"), F.timestamp_seconds(F.col("id") * 86400).alias("ts"),
+                                    (F.pmod(F.xxhash64("id"), F.lit(10)) < 3 + F.col("id") % 3).cast("int").alias("y"))
+    dim = spark.range(400).select(F.col("id").alias("d"), F.when(F.col("id") % 11 != 0, F.concat(F.lit("s"), F.col("id") % 4)).alias("seg"))
+    flat = rc.rate_mix(fact.join(dim, F.col("k") == F.col("d")), "ts", "seg")
+    star = rc.star_rate_mix(fact, "k", dim, "d", "ts", "seg")
+    assert star[0].collect() == flat[0].collect()
+    assert sorted(star[1].collect()) == sorted(flat[1].collect())
+
+
 def test_chart_forecast_rows(spark):
     s = _series(spark, [0.1 + 0.01 * i for i in range(10)])
     c = sr.chart_forecast(s, sr.forecast(s))
