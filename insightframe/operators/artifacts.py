@@ -303,6 +303,13 @@ def chart_trend(series: DataFrame) -> DataFrame:
                          F.date_format("period", "yyyy-MM-dd").alias("x"), F.round(F.col("rate") * 100, 2).alias("y"))
 
 
+def chart_importance(top: DataFrame) -> DataFrame:
+    """Importance bar: (chart_id, ord, x, y) of the ranked importances (feature, importance, rank), rounded to
+    5 places; no rows where no column matters."""
+    return top.select(F.lit("feature_importance").alias("chart_id"), (F.col("rank") - 1).cast("int").alias("ord"),
+                      F.col("feature").alias("x"), F.round("importance", 5).alias("y"))
+
+
 def chart_numeric_drivers(top: DataFrame) -> DataFrame:
     return top.select(F.lit("numeric_drivers").alias("chart_id"), (F.col("driver_rank") - 1).cast("int").alias("ord"),
                       F.col("col_name").alias("x"), F.round(F.abs("r"), 3).alias("y"))

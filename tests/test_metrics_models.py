@@ -263,3 +263,12 @@ def test_permutation_importance_explains_the_whole_panel(monkeypatch):
     with pytest.raises(Asked):
         qm.q_permutation_importance(None, "")
     assert asked == [None]  # as the leaderboard: every candidate
+
+
+def test_importance_chart_rows(spark):
+    from insightframe.operators import artifacts as ar
+    imp = spark.createDataFrame([("a", 0.1234567, 0.01, 0), ("b", -0.2, 0.0, 1), ("c", 0.5, 0.1, 2), ("d", 0.5, 0.1, 3), ("e", 0.0, 0.0, 4)],
+                                "feature string, importance double, importance_std double, col_ord int")
+    rows = ar.chart_importance(md.top_importances(imp)).orderBy("ord").collect()
+    assert [tuple(r) for r in rows] == [("feature_importance", 0, "c", 0.5), ("feature_importance", 1, "d", 0.5), ("feature_importance", 2, "a", 0.12346)]
+    assert ar.chart_importance(md.top_importances(imp.where("importance < 0"))).count() == 0
