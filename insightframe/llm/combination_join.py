@@ -212,60 +212,44 @@ def _linked(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "u long, v long")
 
 
-def _cell_links(rows: list[tuple], per_cent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) between sets of different labels in one cell: rows (part, other side's part, cls, n, k,
-    label, tokens). Sets of the rarer labels look up those after them."""
-    part, apart, cls, n, k, label = (np.array([r[i] for r in rows]) for i in range(6))
-    _, group, size = np.unique(label, return_inverse=True, return_counts=True)
-    order = np.lexsort((label, size[group]))
-    part, apart, cls, n, k, label = (x[order] for x in (part, apart, cls, n, k, label))
-    tokens = [np.frombuffer(rows[i][6], np.uint64) for i in order.tolist()]
-    every, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    by = np.argsort(every, kind="stable")
-    every, owner = every[by], owner[by]
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(len(rows) - 1):
-        fit = (label[i + 1:] != label[i]) & _admissible(n[i], k[i], n[i + 1:], k[i + 1:], per_cent)
-        if apart[i]:
-            fit &= part[i + 1:] != part[i]
-        if not fit.any():
-            continue
-        lo, hi = np.searchsorted(every, tokens[i], "left"), np.searchsorted(every, tokens[i], "right")
-        at = np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange(int((hi - lo).sum()))
-        both = np.bincount(owner[at], minlength=len(rows))[i + 1:]
-        linked = np.flatnonzero(fit & (100 * both >= per_cent * (n[i] + n[i + 1:] - both))) + i + 1
-        a.append(np.full(len(linked), cls[i]))
-        b.append(cls[linked])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _cells(buckets: DataFrame, sets: DataFrame, per_cent: int, cell: int) -> DataFrame:
-    """Links (u, v) between sets of different labels in one bucket; large buckets in blocks, every pair
-    of blocks once."""
+def _cells(buckets: DataFrame, per_cent: int, cell: int) -> DataFrame:
+    """Admissible pairs (a, b) of sets of different labels in one bucket, once; large buckets in blocks,
+    every pair of blocks once. Only numbers travel."""
     sized = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     cut = buckets.join(sized, "sig").withColumn("parts", F.ceil(F.col("size") / cell)).withColumn(
         "part", F.pmod(F.xxhash64("cls"), F.col("parts")))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = met.select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cls", "k", "label").join(
-        sets.select("cls", "n", "token"), "cls").select("sig", "lo", "hi", "part", "cls", "n", "k", "label", "token")
+    rows = met.select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cls", "n", "k", "label")
 
     def run(batches):
-        name, held = None, []
+        held: list[np.ndarray] = []
 
         def solve():
-            a, b = _cell_links(held, per_cent) if len(held) > 1 else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+            c = np.concatenate(held, axis=1)
+            held.clear()
+            out = [np.zeros((2, 0), np.int64)]
+            for i in range(c.shape[1] - 1):
+                x, rest = c[:, i], c[:, i + 1:]
+                fit = (rest[7] != x[7]) & _admissible(x[5], x[6], rest[5], rest[6], per_cent)
+                if x[1] != x[2]:
+                    fit &= rest[3] != x[3]
+                out.append(np.stack([np.minimum(x[4], rest[4][fit]), np.maximum(x[4], rest[4][fit])]))
+            pairs = np.concatenate(out, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
         for batch in batches:
-            for sig, lo, hi, part, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if name != (sig, lo, hi):
+            if not batch.num_rows:
+                continue
+            c = np.stack([batch.column(i).to_numpy() for i in range(8)])
+            edge = np.flatnonzero(np.append(True, (c[:3, 1:] != c[:3, :-1]).any(axis=0)))
+            for lo, hi in zip(edge, np.append(edge[1:], c.shape[1]), strict=True):
+                if held and (held[0][:3, 0] != c[:3, lo]).any():
                     yield solve()
-                    name, held = (sig, lo, hi), []
-                held.append((part, lo != hi, *rest))
-        yield solve()
+                held.append(c[:, lo:hi])
+        if held:
+            yield solve()
 
-    return (rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-            .mapInArrow(run, "u long, v long").distinct())
+    return rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILARITY, rare: int = RARE,
@@ -333,7 +317,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILARI
         F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
     second = materialise(components(with_groups(_linked(pairs, sets, per_cent), labels)), "second")
     # and every pair that is not in one group yet
-    rest = materialise(_cells(mixed(second), sets, per_cent, cell), "rest")
+    rest = materialise(_linked(_cells(mixed(second), per_cent, cell), sets, per_cent), "rest")
     merged = materialise(components(with_groups(rest, second)), "merged")
     grouped = classes.join(merged, classes["cls"] == merged["vertex"], "left").select(
         "cls", "rep", F.coalesce("component", "cls").alias("group"))
