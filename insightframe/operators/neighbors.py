@@ -23,6 +23,8 @@ VAR_SMOOTHING = 1e-9
 BATCH_ROWS = 2_048   # query rows of a task
 BLOCK_ROWS = 8_192   # reference rows of a task
 MAX_PIVOTS = 64
+STEP_ROWS = 256      # rows whose distances to all pivots, or blocks to meet, are held at once
+SENT_ROWS = 4_096    # rows of a table of queries and blocks
 MAX_RINGS = 64       # of a pivot: what the driver holds of a partition is bounded by both
 
 
@@ -62,7 +64,10 @@ class Partition:
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         """(rows, pivots) distances."""
-        return np.sqrt(np.maximum(((x[:, None, :] - self.pivots[None]) ** 2).sum(axis=2), 0.0))
+        out = np.empty((len(x), len(self.pivots)))
+        for lo in range(0, len(x), STEP_ROWS):  # bounds the differences
+            out[lo:lo + STEP_ROWS] = np.sqrt(np.maximum(((x[lo:lo + STEP_ROWS, None, :] - self.pivots[None]) ** 2).sum(axis=2), 0.0))
+        return out
 
     def cell_of(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pivot, ring) of rows with the given distances."""
@@ -170,25 +175,32 @@ def _meet(query: DataFrame, reference: DataFrame, k: int, batches: int) -> DataF
     return q.groupBy(*spot).cogroup(r.groupBy(*spot)).applyInPandas(cell, "qkey long, rkey long, rlabel double, dist double")
 
 
+def _sent_tables(pdf: pd.DataFrame, cells: Partition, first: bool):
+    """Tables of at most SENT_ROWS rows: the queries of ``pdf`` with the blocks they are sent to."""
+    keys, vectors, bounds = pdf["qkey"].to_numpy(), pdf["qvec"].to_numpy(), pdf["bound"].to_numpy(float)
+    for lo in range(0, len(pdf), STEP_ROWS):  # a query may meet many blocks
+        d = cells.distances(np.vstack(vectors[lo:lo + STEP_ROWS]).astype(np.float64))
+        if first:
+            pivot, ring = cells.cell_of(d)
+            row = np.arange(len(d))
+        else:
+            row, pivot, ring = cells.reachable(d, bounds[lo:lo + STEP_ROWS])
+        parts = cells.parts[pivot, ring]
+        before = np.concatenate([[0], np.cumsum(parts)])
+        for a in range(0, int(before[-1]), SENT_ROWS):
+            place = np.arange(a, min(a + SENT_ROWS, int(before[-1])))
+            at = np.searchsorted(before, place, side="right") - 1
+            yield pd.DataFrame({"qkey": keys[lo + row[at]], "qvec": list(vectors[lo + row[at]]), "pivot": pivot[at].astype(np.int32),
+                                "ring": ring[at].astype(np.int32), "part": (place - before[at]).astype(np.int32)})
+
+
 def _sent(query: DataFrame, cells: Partition, first: bool) -> DataFrame:
     """Queries (qkey, qvec, bound) with the blocks (pivot, ring, part) they are sent to: the cell they
     lie in themselves (``first``), or all that their bound reaches."""
 
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            d = cells.distances(_vectors(pdf["qvec"]))
-            if first:
-                pivot, ring = cells.cell_of(d)
-                row = np.arange(len(pdf))
-            else:
-                row, pivot, ring = cells.reachable(d, pdf["bound"].to_numpy(float))
-            parts = cells.parts[pivot, ring]
-            at = np.repeat(np.arange(len(row)), parts)
-            yield pd.DataFrame({"qkey": pdf["qkey"].to_numpy()[row[at]], "qvec": list(pdf["qvec"].to_numpy()[row[at]]),
-                                "pivot": pivot[at].astype(np.int32), "ring": ring[at].astype(np.int32),
-                                "part": (np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32)})
+            yield from _sent_tables(pdf, cells, first)
 
     return query.mapInPandas(run, "qkey long, qvec array<double>, pivot int, ring int, part int")
 

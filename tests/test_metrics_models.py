@@ -272,3 +272,29 @@ def test_importance_chart_rows(spark):
     rows = ar.chart_importance(md.top_importances(imp)).orderBy("ord").collect()
     assert [tuple(r) for r in rows] == [("feature_importance", 0, "c", 0.5), ("feature_importance", 1, "d", 0.5), ("feature_importance", 2, "a", 0.12346)]
     assert ar.chart_importance(md.top_importances(imp.where("importance < 0"))).count() == 0
+
+
+def test_knn_holds_few_queries_and_blocks_at_once():
+    import tracemalloc
+
+    import pandas as pd
+
+    from insightframe.operators import neighbors as nb
+    rng = np.random.default_rng(4)
+    cells = nb.Partition(rng.normal(size=(64, 64)), [np.linspace(4, 14, 63)] * 64, np.full(64, 20.0), np.ones((64, 64), np.int64))
+    cells.parts[3] = 3
+    x = rng.normal(size=(2_000, 64))
+    pdf = pd.DataFrame({"qkey": np.arange(len(x)), "qvec": list(x), "bound": 2.0})
+    few = pdf[:20]
+    row, pivot, ring = cells.reachable(cells.distances(x[:20]), np.full(20, 2.0))
+    want = sorted((int(r), int(p), int(g), k) for r, p, g in zip(row, pivot, ring, strict=True) for k in range(cells.parts[p, g]))
+    table = pd.concat(nb._sent_tables(few, cells, False))
+    assert sorted(table[["qkey", "pivot", "ring", "part"]].itertuples(index=False, name=None)) == want and len(want) > nb.SENT_ROWS
+    assert all((v == x[k]).all() for k, v in zip(table["qkey"], table["qvec"], strict=True))
+    tracemalloc.start()
+    largest = 0
+    for t in nb._sent_tables(pdf, cells, False):
+        largest = max(largest, len(t))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert largest <= nb.SENT_ROWS and peak < 100e6
