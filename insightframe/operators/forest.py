@@ -71,20 +71,27 @@ def positions(bins: np.ndarray, place: np.ndarray, picked: np.ndarray, width: in
     return (place[:, None] * take + np.arange(take)[None]) * width + bins[np.arange(len(bins))[:, None], picked[place]]
 
 
-def best_splits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gain, place of the chosen feature, bin) of every node from (node, feature, bin, statistic) sums
-    of weight, cells and targets; gain 0 if no split gains anything, ties to the first. On class
-    indicators what it gains is the Gini impurity, on values the variance."""
+def split_gains(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gain of every node's (feature, bin) splits, each node's sum of squares) from (node, feature, bin,
+    statistic) sums of weight, cells and targets; 0 where a side is empty. On class indicators what a
+    split gains is the Gini impurity, on values the variance."""
     left = np.cumsum(sums, axis=2)[:, :, :-1]
     total = sums[:, 0].sum(axis=1)
     right = total[:, None, None] - left
     whole = (total[:, 2:] ** 2).sum(axis=1) / total[:, 0]
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = (left[..., 2:] ** 2).sum(axis=3) / left[..., 0] + (right[..., 2:] ** 2).sum(axis=3) / right[..., 0] - whole[:, None, None]
-    gain = np.where((left[..., 1] >= 1) & (right[..., 1] >= 1), gain, 0.0).reshape(len(sums), -1)
-    at = gain.argmax(axis=1)
-    top = gain[np.arange(len(sums)), at]
-    return np.where(top > GAIN_NOISE * whole, top, 0.0), at // left.shape[2], at % left.shape[2]
+    return np.where((left[..., 1] >= 1) & (right[..., 1] >= 1), gain, 0.0).reshape(len(sums), -1), whole
+
+
+def best_splits(sums: np.ndarray, tie: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gain, place of the chosen feature, bin) of every node; gain 0 if no split gains anything, ties (to
+    within ``tie`` of the gain) to the first."""
+    gain, whole = split_gains(sums)
+    top = gain.max(axis=1)
+    at = (gain >= top[:, None] - tie * np.abs(top[:, None])).argmax(axis=1)
+    borders = sums.shape[2] - 1
+    return np.where(top > GAIN_NOISE * whole, top, 0.0), at // borders, at % borders
 
 
 def grown(tree: int, root: int, bins: np.ndarray, stats: np.ndarray, width: int, s: ForestSettings, take: int) -> list[tuple]:
