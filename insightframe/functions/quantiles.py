@@ -47,13 +47,15 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float
             for j, r in enumerate(few):
                 found[r] = row[j][r[1] - brackets.pop(r)[2]]
             continue
+        asked: dict[tuple, list[tuple[int, int]]] = {}  # ranks of one bracket ask the same sketch
+        for r in todo:
+            asked.setdefault((r[0], *brackets[r][:2]), []).append(r)
         sketch = []
-        for i, k in todo:
-            lo, hi, below, within = brackets[(i, k)]
-            at = (k - below + 0.5) / within
-            sketch.append(F.percentile_approx(inside(i, lo, hi), [max(0.0, at - slack), min(1.0, at + slack)], ACCURACY))
+        for (i, lo, hi), mine in asked.items():
+            at = [(k - brackets[(i, k)][2] + 0.5) / brackets[(i, k)][3] for _, k in mine]
+            sketch.append(F.percentile_approx(inside(i, lo, hi), [p for a in at for p in (max(0.0, a - slack), min(1.0, a + slack))], ACCURACY))
         row = work.agg(*[s.alias(f"p{j}") for j, s in enumerate(sketch)]).first()
-        near = {r: (row[j][0], row[j][1]) for j, r in enumerate(todo)}
+        near = {r: (row[j][2 * m], row[j][2 * m + 1]) for j, mine in enumerate(asked.values()) for m, r in enumerate(mine)}
         checks = []
         for j, (i, k) in enumerate(todo):
             x, (a, b) = F.col(f"x{i}"), near[(i, k)]

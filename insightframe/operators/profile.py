@@ -82,7 +82,7 @@ def exact_distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataF
     pairs = F.array(*[F.when(F.col(quoted(c)).isNotNull(), F.struct(
         F.lit(i).alias("i"), F.xxhash64(F.lit(1), F.col(quoted(c))).alias("h"), F.xxhash64(F.lit(2), F.col(quoted(c))).alias("g")))
         for i, c in enumerate(cols)])
-    distinct = df.select(F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("p")).select("p.*").distinct()
+    distinct = df.select(F.explode(pairs).alias("p")).where(F.col("p").isNotNull()).select("p.*").distinct()
     counted = distinct.groupBy("i").agg(F.count(F.lit(1)).alias("n_unique"))
     # columns with no non-NULL value still need a row
     names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, col_name string")
