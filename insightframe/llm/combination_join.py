@@ -19,7 +19,9 @@ Candidates are verified exactly on the shared tokens. As only groups are asked f
 compared with two sets of each of its buckets, one of them the bucket's most central (its tokens
 stand in most other sets: the template of a group of near copies), then, in buckets of several
 groups, with the ``HEADS`` most central ones; then all pairs of a bucket that are not in one group
-yet are compared, in blocks, buckets of equal content once.
+yet are compared, in blocks, buckets of equal content once. Blocks hold a parity sketch of each set:
+bits that differ are at most the tokens that differ, so they bound the overlap from above, and only
+pairs whose bound allows a link leave the block.
 """
 from __future__ import annotations
 
@@ -37,6 +39,7 @@ RARE = 16             # a token of up to so many sets is indexed alone
 RANGE_TOKENS = 1 << 20  # tokens that one range task sorts, on average
 HOT_SHARE = 1 << 18   # a token above this part of all tokens is handled without a range
 CELL = 512            # sets on one side of a block of a large bucket
+SKETCH_BITS = 1 << 10  # of a set's parity sketch; a power of two
 HEADS = 8             # central sets of a bucket that all others are compared with
 
 _ONE, _TWO = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -170,8 +173,14 @@ def signatures(n: int, token: np.ndarray, often: np.ndarray, per_cent: int = SIM
     return np.unique(np.concatenate([mix64(single ^ _ONE), mix64(two)])) if prefix else np.zeros(0, np.uint64)
 
 
+def sketch(token: np.ndarray) -> bytes:
+    """Parity of the number of tokens that fall to each bit."""
+    odd = np.bincount((token & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def _sets(key, table, per_cent: int, rare: int):
-    """One part of the classes: (cls, n, k, core, token, sigs) of the sets whose shared tokens allow a
+    """One part of the classes: (cls, n, k, core, token, sketch, sigs) of the sets whose shared tokens allow a
     link; ``core`` is how often their tokens stand in other sets, on average."""
     cls, n, count = (_numbers(table.column(c)) for c in ("cls", "n", "count"))
     token, often = _numbers(table.column("token"), np.uint64), _numbers(table.column("often"), np.int32).astype(np.int64)
@@ -181,11 +190,11 @@ def _sets(key, table, per_cent: int, rare: int):
     out = []
     for a, b in zip(*_groups(own), strict=True):
         if (b - a) * 100 >= size[a] * per_cent:
-            out.append((own[a], size[a], b - a, float(often[a:b].sum() / size[a]), np.sort(token[a:b]).tobytes(),
+            out.append((own[a], size[a], b - a, float(often[a:b].sum() / size[a]), np.sort(token[a:b]).tobytes(), sketch(token[a:b]),
                         signatures(int(size[a]), token[a:b], often[a:b], per_cent, rare).view(np.int64).tolist()))
-    cols = list(zip(*out, strict=True)) or [[]] * 6
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["cls", "n", "k", "core", "token", "sigs"])
+    cols = list(zip(*out, strict=True)) or [[]] * 7
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["cls", "n", "k", "core", "token", "sketch", "sigs"])
 
 
 def _admissible(n_a, k_a, n_b, k_b, per_cent: int):  # numbers, arrays or Columns
@@ -212,27 +221,35 @@ def _linked(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "u long, v long")
 
 
-def _cells(buckets: DataFrame, per_cent: int, cell: int) -> DataFrame:
-    """Admissible pairs (a, b) of sets of different labels in one bucket, once; large buckets in blocks,
-    every pair of blocks once. Only numbers travel."""
+def _cells(buckets: DataFrame, sets: DataFrame, per_cent: int, cell: int) -> DataFrame:
+    """Pairs (a, b) of sets of different labels in one bucket whose sizes and sketches allow a link, once;
+    large buckets in blocks, every pair of blocks once. Only numbers and sketches travel."""
     sized = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     cut = buckets.join(sized, "sig").withColumn("parts", F.ceil(F.col("size") / cell)).withColumn(
         "part", F.pmod(F.xxhash64("cls"), F.col("parts")))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = met.select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cls", "n", "k", "label")
+    rows = met.select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cls", "n", "k", "label").join(sets.select("cls", "sketch"), "cls").select(
+        "sig", "lo", "hi", "part", "cls", "n", "k", "label", "sketch")
 
     def run(batches):
         held: list[np.ndarray] = []
+        drawn: list[np.ndarray] = []
 
         def solve():
-            c = np.concatenate(held, axis=1)
+            c, bits = np.concatenate(held, axis=1), np.concatenate(drawn)
             held.clear()
+            drawn.clear()
             out = [np.zeros((2, 0), np.int64)]
             for i in range(c.shape[1] - 1):
                 x, rest = c[:, i], c[:, i + 1:]
                 fit = (rest[7] != x[7]) & _admissible(x[5], x[6], rest[5], rest[6], per_cent)
                 if x[1] != x[2]:
                     fit &= rest[3] != x[3]
+                fit = np.flatnonzero(fit)
+                # twice the overlap is at most the tokens of both less those that differ
+                differ = np.bitwise_count(bits[i + 1 + fit] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                both = (x[6] + rest[6][fit] - differ) // 2
+                fit = fit[both * (100 + per_cent) >= (x[5] + rest[5][fit]) * per_cent]
                 out.append(np.stack([np.minimum(x[4], rest[4][fit]), np.maximum(x[4], rest[4][fit])]))
             pairs = np.concatenate(out, axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -241,11 +258,13 @@ def _cells(buckets: DataFrame, per_cent: int, cell: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             c = np.stack([batch.column(i).to_numpy() for i in range(8)])
+            d = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
             edge = np.flatnonzero(np.append(True, (c[:3, 1:] != c[:3, :-1]).any(axis=0)))
             for lo, hi in zip(edge, np.append(edge[1:], c.shape[1]), strict=True):
                 if held and (held[0][:3, 0] != c[:3, lo]).any():
                     yield solve()
                 held.append(c[:, lo:hi])
+                drawn.append(d[lo:hi])
         if held:
             yield solve()
 
@@ -280,7 +299,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILARI
     shared = packed.groupBy("part").applyInArrow(lambda key, table: _shared(key, table, bits),
                                                  "dealt long, cls binary, n binary, count binary, token binary, often binary")
     sets = materialise(shared.groupBy("dealt").applyInArrow(lambda key, table: _sets(key, table, per_cent, rare),
-                                                            "cls long, n long, k long, core double, token binary, sigs array<long>"), "sets")
+                                                            "cls long, n long, k long, core double, token binary, sketch binary, sigs array<long>"), "sets")
 
     index = sets.select("cls", "n", "k", "core", F.explode("sigs").alias("sig"))
     counts = index.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("content"),
@@ -317,7 +336,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, per_cent: int = SIMILARI
         F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
     second = materialise(components(with_groups(_linked(pairs, sets, per_cent), labels)), "second")
     # and every pair that is not in one group yet
-    rest = materialise(_linked(_cells(mixed(second), per_cent, cell), sets, per_cent), "rest")
+    rest = materialise(_linked(_cells(mixed(second), sets, per_cent, cell), sets, per_cent), "rest")
     merged = materialise(components(with_groups(rest, second)), "merged")
     grouped = classes.join(merged, classes["cls"] == merged["vertex"], "left").select(
         "cls", "rep", F.coalesce("component", "cls").alias("group"))

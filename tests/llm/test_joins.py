@@ -246,3 +246,29 @@ def test_linked_sets_share_a_signature():
                 s.append(set(cj.signatures(len(one), token, count, 80, rare).tolist()))
             assert s[0] & s[1]
     assert checked > 300
+
+
+def test_blocks_send_few_unlinked_pairs_and_every_linked_one(spark):
+    r = np.random.default_rng(11)
+    common = r.integers(0, 1 << 63, 75).astype(np.uint64)
+    sets = [np.concatenate([common, r.integers(0, 1 << 63, 25).astype(np.uint64)]) for _ in range(120)]
+    # partners that share 85 to 95 of 100 tokens: some linked, some not
+    sets += [np.concatenate([x[:85 + i % 11], r.integers(0, 1 << 63, 15 - i % 11).astype(np.uint64)]) for i, x in enumerate(sets[:40])]
+    sets = [np.unique(x) for x in sets]
+    rows = [(7, i, len(x), len(x), i, bytearray(cj.sketch(x))) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "sig long, cls long, n long, k long, label long, sketch binary")
+    for cell in (50, 512):
+        out = [(p.a, p.b) for p in cj._cells(df.drop("sketch"), df.select("cls", "sketch"), 80, cell).collect()]
+        linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+                  if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - both)}
+        assert len(linked) > 20 and linked <= set(out) and len(out) == len(set(out))
+        assert len(out) < 2 * len(sets)  # of 12,720 pairs
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_tokens():
+    r = np.random.default_rng(3)
+    for n in (1, 50, 3000, 40_000):
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], r.integers(0, 1 << 63, n // 3 + 1).astype(np.uint64)]))
+        bits = np.frombuffer(cj.sketch(x), np.uint64) ^ np.frombuffer(cj.sketch(y), np.uint64)
+        assert np.bitwise_count(bits).sum(dtype=np.int64) <= len(np.setxor1d(x, y))
