@@ -100,13 +100,20 @@ def segment_hash(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
         return np.zeros(0, np.uint64)
     length = end - start
     idx = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
-    pos = idx - np.repeat(start, length)
-    terms = symbols[idx] * powers(int(length.max()))[pos]
-    return mix64(np.add.reduceat(terms, np.cumsum(length) - length) + length.astype(np.uint64))
+    return _hashes(symbols[idx], length)
+
+
+def _hashes(symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Content hashes of runs of the given lengths that lie one after the other."""
+    first = np.cumsum(length) - length
+    terms = powers(int(length.max())).take(np.arange(len(symbols)) - np.repeat(first, length))
+    terms *= symbols
+    return mix64(np.add.reduceat(terms, first) + length.astype(np.uint64))
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER_SYMBOL = _SYMBOL[_LOWER]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -135,7 +142,9 @@ def ascii_words(raw: np.ndarray, off: np.ndarray, space: np.ndarray = _IS_SPACE)
     last = off[1:][off[1:] > 0] - 1
     stop[last] |= word[last]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    return start, end, segment_hash(_SYMBOL[_LOWER[raw]], start, end), np.searchsorted(start, off)
+    # every byte of a word stands in one word: the words' bytes in order are the runs one after the other
+    h = _hashes(_LOWER_SYMBOL.take(raw[word]), end - start) if len(start) else np.zeros(0, np.uint64)
+    return start, end, h, np.searchsorted(start, off)
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ascii_words, slices, utf8
+from .common import NOT_ALNUM, ascii_words, forget, materialise, slices, utf8
 
 TERM_BITS = 16
 RANK = 32
@@ -38,8 +38,12 @@ SHORT_WORDS = 6  # items below need all their words, side by side
 WINDOW_WORDS = 12  # items below are looked up by their words
 BLOCK_TERMS = 512
 
+FIT_BYTES = 1 << 19  # bytes of terms that one numpy pass of the fit works on
+RUN_ROWS = 64  # rows that one small matrix product adds up
+CACHED_ROWS = 1 << 13  # vectors gathered at once: they stay in the cache
 SEARCH_BYTES = 1 << 20  # text bytes whose prefix sums are held at once
-PAIR_CELLS = 1 << 22  # (document, item) postings held at once
+SCAN_ROWS = 16  # vectors that one triangular product sums up
+PAIR_CELLS = 1 << 22  # (document, item) postings or sums held at once
 
 RESULT_DDL = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
 
@@ -53,64 +57,119 @@ def _terms(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents that hold each hashed term, documents), over all rows."""
+def _word_terms(texts: DataFrame) -> DataFrame:
+    """``texts`` with the hashed terms of each text's words (two bytes a word) in its place, as ``terms``."""
+    at = texts.columns.index("text")
 
     def run(batches):
-        count, rows = np.zeros(1 << TERM_BITS, np.int64), 0
         for batch in batches:
             for part in slices(batch):
-                _, _, h, first = _words(part.column(0))
-                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                # half-width keys sort faster; a slice that has too many documents for them keeps wide ones
-                pair = (doc << TERM_BITS) | _terms(h)
-                pair = np.sort(pair.astype(np.uint32) if len(first) <= 1 << (32 - TERM_BITS) else pair)
-                pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
-                count += np.bincount((pair & ((1 << TERM_BITS) - 1)).astype(np.int64), minlength=1 << TERM_BITS)
+                _, _, h, first = _words(part.column(at))
+                terms = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((2 * first).astype(np.int32)),
+                                                                           pa.py_buffer(_terms(h).astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([terms if i == at else c for i, c in enumerate(part.columns)], names)
+
+    names = ["terms" if c == "text" else c for c in texts.columns]
+    return texts.mapInArrow(run, ", ".join("terms binary" if f.name == "text" else f"`{f.name}` {f.dataType.simpleString()}"
+                                           for f in texts.schema))
+
+
+def _terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(terms of all words, first word of each text) of a ``terms`` column."""
+    raw, off = utf8(column)
+    return np.frombuffer(raw.tobytes(), "<u2"), off // 2
+
+
+def _sorted_pairs(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    """Ascending keys ``high << bits | low``; half-width keys sort faster, where they hold them."""
+    narrow = not len(high) or int(high.max()) < 1 << (32 - bits)
+    key = (high.astype(np.uint32 if narrow else np.uint64) << np.array(bits, np.uint32 if narrow else np.uint64)[()]) | low.astype(
+        np.uint32 if narrow else np.uint64)
+    key.sort()
+    return key
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def document_frequencies(terms: DataFrame) -> tuple[np.ndarray, int]:
+    """(documents that hold each hashed term, documents), over all rows of ``terms``."""
+
+    def run(batches):
+        count, rows = np.zeros(1 << TERM_BITS, np.int64), 0
+        for batch in batches:
+            for part in slices(batch, "terms", FIT_BYTES):
+                term, first = _terms_of(part.column(0))
+                pair = _sorted_pairs(np.repeat(np.arange(len(first) - 1), np.diff(first)), term, TERM_BITS)
+                count += np.bincount((pair[_starts(pair)] & ((1 << TERM_BITS) - 1)).astype(np.int64), minlength=1 << TERM_BITS)
                 rows += part.num_rows
         held = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(count[held], rows))], ["term", "n"])
 
     # at most 2^TERM_BITS + 1 rows reach the driver
-    table = (docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))).toArrow()
+    table = (terms.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))).toArrow()
     term, n = table.column("term").to_numpy(), table.column("n").to_numpy()
     out = np.zeros(1 << TERM_BITS, np.int64)
     out[term[term >= 0]] = n[term >= 0]
     return out, int(n[term < 0].sum())
 
 
+def run_sums(source: np.ndarray, index: np.ndarray, start: np.ndarray, length: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """weight-ed sums of source[index[start:start + length]] of runs. Runs are cut at RUN_ROWS rows, and as small matrix
+    products they are padded to a power of two, so at most twice their rows are read."""
+    parts = -(-length // RUN_ROWS)
+    cut = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * RUN_ROWS
+    begin, n = np.repeat(start, parts) + cut, np.minimum(np.repeat(length, parts) - cut, RUN_ROWS)
+    out = np.empty((len(begin), source.shape[1]), np.float32)
+    size = 1
+    while size <= RUN_ROWS:
+        mine = np.flatnonzero((n <= size) & (n > size // 2))
+        place, step = np.arange(size), max(1, CACHED_ROWS // size)
+        for lo in range(0, len(mine), step):
+            some = mine[lo:lo + step]
+            at = np.minimum(begin[some][:, None] + place, len(index) - 1)
+            w = np.where(place < n[some][:, None], weight[at], np.float32(0))
+            out[some] = np.matmul(w[:, None, :], source.take(index[at], axis=0))[:, 0]
+        size *= 2
+    if len(out) == len(start):
+        return out
+    return run_sums(out, np.arange(len(out)), np.cumsum(parts) - parts, parts, np.ones(len(out), np.float32))
+
+
 def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A^T (A x), where A's rows are the normalised TF-IDF vectors of ``passages`` (text, weight)
+    """A^T (A x), where A's rows are the normalised TF-IDF vectors of ``passages`` (terms, weight)
     in windows of FIT_WINDOW words. Tasks send their part by blocks of terms."""
     spark = passages.sparkSession
-    held = spark.sparkContext.broadcast((idf.astype(np.float32), np.ascontiguousarray(x.T)))
+    held = spark.sparkContext.broadcast((idf, (x * idf[:, None]).astype(np.float32)))
     rank = x.shape[1]
 
     def run(batches):
         idf_, x_ = held.value
-        sums_ = np.zeros((rank, 1 << TERM_BITS))
+        total = np.zeros((1 << TERM_BITS, rank))
         for batch in batches:
-            for part in slices(batch):
-                _, _, h, first = _words(part.column(0))
-                term, n = _terms(h), np.diff(first)
+            for part in slices(batch, "terms", FIT_BYTES):
+                term, first = _terms_of(part.column(0))
+                n = np.diff(first)
                 if not len(term):
                     continue
-                doc = np.repeat(np.arange(len(n)), n)
-                place = np.arange(len(term)) - np.repeat(first[:-1], n)
-                edge = np.append(True, (doc[1:] != doc[:-1]) | (place[1:] % FIT_WINDOW == 0))
-                at = np.flatnonzero(edge)
-                row = np.cumsum(edge) - 1
-                cell, tf = np.unique((row << TERM_BITS) | term, return_counts=True)
-                t, r = cell & ((1 << TERM_BITS) - 1), cell >> TERM_BITS
-                w = tf * idf_[t]
-                w = w / np.sqrt(np.maximum(np.bincount(r, weights=w * w, minlength=len(at)), 1e-12))[r]
-                w = (w * np.sqrt(part.column(1).to_numpy()[doc[at]])[r]).astype(np.float32)
-                start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                # by dimension: its column of x stays in the cache
-                for k in range(rank):
-                    y = np.add.reduceat(w * x_[k][t], start)
-                    sums_[k] += np.bincount(t, weights=w * y[r], minlength=1 << TERM_BITS)
-        total = np.ascontiguousarray(sums_.T, np.float32)
+                count = -(-n // FIT_WINDOW)  # windows of each text
+                doc = np.repeat(np.arange(len(n)), count)
+                begin = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * FIT_WINDOW
+                size = np.minimum(n[doc] - begin, FIT_WINDOW)
+                y = run_sums(x_, term.astype(np.int64), first[doc] + begin, size, np.ones(len(term), np.float32))
+                # cells (term, window) with their counts; a window's norm is of its distinct terms
+                bits = max(1, int(len(doc) - 1).bit_length())
+                cell = _sorted_pairs(term, np.repeat(np.arange(len(doc)), size), bits)
+                at = _starts(cell)
+                tf, cell = np.diff(np.append(at, len(cell))), cell[at].astype(np.int64)
+                t, window = cell >> bits, cell & ((1 << bits) - 1)
+                norm = np.bincount(window, weights=(tf * idf_[t]) ** 2, minlength=len(doc))
+                y *= (part.column(1).to_numpy()[doc] / np.maximum(norm, 1e-12)).astype(np.float32)[:, None]
+                at = _starts(t)
+                total[t[at]] += run_sums(y, window, at, np.diff(np.append(at, len(t))), tf.astype(np.float32))
+        total = (total * idf_[:, None]).astype(np.float32)
         held_terms = np.flatnonzero(total.any(axis=1))
         block = held_terms // BLOCK_TERMS
         edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else block
@@ -131,7 +190,7 @@ def _gram_product(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.nda
         if last is not None:
             yield _block_rows([(last, b"", total.astype(np.float32).tobytes())])
 
-    sums = (passages.select("text", "weight").mapInArrow(run, "block long, terms binary, part binary").repartition("block")
+    sums = (passages.select("terms", "weight").mapInArrow(run, "block long, terms binary, part binary").repartition("block")
             .sortWithinPartitions("block").mapInArrow(add, "block long, terms binary, part binary"))
     out = np.zeros((1 << TERM_BITS, rank), np.float32)
     # one row a block of terms: 2^TERM_BITS * rank numbers in all, whatever the input
@@ -156,20 +215,23 @@ def latent_space(docs: DataFrame, items: DataFrame, rank: int = RANK, power_step
     Benchmark passages weigh as much as the documents all together, so the space holds what sets
     items apart from each other and from the corpus.
     """
-    df, rows = document_frequencies(docs)
+    # words are told apart and hashed once; each pass of the fit reads their terms
+    terms = materialise(_word_terms(docs.select("text")), "terms")
+    df, rows = document_frequencies(terms)
     idf = np.log((1 + rows) / (1 + df)) + 0.1
-    fitted = docs.select("doc_id", "text")
+    fitted = terms
     if fit_documents is not None:
         chosen = (docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
                   .limit(fit_documents).distinct())
-        fitted, rows = fitted.join(F.broadcast(chosen), "doc_id", "left_semi"), fit_documents
+        fitted, rows = _word_terms(docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")), fit_documents
     n_items = max(1, items.count())
-    passages = fitted.select("text", F.lit(1.0).alias("weight")).unionByName(
-        items.select("text", F.lit(max(1.0, 4.0 * rows / n_items)).alias("weight")))
+    passages = fitted.select("terms", F.lit(1.0).alias("weight")).unionByName(
+        _word_terms(items.select("text")).select("terms", F.lit(max(1.0, 4.0 * rows / n_items)).alias("weight")))
     x = np.random.default_rng(5).standard_normal((1 << TERM_BITS, rank), np.float32)
     for _ in range(1 + power_steps):
         product = _gram_product(passages, idf, x)
         x, r = np.linalg.qr(product)
+    forget(terms)
     values = np.sqrt(np.maximum(np.abs(np.diag(r)), 0))
     return (x * idf[:, None]).astype(np.float32), values
 
@@ -221,60 +283,77 @@ class Items:
                 if norm > 0:
                     passages.setdefault(window_size(len(p)), []).append((number, z / norm))
         self.classes = {w: (np.array([n for n, _ in p]), np.array([z for _, z in p], np.float32)) for w, p in passages.items()}
-        self.distinct = [np.unique(x, return_counts=True) for x in self.arrays]
+        distinct = [np.unique(x, return_counts=True) for x in self.arrays]
         self.least = np.array([len(x) if len(x) < SHORT_WORDS else LIKELY_SHARE * len(x) for x in self.arrays])
-        self.long, self.short = (self._postings([n for n, x in enumerate(self.arrays) if (len(x) < WINDOW_WORDS) == short])
+        self.vocabulary = np.unique(np.concatenate(self.arrays or [np.zeros(0, np.uint64)]))
+        self.first = np.searchsorted(_terms(self.vocabulary), np.arange((1 << TERM_BITS) + 1))
+        self.spots = [np.searchsorted(self.vocabulary, x) for x, _ in distinct]  # places of an item's distinct words
+        self.long, self.short = (self._postings([n for n, x in enumerate(self.arrays) if (len(x) < WINDOW_WORDS) == short], distinct)
                                  for short in (False, True))
 
-    def _postings(self, numbers: list[int]):
-        """Inverted index of some items: (sorted words, first posting of each, item and count of postings)."""
-        word = np.concatenate([self.distinct[n][0] for n in numbers] or [np.zeros(0, np.uint64)])
-        count = np.concatenate([self.distinct[n][1] for n in numbers] or [np.zeros(0, np.int64)])
-        item = np.repeat(np.array(numbers, np.int64), [len(self.distinct[n][0]) for n in numbers])
+    def _postings(self, numbers: list[int], distinct: list):
+        """Inverted index of some items: (first posting of each word of the vocabulary, item and count of postings)."""
+        word = np.concatenate([self.spots[n] for n in numbers] or [np.zeros(0, np.int64)])
+        count = np.concatenate([distinct[n][1] for n in numbers] or [np.zeros(0, np.int64)])
+        item = np.repeat(np.array(numbers, np.int64), [len(self.spots[n]) for n in numbers])
         order = np.argsort(word, kind="stable")
-        vocabulary, first = np.unique(word[order], return_index=True)
-        return vocabulary, np.append(first, len(word)), item[order], count[order]
+        return np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1)), item[order], count[order]
+
+    def known(self, h: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Each word's place in the vocabulary, or the vocabulary's length: words of one term stand side by side there."""
+        out = np.full(len(h), len(self.vocabulary))
+        where = np.flatnonzero(self.first[term] < self.first[term + 1])
+        at = self.first[term[where]]
+        while len(where):
+            same = self.vocabulary[at] == h[where]
+            out[where[same]] = at[same]
+            go = ~same & (at + 1 < self.first[term[where] + 1])
+            where, at = where[go], at[go] + 1
+        return out
 
     @staticmethod
     def _hashes(text: str) -> np.ndarray:
         return _words(pa.array([text], pa.string()))[2]
 
-    def holding(self, h: np.ndarray, first: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+    def holding(self, known: np.ndarray, first: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
         """Keys document * items + item, ascending, of the ``pairs`` (ascending keys; None: all pairs with
         a short item) where the document holds enough of the item's words for ``check``: the words in
         order can't be more than those."""
-        vocabulary, starts, items, counts = self.short if pairs is None else self.long
-        if not len(vocabulary) or (pairs is not None and not len(pairs)):
+        starts, items, counts = self.short if pairs is None else self.long
+        if not len(items) or (pairs is not None and not len(pairs)):
             return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        known = vocabulary[at] == h
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[known]
-        cell = np.unique(doc * len(vocabulary) + at[known])
-        doc, at = cell // len(vocabulary), cell % len(vocabulary)
-        n = starts[at + 1] - starts[at]
-        total = np.append(0, np.cumsum(n))
-        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-        cut = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], PAIR_CELLS)), len(at)))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            post = np.arange(n[a:b].sum()) + np.repeat(starts[at[a:b]] - np.cumsum(n[a:b]) + n[a:b], n[a:b])
-            pair, weight = np.repeat(doc[a:b], n[a:b]) * len(self.ids) + items[post], counts[post]
-            if pairs is not None:
-                spot = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
-                mine = pairs[spot] == pair
-                pair, weight = pair[mine], weight[mine]
-            key, where = np.unique(pair, return_inverse=True)
-            keys.append(key)
-            sums.append(np.bincount(where, weights=weight, minlength=len(key)))
-        key, where = np.unique(np.concatenate(keys), return_inverse=True)
-        held = np.bincount(where, weights=np.concatenate(sums), minlength=len(key))
-        return key[held >= self.least[key % len(self.ids)]] if len(key) else key
+        n_items, size, out = len(self.ids), len(self.vocabulary), [np.zeros(0, np.int64)]
+        step = max(1, PAIR_CELLS // n_items)  # documents whose sums are held at once
+        for d in range(0, len(first) - 1, step):
+            e = min(d + step, len(first) - 1)
+            wanted = None if pairs is None else pairs[slice(*np.searchsorted(pairs, [d * n_items, e * n_items]))]
+            if wanted is not None and not len(wanted):
+                continue
+            word = known[first[d]:first[e]]
+            there = np.flatnonzero(word < size)
+            doc = np.repeat(np.arange(e - d), np.diff(first[d:e + 1]))[there]
+            cell = np.sort(doc * size + word[there])
+            cell = cell[_starts(cell)]
+            doc, at = cell // size, cell % size
+            n = starts[at + 1] - starts[at]
+            total, sums = np.append(0, np.cumsum(n)), np.zeros((e - d) * n_items)
+            cut = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], PAIR_CELLS)), len(at)))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                post = np.arange(n[a:b].sum()) + np.repeat(starts[at[a:b]] - np.cumsum(n[a:b]) + n[a:b], n[a:b])
+                sums += np.bincount(np.repeat(doc[a:b] * n_items, n[a:b]) + items[post], weights=counts[post], minlength=len(sums))
+            if wanted is None:
+                out.append(d * n_items + np.flatnonzero((sums.reshape(-1, n_items) >= self.least).ravel()))
+            else:
+                out.append(wanted[sums[wanted - d * n_items] >= self.least[wanted % n_items]])
+        return np.concatenate(out)
 
     def places(self, number: int, words: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches (start, end) of words that hold enough of the item's words for ``check``."""
-        distinct, m = self.distinct[number][0], len(self.arrays[number])
+        """Stretches (start, end) of words (places in the vocabulary) that hold enough of the item's words for ``check``."""
+        m = len(self.arrays[number])
         stretch = m if m < SHORT_WORDS else m + m // 2
-        known = distinct[np.minimum(np.searchsorted(distinct, words), len(distinct) - 1)] == words
-        total = np.append(0, np.cumsum(known))
+        mine = np.zeros(len(self.vocabulary) + 1, bool)
+        mine[self.spots[number]] = True
+        total = np.append(0, np.cumsum(mine[words]))
         start = np.arange(max(1, len(words) - stretch + 1))
         good = start[total[np.minimum(start + stretch, len(words))] - total[start] >= self.least[number]]
         if not len(good):
@@ -320,51 +399,81 @@ class Items:
         return None
 
 
+class _Prefix:
+    """Prefix sums of the words' vectors, every two words: windows start and end at even words of their
+    text, but for its last one."""
+
+    def __init__(self, term: np.ndarray, first: np.ndarray, vectors: np.ndarray):
+        n, rank = np.diff(first), vectors.shape[1]
+        pairs = (n + 1) // 2
+        self.shift = 2 * (np.cumsum(pairs) - pairs) - first[:-1]  # from a word to its row, texts padded to even lengths
+        rows = -(-int(2 * pairs.sum()) // (2 * SCAN_ROWS)) * 2 * SCAN_ROWS
+        held = np.zeros(rows, bool)
+        held[np.arange(len(term)) + np.repeat(self.shift, n)] = True
+        padded = np.zeros(rows, np.int64)
+        padded[held] = term
+        self.each = vectors.take(padded, axis=0)
+        self.each[~held] = 0
+        inner = np.matmul(np.tril(np.ones((SCAN_ROWS, SCAN_ROWS), np.float32)),
+                          (self.each[::2] + self.each[1::2]).reshape(-1, SCAN_ROWS, rank))
+        before = np.zeros((len(inner), 1, rank))
+        np.cumsum(inner[:-1, -1], axis=0, dtype=np.float64, out=before[1:, 0])
+        self.total = np.zeros((rows // 2 + 1, rank))
+        np.add(inner, before, out=self.total[1:].reshape(inner.shape))
+
+    def between(self, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Sums of the words lo to hi of the documents."""
+        lo, hi = lo + self.shift[doc], hi + self.shift[doc]
+        x = (self.total.take((hi + 1) >> 1, axis=0) - self.total.take((lo + 1) >> 1, axis=0)).astype(np.float32)
+        odd = np.flatnonzero(lo & 1)
+        x[odd] += self.each[lo[odd]]
+        return x
+
+
 def _hits(texts: pa.Array, items: Items, vectors: np.ndarray, least: float) -> list[tuple]:
     """(row, item_id, cosine, lcs share, answer share, first word) of every text and item found."""
     _, _, h, first = _words(texts)
     rows: list[tuple] = []
     if not len(h) or not items.ids:
         return rows
-    # prefix sums per dimension: a dimension's column of term vectors stays in the cache
     term = _terms(h)
-    prefix = np.zeros((vectors.shape[1], len(h) + 1))
-    for r in range(vectors.shape[1]):
-        np.cumsum(vectors[:, r][term], out=prefix[r, 1:], dtype=np.float64)
     near = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),) + (np.zeros(0, np.int64),) * 2]
+    sums = _Prefix(term, first, vectors)
     for size, (numbers, z) in items.classes.items():
         doc, lo, hi = windows(first, size)
-        for a in range(0, len(lo), 1 << 13):
-            b = min(len(lo), a + (1 << 13))
-            x = (prefix[:, hi[a:b]] - prefix[:, lo[a:b]]).astype(np.float32)
-            x /= np.maximum(np.sqrt((x * x).sum(axis=0)), 1e-12)
-            cosine = z @ x
-            j, i = np.nonzero(cosine >= least)
-            near.append((doc[a + i], numbers[j], cosine[j, i], lo[a + i], hi[a + i]))
+        step = max(1, CACHED_ROWS // 8)
+        for a in range(0, len(lo), step):
+            x = sums.between(doc[a:a + step], lo[a:a + step], hi[a:a + step])
+            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), np.float32(1e-12))
+            cosine = x @ z.T
+            at = np.flatnonzero((cosine >= (least * norm)[:, None]).ravel())
+            i, j = at // len(z), at % len(z)
+            near.append((doc[a + i], numbers[j], cosine[i, j] / norm[i], lo[a + i], hi[a + i]))
     doc, number, cosine, lo, hi = (np.concatenate(x) for x in zip(*near, strict=True))
-    pair = doc * len(items.ids) + number
-    held = items.holding(h, first, np.unique(pair))
+    pair, known = doc * len(items.ids) + number, items.known(h, term)
+    held = items.holding(known, first, np.unique(pair))
     keep = np.append(held, -1)[np.searchsorted(held, pair)] == pair
     pair, cosine, lo, hi = (x[keep] for x in (pair, cosine, lo, hi))
     order = np.lexsort((lo, -cosine, pair))
     pair, cosine, lo, hi = (x[order] for x in (pair, cosine, lo, hi))
-    edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+    edge = _starts(pair)
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(pair)], strict=False):
         d, k = divmod(int(pair[a]), len(items.ids))
         words, m = h[first[d]:first[d + 1]], len(items.words[k])
-        spots = items.places(k, words)
-        for i in range(a, b):
-            start, end = int(lo[i] - first[d]), int(hi[i] - first[d])
-            # a window without a place of enough of the item's words about it has nothing to check
-            if any(x < end + m and y > start - m for x, y in spots):
-                ok = items.check(k, words, start, end)
-                if ok:
-                    rows.append((d, items.ids[k], float(cosine[i]), *ok, start))
-                    break
-    for key in items.holding(h, first).tolist():
+        start, end = lo[a:b] - first[d], hi[a:b] - first[d]
+        # a window without a place of enough of the item's words about it has nothing to check
+        about = np.zeros(b - a, bool)
+        for x, y in items.places(k, known[first[d]:first[d + 1]]):
+            about |= (x < end + m) & (y > start - m)
+        for i in np.flatnonzero(about).tolist():
+            ok = items.check(k, words, int(start[i]), int(end[i]))
+            if ok:
+                rows.append((d, items.ids[k], float(cosine[a + i]), *ok, int(start[i])))
+                break
+    for key in items.holding(known, first).tolist():
         d, k = divmod(key, len(items.ids))
         words = h[first[d]:first[d + 1]]
-        for start, end in items.places(k, words):
+        for start, end in items.places(k, known[first[d]:first[d + 1]]):
             ok = items.check(k, words, start, end)
             if ok:
                 rows.append((d, items.ids[k], None, *ok, start))
