@@ -27,6 +27,7 @@ LOCAL_CELLS = 1 << 15
 NODES_AT_ONCE = 1 << 11
 GAIN_NOISE = 1e-10   # of a node's sum of squares: what rounding alone can gain
 ROWS_A_PART = 1 << 17
+SPREAD_ROWS = 1 << 13  # fewer rows than this a core are not worth dealing
 NODE_DDL = "tree int, node long, feature int, bin int, value double, cells long, left_cells long"
 
 
@@ -210,9 +211,12 @@ class HistogramForest:
                     yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in cells], pa.binary()), batch.column(1), batch.column(2)],
                                                      ["bins", "y", "w"])
 
-        rows = df.mapInArrow(pack, "bins binary, y double, w double").groupBy("bins", "y", "w").agg(F.count(F.lit(1)).alias("n")) \
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = max(cores, -(-one.n // ROWS_A_PART))
+        # a table written once comes back in as few parts as it has files, and would be packed by as few cores
+        dealt = df.repartition(max(min(cores, one.n // SPREAD_ROWS), -(-one.n // ROWS_A_PART))) if one.n >= 2 * SPREAD_ROWS else df
+        rows = dealt.mapInArrow(pack, "bins binary, y double, w double").groupBy("bins", "y", "w").agg(F.count(F.lit(1)).alias("n")) \
             .withColumn("h", F.xxhash64("bins", "y", "w"))
-        parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-one.n // ROWS_A_PART))
         rows = written(rows.repartition(parts, "bins").sortWithinPartitions("bins", "y", "w"), "forest-rows")
         return ForestModel(s, base, borders, self._grow(rows, s, base, d, take, width))
 
