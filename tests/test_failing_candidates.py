@@ -48,3 +48,22 @@ def test_a_skipped_candidate_is_named(spark, broken_forest):
     rows = {r.name: r for r in lb.table.collect()}
     assert set(rows) == {"LogisticRegression", "GradientBoosting", "Ensemble"}
     assert rows["Ensemble"].notes == "soft-vote of the panel without RandomForest (failed)"
+
+
+def test_regression_leaderboard_is_not_shown_without_a_failed_candidate(spark, monkeypatch):
+    parts = spark.range(200).select(F.col("id").alias("p_partkey"), F.pmod(F.xxhash64("id"), F.lit(50)).cast("int").alias("p_size"),
+                                    F.lit("b").alias("p_brand"), (F.col("id") % 13 + 900).cast("double").alias("p_retailprice"))
+    monkeypatch.setattr(qm.bt, "read_table", lambda s, d, name: parts)
+    monkeypatch.setattr(qm, "PANEL_CFG", CFG)
+    fit = md.LinearRegression.fit
+    begun = []
+
+    def lost(self, train):
+        begun.append(0)
+        if len(begun) == 6:  # the last fit, on all training rows
+            raise Lost("out of memory")
+        return fit(self, train)
+
+    monkeypatch.setattr(md.LinearRegression, "fit", lost)
+    with pytest.raises(Lost, match="out of memory"):
+        qm.q_leaderboard_regression(spark, "").collect()
